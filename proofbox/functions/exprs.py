@@ -82,9 +82,10 @@ def safe_div(num: Column | str, den: Column | str) -> Column:
 
 
 def clip0(col: Column | str) -> Column:
-    """max(0, x); NaN and null stay null (greatest() would keep NaN)."""
-    c = nan_to_null(col)
-    return F.when(c.isNull(), F.lit(None).cast("double")).otherwise(F.greatest(c, F.lit(0.0)))
+    """max(0.0, x) as Python computes it: null stays null, NaN becomes 0.0
+    (Spark's greatest() would keep NaN, which it orders above every number)."""
+    c = _c(col).cast("double")
+    return F.when(c.isNotNull(), F.greatest(F.nanvl(c, F.lit(0.0)), F.lit(0.0)))
 
 
 def round_half_up_int0(col: Column | str) -> Column:
