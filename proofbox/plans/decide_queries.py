@@ -30,10 +30,7 @@ def stand_ins(spark, sf_dir) -> DataFrame:
     cols = []
     for q in ("sold", "waste"):
         cols.append(F.avg(f"{q}_qty").over(w.rowsBetween(-7, -1)).alias(f"{q}_primary"))
-        lags = F.array_compact(F.array(*[F.lag(f"{q}_qty", 7 * k).over(w) for k in range(1, 5)]))
-        cols.append(
-            F.when(F.size(lags) > 0, F.aggregate(lags, F.lit(0.0), lambda a, x: a + x) / F.size(lags)).alias(f"{q}_challenger")
-        )
+        cols.append(ft.mean_present([F.lag(f"{q}_qty", 7 * k).over(w) for k in range(1, 5)]).alias(f"{q}_challenger"))
     return d.select("date", "product", "weather", "temp_avg", *cols)
 
 

@@ -57,8 +57,9 @@ def q_feature_rolling_std(spark, sf_dir):
 
 
 def q_feature_same_dow(spark, sf_dir):
-    w = ft.series_window()
-    return _keyed(daily(spark, sf_dir), ft.same_dow_columns(w))
+    d = daily(spark, sf_dir).select("date", "product", "sold_qty", "waste_qty", "made_qty")
+    names = [f"{q}_same_dow_mean_{k}" for k in ft.SAME_DOW_WEEKS for q in ft.QTY] + [f"{q}_same_dow_std_8" for q in ft.QTY]
+    return round_doubles(ft.add_same_dow(d).select("date", "product", *names))
 
 
 def q_feature_ratios(spark, sf_dir):
@@ -202,7 +203,7 @@ def _select_rounded(cols: list[str]) -> str:
     return ", ".join(parts)
 
 
-def features_sql(columns: list[str] | None = None, extra_ctes=()) -> str:
+def features_sql(columns: list[str] | None = None, extra_ctes=(), rounded: bool = True) -> str:
     """Oracle for I1 (or a column subset of it)."""
     f1 = ["*"] + _cal_sql() + _lag_sql() + _rm_sql() + _rs_sql() + _dow_lag_sql() + _ratio_base_sql() + _temp_sql()
     ctes = list(LEDGER_CTES) + [DAILY_CTE] + list(extra_ctes) + [
@@ -211,7 +212,8 @@ def features_sql(columns: list[str] | None = None, extra_ctes=()) -> str:
         ("f3", f"select *, {', '.join(_dow_std_sql())} from f2"),
     ]
     cols = columns if columns is not None else dl.DAILY_COLUMNS + ft.FEATURE_DERIVED
-    return with_ctes(ctes, f"select {_select_rounded(cols)} from f3")
+    sel = _select_rounded(cols) if rounded else ", ".join(cols)
+    return with_ctes(ctes, f"select {sel} from f3")
 
 
 def _daily_sql(ctes) -> str:
