@@ -129,24 +129,49 @@ def daily_table(ledger: DataFrame, ordinal: str | None = "line_ord") -> DataFram
     """Per (date, product) sums of the sign-split quantities, counts and flags.
 
     ``ordinal`` names a column giving input order for the first-valid weather
-    and temperature; pass None when the ledger has none (then any valid value).
-    Null keys are dropped before the aggregation (same result, less shuffle).
+    and temperature (D2); without one, any valid value is taken. Null keys are
+    dropped before the aggregation (same result, less shuffle).
+
+    Plan shape: the ledger-sized aggregation groups by (date, product,
+    weather), so every aggregation buffer is fixed-width and Spark runs it as
+    a map-side partial + final HASH aggregate (a string such as weather in a
+    buffer would force a sort-based aggregate). A second, daily-sized
+    aggregation folds the few weather groups of each (date, product) together.
     """
     df = ensure_columns(ledger)
     if ordinal is not None and ordinal not in df.columns:
         ordinal = None
     df = split_sign(drop_null_keys(df))
-    agg = df.groupBy("date", "product").agg(
-        F.count("qty").cast("int").alias("source_row_count"),
-        F.sum("is_positive").cast("int").alias("positive_row_count"),
-        F.max("is_positive").cast("int").alias("has_positive_row"),
-        F.sum("is_negative").cast("int").alias("negative_row_count"),
-        F.max("is_negative").cast("int").alias("has_negative_row"),
-        F.sum("positive_qty").alias("sold_qty"),
-        F.sum("negative_qty").alias("raw_waste_qty"),
-        F.sum("positive_sales").alias("gross_sales"),
-        F.sum("negative_sales").alias("raw_waste_value"),
-        *[first_valid(c, ordinal) for c in WEATHER_COLUMNS],
+    if ordinal is None:
+        df = df.withColumn("__ord", F.lit(0).cast("long"))
+        ordinal = "__ord"
+    o = F.col(ordinal)
+    temps = ("temp_avg", "temp_max", "temp_min")
+    lvl1 = df.groupBy("date", "product", "weather").agg(
+        F.count("qty").alias("n"),
+        F.sum("is_positive").alias("npos"),
+        F.sum("is_negative").alias("nneg"),
+        F.sum("positive_qty").alias("sold"),
+        F.sum("negative_qty").alias("neg"),
+        F.sum("positive_sales").alias("gross"),
+        F.sum("negative_sales").alias("negs"),
+        F.min(F.when(F.col("weather").isNotNull(), o)).alias("w_ord"),
+        *[F.min(F.when(F.col(t).isNotNull(), o)).alias(f"{t}__ord") for t in temps],
+        *[F.min_by(F.col(t), F.when(F.col(t).isNotNull(), o)).alias(t) for t in temps],
+    )
+    gross_t = dict(lvl1.dtypes)["gross"]
+    agg = lvl1.groupBy("date", "product").agg(
+        F.sum("n").cast("int").alias("source_row_count"),
+        F.sum("npos").cast("int").alias("positive_row_count"),
+        (F.sum("npos") > 0).cast("int").alias("has_positive_row"),
+        F.sum("nneg").cast("int").alias("negative_row_count"),
+        (F.sum("nneg") > 0).cast("int").alias("has_negative_row"),
+        F.sum("sold").alias("sold_qty"),
+        F.sum("neg").alias("raw_waste_qty"),
+        F.sum("gross").cast(gross_t).alias("gross_sales"),
+        F.sum("negs").cast(gross_t).alias("raw_waste_value"),
+        F.min_by("weather", "w_ord").alias("weather"),
+        *[F.min_by(t, f"{t}__ord").alias(t) for t in temps],
     )
     return derive_daily(agg)
 

@@ -189,9 +189,10 @@ def backtest_report(folds: DataFrame) -> DataFrame:
     )
 
 
-def no_fit(fn: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, DataFrame], DataFrame]:
-    """Mark a forecaster that reads its prediction from the validation rows
-    themselves (no training): the backtest then calls it ONCE over all folds."""
+def no_fit(fn: Callable[[DataFrame | None, DataFrame], DataFrame]) -> Callable[[DataFrame | None, DataFrame], DataFrame]:
+    """Mark a forecaster that needs no training: it is called ONCE with
+    (None, validation rows of all folds) and must return those same rows with
+    a ``pred`` column added (so no alignment join is needed)."""
     fn.fits = False
     return fn
 
@@ -201,18 +202,17 @@ def backtest(panel: DataFrame, target: str, primary: Callable[[DataFrame, DataFr
              newest_first: bool = True) -> DataFrame:
     """Rolling-origin backtest of two forecasters and their average.
 
-    A forecaster gets (train rows, validation rows) and returns (product, date,
-    pred). Fitting forecasters are called per fold with train = rows before
-    the fold's first date (the loop runs over the n folds, each a set of
-    Spark/MLlib jobs); ``no_fit`` forecasters are called once on the
-    validation rows of all folds. Predictions are clamped at 0, aligned with
-    the truth on keys (C7), averaged into a provisional ensemble and scored
-    per fold: MAE and WAPE for the three (D8).
+    A fitting forecaster gets (train rows, validation rows) per fold, with
+    train = rows before the fold's first date, and returns (product, date,
+    pred); the loop runs over the n folds only (each fit is Spark/MLlib jobs)
+    and predictions are aligned with the truth on keys (C7). A ``no_fit``
+    forecaster adds ``pred`` to the validation rows in one pass. Predictions
+    are clamped at 0, averaged into a provisional ensemble and scored per
+    fold: MAE and WAPE for the three (D8).
     """
     val_rows = assign_folds(panel, n_splits, window_days, newest_first)
     keys = ["fold", "product", "date"]
-    truth = val_rows.select(*keys, F.col(target).cast("double").alias("y"))
-    preds = []
+    frame = val_rows.withColumn("__y", F.col(target).cast("double"))
     for name, fn in (("xgb_pred", primary), ("lstm_pred", challenger)):
         if getattr(fn, "fits", True):
             parts = []
@@ -224,15 +224,17 @@ def backtest(panel: DataFrame, target: str, primary: Callable[[DataFrame, DataFr
             p = parts[0]
             for q in parts[1:]:
                 p = p.unionByName(q)
+            frame = align_predictions(frame, p.withColumnRenamed("pred", name), keys=keys)
         else:
-            p = fn(None, val_rows).select(*keys, "pred")
-        pred = F.col("pred").cast("double")
-        preds.append(p.select(*keys, F.when(pred.isNotNull(), F.greatest(pred, F.lit(0.0))).alias(name)))
-    aligned = align_predictions(truth, *preds, keys=keys)
-    aligned = aligned.withColumn("ensemble_pred", (F.col("xgb_pred") + F.col("lstm_pred")) / 2.0)
-    m = aligned.groupBy("fold").agg(*[c for mdl in MODELS for c in metric_columns("y", f"{mdl}_pred", mdl)])
-    fw = val_rows.groupBy("fold").agg(F.min("val_start").alias("val_start"), F.max("val_end").alias("val_end"))
-    return m.join(fw, "fold").withColumn("target", F.lit(target))
+            frame = fn(None, frame).withColumnRenamed("pred", name)
+        pred = F.col(name).cast("double")
+        frame = frame.withColumn(name, F.when(pred.isNotNull(), F.greatest(pred, F.lit(0.0))))
+    frame = frame.withColumn("ensemble_pred", (F.col("xgb_pred") + F.col("lstm_pred")) / 2.0)
+    return frame.groupBy("fold").agg(
+        F.min("val_start").alias("val_start"),
+        F.max("val_end").alias("val_end"),
+        *[c for mdl in MODELS for c in metric_columns("__y", f"{mdl}_pred", mdl)],
+    ).withColumn("target", F.lit(target))
 
 
 # ------------------------------------------------------------------ models

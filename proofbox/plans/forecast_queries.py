@@ -79,7 +79,7 @@ def q_sequence_samples(spark, d):
 def _standin(col: str):
     @fc.no_fit
     def fn(train: DataFrame, val: DataFrame) -> DataFrame:
-        return val.select("fold", "product", "date", F.coalesce(F.col(col), F.lit(0.0)).alias("pred"))
+        return val.withColumn("pred", F.coalesce(F.col(col), F.lit(0.0)))
 
     return fn
 
@@ -102,7 +102,9 @@ def q_backtest_report(spark, d):
 
 def q_backtest_models(spark, d):
     """I5 + I6 + I7 (rows-only): boosted trees and the sequence-based linear model per fold."""
-    f = features(spark, d)
+    # the panel is read by every fit; cut its lineage once in the shared checkpoint folder
+    # (it is the daily-sized feature table: dates x products, independent of ledger volume)
+    f = features(spark, d).checkpoint(eager=True)
     samples = fc.sequence_samples(f, "sold_qty", 14)
 
     def primary(train, val):
