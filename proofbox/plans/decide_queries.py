@@ -183,3 +183,91 @@ ORACLE = {
     ),
     "forecast_explain": with_ctes(_rec_ctes(), EXPLAIN_SELECT),
 }
+
+
+# ------------------------------------------------------------------ batch forecast
+
+from proofbox.operators import serving as sv  # noqa: E402
+from proofbox.sources import fixtures as fx  # noqa: E402
+
+
+def q_forecast_requests(spark, sf_dir):
+    """I10 with the stand-in forecasters, for requests on the 7 days after the panel."""
+    d = daily(spark, sf_dir)
+    req = fx.forecast_requests(d)
+    out = sv.forecast(
+        req, d,
+        lambda f: F.col("sold_rolling_mean_7"), lambda f: F.col("sold_same_dow_mean_4"),
+        lambda f: F.col("waste_rolling_mean_7"), lambda f: F.col("waste_same_dow_mean_4"),
+    )
+    return round_doubles(out.drop("prompt_text"))
+
+
+QUERIES["forecast_requests"] = q_forecast_requests
+
+_H = "partition by product order by date"
+_REQ_CTES = [
+    (
+        "hstate",
+        f"""select product, date,
+  avg(sold_qty) over ({_H} rows between 6 preceding and current row) as sp,
+  avg(waste_qty) over ({_H} rows between 6 preceding and current row) as wp,
+  """
+        + ",\n  ".join(
+            "("
+            + " + ".join(f"coalesce(lag({q}_qty, {7 * k - 1}) over ({_H}), 0)" for k in range(1, 5))
+            + ") / nullif("
+            + " + ".join(f"cast(lag({q}_qty, {7 * k - 1}) over ({_H}) is not null as integer)" for k in range(1, 5))
+            + f", 0) as {q[0]}c"
+            for q in ("sold", "waste")
+        )
+        + "\nfrom daily",
+    ),
+    (
+        "req",
+        """select product || ':' || strftime(d, '%Y-%m-%d') as request_id, product, d as date,
+  case when t < 0 then 'Snow' when dayno % 10 < 3 then 'Rainy' when dayno % 10 < 6 then 'Cloudy' else 'Sunny' end as weather,
+  t as temp_avg
+from (select product, d, dayno, cast(((dayno * 7) % 41) - 8 + 0.5 * (dayno % 3) as double) as t
+      from (select product, d, (d - date '1995-01-01') as dayno
+            from (select distinct product from daily),
+                 (select cast((select max(date) from daily) + cast(k as integer) as date) as d from range(1, 8) r(k))))""",
+    ),
+    (
+        "req_state",
+        """select r.*, h.sp as sold_primary, h.sc as sold_challenger, h.wp as waste_primary, h.wc as waste_challenger,
+  h.product is not null as has_history
+from req r left join (
+  select r2.request_id, arg_max(h2.date, h2.date) as hd from req r2 join hstate h2 on r2.product = h2.product and h2.date < r2.date
+  group by r2.request_id) m on r.request_id = m.request_id
+left join hstate h on h.product = r.product and h.date = m.hd""",
+    ),
+]
+
+
+def _forecast_requests_sql() -> str:
+    ctes = list(LEDGER_CTES) + [DAILY_CTE] + _REQ_CTES + [
+        _ens_cte("es", "sold_qty", "sold_primary", "sold_challenger", src="req_state"),
+        (
+            "es2",
+            "select request_id, product, date, weather, temp_avg, has_history, waste_primary, waste_challenger, "
+            "final_prediction as sold_final, anomaly_flag as sold_anom, gap_ratio as sold_gap, selected_strategy as sold_strategy from es",
+        ),
+        _ens_cte("ew", "waste_qty", "waste_primary", "waste_challenger", src="es2"),
+        (
+            "rec",
+            """select request_id, product, date, weather, temp_avg, sold_final as predicted_sold_qty, final_prediction as predicted_waste_qty,
+  greatest(coalesce(sold_final, 0.0) + coalesce(final_prediction, 0.0), 0.0) as recommended_made_qty,
+  (sold_anom or anomaly_flag) as anomaly_flag, sold_strategy, selected_strategy as waste_strategy from ew""",
+        ),
+    ]
+    sel = EXPLAIN_SELECT.split(" as prompt_text")[0]
+    sel = sel.rsplit(",\n  concat('Product: '", 1)[0]
+    sel = sel.replace("select product, date as target_date,", "select request_id, product, date as target_date, weather as forecast_weather, "
+                      "round(temp_avg, 6) as forecast_temp, round(predicted_sold_qty, 6) as predicted_sold_qty, "
+                      "round(predicted_waste_qty, 6) as predicted_waste_qty, round(recommended_made_qty, 6) as recommended_made_qty, "
+                      "anomaly_flag, sold_strategy, waste_strategy,")
+    return with_ctes(ctes, sel + "\nfrom rec")
+
+
+ORACLE["forecast_requests"] = _forecast_requests_sql()

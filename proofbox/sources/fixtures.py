@@ -38,9 +38,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(returned, -F.col("l_extendedprice")).otherwise(F.col("l_extendedprice")).cast("decimal(18,2)").alias("sales"),
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line_ord"),
     )
-    dayno = _dayno(F.col("date"))
-    temp = ((dayno * 7) % 41 - 8 + F.lit(0.5) * (dayno % 3)).cast("double")
-    with_temp = base.withColumn("temp_avg", temp)
+    with_temp = base.withColumn("temp_avg", temperature_of(F.col("date")))
     t = F.col("temp_avg")
     return with_temp.select(
         "date",
@@ -50,15 +48,39 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         "temp_avg",
         (t + 5).alias("temp_max"),
         (t - 5).alias("temp_min"),
-        F.when(t < 0, "Snow")
-        .when(dayno % 10 < 3, "Rainy")
-        .when(dayno % 10 < 6, "Cloudy")
-        .otherwise("Sunny")
-        .alias("weather"),
+        weather_of(F.col("date"), t).alias("weather"),
         "line_ord",
     )
 
 
+def temperature_of(d: Column) -> Column:
+    """The fixture's daily mean temperature: a fixed rule on the day number."""
+    dayno = _dayno(d)
+    return ((dayno * 7) % 41 - 8 + F.lit(0.5) * (dayno % 3)).cast("double")
+
+
+def weather_of(d: Column, temp: Column) -> Column:
+    dayno = _dayno(d)
+    return F.when(temp < 0, "Snow").when(dayno % 10 < 3, "Rainy").when(dayno % 10 < 6, "Cloudy").otherwise("Sunny")
+
+
+def forecast_requests(daily: DataFrame, horizon: int = 7) -> DataFrame:
+    """Requests: every product x the ``horizon`` days after the panel's last day,
+    with that day's weather and temperature from the fixture's rule."""
+    last = daily.select(F.max("date")).scalar()
+    p = daily.select("product").distinct()
+    r = p.select("product", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("k"))
+    d = F.date_add(last, F.col("k"))
+    t = temperature_of(d)
+    return r.select(
+        F.concat_ws(":", "product", F.date_format(d, "yyyy-MM-dd")).alias("request_id"),
+        "product",
+        F.date_format(d, "yyyy-MM-dd").alias("target_date"),
+        weather_of(d, t).alias("forecast_weather"),
+        t.alias("forecast_temp"),
+    )
+
+
 def raw_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger as the point-of-sale export writes it: Korean headers, text fields.
 
@@ -92,9 +114,6 @@ def raw_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- shop side
 
-CATEGORY_BY_MOD4 = {0: "HARD", 1: "SOFT", 2: "ALL"}  # 3 -> null
-
-
 def shop_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice", "p_size")
     m = F.col("p_partkey") % 4
