@@ -45,12 +45,7 @@ def next_day_state(daily: DataFrame) -> DataFrame:
             fields.append(F.avg(f"{q}_qty").over(w.rowsBetween(-(n - 1), 0)).alias(f"{q}_rolling_mean_{n}"))
     for q in QTY:
         fields.append(F.stddev_samp(f"{q}_qty").over(w.rowsBetween(-6, 0)).alias(f"{q}_rolling_std_7"))
-    dow = {q: [_lag_or_self(f"{q}_qty", 7 * k - 1, w) for k in range(1, 9)] for q in QTY}
-    for k in SAME_DOW_WEEKS:
-        for q in QTY:
-            fields.append(mean_present(dow[q][:k]).alias(f"{q}_same_dow_mean_{k}"))
-    for q in QTY:
-        fields.append(pop_std_present(dow[q]).alias(f"{q}_same_dow_std_8"))
+    dow_lags = [_lag_or_self(f"{q}_qty", 7 * k - 1, w).alias(f"__{q}_d{k}") for q in QTY for k in range(1, 9)]
     fields += [
         st.alias("sell_through_rate_lag_1"), wr.alias("waste_rate_lag_1"),
         F.lag(st, 6).over(w).alias("sell_through_rate_lag_7"), F.lag(wr, 6).over(w).alias("waste_rate_lag_7"),
@@ -61,7 +56,18 @@ def next_day_state(daily: DataFrame) -> DataFrame:
         F.col("temp_avg").alias("temp_prev"),
         F.avg("temp_avg").over(w.rowsBetween(-6, 0)).alias("temp_prev_mean_7"),
     ]
-    return daily.select("product", "date", F.struct(*fields).alias("state"))
+    # stage 1: every window output as a named column (one Window operator)
+    stage1 = daily.select("product", "date", *fields, *dow_lags)
+    # stage 2: same-weekday statistics as a projection over the named lags
+    stats = []
+    for k in SAME_DOW_WEEKS:
+        for q in QTY:
+            stats.append(mean_present([F.col(f"__{q}_d{i}") for i in range(1, k + 1)]).alias(f"{q}_same_dow_mean_{k}"))
+    for q in QTY:
+        stats.append(pop_std_present([F.col(f"__{q}_d{i}") for i in range(1, 9)]).alias(f"{q}_same_dow_std_8"))
+    names = [c for c in stage1.columns if c not in ("product", "date") and not c.startswith("__")]
+    stage2 = stage1.select("product", "date", *names, *stats)
+    return stage2.select("product", "date", F.struct(*[c for c in stage2.columns if c not in ("product", "date")]).alias("state"))
 
 
 def request_features(requests: DataFrame, daily: DataFrame) -> DataFrame:
