@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from proofbox.plans import decide_queries, forecast_queries, ledger_queries, legacy_queries, lifecycle_queries, shop_queries
+from proofbox.plans import decide_queries, forecast_queries, ledger_queries, legacy_queries, lifecycle_queries, shop_queries, stream_queries
 
-_MODULES = [ledger_queries, decide_queries, legacy_queries, shop_queries, forecast_queries, lifecycle_queries]
+_MODULES = [ledger_queries, decide_queries, legacy_queries, shop_queries, forecast_queries, lifecycle_queries, stream_queries]
 
 
 def all_queries():

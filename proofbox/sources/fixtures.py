@@ -26,10 +26,15 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     Columns: date, product, qty, sales decimal(18,2), temp_avg, temp_max, temp_min,
     weather, line_ord (input order, used by first-valid aggregates).
     """
-    li = read_table(spark, sf_dir, "lineitem").select(
+    return ledger_from(read_table(spark, sf_dir, "lineitem"), read_table(spark, sf_dir, "part"))
+
+
+def ledger_from(lineitem: DataFrame, part_table: DataFrame) -> DataFrame:
+    """The ledger rule over any lineitem frame (batch or streaming) and the part table."""
+    li = lineitem.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate"
     )
-    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_type")
+    part = part_table.select("p_partkey", "p_type")
     returned = F.col("l_returnflag") == "R"
     base = li.join(part, li.l_partkey == part.p_partkey, "inner").select(
         F.col("l_shipdate").cast("date").alias("date"),
@@ -187,7 +192,12 @@ ACTION_OF_EVENT = {
 
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Action log keyed by user: (key, ts, seq, action, amount)."""
-    ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    return actions_from(read_table(spark, sf_dir, "events"))
+
+
+def actions_from(events: DataFrame) -> DataFrame:
+    """The action mapping over any events frame (batch or streaming)."""
+    ev = events.select("event_id", "ts", "user_id", "event_type", "value")
     mapping = F.create_map(*[x for kv in ACTION_OF_EVENT.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
     return ev.select(
         F.col("user_id").alias("key"),
