@@ -146,12 +146,27 @@ def design_columns(df: DataFrame) -> DataFrame:
 
 
 def sufficient_stats(x: DataFrame) -> DataFrame:
-    """n, sum x, sum x x^T (upper triangle), sum y, sum x y, nulls in temp: one partial aggregate."""
+    """ONE partial aggregate per product over the design rows: row count and
+    waste totals over every row, and over rows with qty > 0 the regression's
+    n, sum x, sum x x^T (upper triangle), sum y, sum x y and null temperatures."""
     k = len(REGRESSORS)
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum("qty").alias("sy"), F.count_if(F.col("temp").isNull()).alias("n_null_temp")]
-    aggs += [F.sum(r).alias(f"s_{i}") for i, r in enumerate(REGRESSORS)]
-    aggs += [F.sum(F.col(REGRESSORS[i]) * F.col("qty")).alias(f"sy_{i}") for i in range(k)]
-    aggs += [F.sum(F.col(REGRESSORS[i]) * F.col(REGRESSORS[j])).alias(f"ss_{i}_{j}") for i in range(k) for j in range(i, k)]
+    q = F.col("qty")
+    pos = q > 0
+
+    def psum(c: Column) -> Column:
+        return F.sum(F.when(pos, c))
+
+    aggs = [
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(F.when(pos, q).otherwise(F.lit(0.0))).alias("total_sold"),
+        F.sum(F.when(q < 0, -q).otherwise(F.lit(0.0))).alias("total_waste"),
+        F.count_if(pos).alias("n"),
+        psum(q).alias("sy"),
+        F.count_if(pos & F.col("temp").isNull()).alias("n_null_temp"),
+    ]
+    aggs += [psum(F.col(r)).alias(f"s_{i}") for i, r in enumerate(REGRESSORS)]
+    aggs += [psum(F.col(REGRESSORS[i]) * q).alias(f"sy_{i}") for i in range(k)]
+    aggs += [psum(F.col(REGRESSORS[i]) * F.col(REGRESSORS[j])).alias(f"ss_{i}_{j}") for i in range(k) for j in range(i, k)]
     return x.groupBy("product").agg(*aggs)
 
 
@@ -162,28 +177,35 @@ FIT_SCHEMA = T.StructType(
         T.StructField("base_bias", T.DoubleType()),
         T.StructField("weights", T.MapType(T.StringType(), T.DoubleType())),
         T.StructField("fit_status", T.StringType()),
+        T.StructField("waste_risk", T.DoubleType()),
+        T.StructField("avg_made", T.DoubleType()),
     ]
 )
 
 
-def _round2(v: float) -> float:
+def _round(v: float, dp: int) -> float:
     # half-even on the shortest decimal form, as bround_dec does JVM-side
     from decimal import ROUND_HALF_EVEN, Decimal
 
-    return float(Decimal(repr(float(v))).quantize(Decimal("0.01"), rounding=ROUND_HALF_EVEN))
+    return float(Decimal(repr(float(v))).quantize(Decimal(1).scaleb(-dp), rounding=ROUND_HALF_EVEN))
 
 
 def solve_stats(stats: pd.DataFrame) -> pd.DataFrame:
-    """Minimum-norm least squares with intercept from one row of sums per product."""
+    """Minimum-norm least squares with intercept from one row of sums per product,
+    plus the waste statistics (D6) from the same row."""
     k = len(REGRESSORS)
     out = []
     for _, r in stats.iterrows():
         n = int(r["n"])
+        rows = int(r["rows"])
+        waste_risk = _round(float(r["total_waste"]) / rows, 1)
+        avg_made = _round((float(r["total_sold"]) + float(r["total_waste"])) / rows, 1)
+        tail = (waste_risk, avg_made)
         if n <= 2:
-            out.append((r["product"], n, 0.0, {}, "too_few_rows"))
+            out.append((r["product"], n, 0.0, {}, "too_few_rows", *tail))
             continue
         if int(r["n_null_temp"]) > 0:
-            out.append((r["product"], n, float(r["sy"]) / n, {}, "fit_failed"))
+            out.append((r["product"], n, float(r["sy"]) / n, {}, "fit_failed", *tail))
             continue
         s = np.array([r[f"s_{i}"] for i in range(k)], dtype=float)
         sxy = np.array([r[f"sy_{i}"] for i in range(k)], dtype=float)
@@ -196,33 +218,36 @@ def solve_stats(stats: pd.DataFrame) -> pd.DataFrame:
         cxy = sxy - n * xbar * ybar
         coef = np.linalg.pinv(cxx, rcond=1e-10, hermitian=True) @ cxy
         intercept = ybar - float(xbar @ coef)
-        weights = {REGRESSORS[i]: _round2(coef[i]) for i in range(k)}
-        out.append((r["product"], n, _round2(intercept), weights, "ok"))
-    return pd.DataFrame(out, columns=["product", "n_fit_rows", "base_bias", "weights", "fit_status"])
+        weights = {REGRESSORS[i]: _round(coef[i], 2) for i in range(k)}
+        out.append((r["product"], n, _round(intercept, 2), weights, "ok", *tail))
+    return pd.DataFrame(out, columns=FIT_SCHEMA.fieldNames())
 
 
 def fit_demand(df: DataFrame, min_rows: int = 2) -> DataFrame:
-    """Per product, least squares of qty on the regressors over rows with qty > 0.
+    """D7 (+ D6): per product, least squares of qty on the regressors over rows
+    with qty > 0, and the waste statistics, from ONE aggregate pass.
 
     Products with fewer than ``min_rows`` ledger rows are skipped; <= 2 positive
     rows -> base 0 and no weights; a null temperature makes the fit fail ->
     base = mean qty, no weights (the legacy behaviour). Coefficients 2 dp.
+    The Python step sees one row per product (``mapInPandas`` over the
+    aggregate's output, no extra shuffle).
     """
-    x = df.dropna(subset=["date"])
-    keep = x.groupBy("product").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") >= min_rows).select("product")
-    stats = sufficient_stats(design_columns(x.filter(F.col("qty") > 0)))
-    stats = keep.join(stats, "product", "left").na.fill({"n": 0})
+    stats = sufficient_stats(design_columns(df.dropna(subset=["date"]))).filter(F.col("rows") >= min_rows)
 
     def run(it):
         for pdf in it:
-            yield solve_stats(pdf.fillna({c: 0.0 for c in pdf.columns if c not in ("product",)}))
+            yield solve_stats(pdf.fillna({c: 0.0 for c in pdf.columns if c != "product"}))
 
     return stats.mapInPandas(run, FIT_SCHEMA)
 
 
-def coefficients(fit: DataFrame, waste: DataFrame) -> DataFrame:
+def coefficients(fit: DataFrame, waste: DataFrame | None = None) -> DataFrame:
     """Coefficient table: product, base_bias, weights, waste_risk, avg_made."""
-    return fit.join(waste.select("product", "avg_waste", "avg_made"), "product", "left").select(
+    if waste is None and "waste_risk" in fit.columns:
+        return fit.select("product", "base_bias", "weights", "waste_risk", "avg_made")
+    base = fit.drop("waste_risk", "avg_made")
+    return base.join(waste.select("product", "avg_waste", "avg_made"), "product", "left").select(
         "product",
         "base_bias",
         "weights",

@@ -28,9 +28,15 @@ def legacy(spark, sf_dir) -> DataFrame:
 
 
 def legacy_parsed(spark, sf_dir) -> DataFrame:
+    """B4 on the exported text dates (strict compact format first, then the fallback list)."""
     return dm.parse_date_or_fallback(legacy(spark, sf_dir)).dropna(subset=["date"])
 
 
+def legacy_typed(spark, sf_dir) -> DataFrame:
+    """The same five legacy columns with the date kept typed (no text round trip)."""
+    return dm.legacy_frame(fx.ledger(spark, sf_dir))
+
+
 def legacy_mixed(spark, sf_dir) -> DataFrame:
     """The defect-carrying export: only compact-format dates survive the strict parse."""
     raw = dl.normalise_columns(fx.raw_ledger(spark, sf_dir))
@@ -47,15 +53,15 @@ def q_seasonality_mixed(spark, sf_dir):
 
 
 def q_global_means(spark, sf_dir):
-    return round_doubles(dm.global_means(legacy_parsed(spark, sf_dir)))
+    return round_doubles(dm.global_means(legacy_typed(spark, sf_dir)))
 
 
 def q_weekday_means(spark, sf_dir):
-    return round_doubles(dm.weekday_means(legacy_parsed(spark, sf_dir)))
+    return round_doubles(dm.weekday_means(legacy_typed(spark, sf_dir)))
 
 
 def q_waste_stats(spark, sf_dir):
-    return round_doubles(dm.waste_stats(legacy_parsed(spark, sf_dir)))
+    return round_doubles(dm.waste_stats(legacy_typed(spark, sf_dir)))
 
 
 def q_health_report(spark, sf_dir):
@@ -70,17 +76,23 @@ def q_health_examples(spark, sf_dir):
 
 def standin_coefficients(x: DataFrame) -> DataFrame:
     """Aggregation-only coefficients (test input for the scoring oracle)."""
-    pos = x.filter(F.col("qty") > 0)
     wd = F.weekday("date")
     rain = rain_flag(F.coalesce(F.col("weather"), F.lit("nan"))) == 1
     q = F.col("qty")
-    g = pos.groupBy("product").agg(
-        F.avg(q).alias("m"),
-        *[F.avg(F.when(wd == i, q)).alias(f"d{i}") for i in range(7)],
-        F.avg(F.when(rain, q)).alias("mr"),
-        F.avg(F.when(~rain, q)).alias("mn"),
-        F.regr_slope(q, F.col("temp")).alias("slope"),
-    )
+    pos = q > 0
+    pq = F.when(pos, q)
+    # one pass: positive-row statistics and the waste statistics together
+    g = x.groupBy("product").agg(
+        F.avg(pq).alias("m"),
+        *[F.avg(F.when(pos & (wd == i), q)).alias(f"d{i}") for i in range(7)],
+        F.avg(F.when(pos & rain, q)).alias("mr"),
+        F.avg(F.when(pos & ~rain, q)).alias("mn"),
+        F.regr_slope(pq, F.when(pos, F.col("temp"))).alias("slope"),
+        F.count_if(pos).alias("n_pos"),
+        F.sum(F.when(pos, q).otherwise(F.lit(0.0))).alias("total_sold"),
+        F.sum(F.when(q < 0, -q).otherwise(F.lit(0.0))).alias("total_waste"),
+        F.count(F.lit(1)).alias("row_count"),
+    ).filter(F.col("n_pos") > 0)
     keys, vals = [], []
     for i, d in enumerate(WEEKDAYS):
         keys.append(F.lit(f"day_{d}"))
@@ -88,8 +100,15 @@ def standin_coefficients(x: DataFrame) -> DataFrame:
     keys += [F.lit("is_rain"), F.lit("temp")]
     vals += [dm.bround_dec(F.col("mr") - F.col("mn"), 2), dm.bround_dec("slope", 2)]
     weights = F.map_filter(F.map_from_arrays(F.array(*keys), F.array(*vals)), lambda k, v: v.isNotNull())
-    fit = g.select("product", dm.bround_dec("m", 2).alias("base_bias"), weights.alias("weights"))
-    return dm.coefficients(fit, dm.waste_stats(x))
+    has_waste = F.col("row_count") >= 2
+    return g.select(
+        "product",
+        dm.bround_dec("m", 2).alias("base_bias"),
+        weights.alias("weights"),
+        F.when(has_waste, dm.bround_dec(F.col("total_waste") / F.col("row_count"), 1)).otherwise(F.lit(0.0)).alias("waste_risk"),
+        F.when(has_waste, dm.bround_dec((F.col("total_sold") + F.col("total_waste")) / F.col("row_count"), 1))
+        .otherwise(F.lit(0.0)).alias("avg_made"),
+    )
 
 
 def _flat_coeffs(c: DataFrame) -> DataFrame:
@@ -102,7 +121,7 @@ def _flat_coeffs(c: DataFrame) -> DataFrame:
 
 def q_coefficients_json(spark, sf_dir):
     """A9 -> A8 round trip: keyed JSON lines written by Spark, parsed back."""
-    text = dm.to_keyed_json(standin_coefficients(legacy_parsed(spark, sf_dir)))
+    text = dm.to_keyed_json(standin_coefficients(legacy_typed(spark, sf_dir)))
     return round_doubles(_flat_coeffs(dm.parse_coefficients(text)))
 
 
@@ -120,23 +139,22 @@ SCORE_COLS = [
 
 def q_score_scenarios(spark, sf_dir):
     """C5 + I2 + I3 + I4 with the aggregation-derived coefficients."""
-    coeffs = standin_coefficients(legacy_parsed(spark, sf_dir))
-    products = _scenarios(spark, sf_dir).select("product").distinct()
-    scored = dm.score_scenarios(products, coeffs, _scenarios(spark, sf_dir))
+    coeffs = standin_coefficients(legacy_typed(spark, sf_dir))
+    scen = _scenarios(spark, sf_dir)
+    scored = dm.score_scenarios(scen.select("product").distinct(), coeffs, scen)
     return round_doubles(scored.select(*SCORE_COLS))
 
 
 def q_demand_fit(spark, sf_dir):
-    """D7 (rows-only): least-squares coefficients per product."""
-    return round_doubles(_flat_coeffs(dm.coefficients(dm.fit_demand(legacy_parsed(spark, sf_dir)), dm.waste_stats(legacy_parsed(spark, sf_dir)))))
+    """D7 + D6 (rows-only): least-squares coefficients and waste statistics per product."""
+    return round_doubles(_flat_coeffs(dm.coefficients(dm.fit_demand(legacy_typed(spark, sf_dir)))))
 
 
 def q_demand_scores(spark, sf_dir):
     """D7 -> I4 (rows-only): fitted coefficients scored on every observed day."""
-    x = legacy_parsed(spark, sf_dir)
-    coeffs = dm.coefficients(dm.fit_demand(x), dm.waste_stats(x))
-    products = _scenarios(spark, sf_dir).select("product").distinct()
-    return round_doubles(dm.score_scenarios(products, coeffs, _scenarios(spark, sf_dir)).select(*SCORE_COLS))
+    coeffs = dm.coefficients(dm.fit_demand(legacy_typed(spark, sf_dir)))
+    scen = _scenarios(spark, sf_dir)
+    return round_doubles(dm.score_scenarios(scen.select("product").distinct(), coeffs, scen).select(*SCORE_COLS))
 
 
 QUERIES = {
