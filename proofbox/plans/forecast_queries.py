@@ -85,7 +85,9 @@ def _standin(col: str):
 
 
 def backtest_standins(spark, d) -> DataFrame:
-    f = features(spark, d)
+    # every fold and target reads the panel: cut its lineage once in the shared checkpoint
+    # folder (the daily-sized feature table, dates x products, independent of ledger volume)
+    f = features(spark, d).checkpoint(eager=True)
     out = []
     for q in ("sold", "waste"):
         out.append(fc.backtest(f, f"{q}_qty", _standin(f"{q}_rolling_mean_7"), _standin(f"{q}_same_dow_mean_4"), N_SPLITS, WINDOW))
