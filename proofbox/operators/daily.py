@@ -79,6 +79,8 @@ def clean_ledger(df: DataFrame, date_formats: Sequence[str] | None = None) -> Da
     quantities and sales that do not parse become 0.
     """
     df = ensure_columns(normalise_columns(df))
+    if "line_ord" in df.columns and dict(df.dtypes)["line_ord"] == "string":
+        df = df.withColumn("line_ord", F.col("line_ord").try_cast("long"))  # input order read back from text
     date = parse_date("date", date_formats) if date_formats else parse_date("date")
     sales = F.col("sales")
     return df.withColumns(
@@ -199,6 +201,11 @@ def derive_daily(agg: DataFrame) -> DataFrame:
     )
 
 
+def union_panels(a: DataFrame, b: DataFrame) -> DataFrame:
+    """G1: append two panels with the same columns (matched by name)."""
+    return a.unionByName(b)
+
+
 def order_panel(df: DataFrame, by: Sequence[str] = ("date", "product")) -> DataFrame:
     """a total order for sinks (distributed range sort)."""
     return df.orderBy(*by)

@@ -29,6 +29,20 @@ def q_daily_from_raw(spark, sf_dir):
     return round_doubles(dl.daily_table(dl.clean_ledger(raw)))
 
 
+def q_daily_from_csv(spark, sf_dir):
+    """A1 + A2-A3 + B1-B2 through a real CSV round trip: the text export is written as CSV
+    under the shared checkpoint folder, read back with headers and cleaned."""
+    import uuid
+
+    from proofbox.session import scratch_path
+    from proofbox.sources.ledger_io import read_ledger, write_ledger_csv
+
+    path = scratch_path(spark, f"csv-ledger-{uuid.uuid4().hex[:12]}")
+    write_ledger_csv(fx.raw_ledger(spark, sf_dir), path)
+    raw = read_ledger(spark, path)
+    return round_doubles(dl.daily_table(dl.clean_ledger(raw)))
+
+
 def features(spark, sf_dir) -> DataFrame:
     return ft.build_features(daily(spark, sf_dir))
 
@@ -83,6 +97,7 @@ def q_calendar(spark, sf_dir):
 QUERIES = {
     "daily_table": q_daily_table,
     "daily_from_raw": q_daily_from_raw,
+    "daily_from_csv": q_daily_from_csv,
     "features": q_features,
     "feature_lags": q_feature_lags,
     "feature_rolling_mean": q_feature_rolling_mean,
@@ -252,6 +267,7 @@ WEEKDAY_SQL = ", ".join(
 ORACLE = {
     "daily_table": _daily_sql(LEDGER_CTES),
     "daily_from_raw": _raw_daily_sql(),
+    "daily_from_csv": _raw_daily_sql(),
     "features": features_sql(),
     "feature_lags": _subset(_names(_lag_sql())),
     "feature_rolling_mean": _subset(_names(_rm_sql())),
