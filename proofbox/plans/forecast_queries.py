@@ -234,8 +234,8 @@ from s where n = 14""",
         _backtest_sql()
         + [("rep", "select target, avg(xgb_wape) as x, avg(lstm_wape) as l, avg(ensemble_wape) as e from bt group by target")],
         """select target, round(x, 6) as xgb_mean_wape, round(l, 6) as lstm_mean_wape, round(e, 6) as ensemble_mean_wape,
-  case when e < x and e < l then 0.5 when l < x then 0.1 else 1.0 end as weight_primary,
-  case when e < x and e < l then 0.5 when l < x then 0.9 else 0.0 end as weight_challenger
+  cast(case when e < x and e < l then 0.5 when l < x then 0.1 else 1.0 end as double) as weight_primary,
+  cast(case when e < x and e < l then 0.5 when l < x then 0.9 else 0.0 end as double) as weight_challenger
 from rep""",
     ),
 }

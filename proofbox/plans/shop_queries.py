@@ -166,7 +166,7 @@ ORACLE = {
     "order_totals": with_ctes(
         S,
         """select i.order_id, cast(sum(p.price * i.quantity) as decimal(38,2)) as total_amount, count(*) as n_items,
-  sum(i.quantity) as n_units
+  cast(sum(i.quantity) as bigint) as n_units
 from shop_items i join shop_products p on i.product_id = p.product_id group by i.order_id""",
     ),
     "customer_points": with_ctes(
