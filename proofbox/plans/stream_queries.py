@@ -43,6 +43,18 @@ def q_stream_status_counts(spark, d):
     return sj.run_available(sj.stream_status_counts(o), "status", mode="update", keys=["status"])
 
 
+def q_stream_stock_position(spark, d):
+    """Stock per product kept current from a stream of order lines (static orders
+    give each line's status); the opening stock and badge are applied on read."""
+    from proofbox.functions.exprs import stock_badge
+
+    items = fx.shop_items_from(sj.table_stream(spark, d, "lineitem"))
+    deltas = sj.run_available(sj.stream_stock_deltas(items, fx.shop_orders(spark, d)), "stock", mode="update", keys=["product_id"])
+    products = fx.shop_products(spark, d).select("product_id", "stock")
+    pos = (F.col("stock") + F.coalesce("net_delta", F.lit(0))).cast("long")
+    return products.join(deltas, "product_id", "left").select("product_id", pos.alias("stock"), stock_badge(pos).alias("badge"))
+
+
 def q_stream_forecast(spark, d):
     daily = ledger_queries.daily(spark, d)
     req_static = fx.forecast_requests(daily)
@@ -59,6 +71,7 @@ QUERIES = {
     "stream_lifecycle": q_stream_lifecycle,
     "stream_admission": q_stream_admission,
     "stream_status_counts": q_stream_status_counts,
+    "stream_stock_position": q_stream_stock_position,
     "stream_forecast": q_stream_forecast,
 }
 
@@ -67,5 +80,6 @@ ORACLE = {
     "stream_lifecycle": lifecycle_queries.ORACLE["order_lifecycle"],
     "stream_admission": lifecycle_queries.ORACLE["point_admission"],
     "stream_status_counts": shop_queries.ORACLE["status_counts"],
+    "stream_stock_position": shop_queries.ORACLE["stock_position"],
     "stream_forecast": decide_queries.ORACLE["forecast_requests"],
 }

@@ -168,7 +168,12 @@ def shop_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shop_items(spark: SparkSession, sf_dir: str, with_orphans: bool = False) -> DataFrame:
-    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    return shop_items_from(read_table(spark, sf_dir, "lineitem"), with_orphans)
+
+
+def shop_items_from(lineitem: DataFrame, with_orphans: bool = False) -> DataFrame:
+    """Order lines from any lineitem frame (batch or streaming)."""
+    li = lineitem.select("l_orderkey", "l_partkey", "l_quantity")
     pid = F.col("l_partkey")
     if with_orphans:
         pid = F.when(F.col("l_orderkey") % 50 == 0, pid + 10000000).otherwise(pid)

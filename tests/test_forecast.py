@@ -140,3 +140,26 @@ def test_seasonality_and_scoring(spark):
     r = out["RyeBread"]
     assert r.predicted == 10.0 + 2.0 - 1.5 + 3.0 and r.recommended == 14 and r.status == "Heat Spike" and r.color == "green"
     assert out["Unknown"].status == "No Data" and out["Unknown"].recommended == 0
+
+
+def test_scaler_population_std_and_apply(spark):
+    df = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0)], "a double, b double")
+    stats = fc.fit_scaler(df, ["a", "b"])
+    r = stats.first()
+    assert r.a__mean == 2.0 and r.a__std == 1.0 and r.b__std == 1.0  # population std; constant column -> 1
+    out = fc.apply_scaler(df, stats, ["a", "b"], suffix="_z").orderBy("a").collect()
+    assert [x.a_z for x in out] == [-1.0, 1.0] and [x.b_z for x in out] == [0.0, 0.0]
+
+
+def test_context_samples_keep_every_validation_day(spark):
+    rows = []
+    start = dt.date(2023, 1, 1)
+    for i in range(40):
+        if i == 30:
+            continue  # a gap: calendar-day context would lose validation rows
+        rows.append((start + dt.timedelta(days=i), "A", "Sunny", float(i), 0.0, float(i), 5.0, 0.1, 0.2, 0.3, 0.4))
+    df = spark.createDataFrame(rows, "date date, product string, weather string, sold_qty double, waste_qty double, made_qty double, "
+                               "temp_avg double, dow_sin double, dow_cos double, month_sin double, month_cos double")
+    folds = fc.fold_dates(df, 1, 7)
+    s = fc.with_context(fc.sequence_samples(df, "sold_qty", 14), folds)
+    assert s.count() == 7
