@@ -110,10 +110,15 @@ def apply_scaler(df: DataFrame, stats: DataFrame, cols: Sequence[str], suffix: s
 def fit_index(df: DataFrame, col: str) -> DataFrame:
     """Value -> 1..n in sorted order (0 is reserved for unknown).
 
-    Ranks the DISTINCT values only (a catalogue: products, weather kinds).
+    The distinct values are range-partitioned and sorted by Spark, then
+    numbered with ``zipWithIndex`` (per-partition counts + offsets), so no
+    single task ever ranks the whole catalogue.
     """
-    d = df.select(col).where(F.col(col).isNotNull()).distinct()
-    return d.select(col, F.dense_rank().over(Window.orderBy(col)).alias(f"{col}_idx"))
+    d = df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col)
+    from pyspark.sql.types import IntegerType, StructField, StructType
+
+    schema = StructType(list(d.schema.fields) + [StructField(f"{col}_idx", IntegerType(), False)])
+    return d.rdd.zipWithIndex().map(lambda t: (*t[0], t[1] + 1)).toDF(schema)
 
 
 def apply_index(df: DataFrame, index: DataFrame, col: str) -> DataFrame:
