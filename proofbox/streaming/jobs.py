@@ -86,9 +86,12 @@ def stream_daily(ledger: DataFrame, delay: str = "3 days") -> DataFrame:
     Run in update mode (every changed day is re-emitted) or append mode
     (only days the watermark has closed).
     """
+    # the 1-day tumbling window IS the ledger day: grouping by the day's timestamp (the
+    # watermarked column) keeps window state evictable without UTC-aligned window()
+    # boundaries, so the result does not depend on the session time zone
     df = dl.split_sign(dl.drop_null_keys(dl.ensure_columns(ledger))).withColumn("ts", F.col("date").cast("timestamp"))
     o = F.col("line_ord")
-    agg = df.withWatermark("ts", delay).groupBy(F.window("ts", "1 day").alias("w"), "product").agg(
+    agg = df.withWatermark("ts", delay).groupBy("ts", "product").agg(
         F.count("qty").cast("int").alias("source_row_count"),
         F.sum("is_positive").cast("int").alias("positive_row_count"),
         F.max("is_positive").cast("int").alias("has_positive_row"),
@@ -100,7 +103,7 @@ def stream_daily(ledger: DataFrame, delay: str = "3 days") -> DataFrame:
         F.sum("negative_sales").alias("raw_waste_value"),
         *[F.min_by(F.col(c), F.when(F.col(c).isNotNull(), o)).alias(c) for c in dl.WEATHER_COLUMNS],
     )
-    return dl.derive_daily(agg.withColumn("date", F.col("w.start").cast("date")).drop("w"))
+    return dl.derive_daily(agg.withColumn("date", F.col("ts").cast("date")).drop("ts"))
 
 
 # ------------------------------------------------------------------ J2 / J3: keyed state
