@@ -15,6 +15,7 @@ from proofbox.operators import forecast as fc
 from proofbox.plans.common import round_doubles
 from proofbox.plans.ledger_queries import daily, features, features_sql
 from proofbox.plans.sql_fixtures import DAILY_CTE, LEDGER_CTES, with_ctes
+from proofbox.session import checkpointed
 
 N_SPLITS, WINDOW = 3, 14
 
@@ -87,7 +88,7 @@ def _standin(col: str):
 def backtest_standins(spark, d) -> DataFrame:
     # every fold and target reads the panel: cut its lineage once in the shared checkpoint
     # folder (the daily-sized feature table, dates x products, independent of ledger volume)
-    f = features(spark, d).checkpoint(eager=True)
+    f = checkpointed(features(spark, d))
     out = []
     for q in ("sold", "waste"):
         out.append(fc.backtest(f, f"{q}_qty", _standin(f"{q}_rolling_mean_7"), _standin(f"{q}_same_dow_mean_4"), N_SPLITS, WINDOW))
@@ -106,7 +107,7 @@ def q_backtest_models(spark, d):
     """I5 + I6 + I7 (rows-only): boosted trees and the sequence-based linear model per fold."""
     # the panel is read by every fit; cut its lineage once in the shared checkpoint folder
     # (it is the daily-sized feature table: dates x products, independent of ledger volume)
-    f = features(spark, d).checkpoint(eager=True)
+    f = checkpointed(features(spark, d))
     samples = fc.sequence_samples(f, "sold_qty", 14)
 
     def primary(train, val):

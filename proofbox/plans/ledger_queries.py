@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from proofbox.functions.exprs import weekday_dummies, weekday_name
 from proofbox.operators import daily as dl

@@ -11,7 +11,6 @@ from proofbox.operators import lifecycle as lc
 from proofbox.plans import decide_queries, ledger_queries, lifecycle_queries, shop_queries
 from proofbox.plans.common import round_doubles
 from proofbox.sources import fixtures as fx
-from proofbox.sources.tables import table_path
 from proofbox.streaming import jobs as sj
 
 
@@ -31,7 +30,6 @@ def q_stream_admission(spark, d):
 
 
 def q_stream_status_counts(spark, d):
-    orders = fx.shop_orders(spark, d)
     stream = sj.table_stream(spark, d, "orders")
     # the same order rules applied to the streamed orders table
     o = stream.select(
@@ -39,7 +37,6 @@ def q_stream_status_counts(spark, d):
         F.when(F.col("o_orderkey") % 10 == 0, "CANCELLED").when(F.col("o_orderstatus") == "O", "PENDING")
         .when(F.col("o_orderstatus") == "P", "PROCESSING").otherwise("COMPLETED").alias("status"),
     )
-    del orders
     return sj.run_available(sj.stream_status_counts(o), "status", mode="update", keys=["status"])
 
 

@@ -3,7 +3,7 @@
 These are the inputs the operators expect (a signed point-of-sale ledger, a
 shop catalogue, orders and an action log), derived by Spark from the given
 tables so that every query's work grows with them. The rules are fixed so the
-DuckDB oracle can rebuild the same rows (see ``plans/oracle.py``).
+DuckDB oracle can rebuild the same rows (see ``plans/sql_fixtures.py``).
 """
 
 from __future__ import annotations
