@@ -162,7 +162,10 @@ def daily_table(ledger: DataFrame, ordinal: str | None = "line_ord") -> DataFram
         *[F.min_by(F.col(t), F.when(F.col(t).isNotNull(), o)).alias(t) for t in temps],
     )
     gross_t = dict(lvl1.dtypes)["gross"]
-    agg = lvl1.groupBy("date", "product").agg(
+    # the folded (daily-sized) rows are hash-partitioned by product: the second
+    # aggregation needs no exchange of its own, and the output already has the
+    # distribution every per-product window over the daily table requires
+    agg = lvl1.repartition("product").groupBy("date", "product").agg(
         F.sum("n").cast("int").alias("source_row_count"),
         F.sum("npos").cast("int").alias("positive_row_count"),
         (F.sum("npos") > 0).cast("int").alias("has_positive_row"),
