@@ -62,9 +62,9 @@ def next_day_state(daily: DataFrame) -> DataFrame:
     stats = []
     for k in SAME_DOW_WEEKS:
         for q in QTY:
-            stats.append(mean_present([F.col(f"__{q}_d{i}") for i in range(1, k + 1)]).alias(f"{q}_same_dow_mean_{k}"))
+            stats.append(mean_present([f"__{q}_d{i}" for i in range(1, k + 1)]).alias(f"{q}_same_dow_mean_{k}"))
     for q in QTY:
-        stats.append(pop_std_present([F.col(f"__{q}_d{i}") for i in range(1, 9)]).alias(f"{q}_same_dow_std_8"))
+        stats.append(pop_std_present([f"__{q}_d{i}" for i in range(1, 9)]).alias(f"{q}_same_dow_std_8"))
     names = [c for c in stage1.columns if c not in ("product", "date") and not c.startswith("__")]
     stage2 = stage1.select("product", "date", *names, *stats)
     return stage2.select("product", "date", F.struct(*[c for c in stage2.columns if c not in ("product", "date")]).alias("state"))

@@ -54,6 +54,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def checkpointed(df):
-    """Cut lineage by writing ``df`` to the shared checkpoint folder (reliable checkpoint, never local)."""
+    """Cut lineage by writing ``df`` to the shared checkpoint folder (reliable checkpoint, never local).
+
+    The frame is persisted while the checkpoint is written so the plan runs
+    once (a reliable checkpoint would otherwise recompute it), then released.
+    """
+    from pyspark import StorageLevel
+
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
