@@ -81,10 +81,12 @@ def run_available(stream: DataFrame, name: str, mode: str = "append", keys: Sequ
 def stream_daily(ledger: DataFrame, delay: str = "3 days") -> DataFrame:
     """The daily operational table over a ledger stream.
 
-    Event time is the ledger date; lines later than ``delay`` behind the
-    watermark are dropped. Aggregation state is one row per (day, product).
+    Event time is the ledger date. Lines within ``delay`` of the newest day
+    seen are always counted; once the watermark passes a day its state is
+    evicted (state stays bounded), and lines for it arriving later are not
+    guaranteed to count (Spark's watermark guarantee is one-directional).
     Run in update mode (every changed day is re-emitted) or append mode
-    (only days the watermark has closed).
+    (each day emitted once, when the watermark has closed it).
     """
     # the 1-day tumbling window IS the ledger day: grouping by the day's timestamp (the
     # watermarked column) keeps window state evictable without UTC-aligned window()
