@@ -89,7 +89,8 @@ def manual_name(phone: Column | str) -> Column:
 
 def new_customers(orders: DataFrame, customers: DataFrame, name: Column | None = None) -> DataFrame:
     """Phones seen in orders but unknown as customers -> new customers with 0 points."""
-    unknown = orders.select("phone").join(customers.select("phone"), "phone", "left_anti").dropDuplicates(["phone"])
+    # de-duplicate first (map-side partial aggregation), then anti-join the much smaller phone set
+    unknown = orders.select("phone").dropDuplicates(["phone"]).join(customers.select("phone"), "phone", "left_anti")
     return unknown.select("phone", (name if name is not None else default_name()).alias("name"), F.lit(0).alias("points"))
 
 
