@@ -289,7 +289,7 @@ def parse_coefficients(text: DataFrame, col: str = "value") -> DataFrame:
 
 
 def read_coefficients(spark, path: str, whole_file: bool = False) -> DataFrame:
-    return parse_coefficients(spark.read.option("wholetext", whole_file).text(path))
+    return parse_coefficients(spark.read.text(path, wholetext=whole_file))
 
 
 # ------------------------------------------------------------------ scoring

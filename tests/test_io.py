@@ -48,3 +48,21 @@ def test_model_save_and_load(spark, tmp_path):
     a = sorted((r.product, r.date, round(r.pred, 9)) for r in pred.collect())
     b = sorted((r.product, r.date, round(r.pred, 9)) for r in again.collect())
     assert a == b
+
+
+def test_coefficients_json_files(spark, tmp_path):
+    from proofbox.operators import demand as dm
+
+    coeffs = spark.createDataFrame(
+        [("Rye Bread", 10.5, {"day_Monday": 2.0, "temp": 0.1}, 1.0, 12.0)],
+        "product string, base_bias double, weights map<string,double>, waste_risk double, avg_made double",
+    )
+    lines = str(tmp_path / "coef_lines")
+    dm.write_keyed_json(coeffs, lines)
+    back = dm.read_coefficients(spark, lines).first()
+    assert back.product_key == "RyeBread" and back.base_bias == 10.5 and back.weights["temp"] == 0.1
+    # one whole JSON object keyed by product; missing waste_risk / avg_made default to 0.0
+    whole = tmp_path / "model.json"
+    whole.write_text('{"Sour dough": {"base_bias": 3.0, "weights": {}},\n "Bagel": {"base_bias": 1.5, "weights": {"is_rain": -2.0}, "waste_risk": 0.5}}')
+    rows = {r.product_key: r for r in dm.read_coefficients(spark, str(whole), whole_file=True).collect()}
+    assert rows["Sourdough"].waste_risk == 0.0 and rows["Sourdough"].avg_made == 0.0 and rows["Bagel"].weights == {"is_rain": -2.0}
