@@ -183,3 +183,12 @@ def test_boosted_trees_beat_the_moving_average_on_a_seeded_panel(spark):
 
     out = fc.backtest(f, "sold_qty", trees, moving_average, 1, 14).collect()
     assert len(out) == 1 and out[0].xgb_wape < out[0].lstm_wape
+
+
+def test_seasonality_nested_form(spark):
+    rows = [(dt.date(2024, 1, 1) + dt.timedelta(days=i), "Bun", float(10 + (i % 7 == 0) * 7), "Sunny", 10.0) for i in range(14)]
+    df = spark.createDataFrame(rows, "date date, product string, qty double, weather string, temp double")
+    nested = dm.seasonality_nested(dm.seasonality(df)).first()
+    assert nested.product == "Bun" and nested.base_avg == 11.0
+    assert nested.factors["Monday"] == round(17 / 11, 2) and nested.factors["Tuesday"] == round(10 / 11, 2)
+    assert len(nested.factors) == 7

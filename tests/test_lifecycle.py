@@ -77,3 +77,15 @@ def test_cancel_restocks(spark):
     assert rt.stock_position(products, rt.stock_moves(items, orders2)).first().stock == 8
     sets = spark.createDataFrame([(1, dt.datetime(2024, 1, 2), 12)], "product_id long, ts timestamp_ntz, set_qty int")
     assert rt.stock_position(products, rt.stock_moves(items, orders2), sets).first().stock == 12
+
+
+def test_admission_with_opening_balances(spark):
+    moves = spark.createDataFrame(
+        [(1, dt.datetime(2024, 1, 1, 9), 1, "withdraw", 30), (1, dt.datetime(2024, 1, 1, 10), 2, "withdraw", 30),
+         (1, dt.datetime(2024, 1, 1, 11), 3, "revert", 100), (2, dt.datetime(2024, 1, 1, 9), 4, "withdraw", 1)],
+        "key long, ts timestamp_ntz, seq long, kind string, amount long",
+    )
+    opening = spark.createDataFrame([(1, 50)], "key long, opening long")
+    got = {r.seq: (r.accepted, r.balance_after, r.reason) for r in lc.admit(moves, opening).collect()}
+    assert got == {1: (True, 20, None), 2: (False, 20, "insufficient_balance"), 3: (True, 0, None),
+                   4: (False, 0, "insufficient_balance")}
