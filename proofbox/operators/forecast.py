@@ -244,7 +244,10 @@ def backtest(panel: DataFrame, target: str, primary: Callable[[DataFrame, DataFr
 
 # ------------------------------------------------------------------ models
 
-def model_frame(df: DataFrame, target: str, sentinel: float = -999.0) -> tuple[DataFrame, list[str], list[str]]:
+MISSING = -999.0
+
+
+def model_frame(df: DataFrame, target: str, sentinel: float = MISSING) -> tuple[DataFrame, list[str], list[str]]:
     """Leakage-safe numeric features with missing values as a far sentinel
     (trees isolate it with one split); categoricals returned separately."""
     feats = feature_columns(df, target)

@@ -107,28 +107,61 @@ def rejected_requests(requests: DataFrame) -> DataFrame:
     )
 
 
-Predictor = Callable[[DataFrame], Column]
+Predictor = Callable[[DataFrame], "Column | DataFrame"]
+
+
+def model_predictor(model, target: str) -> Predictor:
+    """Wrap a fitted primary pipeline (I5) as a request predictor.
+
+    The request's own weather and temperature stand in for the day's; every
+    other column the pipeline was trained on comes from the as-of features,
+    and anything the request cannot know (e.g. the day's min/max temperature)
+    is missing, encoded exactly as in training. Returns (request_id, pred).
+    """
+    from pyspark.ml.feature import StringIndexerModel, VectorAssembler
+
+    from proofbox.operators.forecast import MISSING
+
+    asm = next(st for st in model.stages if isinstance(st, VectorAssembler))
+    cats = [st.getInputCol() for st in model.stages if isinstance(st, StringIndexerModel)]
+    nums = [c for c in asm.getInputCols() if not c.endswith("__idx")]
+
+    def predict(f: DataFrame) -> DataFrame:
+        g = f.withColumns({"weather": F.col("forecast_weather"), "temp_avg": F.col("forecast_temp")})
+        num_cols = [
+            F.coalesce((F.col(c) if c in g.columns else F.lit(None)).cast("double"), F.lit(MISSING)).alias(c) for c in nums
+        ]
+        cat_cols = [F.coalesce(F.col(c).cast("string"), F.lit("<unknown>")).alias(c) for c in cats]
+        fr = g.select("request_id", *num_cols, *cat_cols)
+        return model.transform(fr).select("request_id", F.greatest(F.col("prediction"), F.lit(0.0)).alias("pred"))
+
+    return predict
 
 
 def forecast(requests: DataFrame, daily: DataFrame, sold_primary: Predictor, sold_challenger: Predictor,
              waste_primary: Predictor, waste_challenger: Predictor) -> DataFrame:
     """Request table -> both targets -> ensemble -> recommendation -> texts.
 
-    Each predictor maps the request-feature frame to a prediction Column
-    (a stand-in column, or ``model_column`` over a fitted model's output).
-    Requests without prior history get null predictions and the fixed
-    failure texts (confidence 'Failed').
+    A predictor maps the request-feature frame either to a Column (a stand-in
+    read from the features) or to a DataFrame (request_id, pred), e.g. a
+    fitted pipeline's output (``model_predictor``), which is joined back on
+    the request id. Requests without prior history get null predictions and
+    the fixed failure texts (confidence 'Failed').
     """
     f = request_features(requests, daily)
-    cols = {
-        "sp": sold_primary(f), "sc": sold_challenger(f), "wp": waste_primary(f), "wc": waste_challenger(f),
-    }
     has = F.col("has_history")
-    preds = f.select(
-        "request_id", "product", "date", "forecast_weather", "forecast_temp", "has_history",
-        *[F.when(has, c).alias(k) for k, c in cols.items()],
-    )
-    d = dc.decide(preds, "sp", "sc", "wp", "wc", keep=("request_id", "product", "date", "forecast_weather", "forecast_temp", "has_history"))
+    keep = ["request_id", "product", "date", "forecast_weather", "forecast_temp", "has_history"]
+    preds = f.select(*keep, *[c for c in f.columns if c not in keep])
+    cols = {}
+    for name, fn in (("sp", sold_primary), ("sc", sold_challenger), ("wp", waste_primary), ("wc", waste_challenger)):
+        out = fn(f)
+        if isinstance(out, DataFrame):
+            preds = preds.join(out.select("request_id", F.col("pred").alias(name)), "request_id", "left")
+            cols[name] = F.col(name)
+        else:
+            cols[name] = out
+    preds = preds.select(*keep, *[F.when(has, c).alias(k) for k, c in cols.items()])
+    d = dc.decide(preds, "sp", "sc", "wp", "wc", keep=tuple(keep))
     d = d.withColumnRenamed("date", "target_date")
     return d.select(
         "request_id", "product", "target_date", "forecast_weather", "forecast_temp",

@@ -86,3 +86,20 @@ def test_lifecycle_shuffle_invariance(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert a == b
+
+
+def test_requests_with_fitted_models(spark):
+    from proofbox.operators import features as ft
+    from proofbox.operators import forecast as fc
+
+    d = _daily(spark, 60)
+    feats = ft.build_features(d)
+    sold_model = fc.fit_primary(feats, "sold_qty", max_iter=3, depth=3)
+    waste_model = fc.fit_primary(feats, "waste_qty", max_iter=3, depth=3)
+    req = spark.createDataFrame([("r1", "A", "2024-03-05", "Rainy", 4.0), ("r2", "Z", "2024-03-05", "Sunny", 1.0)],
+                                "request_id string, product string, target_date string, forecast_weather string, forecast_temp double")
+    out = {r.request_id: r for r in sv.forecast(
+        req, d, sv.model_predictor(sold_model, "sold_qty"), lambda f: F.col("sold_same_dow_mean_4"),
+        sv.model_predictor(waste_model, "waste_qty"), lambda f: F.col("waste_same_dow_mean_4")).collect()}
+    assert out["r1"].predicted_sold_qty > 0 and out["r1"].confidence_label != "Failed"
+    assert out["r2"].confidence_label == "Failed" and out["r2"].recommended_made_qty == 0.0
