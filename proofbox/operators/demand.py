@@ -360,12 +360,16 @@ def status_color(status: str) -> Column:
     )
 
 
-def score_scenarios(products: DataFrame, coeffs: DataFrame, scenarios: DataFrame, on: Sequence[str] = ("product",),
+def score_scenarios(products: DataFrame | None, coeffs: DataFrame, scenarios: DataFrame, on: Sequence[str] = ("product",),
                     name_col: str = "product") -> DataFrame:
     """I4: score products under scenarios (day_name, weather, temp) without refitting.
 
     Scenarios are joined on ``on`` (e.g. per-product scenario rows): an
-    equi-join, never a product-by-scenario cross product.
+    equi-join, never a product-by-scenario cross product. With
+    ``products=None`` the scenario rows carry the product name themselves and
+    the coefficients are attached to them directly (one pass over scenarios).
     """
+    if products is None:
+        return score_demand(attach_coefficients(scenarios, coeffs, name_col))
     withc = attach_coefficients(products, coeffs, name_col)
     return score_demand(withc.join(scenarios, list(on), "inner"))

@@ -41,20 +41,23 @@ def temporal_split(df: DataFrame, split_date: Column | str | None = None) -> tup
 
 
 def _fold_of_dates(df: DataFrame, n_splits: int, window_days: int, newest_first: bool) -> DataFrame:
-    """(date, fold) for the newest n*k distinct dates; raises if there are fewer.
+    """(date, fold, val_start, val_end) for the newest n*k distinct dates; raises if there are fewer.
 
     Only the newest n*k distinct dates are ever ranked (a distributed top-k),
-    so the single ranking partition holds at most n*k rows.
+    so the windows below see at most n*k rows. The panel is read once: the
+    "enough dates" check counts the top-k itself (fewer than n*k rows there
+    means the panel has exactly that many dates), so no extra scalar job.
     """
     need = n_splits * window_days
-    dates = df.select("date").distinct()
-    n_dates = dates.select(F.count(F.lit(1)).alias("n")).scalar()
-    top = dates.orderBy(F.desc("date")).limit(need)
+    top = df.select("date").distinct().orderBy(F.desc("date")).limit(need)
     pos = F.row_number().over(Window.orderBy(F.desc("date"))) - 1
+    n_dates = F.count(F.lit(1)).over(Window.partitionBy())
     back = F.floor(pos / window_days).cast("int")
     fold = back if newest_first else (F.lit(n_splits - 1) - back)
     msg = F.concat(F.lit("Insufficient dates ("), n_dates.cast("string"), F.lit(f") to perform {n_splits} splits of {window_days} days."))
-    return top.select("date", F.when(n_dates < need, F.raise_error(msg)).otherwise(fold).alias("fold"))
+    fd = top.select("date", F.when(n_dates < need, F.raise_error(msg)).otherwise(fold).alias("fold"))
+    w = Window.partitionBy("fold")
+    return fd.select("date", "fold", F.min("date").over(w).alias("val_start"), F.max("date").over(w).alias("val_end"))
 
 
 def fold_windows(df: DataFrame, n_splits: int = 3, window_days: int = 14, newest_first: bool = True) -> DataFrame:
@@ -65,14 +68,12 @@ def fold_windows(df: DataFrame, n_splits: int = 3, window_days: int = 14, newest
     oldest window 0 (the trainer's order).
     """
     fd = _fold_of_dates(df, n_splits, window_days, newest_first)
-    return fd.groupBy("fold").agg(F.min("date").alias("val_start"), F.max("date").alias("val_end"), F.count(F.lit(1)).alias("n_dates"))
+    return fd.groupBy("fold", "val_start", "val_end").agg(F.count(F.lit(1)).alias("n_dates"))
 
 
 def fold_dates(df: DataFrame, n_splits: int = 3, window_days: int = 14, newest_first: bool = True) -> DataFrame:
     """(date, fold, val_start, val_end) for every validation date (n*k rows)."""
-    fd = _fold_of_dates(df, n_splits, window_days, newest_first)
-    w = fd.groupBy("fold").agg(F.min("date").alias("val_start"), F.max("date").alias("val_end"))
-    return fd.join(w, "fold")
+    return _fold_of_dates(df, n_splits, window_days, newest_first)
 
 
 def assign_folds(df: DataFrame, n_splits: int = 3, window_days: int = 14, newest_first: bool = True) -> DataFrame:

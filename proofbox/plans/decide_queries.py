@@ -193,7 +193,9 @@ from proofbox.sources import fixtures as fx  # noqa: E402
 
 def q_forecast_requests(spark, sf_dir):
     """I10 with the stand-in forecasters, for requests on the 7 days after the panel."""
-    d = daily(spark, sf_dir)
+    from proofbox.plans.ledger_queries import daily_once
+
+    d = daily_once(spark, sf_dir)
     req = fx.forecast_requests(d)
     out = sv.forecast(
         req, d,

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from proofbox.operators import forecast as fc
 from proofbox.plans.common import round_doubles
-from proofbox.plans.ledger_queries import daily, features, features_sql
+from proofbox.plans.ledger_queries import daily, daily_once, features, features_sql
 from proofbox.plans.sql_fixtures import DAILY_CTE, LEDGER_CTES, with_ctes
 from proofbox.session import checkpointed
 
@@ -29,11 +29,11 @@ def q_fold_windows_oldest_first(spark, d):
 
 
 def q_fold_panel(spark, d):
-    return fc.assign_folds(daily(spark, d), N_SPLITS, WINDOW).select("fold", "product", "date", "sold_qty", "waste_qty")
+    return fc.assign_folds(daily_once(spark, d), N_SPLITS, WINDOW).select("fold", "product", "date", "sold_qty", "waste_qty")
 
 
 def q_temporal_split(spark, d):
-    dd = daily(spark, d)
+    dd = daily_once(spark, d)
     train, val = fc.temporal_split(dd)
     both = train.withColumn("split", F.lit("train")).unionByName(val.withColumn("split", F.lit("validation")))
     return both.groupBy("product", "split").agg(
@@ -47,21 +47,21 @@ def q_panel_dates(spark, d):
 
 
 def q_category_index(spark, d):
-    dd = daily(spark, d)
+    dd = daily_once(spark, d)
     p = fc.fit_index(dd, "product").select(F.lit("product").alias("kind"), F.col("product").alias("value"), F.col("product_idx").alias("idx"))
     w = fc.fit_index(dd, "weather").select(F.lit("weather").alias("kind"), F.col("weather").alias("value"), F.col("weather_idx").alias("idx"))
     return p.unionByName(w)
 
 
 def q_scaler_stats(spark, d):
-    f = features(spark, d)
+    f = features(spark, d, once=True)
     train, _ = fc.temporal_split(f)
     return round_doubles(fc.fit_scaler(train, fc.HISTORY_COLUMNS))
 
 
 def q_sequence_samples(spark, d):
     """14-row histories; summarised per sample so the oracle can check them."""
-    f = features(spark, d)
+    f = features(spark, d, once=True)
     idx = fc.fit_index(f, "product")
     s = fc.apply_index(fc.sequence_samples(f, "sold_qty", 14), idx, "product")
     flat = fc.flatten_history(s)

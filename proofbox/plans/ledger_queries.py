@@ -18,6 +18,14 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dl.daily_table(fx.ledger(spark, sf_dir))
 
 
+def daily_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily table materialised once in the shared checkpoint folder, for plans that
+    read it more than once (one ledger scan instead of one per reference)."""
+    from proofbox.session import checkpointed
+
+    return checkpointed(daily(spark, sf_dir))
+
+
 def q_daily_table(spark, sf_dir):
     return round_doubles(daily(spark, sf_dir))
 
@@ -42,8 +50,8 @@ def q_daily_from_csv(spark, sf_dir):
     return round_doubles(dl.daily_table(dl.clean_ledger(raw)))
 
 
-def features(spark, sf_dir) -> DataFrame:
-    return ft.build_features(daily(spark, sf_dir))
+def features(spark, sf_dir, once: bool = False) -> DataFrame:
+    return ft.build_features(daily_once(spark, sf_dir) if once else daily(spark, sf_dir))
 
 
 def q_features(spark, sf_dir):

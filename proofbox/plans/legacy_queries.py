@@ -140,8 +140,7 @@ SCORE_COLS = [
 def q_score_scenarios(spark, sf_dir):
     """C5 + I2 + I3 + I4 with the aggregation-derived coefficients."""
     coeffs = standin_coefficients(legacy_typed(spark, sf_dir))
-    scen = _scenarios(spark, sf_dir)
-    scored = dm.score_scenarios(scen.select("product").distinct(), coeffs, scen)
+    scored = dm.score_scenarios(None, coeffs, _scenarios(spark, sf_dir))
     return round_doubles(scored.select(*SCORE_COLS))
 
 
@@ -153,8 +152,7 @@ def q_demand_fit(spark, sf_dir):
 def q_demand_scores(spark, sf_dir):
     """D7 -> I4 (rows-only): fitted coefficients scored on every observed day."""
     coeffs = dm.coefficients(dm.fit_demand(legacy_typed(spark, sf_dir)))
-    scen = _scenarios(spark, sf_dir)
-    return round_doubles(dm.score_scenarios(scen.select("product").distinct(), coeffs, scen).select(*SCORE_COLS))
+    return round_doubles(dm.score_scenarios(None, coeffs, _scenarios(spark, sf_dir)).select(*SCORE_COLS))
 
 
 QUERIES = {

@@ -53,7 +53,7 @@ def q_stream_stock_position(spark, d):
 
 
 def q_stream_forecast(spark, d):
-    daily = ledger_queries.daily(spark, d)
+    daily = ledger_queries.daily_once(spark, d)
     req_static = fx.forecast_requests(daily)
     # requests arrive as a stream: landed once as files, then read back as a file stream
     path = f"{sj.scratch_path(spark, 'requests')}-{__import__('uuid').uuid4().hex[:12]}"
