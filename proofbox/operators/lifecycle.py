@@ -3,10 +3,12 @@
 J2 is a finite state machine whose state after any action is determined by
 three "latest position" facts (last create, last complete/cancel, last
 confirm-or-later), and a "latest" is a max: associative. So it is computed as
-a segmented scan with window functions: within (key, time bucket) chunks, a
-running max; across the chunks of a key, a running max over one summary row
-per chunk; the two are combined per row. A hot key is split over its time
-buckets instead of landing in one task.
+a two-pass parallel (segmented) scan with window functions: within (key,
+time bucket) chunks, a running max; across the chunks of a key, a running max
+over one summary row per chunk; the two are combined per row. A hot key is
+split over its time buckets instead of landing in one task; the price is a
+second read of the action log for the chunk summaries (the usual reduce-then-
+scan pair), never a second shuffle of raw rows beyond the chunk partitioning.
 
 J3 (a withdrawal is accepted only if the running balance covers it) is NOT
 associative: whether a withdrawal is accepted depends on the exact balance,
