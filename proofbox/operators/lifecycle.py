@@ -17,7 +17,7 @@ batch form hash-partitions by key, sorts within partitions by (key, ts, seq)
 and streams the sorted rows through ``mapInPandas`` with O(1) state (the
 current key and its balance): rows are never gathered into a per-key group,
 but one key's actions are necessarily processed in order by one task. The
-streaming form (``streaming.jobs.admit_stream``) keeps the same state in the
+streaming form (``streaming.jobs.stream_admission``) keeps the same state in the
 state store across micro-batches.
 """
 
