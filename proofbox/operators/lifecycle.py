@@ -11,13 +11,13 @@ second read of the action log for the chunk summaries (the usual reduce-then-
 scan pair), never a second shuffle of raw rows beyond the chunk partitioning.
 
 J3 (a withdrawal is accepted only if the running balance covers it) is NOT
-associative: whether a withdrawal is accepted depends on the exact balance,
-which depends on every earlier rejection. It is an ordered fold per key. The
-batch form hash-partitions by key, sorts within partitions by (key, ts, seq)
-and streams the sorted rows through ``mapInPandas`` with O(1) state (the
-current key and its balance): rows are never gathered into a per-key group,
-but one key's actions are necessarily processed in order by one task. The
-streaming form (``streaming.jobs.stream_admission``) keeps the same state in the
+associative once a withdrawal is refused: from then on acceptance depends on
+the exact balance. The batch form is exact in two parts: while a key's running
+balance never goes negative, the answer is a plain running sum, computed in
+parallel like J2's scan; from a key's first negative point on, its remaining
+moves are folded in order (hash-partitioned by key, sorted within partitions,
+streamed through ``mapInPandas`` with O(1) state, never gathered into a group).
+The streaming form (``streaming.jobs.stream_admission``) keeps the same state in the
 state store across micro-batches.
 """
 
@@ -167,29 +167,69 @@ def fold_moves(pdf: pd.DataFrame, key: object, balance: int) -> tuple[pd.DataFra
     return out, key, balance
 
 
-def admit(moves: DataFrame, opening: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
+def _admit_sequential(m: DataFrame, partitions: int) -> DataFrame:
+    """Ordered fold per key: hash-partition by key, sort within partitions, stream
+    the rows through ``mapInPandas`` with O(1) state (current key and balance)."""
+    ordered = m.repartition(partitions, "key").sortWithinPartitions("key", "ts", "seq")
+
+    def run(batches):
+        key, bal = object(), 0
+        for pdf in batches:
+            out, key, bal = fold_moves(pdf, key, bal)
+            yield out
+
+    return ordered.select("key", "ts", "seq", "kind", "amount", "opening").mapInPandas(run, ADMIT_SCHEMA)
+
+
+def admit(moves: DataFrame, opening: DataFrame | None = None, partitions: int | None = None, bucket: str = "day") -> DataFrame:
     """Sequential admission per key over moves (key, ts, seq, kind, amount).
 
     kind: 'deposit' (always accepted), 'withdraw' (accepted only if the balance
     covers it), 'revert' (subtracts, floored at 0). ``opening`` (key, opening)
     gives starting balances (default 0). Line-level: each move is admitted on
     its own (an all-or-nothing multi-line order would couple keys).
+
+    Exact and mostly parallel: while a key's running balance with every move
+    applied never drops below zero, no withdrawal is refused and no revert
+    floors, so that running balance IS the answer. It is a running sum,
+    computed as a two-pass scan over (key, time bucket) chunks (hot keys split
+    over their buckets). Only from a key's first negative point on are its
+    remaining moves folded sequentially, starting from the exact balance
+    before that point.
     """
-    m = moves.select(F.col("key").cast("long"), "ts", F.col("seq").cast("long"), "kind", F.col("amount").cast("long"))
+    m = moves.select(F.col("key").cast("long").alias("key"), "ts", F.col("seq").cast("long").alias("seq"), "kind",
+                     F.col("amount").cast("long").alias("amount"))
     if opening is not None:
-        m = m.join(opening.select(F.col("key").cast("long"), F.col("opening").cast("long")), "key", "left").na.fill({"opening": 0})
+        m = m.join(opening.select(F.col("key").cast("long").alias("key"), F.col("opening").cast("long").alias("opening")), "key", "left")
+        m = m.withColumn("opening", F.coalesce("opening", F.lit(0).cast("long")))
     else:
         m = m.withColumn("opening", F.lit(0).cast("long"))
     n = partitions or int(moves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = m.repartition(n, "key").sortWithinPartitions("key", "ts", "seq")
-
-    def run(batches):
-        key, bal = object(), 0
-        for pdf in batches:
-            out, key, bal = fold_moves(pdf, key, bal)
-            yield out
-
-    return ordered.mapInPandas(run, ADMIT_SCHEMA)
+    k = F.col("kind")
+    delta = F.when(k == "deposit", F.col("amount")).when(k.isin("withdraw", "revert"), -F.col("amount")).otherwise(F.lit(0).cast("long"))
+    m = m.withColumns({"delta": delta, "bucket": F.date_trunc(bucket, "ts")})
+    # pass 1: running sum inside each chunk; pass 2: sums of the earlier chunks of the key
+    w_in = Window.partitionBy("key", "bucket").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inner = m.withColumn("s_in", F.sum("delta").over(w_in))
+    chunks = m.groupBy("key", "bucket").agg(F.sum("delta").alias("s"))
+    w_ch = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    prefix = chunks.select("key", "bucket", F.coalesce(F.sum("s").over(w_ch), F.lit(0).cast("long")).alias("s_pre"))
+    naive = inner.join(prefix, ["key", "bucket"], "left").withColumn(
+        "rb", F.col("opening") + F.coalesce("s_pre", F.lit(0).cast("long")) + F.col("s_in")
+    )
+    pos = F.struct("ts", "seq")
+    first_bad = naive.filter(F.col("rb") < 0).groupBy("key").agg(
+        F.min(pos).alias("fb"), F.min_by(F.col("rb") - F.col("delta"), pos).alias("fb_opening")
+    )
+    j = naive.join(first_bad, "key", "left")
+    is_clean = F.col("fb").isNull() | (pos < F.col("fb"))
+    known = k.isin("deposit", "withdraw", "revert")
+    clean = j.filter(is_clean).select(
+        "key", "seq", "kind", "amount", known.alias("accepted"), F.col("rb").alias("balance_after"),
+        F.when(~known, F.lit("unknown_kind")).alias("reason"),
+    )
+    dirty = j.filter(~is_clean).select("key", "ts", "seq", "kind", "amount", F.col("fb_opening").alias("opening"))
+    return clean.unionByName(_admit_sequential(dirty, n))
 
 
 def point_moves_from_actions(actions: DataFrame) -> DataFrame:
