@@ -56,3 +56,53 @@ def test_texts_and_failure(spark):
     assert a.production_note == "Please prepare 50 units." and a.risk_note == "Estimated buffer waste is 5 units."
     assert "Total Recommended to Make: 50.0" in a.p
     assert b.confidence_label == "Failed" and b.production_note == "Consult manager manually."
+
+
+def _expected(target, p, c):
+    """The decision table of the ensemble, written out directly for property checking."""
+    import math
+
+    def clip(x):
+        if x is None:
+            return None
+        return 0.0 if math.isnan(x) else max(0.0, x)
+
+    p, c = clip(p), clip(c)
+    wp, wc = {"sold_qty": (1.0, 0.0), "waste_qty": (0.1, 0.9)}.get(target, (0.5, 0.5))
+    if p is None and c is None:
+        return 0.0, "fallback_zero", False
+    if c is None:
+        return p, "fallback_primary_xgb", False
+    if p is None:
+        return c, "fallback_challenger_lstm", False
+    gap = 0.0 if p == 0 and c == 0 else abs(p - c) / max(abs(p), abs(c))
+    if gap <= 0.05:
+        return max(0.0, p * wp + c * wc), "target_optimal_average", False
+    if gap <= 0.20:
+        return max(0.0, p * 0.8 + c * 0.2), "xgb_biased_blend", False
+    return p, "anomaly_fallback_primary", True
+
+
+def test_ensemble_matches_decision_table_on_random_pairs(spark):
+    import random
+
+    rnd = random.Random(17)
+    values = [None, float("nan"), 0.0, -3.0]
+    rows = []
+    for i in range(400):
+        def draw():
+            r = rnd.random()
+            if r < 0.15:
+                return rnd.choice(values)
+            base = rnd.uniform(0, 200)
+            return base
+        p = draw()
+        c = p * rnd.uniform(0.7, 1.3) if (p is not None and p == p and rnd.random() < 0.6) else draw()
+        rows.append((i, rnd.choice(["sold_qty", "waste_qty", "made_qty"]), p, c))
+    df = spark.createDataFrame(rows, "i int, target string, p double, c double")
+    for target in ("sold_qty", "waste_qty", "made_qty"):
+        got = df.filter(F.col("target") == target).select("i", "p", "c", *dc.ensemble_columns(target, "p", "c")).collect()
+        for r in got:
+            final, strategy, anomaly = _expected(target, r.p, r.c)
+            assert r.selected_strategy == strategy and r.anomaly_flag == anomaly, (target, r.p, r.c, r)
+            assert abs(r.final_prediction - final) < 1e-9
