@@ -77,6 +77,19 @@ def q_sequence_samples(spark, d):
     )
 
 
+def q_context_samples(spark, d):
+    """14-row sequence samples whose target day lies in a validation fold (history
+    comes from the full panel, so no validation day is lost to a calendar-day cut)."""
+    f = features(spark, d, once=True)
+    s = fc.with_context(fc.sequence_samples(f, "sold_qty", 14), fc.fold_dates(f, N_SPLITS, WINDOW))
+    return round_doubles(
+        s.select(
+            "fold", "product", "date", "target",
+            F.aggregate(F.transform("history", lambda r: r["sold_qty"]), F.lit(0.0), lambda a, x: a + x).alias("hist_sold_sum"),
+        )
+    )
+
+
 def _standin(col: str):
     @fc.no_fit
     def fn(train: DataFrame, val: DataFrame) -> DataFrame:
@@ -130,6 +143,7 @@ QUERIES = {
     "category_index": q_category_index,
     "scaler_stats": q_scaler_stats,
     "sequence_samples": q_sequence_samples,
+    "context_samples": q_context_samples,
     "backtest_standins": q_backtest_standins,
     "backtest_report": q_backtest_report,
     "backtest_models": q_backtest_models,
@@ -226,6 +240,16 @@ from feat""",
   cast(n * 8 as integer) as n_values, round(hist_sold_sum, 6) as hist_sold_sum, round(hist_first_sold, 6) as hist_first_sold,
   round(hist_last_temp, 6) as hist_last_temp, round(ctx_temp, 6) as ctx_temp
 from s where n = 14""",
+    ),
+    "context_samples": with_ctes(
+        [
+            _features_cte(),
+            ("daily", "select * from feat"),
+            FOLD_CTE,
+            ("s", f"""select product, date, sold_qty as target, count(*) {SEQ_W} as n, sum(sold_qty) {SEQ_W} as hist_sold_sum from feat"""),
+        ],
+        """select fd.fold, s.product, s.date, round(s.target, 6) as target, round(s.hist_sold_sum, 6) as hist_sold_sum
+from s join fd on s.date = fd.date where s.n = 14""",
     ),
     "backtest_standins": with_ctes(
         _backtest_sql(),

@@ -50,6 +50,20 @@ def q_daily_from_csv(spark, sf_dir):
     return round_doubles(dl.daily_table(dl.clean_ledger(raw)))
 
 
+def q_daily_written(spark, sf_dir):
+    """A4 + A5: the daily table written as parquet partitioned by month under the shared
+    checkpoint folder, then read back (partition column dropped, types restored)."""
+    import uuid
+
+    from proofbox.operators.forecast import read_features
+    from proofbox.session import scratch_path
+
+    path = scratch_path(spark, f"daily-{uuid.uuid4().hex[:12]}")
+    dl.write_daily(daily(spark, sf_dir), path)
+    back = read_features(spark, path).drop("month")
+    return round_doubles(back.select(*dl.DAILY_COLUMNS))
+
+
 def features(spark, sf_dir, once: bool = False) -> DataFrame:
     return ft.build_features(daily_once(spark, sf_dir) if once else daily(spark, sf_dir))
 
@@ -105,6 +119,7 @@ QUERIES = {
     "daily_table": q_daily_table,
     "daily_from_raw": q_daily_from_raw,
     "daily_from_csv": q_daily_from_csv,
+    "daily_written": q_daily_written,
     "features": q_features,
     "feature_lags": q_feature_lags,
     "feature_rolling_mean": q_feature_rolling_mean,
@@ -275,6 +290,7 @@ ORACLE = {
     "daily_table": _daily_sql(LEDGER_CTES),
     "daily_from_raw": _raw_daily_sql(),
     "daily_from_csv": _raw_daily_sql(),
+    "daily_written": _daily_sql(LEDGER_CTES),
     "features": features_sql(),
     "feature_lags": _subset(_names(_lag_sql())),
     "feature_rolling_mean": _subset(_names(_rm_sql())),
