@@ -64,6 +64,19 @@ def q_daily_written(spark, sf_dir):
     return round_doubles(back.select(*dl.DAILY_COLUMNS))
 
 
+def q_daily_ordered(spark, sf_dir):
+    """the daily table in panel order (date, product), as a sink writes it (range-partitioned sort)."""
+    return round_doubles(dl.order_panel(daily(spark, sf_dir)))
+
+
+def q_panel_union(spark, sf_dir):
+    """G1 + B13: the training and validation parts of the default split appended back together."""
+    from proofbox.operators.forecast import temporal_split
+
+    train, val = temporal_split(daily_once(spark, sf_dir))
+    return round_doubles(dl.union_panels(train, val))
+
+
 def features(spark, sf_dir, once: bool = False) -> DataFrame:
     return ft.build_features(daily_once(spark, sf_dir) if once else daily(spark, sf_dir))
 
@@ -120,6 +133,8 @@ QUERIES = {
     "daily_from_raw": q_daily_from_raw,
     "daily_from_csv": q_daily_from_csv,
     "daily_written": q_daily_written,
+    "daily_ordered": q_daily_ordered,
+    "panel_union": q_panel_union,
     "features": q_features,
     "feature_lags": q_feature_lags,
     "feature_rolling_mean": q_feature_rolling_mean,
@@ -291,6 +306,8 @@ ORACLE = {
     "daily_from_raw": _raw_daily_sql(),
     "daily_from_csv": _raw_daily_sql(),
     "daily_written": _daily_sql(LEDGER_CTES),
+    "daily_ordered": _daily_sql(LEDGER_CTES),
+    "panel_union": _daily_sql(LEDGER_CTES),
     "features": features_sql(),
     "feature_lags": _subset(_names(_lag_sql())),
     "feature_rolling_mean": _subset(_names(_rm_sql())),
