@@ -44,6 +44,16 @@ def legacy_mixed(spark, sf_dir) -> DataFrame:
     return dl.drop_null_keys(dm.parse_date_or_fallback(x), ("date", "product"))
 
 
+def q_seasonality_positions(spark, sf_dir):
+    """A7 + B4 + D5: the export read by column POSITION (0, 1, 2, 4, 5 -> date, product,
+    qty, weather, temp) as the legacy scripts do, then the strict-format parse."""
+    raw = fx.raw_ledger(spark, sf_dir)
+    x = dl.select_positions(raw, [0, 1, 2, 4, 5], ["date", "product", "qty", "weather", "temp"])
+    x = x.withColumn("qty", F.coalesce(F.col("qty").try_cast("double"), F.lit(0.0)))
+    x = dl.drop_null_keys(dm.parse_date_or_fallback(x), ("date", "product"))
+    return round_doubles(dm.seasonality(x))
+
+
 def q_seasonality(spark, sf_dir):
     return round_doubles(dm.seasonality(legacy_parsed(spark, sf_dir)))
 
@@ -158,6 +168,7 @@ def q_demand_scores(spark, sf_dir):
 QUERIES = {
     "seasonality": q_seasonality,
     "seasonality_mixed": q_seasonality_mixed,
+    "seasonality_positions": q_seasonality_positions,
     "global_means": q_global_means,
     "weekday_means": q_weekday_means,
     "waste_stats": q_waste_stats,
@@ -289,6 +300,7 @@ from st""",
 ORACLE = {
     "seasonality": _season_sql(LEG, LEDGER_CTES),
     "seasonality_mixed": _season_sql(MIXED, RAW_LEDGER_CTES),
+    "seasonality_positions": _season_sql(MIXED, RAW_LEDGER_CTES),
     "global_means": with_ctes(list(LEDGER_CTES) + [LEG], "select product, round(avg(qty), 6) as base_avg from leg group by product"),
     "weekday_means": with_ctes(
         list(LEDGER_CTES) + [LEG],
