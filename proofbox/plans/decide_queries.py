@@ -27,13 +27,19 @@ ENSEMBLE_COLS = [
 
 
 def stand_ins(spark, sf_dir) -> DataFrame:
+    """Both stand-ins per (date, product): window outputs first (one Window operator),
+    then the same-weekday mean as a projection over the named lags."""
     w = ft.series_window()
     d = daily(spark, sf_dir)
-    cols = []
-    for q in ("sold", "waste"):
-        cols.append(F.avg(f"{q}_qty").over(w.rowsBetween(-7, -1)).alias(f"{q}_primary"))
-        cols.append(ft.mean_present([F.lag(f"{q}_qty", 7 * k).over(w) for k in range(1, 5)]).alias(f"{q}_challenger"))
-    return d.select("date", "product", "weather", "temp_avg", *cols)
+    stage1 = d.select(
+        "date", "product", "weather", "temp_avg",
+        *[F.avg(f"{q}_qty").over(w.rowsBetween(-7, -1)).alias(f"{q}_primary") for q in ("sold", "waste")],
+        *[F.lag(f"{q}_qty", 7 * k).over(w).alias(f"__{q}_l{k}") for q in ("sold", "waste") for k in range(1, 5)],
+    )
+    return stage1.select(
+        "date", "product", "weather", "temp_avg", "sold_primary", "waste_primary",
+        *[ft.mean_present([f"__{q}_l{k}" for k in range(1, 5)]).alias(f"{q}_challenger") for q in ("sold", "waste")],
+    )
 
 
 def q_ensemble_sold(spark, sf_dir):
