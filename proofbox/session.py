@@ -2,13 +2,14 @@
 
 On a cluster the session is created by the launcher; ``get_session`` is for
 tests, the bench and local runs. Lineage is cut only through the shared folder
-named by ``spark.checkpoint.dir``; a local folder is set only when the session
-has none (tests, bench), never on a cluster.
+named by ``spark.checkpoint.dir``; a local folder is set only when a local
+session has none (tests, bench); elsewhere the setting is required.
 """
 
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -27,7 +28,7 @@ def get_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-        .config("spark.driver.memory", os.environ.get("PROOFBOX_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("PROOFBOX_DRIVER_MEMORY", "12g"))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -36,18 +37,28 @@ def get_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str =
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, setting a scratch one only if unset."""
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir() or None
+    """Return the session's checkpoint folder; a scratch one is set only for a local session that names none."""
+    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="proofbox-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", current)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(current)
     return current
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per context, so Python stages work from any working directory."""
+    sc = spark.sparkContext
+    if getattr(sc, "_proofbox_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="proofbox-pkg-"), "proofbox"), "zip", os.path.dirname(package), os.path.basename(package))
+    sc.addPyFile(archive)
+    sc._proofbox_shipped = True
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
