@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofbox.llm import lm_score, near_dup, packing, quality, repeats, secret_scan, token_file, top_k
+from proofbox.llm import decontaminate, license_scan, lm_score, near_dup, packing, quality, repeats, secret_scan, token_file, top_k
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("h")
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,16 +47,24 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_lm_score": op1,
     "op2_top_k": op2,
     "op3_secret_scan": op3,
+    "op4_decontamination": op4,
     "op5_quality_classifier": op5,
     "op6_repeated_strings": op6,
     "op7_near_duplicates": op7,
     "op8_token_file": op8,
     "op9_best_fit_packing": op9,
+    "op10_license_scan": op10,
 }
 ORACLE: dict[str, str] = {
     "op2_top_k": top_k.SQL,
+    "op4_decontamination": decontaminate.SQL,
+    "op10_license_scan": license_scan.SQL,
 }

@@ -203,14 +203,14 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
 
 SQL = """
 with v as (
-  select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as v
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
   from embeddings
   where vec_id is not null and embedding is not null
-    and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
 ),
 s as (
   select q.vec_id as query_id, c.vec_id as vec_id,
-         cast(list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) as bigint) as score
+         cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
   from v q join v c on q.vec_id <> c.vec_id
   where q.vec_id % 50 = 0
 )
