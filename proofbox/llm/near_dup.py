@@ -12,12 +12,13 @@
 
 A bucket does not emit all its pairs. First each member is compared with the bucket's
 smallest member, and links make components. In buckets that still hold several components,
-members are compared with a member drawn at random; in what is still unsettled, every pair
-from different components is compared (buckets of more than ``split_over`` texts are first
-split by a second group of registers). So pairs inside one component need no comparison,
-and a group of copies costs in proportion to its size. A pair at the threshold shares no
-bucket with probability (1 - 0.8^5)^32 = 3e-6 for sets; a similar pair in one component
-needs no link of its own.
+members are compared with a member drawn at random. What is still unsettled goes through an
+exact set-similarity join: shingles ordered by their frequency among these texts, prefix,
+length and positional filters, and only pairs from different components. There a text whose
+own changes alone rule out the threshold meets nobody, so a large group of loosely similar
+texts costs in proportion to its size. A pair at the threshold shares no bucket with
+probability (1 - 0.8^5)^32 = 3e-6 for sets; a similar pair in one component needs no link of
+its own.
 
 Texts with the same words are one node (64-bit hash), so copies meet in the first
 aggregate. Null, empty or wordless texts are alone in their class. Rows that repeat an id
@@ -89,7 +90,7 @@ def _sign(size: int, bands: int, rows: int):
     def run(batches):
         for batch in batches:
             data, offsets = as_bytes(batch.column(0))
-            for a, b in chunks(offsets, 4 << 20):
+            for a, b in chunks(offsets, 2 << 20):
                 part = LOWER[data[offsets[a] : offsets[b]]]
                 s, e, doc = words_of(part, offsets[a : b + 1] - offsets[a], WORD)
                 word, n = slice_hashes(part, s, e), b - a
@@ -132,7 +133,35 @@ def _similar(threshold: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 5, split_over: int = 2000) -> DataFrame:
+def _tokens(batches):
+    for batch in batches:
+        sets = [np.frombuffer(x.as_buffer(), "<u4") for x in batch.column("shingles")]
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint32)
+        for a in range(0, len(flat), 1 << 16):
+            part = pa.array(row[a : a + (1 << 16)])
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(part), batch.column("label").take(part), pa.array(flat[a : a + (1 << 16)].astype(np.int64))], names=["node", "label", "token"])
+
+
+def _prefix_pairs(rest: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): pairs of ``rest`` (node, label, shingles) from different components that no filter rules out."""
+    tokens = stored(rest.mapInArrow(_tokens, "node long, label long, token long"), "near-tokens")
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    size = rest.select("node", F.expr("octet_length(shingles) div 4").alias("n"))
+    # Rarest first; shingles of one text alone stand before all others and match nothing.
+    by_node = tokens.join(shared, "token").groupBy("node", "label").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("list")).join(size, "node")
+    alone = F.col("n") - F.size("list")
+    prefix = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1 - alone).cast("int")
+    rows = by_node.where(prefix > 0).select("node", "label", "n", alone.alias("alone"), F.posexplode(F.slice("list", F.lit(1), prefix)).alias("pos", "item")).select("node", "label", (F.col("n") - F.col("alone") - F.col("pos")).alias("behind"), "n", F.col("item.token").alias("token"))
+    rows = stored(rows, "near-prefixes")
+    x, y = (rows.select("token", F.col("node").alias(k), F.col("label").alias(f"of_{k}"), F.col("n").alias(f"n_{k}"), F.col("behind").alias(f"behind_{k}")) for k in ("a", "b"))
+    need = (F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold)) - 1e-6
+    possible = (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold - 1e-6) & (F.least("behind_a", "behind_b") >= need)
+    met = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & possible)
+    return met.select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 5) -> DataFrame:
     """One row per document: doc_id, class_id (the smallest id of its class), class_size (rows of the class)."""
     id_type = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("doc_id"))
@@ -153,21 +182,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def unsettled(labels: DataFrame) -> DataFrame:
         """Members of buckets that hold several components."""
         labelled = buckets.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-        open_ = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("node", F.xxhash64("band", "node")).alias("drawn"), F.count(F.lit(1)).alias("n")).where("low != high")
-        return stored(labelled.join(open_.select("band", "drawn", "n"), "band"), "near-open")
+        open_ = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("node", F.xxhash64("band", "node")).alias("drawn")).where("low != high")
+        return stored(labelled.join(open_.select("band", "drawn"), "band"), "near-open")
 
     links = stored(verified(buckets.where("lead != node").select(F.col("lead").alias("a"), F.col("node").alias("b"))), "near-links")
     labels = components(links)
     open_ = unsettled(labels)
     links = links.unionByName(stored(verified(open_.where("drawn != node").select(F.col("drawn").alias("a"), F.col("node").alias("b"))), "near-links"))
     labels = components(links)
-    open_ = unsettled(labels).select("band", "node", "label", "n")
-    small = open_.where(F.col("n") <= split_over).select("band", "node", "label")
-    large = open_.where(F.col("n") > split_over).select("band", "node", "label")
-    split = large.join(buckets.select("node", F.col("band").alias("other")), "node").where("band != other").select(F.xxhash64(F.least("band", "other"), F.greatest("band", "other")).alias("band"), "node", "label")
-    rest = small.unionByName(split).distinct()
-    x, y = (rest.select("band", F.col("node").alias(n), F.col("label").alias(f"of_{n}")) for n in ("a", "b"))
-    pairs = x.join(y, "band").where("a < b and of_a != of_b").select("a", "b")
+    rest = unsettled(labels).select("node", "label").distinct()
+    pairs = _prefix_pairs(stored(rest.join(sets, "node"), "near-rest"), threshold)
     links = links.unionByName(stored(verified(pairs), "near-links"))
     labels = components(links)
     labelled = signed.select("doc_id", "node").join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))

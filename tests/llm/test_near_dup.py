@@ -4,7 +4,7 @@ import re
 import numpy as np
 
 from proofbox.llm.components import components
-from proofbox.llm.near_dup import keep_one, near_duplicates, signatures
+from proofbox.llm.near_dup import _prefix_pairs, keep_one, near_duplicates, signatures
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -55,7 +55,6 @@ def test_matches_brute_force(spark):
     rows += [(len(rows) + i, t) for i, t in enumerate([None, "", "  !!", None, "long " * 30000, "long " * 29000, "é à ü ö ß", "É à ü ö ß"])]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as node", "2 as label").repartition(5)
     assert classes(df) == brute(rows)
-    assert classes(df, split_over=2) == brute(rows)
 
 
 def test_hot_group_of_near_copies(spark):
@@ -71,6 +70,20 @@ def test_hot_group_of_near_copies(spark):
     assert got == want
 
 
+def test_prefix_join_finds_every_similar_pair(spark):
+    rng = random.Random(11)
+    data = []
+    for g in range(8):
+        base = rng.sample(range(2**32), 60)
+        for _ in range(12):
+            own = set(rng.sample(base, rng.randint(45, 60))) | {rng.randrange(2**32) for _ in range(rng.randint(0, 8))}
+            data.append((len(data), rng.randint(0, 5), np.array(sorted(own), "<u4").tobytes()))
+    got = {(r.a, r.b) for r in _prefix_pairs(spark.createDataFrame(data, "node long, label long, shingles binary"), 0.8).collect()}
+    as_set = [set(np.frombuffer(s, "<u4").tolist()) for _, _, s in data]
+    want = {(i, j) for j in range(len(data)) for i in range(j) if data[i][1] != data[j][1] and len(as_set[i] & as_set[j]) >= 0.8 * len(as_set[i] | as_set[j])}
+    assert want and want <= got
+
+
 def test_registers_estimate_probability_jaccard():
     rng = np.random.default_rng(2)
     value = rng.integers(1, 2**63, 300).astype(np.uint64)
