@@ -74,7 +74,7 @@ class Block:
                 tag[self.first[:-1]] = 0
             keys.append(np.where(place >= k - 1, (gram & ~ORDER_MASK) | tag, U64(0)))
         self.keys, inverse = np.unique(np.concatenate(keys) if len(token) else np.zeros(0, U64), return_inverse=True)
-        self.gram = inverse.reshape(order, -1)  # 0 stands for "reaches over the start" unless no such n-gram exists
+        self.gram = inverse.astype(np.int32).reshape(order, -1)  # 0 stands for "reaches over the start" unless no such n-gram exists
         self.whole = np.stack([place >= k - 1 for k in range(1, order + 1)])
 
     def counts(self, train: np.ndarray) -> np.ndarray:
@@ -222,7 +222,7 @@ def _traverse(order: int, n: int, v: int, k: float):
     return run
 
 
-def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, k: float = 4.0, held_out_mod: int = 10, block_bytes: int = 8 << 20, shard_bytes: int = 8 << 20) -> DataFrame:
+def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, k: float = 4.0, held_out_mod: int = 10, block_bytes: int = 3 << 20, shard_bytes: int = 8 << 20) -> DataFrame:
     """Score every text with the automaton learnt from rows whose crc32(id) mod ``held_out_mod`` is not 0.
 
     ``docs`` is read twice and must give the same partitions both times, as a stored table
