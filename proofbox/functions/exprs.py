@@ -95,7 +95,7 @@ def round_half_up_int0(col: Column | str) -> Column:
 
 def points_for(amount: Column | str, rate: str = "0.03") -> Column:
     """Loyalty points: truncate(amount * rate) computed in decimals, never doubles."""
-    return F.floor(_c(amount).cast("decimal(18,2)") * F.lit(rate).cast("decimal(4,2)")).cast("int")
+    return (_c(amount).cast("decimal(18,2)") * F.lit(rate).cast("decimal(4,2)")).cast("int")
 
 
 def net_paid(total: Column | str, used: Column | str, floor_at_zero: bool = True) -> Column:

@@ -15,8 +15,11 @@ from proofbox.streaming import jobs as sj
 
 
 def q_stream_daily(spark, d):
-    """J1 in update mode: every (day, product) the stream touched, latest version."""
-    out = sj.run_available(sj.stream_daily(sj.ledger_stream(spark, d)), "daily", mode="update", keys=["date", "product"])
+    """J1 in update mode: every (day, product) the stream touched, latest version.
+
+    The table is in no date order, so the delay covers the span of its dates and no line is late.
+    """
+    out = sj.run_available(sj.stream_daily(sj.ledger_stream(spark, d), delay="10000 days"), "daily", mode="update", keys=["date", "product"])
     return round_doubles(out)
 
 

@@ -3,8 +3,8 @@
 Every job is a function from a streaming DataFrame to a streaming DataFrame;
 ``run_available`` drives one with ``trigger(availableNow=True)`` into
 parquet under the session's shared checkpoint folder (state and offsets in
-the same folder, so a restarted job resumes exactly) and returns the landed
-table as a batch DataFrame. Each job has a batch twin that is its oracle.
+the same folder; with a caller-given path a restarted job resumes there) and
+returns the landed table as a batch DataFrame. Each job has a batch twin that is its oracle.
 """
 
 from __future__ import annotations
@@ -30,13 +30,12 @@ from proofbox.sources.tables import table_path
 # ------------------------------------------------------------------ sources
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
-    """A driver table read as a file stream (schema taken from the files)."""
-    schema = spark.read.parquet(table_path(sf_dir, name)).schema
-    # a file stream watches a directory; the glob keeps only this table's files
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    """A driver table, one file or a folder of part files, read as a file stream (schema taken from the files)."""
+    path = table_path(sf_dir, name)
+    r = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(sf_dir)
+    return r.parquet(path)
 
 
 def ledger_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,26 +49,29 @@ def actions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ runner
 
-def run_available(stream: DataFrame, name: str, mode: str = "append", keys: Sequence[str] | None = None) -> DataFrame:
+def run_available(stream: DataFrame, name: str, mode: str = "append", keys: Sequence[str] | None = None, path: str | None = None) -> DataFrame:
     """Run ``stream`` until all available input is processed; return the result table.
 
     append: every emitted row is landed. update/complete: each micro-batch's
     rows are landed with their batch id and the result keeps, per ``keys``,
-    the row of the latest batch (an upsert resolved at read time).
+    the row of the latest batch (an upsert resolved at read time). A caller
+    that gives a stable ``path`` resumes from its offsets and state.
     """
     spark = stream.sparkSession
-    base = scratch_path(spark, f"streams/{name}-{uuid.uuid4().hex[:12]}")
+    base = path or scratch_path(spark, f"streams/{name}-{uuid.uuid4().hex[:12]}")
     out, ckpt = f"{base}/out", f"{base}/checkpoint"
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("__batch", F.lit(batch_id).cast("long")).write.mode("append").parquet(out)
+        # a replayed batch replaces its own folder
+        batch.write.mode("overwrite").parquet(f"{out}/__batch={batch_id}")
 
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{out}/__batch=-1")
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", ckpt).trigger(availableNow=True).foreachBatch(land).start()
     q.awaitTermination()
-    try:
-        landed = spark.read.parquet(out)
-    except Exception:  # noqa: BLE001 - nothing was emitted
-        return spark.createDataFrame([], stream.schema)
+    if q.exception() is not None:
+        raise q.exception()
+    schema = T.StructType([*stream.schema.fields, T.StructField("__batch", T.LongType())])
+    landed = spark.read.schema(schema).parquet(out)
     if mode == "append" or not keys:
         return landed.drop("__batch")
     w = Window.partitionBy(*keys).orderBy(F.desc("__batch"))
@@ -85,7 +87,8 @@ def stream_daily(ledger: DataFrame, delay: str = "3 days") -> DataFrame:
     seen are always counted; once the watermark passes a day its state is
     evicted (state stays bounded), and lines for it arriving later are not
     guaranteed to count (Spark's watermark guarantee is one-directional).
-    Run in update mode (every changed day is re-emitted) or append mode
+    ``delay`` must cover the disorder of the input: a ledger in no date order
+    needs one as long as its span. Run in update mode (every changed day is re-emitted) or append mode
     (each day emitted once, when the watermark has closed it).
     """
     # the 1-day tumbling window IS the ledger day: grouping by the day's timestamp (the
@@ -211,7 +214,7 @@ def stream_forecast(requests: DataFrame, daily: DataFrame) -> DataFrame:
     """
     st = latest_state(daily)
     r = requests.select(
-        "request_id", "product", F.to_date("target_date", "yyyy-MM-dd").alias("date"), "forecast_weather",
+        "request_id", "product", F.try_to_date("target_date", "yyyy-MM-dd").alias("date"), "forecast_weather",
         F.col("forecast_temp").cast("double").alias("forecast_temp"),
     ).filter(F.col("date").isNotNull())
     j = r.join(st, "product", "left")

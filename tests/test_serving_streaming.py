@@ -103,3 +103,26 @@ def test_requests_with_fitted_models(spark):
         sv.model_predictor(waste_model, "waste_qty"), lambda f: F.col("waste_same_dow_mean_4")).collect()}
     assert out["r1"].predicted_sold_qty > 0 and out["r1"].confidence_label != "Failed"
     assert out["r2"].confidence_label == "Failed" and out["r2"].recommended_made_qty == 0.0
+
+
+def test_streams_over_split_shuffled_files_equal_the_batch(spark, tmp_path, monkeypatch):
+    from proofbox.plans import all_queries
+    from proofbox.sources.tables import read_table
+
+    sf = "/root/testdata/sf0.001"
+    for name in ("lineitem", "orders", "part"):
+        read_table(spark, sf, name).orderBy(F.rand(3)).repartition(4).write.parquet(str(tmp_path / f"{name}.parquet"))
+    whole = sj.table_stream
+    monkeypatch.setattr(sj, "table_stream", lambda spark, d, name, max_files=None: whole(spark, d, name, 1))
+    q = all_queries()
+    for stream, batch in (("stream_daily", "daily_table"), ("stream_status_counts", "status_counts"), ("stream_stock_position", "stock_position")):
+        got = q[stream](spark, str(tmp_path))
+        want = q[batch](spark, sf).select(got.columns)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), stream
+
+
+def test_points_truncate_toward_zero(spark):
+    from proofbox.functions.exprs import points_for
+
+    rows = spark.createDataFrame([(-20.0,), (20.0,), (0.0,), (100.0,)], "x double").select(points_for("x").alias("p")).collect()
+    assert [r.p for r in rows] == [0, 0, 0, 3]
