@@ -7,7 +7,7 @@ neighbouring words (all pairs of equal words are one feature), and the character
 trained together by stochastic gradient descent (Adagrad steps) in numpy.
 
 Training takes a bounded sample, ``max_train`` labelled rows (those with the smallest
-hashes of their text and id, so the same at every run): workers turn these texts into feature counts,
+hashes of their id, so the same at every run): workers turn these texts into feature counts,
 and one fit reads at most ``max_train`` rows of at most ``max_features`` different features
 each (a longer text gives its most frequent ones; only the fit is bounded). Scoring reads
 every whole text. As the layer is linear, a feature adds a fixed amount to the logit, so
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from proofbox.llm.common import GRAPH, U64, _stream, as_bytes, chunks, crc_mod, mix, slice_hashes, words_of
 
-MIN_N, MAX_N = 3, 4
+MIN_N, MAX_N, PART = 3, 4, 1 << 18
 REPEAT = U64(0x9FB21C651E98DF25)
 _GRAM = [_stream(100 + j, 256) for j in range(MAX_N)]
 
@@ -74,7 +74,7 @@ def _bags(buckets: int, max_features: int):
         for batch in batches:
             data, offsets = as_bytes(batch.column(0))
             ids_out, share_out = [], []
-            for a, b in chunks(offsets):
+            for a, b in chunks(offsets, PART):
                 ids, doc = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], buckets)
                 key, count = np.unique(doc * buckets + ids, return_counts=True)
                 cut = np.searchsorted(key, np.arange(b - a + 1) * buckets)
@@ -129,7 +129,7 @@ def _score(logits, bias: float, fixed: float | None, id_type):
             data, offsets = as_bytes(batch.column(0))
             out = np.full(len(offsets) - 1, 0.5 if fixed is None else fixed)
             if fixed is None:
-                for a, b in chunks(offsets):
+                for a, b in chunks(offsets, PART):
                     ids, doc = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], len(table))
                     total = np.bincount(doc, weights=table[ids], minlength=b - a)
                     size = np.bincount(doc, minlength=b - a)
@@ -143,9 +143,11 @@ def _score(logits, bias: float, fixed: float | None, id_type):
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", buckets: int = 1 << 16, max_train: int = 8_000, max_features: int = 1_000, **fit_options):
     """Fit on at most ``max_train`` labelled rows of ``docs``; returns (logits by bucket, bias, fixed score or None)."""
     y = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
+    # The sample is drawn from ids alone; only its texts, one row for an id, move.
+    drawn = docs.select(F.col(id_col).alias("id")).distinct().join(y, "id").withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(max_train)
     x = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    drawn = x.join(y, "id").select("text", "label", F.xxhash64("id", "text").alias("h"))
-    rows = drawn.orderBy("h").limit(max_train).mapInArrow(_bags(buckets, max_features), "label int, h long, ids binary, share binary").toPandas().sort_values("h")
+    sample = x.join(F.broadcast(drawn), "id").groupBy("id", "label", "h").agg(F.min("text").alias("text"))  # at most ``max_train`` ids are broadcast
+    rows = sample.select("text", "label", "h").mapInArrow(_bags(buckets, max_features), "label int, h long, ids binary, share binary").toPandas().sort_values("h")
     label = rows["label"].to_numpy(np.int64)
     if len(set(label.tolist())) < 2:
         return np.zeros(buckets), 0.0, float(label.mean()) if len(label) else 0.5

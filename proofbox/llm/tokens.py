@@ -22,7 +22,7 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 PIECE = re.compile(rf" ?[{LATIN}]++(?=[\x00-\x40\x5b-\x60\x7b-\x7f]|$)| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
 UNSURE = re.compile(r"<\||[\x00\x1c-\x1f᠎]")
-MAX_PIECES = 1_000_000
+MAX_PIECES = 200_000
 
 
 def default_path() -> str:
