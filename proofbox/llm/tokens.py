@@ -5,7 +5,8 @@ the ids of its pieces, cut where a run of white space ends before its last chara
 character, if it is a space, belongs to the next word) or a run of Latin letters ends. Each distinct piece goes through the
 tokenizers library once per worker; the ids of a text are then gathered by numpy. A text for
 which this cut is not certain (control separators, special-token strings) goes through the
-library whole. The remembered pieces are bounded by ``MAX_PIECES`` and then start anew.
+library whole. At most ``MAX_PIECES`` pieces are remembered; when they are full, only those that
+a later call met again stay (most pieces of natural text occur once).
 """
 
 from __future__ import annotations
@@ -54,11 +55,29 @@ class Encoder:
     def forget(self) -> None:
         self.number: dict[str, int] = {}
         self.flat, self.start = array("I"), array("I", [0])
+        self.again = np.zeros(MAX_PIECES, bool)  # met by a call after the one that learned it
+
+    def _make_room(self) -> None:
+        """Keep the pieces met again since the last time; all go if those fill most of the room."""
+        n = len(self.number)
+        stay = np.flatnonzero(self.again[:n])
+        if len(stay) > MAX_PIECES * 3 // 4:
+            self.forget()
+            return
+        names, flat, start = list(self.number), np.array(self.flat, np.uint32), np.array(self.start, np.int64)
+        size = np.diff(start)
+        kept = np.zeros(n, bool)
+        kept[stay] = True
+        self.forget()
+        self.number = {names[i]: k for k, i in enumerate(stay.tolist())}
+        self.flat.frombytes(flat[np.repeat(kept, size)].tobytes())
+        self.start.frombytes(np.cumsum(size[stay]).astype(np.uint32).tobytes())
 
     def _learn(self, pieces: list[str]) -> None:
         """Ids of pieces that none is known of; many go through the library as lines of one text."""
-        lines = [p for p in pieces if self.line is not None and "\n" not in p and not p.isspace()]
-        other = [p for p in pieces if self.line is None or "\n" in p or p.isspace()]
+        # A piece with a line's end in it is white space alone.
+        other = pieces if self.line is None else [p for p in pieces if p.isspace()]
+        lines = [] if self.line is None else [p for p in pieces if not p.isspace()]
         for lo in range(0, len(lines), 512):
             part = lines[lo : lo + 512]
             ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, np.uint32)
@@ -91,10 +110,15 @@ class Encoder:
             count.append(len(found))
         fresh = set(pieces).difference(self.number)
         if len(self.number) + len(fresh) > MAX_PIECES:
-            self.forget()
-            fresh = set(pieces)
-        self._learn(sorted(fresh))
+            self._make_room()
+            fresh = set(pieces).difference(self.number)
+            if len(self.number) + len(fresh) > MAX_PIECES:
+                self.forget()
+                fresh = set(pieces)
+        before = len(self.number)
+        self._learn(list(fresh))
         known = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
+        self.again[known[known < before]] = True
         start = np.frombuffer(self.start, np.uint32).astype(np.int64)
         first, size = start[known], start[known + 1] - start[known]
         ends = np.concatenate(([0], np.cumsum(size)))
