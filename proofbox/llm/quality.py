@@ -23,7 +23,6 @@ ignored.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -122,20 +121,25 @@ def fit(ids: list[np.ndarray], share: list[np.ndarray], label: np.ndarray, bucke
     return (table @ (layer[:, 1] - layer[:, 0])).astype(np.float64), float(bias[1] - bias[0])
 
 
-def _score(logits, bias: float, fixed: float | None, id_type):
+def _score(logits, bias: float, fixed: float | None, text_at: int, keep_at: list[int]):
+    """Columns ``keep_at`` and the score of the text in column ``text_at``, in batches of at most ``CHUNK`` bytes of text."""
+
     def run(batches):
         table = logits.value
         for batch in batches:
-            data, offsets = as_bytes(batch.column(0))
-            out = np.full(len(offsets) - 1, 0.5 if fixed is None else fixed)
-            if fixed is None:
-                for a, b in chunks(offsets, PART):
-                    ids, doc = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], len(table))
-                    total = np.bincount(doc, weights=table[ids], minlength=b - a)
-                    size = np.bincount(doc, minlength=b - a)
-                    out[a:b] = 1 / (1 + np.exp(-np.clip(total / np.maximum(size, 1) + bias, -500, 500)))
-            cols = [batch.column(i) for i in range(1, batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(out)], names=[*batch.schema.names[1:], "score"])
+            data, offsets = as_bytes(batch.column(text_at))
+            names = [batch.schema.names[i] for i in keep_at]
+            for lo, hi in chunks(offsets):
+                out = np.full(hi - lo, 0.5 if fixed is None else fixed)
+                if fixed is None:
+                    for i, j in chunks(offsets[lo : hi + 1], PART):
+                        a, b = lo + i, lo + j
+                        ids, doc = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], len(table))
+                        total = np.bincount(doc, weights=table[ids], minlength=b - a)
+                        size = np.bincount(doc, minlength=b - a)
+                        out[i:j] = 1 / (1 + np.exp(-np.clip(total / np.maximum(size, 1) + bias, -500, 500)))
+                cols = [batch.column(c).slice(lo, hi - lo) for c in keep_at]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(out)], names=[*names, "score"])
 
     return run
 
@@ -161,9 +165,10 @@ def score_quality(docs: DataFrame, model, text_col: str = "text", keep: list[str
     keep = docs.columns if keep is None else keep
     logits, bias, fixed = model
     shared = docs.sparkSession.sparkContext.broadcast(np.asarray(logits))  # ``buckets`` numbers
-    picked = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("__text"), *[F.col(c) for c in keep])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[1:])
-    return picked.mapInArrow(_score(shared, bias, fixed, None), f"{schema}, score double")
+    # The text goes to the workers once, also where it is kept.
+    picked = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if text_col in keep else [F.col(f"`{text_col}`")]))
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in picked.schema.fields[: len(keep)])
+    return picked.mapInArrow(_score(shared, bias, fixed, picked.columns.index(text_col), list(range(len(keep)))), f"{schema}score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out_mod: int = 5, threshold: float = 0.3, **options) -> DataFrame:
