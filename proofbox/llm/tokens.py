@@ -1,10 +1,13 @@
 """Token ids of whole texts with a public tokenizer file (shared by the token-file and packing operators).
 
 A byte-level BPE splits a text into pre-tokens and merges inside each, so a text's ids are
-the ids of its pieces, cut where a run of white space ends before its last character (that
-character, if it is a space, belongs to the next word) or a run of Latin letters ends. Each distinct piece goes through the
-tokenizers library once per worker; the ids of a text are then gathered by numpy. A text for
-which this cut is not certain (control separators, special-token strings) goes through the
+the ids of its pieces, cut where a pre-token surely begins: where a run of Latin letters
+ends before another ASCII character, where a run of white space begins, before the last
+character of a longer run (a space there belongs to the next word) and after a last
+character that is no space. No cut stands beside white space outside ASCII. numpy finds the
+cuts and Arrow the distinct pieces of a call; each distinct piece goes through the
+tokenizers library, and the ids of the texts are then gathered by numpy. A text for which
+the cuts are not certain (control separators, special-token strings) goes through the
 library whole. At most ``MAX_PIECES`` pieces are remembered; when they are full, only those that
 a later call met again stay (most pieces of natural text occur once).
 """
@@ -12,18 +15,63 @@ a later call met again stay (most pieces of natural text occur once).
 from __future__ import annotations
 
 import os
-import re
 from array import array
+from itertools import repeat
 
 import numpy as np
-
-#: White space of the tokenizer's pattern (Unicode White_Space).
-SPACE = r"\t-\r \x85\xa0  -     　"
-#: A whole run of these letters is a pre-token of its own, whatever ASCII character follows.
-LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
-PIECE = re.compile(rf" ?[{LATIN}]++(?=[\x00-\x40\x5b-\x60\x7b-\x7f]|$)| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
-UNSURE = re.compile(r"<\||[\x00\x1c-\x1f᠎]")
-MAX_PIECES = 200_000
+import pyarrow as pa
+
+from proofbox.llm.common import as_bytes
+
+MAX_PIECES = 400_000
+_SPACE, _LETTER, _OTHER, _UNSURE = 1, 2, 4, 8
+#: ASCII white space; letters; ASCII that is no letter; control characters that engines differ on.
+KIND = np.zeros(256, np.uint8)
+KIND[:128] = _OTHER
+KIND[65:91] = KIND[97:123] = _LETTER
+KIND[9:14] = KIND[32] = _OTHER | _SPACE
+KIND[0] = KIND[28:32] = _OTHER | _UNSURE
+
+
+def _wide_space(data: np.ndarray) -> np.ndarray | None:
+    """Marks the bytes of white space outside ASCII (and of U+180E, which engines differ on)."""
+    out = None
+    for lead, second, last in ((0xC2, (0x85, 0xA0), None), (0xE1, (0x9A,), (0x80,)), (0xE1, (0xA0,), (0x8E,)), (0xE2, (0x80,), (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)), (0xE2, (0x81,), (0x9F,)), (0xE3, (0x80,), (0x80,))):
+        at = np.flatnonzero(data == lead)
+        at = at[np.isin(data[at + 1], second)]
+        if last is not None and len(at):
+            at = at[np.isin(data[at + 2], last)]
+        if len(at):
+            out = np.zeros(len(data), bool) if out is None else out
+            for k in range(2 if last is None else 3):
+                out[at + k] = True
+    return out
+
+
+def cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts of the pieces of some texts in their UTF-8 bytes, texts without certain cuts)."""
+    n = len(data)
+    kind = KIND[data]
+    space, letter = (kind & _SPACE).astype(bool), (kind & _LETTER).astype(bool)
+    letter[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)  # the last bytes of U+00C0 to U+00FF
+    wide = _wide_space(data)
+    blank = space if wide is None else space | wide
+    mark = np.zeros(n + 1, bool)
+    here = mark[1:n]  # a cut before byte i is here[i - 1]
+    here |= letter[:-1] & (kind[1:] & _OTHER).astype(bool)
+    here |= space[1:] & ~blank[:-1]
+    edge = np.zeros(n, bool)  # bytes at which a text begins
+    edge[offsets[:-1][offsets[:-1] < n]] = True
+    if n > 2:
+        here[:-1] |= space[:-2] & space[1:-1] & ~blank[2:] & ~edge[2:]
+    after = space[:-1] & (data[:-1] != 32) & ~blank[1:]
+    if wide is not None:
+        after[1:] &= ~wide[:-2]
+    here |= after
+    mark[:n] |= edge
+    mark[n] = False
+    odd = np.flatnonzero((kind & _UNSURE).astype(bool) | np.append((data[:-1] == 60) & (data[1:] == 124), False))
+    return np.flatnonzero(mark), np.unique(np.searchsorted(offsets, odd, side="right") - 1)
 
 
 def default_path() -> str:
@@ -48,8 +96,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.line = line[0] if len(line) == 1 else None
+        # Bytes of each id: a byte-level vocabulary writes each byte as one character.
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.length = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.length[i] = len(token)
         self.forget()
 
     def forget(self) -> None:
@@ -73,21 +124,28 @@ class Encoder:
         self.flat.frombytes(flat[np.repeat(kept, size)].tobytes())
         self.start.frombytes(np.cumsum(size[stay]).astype(np.uint32).tobytes())
 
+    def _known(self, pieces: list[str]) -> np.ndarray:
+        """The numbers of pieces, -1 where none is known."""
+        return np.fromiter(map(self.number.get, pieces, repeat(-1)), np.int64, len(pieces))
+
     def _learn(self, pieces: list[str]) -> None:
-        """Ids of pieces that none is known of; many go through the library as lines of one text."""
-        # A piece with a line's end in it is white space alone.
-        other = pieces if self.line is None else [p for p in pieces if p.isspace()]
-        lines = [] if self.line is None else [p for p in pieces if not p.isspace()]
-        for lo in range(0, len(lines), 512):
-            part = lines[lo : lo + 512]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.append(np.flatnonzero(ids == self.line), len(ids))
-            if len(ends) != len(part):  # a tokenizer that doesn't keep lines apart
+        """Ids of pieces that none is known of; words go through the library many at a time."""
+        # Words with one space before them, end to end, stay apart; their lengths in bytes show where each ends.
+        words, other = [], []
+        for p in pieces:
+            (words if p[0] == " " and p[1:].split() == [p[1:]] else other).append(p)
+        for lo in range(0, len(words), 64):
+            part = words[lo : lo + 64]
+            whole = "".join(part)
+            ids = np.array(self.tokenizer.encode_batch_fast([whole], add_special_tokens=False)[0].ids, np.uint32)
+            size = [len(p) for p in part] if whole.isascii() else [len(p.encode()) for p in part]
+            reach, wanted = np.cumsum(self.length[ids]), np.cumsum(size)
+            ends = np.searchsorted(reach, wanted) + 1
+            if ends[-1] != len(ids) or not np.array_equal(reach[ends - 1], wanted):  # a tokenizer that doesn't keep words apart
                 other += part
                 continue
-            begin = np.append(0, ends[:-1] + 1)
-            at = len(self.flat) + np.cumsum(ends - begin)
-            self.flat.frombytes(ids[ids != self.line].tobytes())
+            at = len(self.flat) + ends
+            self.flat.frombytes(ids.tobytes())
             self.number.update(zip(part, range(len(self.start) - 1, len(self.start) - 1 + len(part)), strict=True))
             self.start.frombytes(at.astype(np.uint32).tobytes())
         for lo in range(0, len(other), 4096):
@@ -97,35 +155,41 @@ class Encoder:
                 self.flat.extend(coded.ids)
                 self.start.append(len(self.flat))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, offsets): the ids of text i are ids[offsets[i]:offsets[i + 1]]."""
-        pieces, count, whole = [], [], {}
-        for i, text in enumerate(texts):
-            if UNSURE.search(text):
-                whole[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-                count.append(0)
-                continue
-            found = PIECE.findall(text)
-            pieces += found
-            count.append(len(found))
-        fresh = set(pieces).difference(self.number)
-        if len(self.number) + len(fresh) > MAX_PIECES:
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets): the ids of text i are ids[offsets[i]:offsets[i + 1]]. Texts: a list or an Arrow string column; null counts as empty."""
+        data, offsets = as_bytes(pa.array(texts, pa.string()) if isinstance(texts, list) else texts)
+        n = len(offsets) - 1
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
+        at, unsure = cuts(data, offsets)
+        if len(unsure):
+            drop = np.zeros(n, bool)
+            drop[unsure] = True
+            whole = {i: np.array(self.tokenizer.encode(data[offsets[i] : offsets[i + 1]].tobytes().decode(), add_special_tokens=False).ids, np.uint32) for i in unsure.tolist()}
+        column = pa.StringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(data)).astype(np.int32)), pa.py_buffer(data)).dictionary_encode()
+        names, place = column.dictionary.to_numpy(zero_copy_only=False).tolist(), column.indices.to_numpy()
+        known = self._known(names)
+        n_fresh = int((known < 0).sum())
+        if len(self.number) + n_fresh > MAX_PIECES:
             self._make_room()
-            fresh = set(pieces).difference(self.number)
-            if len(self.number) + len(fresh) > MAX_PIECES:
+            known = self._known(names)
+            n_fresh = int((known < 0).sum())
+            if len(self.number) + n_fresh > MAX_PIECES:
                 self.forget()
-                fresh = set(pieces)
-        before = len(self.number)
-        self._learn(list(fresh))
-        known = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
-        self.again[known[known < before]] = True
-        start = np.frombuffer(self.start, np.uint32).astype(np.int64)
-        first, size = start[known], start[known + 1] - start[known]
+                known[:] = -1
+        self.again[known[known >= 0]] = True
+        fresh = np.flatnonzero(known < 0).tolist()
+        if fresh:
+            names = [names[i] for i in fresh]
+            self._learn(names)
+            known[fresh] = self._known(names)
+        start = np.frombuffer(self.start, np.uint32)
+        first, size = start[known].astype(np.int64)[place], (start[known + 1] - start[known]).astype(np.int64)[place]
         ends = np.concatenate(([0], np.cumsum(size)))
-        flat = np.frombuffer(self.flat, np.uint32) if len(self.flat) else np.zeros(0, np.uint32)
-        ids = flat[np.arange(ends[-1]) + np.repeat(first - ends[:-1], size)].copy()
-        offsets = ends[np.concatenate(([0], np.cumsum(np.array(count, np.int64))))]
-        if not whole:
-            return ids, offsets
-        parts = [whole.get(i, ids[offsets[i] : offsets[i + 1]]) for i in range(len(texts))]
+        flat = np.frombuffer(self.flat, np.uint32)
+        ids = flat[np.arange(ends[-1]) + np.repeat(first - ends[:-1], size)]
+        cut = ends[np.searchsorted(at, offsets)]
+        if not len(unsure):
+            return ids, cut
+        parts = [whole[i] if drop[i] else ids[cut[i] : cut[i + 1]] for i in range(n)]
         return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
