@@ -9,6 +9,7 @@ text (or one document, if it is longer).
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -85,6 +86,29 @@ def consecutive(batches, key: str):
         yield held_key, pa.Table.from_batches(held)
 
 
+# ---------------------------------------------------------------- memory of workers
+
+
+def give_back() -> None:
+    """Return what this worker has freed to the system; a worker outlives its task and idles beside other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def tidy(run):
+    """``run`` over a task's batches, then ``give_back``."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 # ---------------------------------------------------------------- text as bytes
 
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofbox.llm.common import LOWER, U64, WORD, as_bytes, chunks, mix, slice_hashes, stored, words_of
+from proofbox.llm.common import LOWER, U64, WORD, as_bytes, chunks, mix, slice_hashes, stored, tidy, words_of
 from proofbox.llm.components import components
 
 _STEP = U64(0xD6E8FEB86659FD93)
@@ -145,7 +145,7 @@ def _tokens(batches):
 
 def _prefix_pairs(rest: DataFrame, threshold: float) -> DataFrame:
     """(a, b): pairs of ``rest`` (node, label, shingles) from different components that no filter rules out."""
-    tokens = stored(rest.mapInArrow(_tokens, "node long, label long, token long"), "near-tokens")
+    tokens = stored(rest.mapInArrow(tidy(_tokens), "node long, label long, token long"), "near-tokens")
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     size = rest.select("node", F.expr("octet_length(shingles) div 4").alias("n"))
     # Rarest first; shingles of one text alone stand before all others and match nothing.
@@ -165,7 +165,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: doc_id, class_id (the smallest id of its class), class_size (rows of the class)."""
     id_type = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("doc_id"))
-    signed = stored(texts.mapInArrow(_sign(shingle, bands, rows), f"doc_id {id_type}, node long, bands array<long>, shingles binary"), "near-signed")
+    signed = stored(texts.mapInArrow(tidy(_sign(shingle, bands, rows)), f"doc_id {id_type}, node long, bands array<long>, shingles binary"), "near-signed")
     members = signed.where("node is not null").select("node", F.explode("bands").alias("band"))
     # Buckets of two nodes or more, with their members (a node once, however many copies).
     shared = members.groupBy("band").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead != last").select("band", "lead")
@@ -177,7 +177,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         with_b = ordered.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
         with_both = with_b.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
-        return with_both.mapInArrow(_similar(threshold), "a long, b long")
+        return with_both.mapInArrow(tidy(_similar(threshold)), "a long, b long")
 
     def unsettled(labels: DataFrame) -> DataFrame:
         """Members of buckets that hold several components."""

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofbox.llm.common import GRAPH, U64, _stream, as_bytes, chunks, crc_mod, mix, slice_hashes, words_of
+from proofbox.llm.common import GRAPH, U64, _stream, as_bytes, chunks, crc_mod, mix, slice_hashes, tidy, words_of
 
 MIN_N, MAX_N, PART = 3, 4, 1 << 18
 REPEAT = U64(0x9FB21C651E98DF25)
@@ -151,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     drawn = docs.select(F.col(id_col).alias("id")).distinct().join(y, "id").withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(max_train)
     x = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sample = x.join(F.broadcast(drawn), "id").groupBy("id", "label", "h").agg(F.min("text").alias("text"))  # at most ``max_train`` ids are broadcast
-    rows = sample.select("text", "label", "h").mapInArrow(_bags(buckets, max_features), "label int, h long, ids binary, share binary").toPandas().sort_values("h")
+    rows = sample.select("text", "label", "h").mapInArrow(tidy(_bags(buckets, max_features)), "label int, h long, ids binary, share binary").toPandas().sort_values("h")
     label = rows["label"].to_numpy(np.int64)
     if len(set(label.tolist())) < 2:
         return np.zeros(buckets), 0.0, float(label.mean()) if len(label) else 0.5
@@ -168,7 +168,7 @@ def score_quality(docs: DataFrame, model, text_col: str = "text", keep: list[str
     # The text goes to the workers once, also where it is kept.
     picked = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if text_col in keep else [F.col(f"`{text_col}`")]))
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in picked.schema.fields[: len(keep)])
-    return picked.mapInArrow(_score(shared, bias, fixed, picked.columns.index(text_col), list(range(len(keep)))), f"{schema}score double")
+    return picked.mapInArrow(tidy(_score(shared, bias, fixed, picked.columns.index(text_col), list(range(len(keep))))), f"{schema}score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out_mod: int = 5, threshold: float = 0.3, **options) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from proofbox.llm.common import as_bytes, chunks
+from proofbox.llm.common import as_bytes, chunks, tidy
 
 # The base patterns, their least lengths and the order of kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -127,7 +127,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """One row per document: doc_id, n_assign, n_access, n_hex, n_novel, base_sha256, spans."""
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("doc_id"))
     id_type = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(_scan, f"doc_id {id_type}, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string")
+    return rows.mapInArrow(tidy(_scan), f"doc_id {id_type}, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string")
 
 
 def redacted(text: str, mark: str) -> str:
@@ -146,10 +146,13 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", leng
 
     def run(batches):
         for batch in batches:
-            texts = [t if t is None else redacted(t, mark) for t in batch.column(place).to_pylist()]
-            yield batch.set_column(place, batch.schema.names[place], pa.array(texts, batch.schema.types[place]))
+            _, offsets = as_bytes(batch.column(place))
+            for a, b in chunks(offsets):
+                part = batch.slice(a, b - a)
+                texts = [t if t is None else redacted(t, mark) for t in part.column(place).to_pylist()]
+                yield part.set_column(place, batch.schema.names[place], pa.array(texts, batch.schema.types[place]))
 
-    out = docs.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema.fields]))
+    out = docs.mapInArrow(tidy(run), T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema.fields]))
     if length_col:
         out = out.withColumn(length_col, F.char_length(F.col(text_col)).cast(docs.schema[length_col].dataType))
     return out

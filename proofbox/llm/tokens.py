@@ -91,6 +91,11 @@ class Encoder:
             cls._held[path] = cls(path)
         return cls._held[path]
 
+    @classmethod
+    def drop(cls, path: str) -> None:
+        """Forget the encoder of this worker, its tokenizer with it."""
+        cls._held.pop(path, None)
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
