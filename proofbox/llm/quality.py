@@ -8,10 +8,10 @@ trained together by stochastic gradient descent (Adagrad steps) in numpy.
 
 Training takes a bounded sample, ``max_train`` labelled rows (those with the smallest
 hashes of their id, so the same at every run): workers turn these texts into feature counts,
-and one fit reads at most ``max_train`` rows of at most ``max_features`` different features
-each (a longer text gives its most frequent ones; only the fit is bounded). Scoring reads
-every whole text. As the layer is linear, a feature adds a fixed amount to the logit, so
-scoring sums one number for each feature instead of a vector.
+and one fit reads all features of these texts (a text has at most ``buckets`` different
+ones, of 8 bytes each). Scoring reads every whole text. As the layer is linear, a feature
+adds a fixed amount to the logit, so scoring sums one number for each feature instead of a
+vector. Buckets that no training text has add nothing.
 
 Nulls and empty texts score with the layer's bias alone (their mean is the zero vector).
 Rows that repeat an id are scored each; a label row with a null id, null label or an id
@@ -66,7 +66,7 @@ def features(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.nd
     return (np.concatenate(ids) >> U64(20)).astype(np.int64) % buckets, np.concatenate(owners)
 
 
-def _bags(buckets: int, max_features: int):
+def _bags(buckets: int):
     """Feature ids and shares of each text, for training."""
 
     def run(batches):
@@ -79,9 +79,8 @@ def _bags(buckets: int, max_features: int):
                 cut = np.searchsorted(key, np.arange(b - a + 1) * buckets)
                 for i, j in zip(cut[:-1], cut[1:], strict=True):
                     share = count[i:j] / max(1, count[i:j].sum())
-                    keep = np.sort(np.argsort(-share, kind="stable")[:max_features])
-                    ids_out.append((key[i:j] % buckets)[keep].astype(np.int32).tobytes())
-                    share_out.append(share[keep].astype(np.float32).tobytes())
+                    ids_out.append((key[i:j] % buckets).astype(np.int32).tobytes())
+                    share_out.append(share.astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(ids_out, pa.binary()), pa.array(share_out, pa.binary())], names=["label", "h", "ids", "share"])
 
     return run
@@ -98,6 +97,9 @@ def fit(ids: list[np.ndarray], share: list[np.ndarray], label: np.ndarray, bucke
     bias = np.log(np.bincount(label, minlength=2) / len(label)).astype(np.float32)
     past_table, past_layer = np.full(buckets, 1e-10), np.full(layer.shape, 1e-6)
     onehot = np.eye(2, dtype=np.float32)[label]
+    met = np.zeros(buckets, bool)
+    for i in ids:
+        met[i] = True
     for _ in range(max(epochs, -(-min_steps * batch // len(ids)))):
         order = rng.permutation(len(ids))
         for lo in range(0, len(order), batch):
@@ -118,7 +120,7 @@ def fit(ids: list[np.ndarray], share: list[np.ndarray], label: np.ndarray, bucke
             table[used] -= rate * slope / np.sqrt(past_table[used])[:, None]
             layer -= rate * layer_slope / np.sqrt(past_layer)
             bias -= 0.25 * rate * error.sum(axis=0)
-    return (table @ (layer[:, 1] - layer[:, 0])).astype(np.float64), float(bias[1] - bias[0])
+    return np.where(met, table @ (layer[:, 1] - layer[:, 0]), 0).astype(np.float64), float(bias[1] - bias[0])
 
 
 def _score(logits, bias: float, fixed: float | None, text_at: int, keep_at: list[int]):
@@ -144,14 +146,14 @@ def _score(logits, bias: float, fixed: float | None, text_at: int, keep_at: list
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", buckets: int = 1 << 16, max_train: int = 8_000, max_features: int = 1_000, **fit_options):
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", buckets: int = 1 << 16, max_train: int = 8_000, **fit_options):
     """Fit on at most ``max_train`` labelled rows of ``docs``; returns (logits by bucket, bias, fixed score or None)."""
     y = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
     # The sample is drawn from ids alone; only its texts, one row for an id, move.
     drawn = docs.select(F.col(id_col).alias("id")).distinct().join(y, "id").withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(max_train)
     x = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sample = x.join(F.broadcast(drawn), "id").groupBy("id", "label", "h").agg(F.min("text").alias("text"))  # at most ``max_train`` ids are broadcast
-    rows = sample.select("text", "label", "h").mapInArrow(tidy(_bags(buckets, max_features)), "label int, h long, ids binary, share binary").toPandas().sort_values("h")
+    rows = sample.select("text", "label", "h").mapInArrow(tidy(_bags(buckets)), "label int, h long, ids binary, share binary").toPandas().sort_values("h")
     label = rows["label"].to_numpy(np.int64)
     if len(set(label.tolist())) < 2:
         return np.zeros(buckets), 0.0, float(label.mean()) if len(label) else 0.5

@@ -1,7 +1,12 @@
 import random
 import zlib
 
-from proofbox.llm.quality import classify
+import numpy as np
+import pyarrow as pa
+
+from proofbox.llm import quality
+from proofbox.llm.common import as_bytes
+from proofbox.llm.quality import classify, features
 
 
 def corpus(n, seed):
@@ -33,3 +38,19 @@ def test_odd_rows(spark):
     got = classify(docs, both).collect()
     assert len(got) == len(rows) and len({r.score for r in got if r.doc_id == 2 or (r.doc_id == 3 and r.score == got[1].score)}) == 1
     assert classify(docs.limit(0), both).count() == 0
+
+
+def test_fit_reads_every_feature_of_a_long_text(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(n)) for n in (900, 400, 30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, quality int")
+    seen, fit = {}, quality.fit
+    monkeypatch.setattr(quality, "fit", lambda ids, share, label, *a, **o: seen.update(ids=ids, share=share) or fit(ids, share, label, *a, **o))
+    logits, _, _ = quality.train(docs, labels)
+    every = [set(features(*as_bytes(pa.array([t])), 1 << 16)[0].tolist()) for t in texts]
+    assert max(map(len, every)) > 1000
+    assert sorted(map(len, every)) == sorted(len(i) for i in seen["ids"]) and all(set(i.tolist()) in every for i in seen["ids"])
+    assert all(abs(s.sum() - 1) < 1e-3 for s in seen["share"])
+    unseen = np.setdiff1d(np.arange(1 << 16), list(set().union(*every)))
+    assert len(unseen) and not logits[unseen].any()
