@@ -6,7 +6,10 @@
   each arrival falls on one of ``m`` registers; a register keeps the shingle that came
   first. Two texts agree on a register with their probability Jaccard similarity. A text's
   shingles stop arriving once their next arrival is later than its latest register.
-* Banding: ``bands`` groups of registers; texts that share a group meet in a bucket.
+  A text that repeats shingles has a second signature, of the same arrivals with weight 1, so
+  that repetition inside a text keeps nobody from its similar texts.
+* Banding: ``bands`` groups of registers of each signature; texts that share a group meet in a
+  bucket, by whichever signature.
 * Verification: the exact Jaccard similarity of the shingle sets (32-bit hashes inside a
   pair), at least ``threshold``.
 
@@ -17,8 +20,8 @@ exact set-similarity join: shingles ordered by their frequency among these texts
 length and positional filters, and only pairs from different components. There a text whose
 own changes alone rule out the threshold meets nobody, so a large group of loosely similar
 texts costs in proportion to its size. A pair at the threshold shares no bucket with
-probability (1 - 0.8^5)^32 = 3e-6 for sets; a similar pair in one component needs no link of
-its own.
+probability (1 - 0.8^5)^32 = 3e-6, by the signatures of weight 1; a similar pair in one
+component needs no link of its own.
 
 Texts with the same words are one node (64-bit hash), so copies meet in the first
 aggregate. Null, empty or wordless texts are alone in their class. Rows that repeat an id
@@ -86,6 +89,15 @@ def signatures(value: np.ndarray, owner: np.ndarray, weight: np.ndarray, n_docs:
     return who.reshape(n_docs, m)
 
 
+def _band_keys(sign: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """The buckets of each signature, one row per document."""
+    sign = sign.reshape(len(sign), bands, rows)
+    key = np.full(sign.shape[:2], 1, U64) * (np.arange(bands, dtype=U64) + U64(1))
+    for r in range(rows):
+        key = mix(key * _STEP + sign[:, :, r])
+    return key
+
+
 def _sign(size: int, bands: int, rows: int):
     def run(batches):
         for batch in batches:
@@ -95,12 +107,19 @@ def _sign(size: int, bands: int, rows: int):
                 s, e, doc = words_of(part, offsets[a : b + 1] - offsets[a], WORD)
                 word, n = slice_hashes(part, s, e), b - a
                 value, owner, weight = shingles(word, doc, n, size)
-                sign = signatures(value, owner, weight, n, bands * rows).reshape(n, bands, rows)
-                key = np.full((n, bands), 1, U64) * (np.arange(bands, dtype=U64) + U64(1))
-                for r in range(rows):
-                    key = mix(key * _STEP + sign[:, :, r])
-                # The node: all words in order, by their places.
+                keys = _band_keys(signatures(value, owner, weight, n, bands * rows), bands, rows)
                 count = np.bincount(doc, minlength=n)
+                none = count == 0
+                # Texts that repeat shingles: also with weight 1, into the same buckets.
+                again = np.unique(owner[weight > 1])
+                mine = np.isin(owner, again)
+                flat = signatures(value[mine], np.searchsorted(again, owner[mine]), np.ones(int(mine.sum())), len(again), bands * rows)
+                at, key = np.repeat(np.arange(n)[~none], bands), keys[~none].reshape(-1)
+                at, key = np.concatenate((at, np.repeat(again, bands))), np.concatenate((key, _band_keys(flat, bands, rows).reshape(-1)))
+                key = key[np.argsort(at, kind="stable")]
+                per_text = np.where(none, 0, bands)
+                per_text[again] += bands
+                # The node: all words in order, by their places.
                 first = np.concatenate(([0], np.cumsum(count)))
                 term = mix(word + mix((np.arange(len(word)) - first[doc]).astype(U64)))
                 total = np.concatenate((np.zeros(1, U64), np.cumsum(term)))
@@ -108,8 +127,7 @@ def _sign(size: int, bands: int, rows: int):
                 cut = np.searchsorted(owner, np.arange(n + 1))
                 small = (value >> U64(32)).astype("<u4")
                 sets = [np.unique(small[i:j]).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
-                none = count == 0
-                key_rows = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(none, 0, bands)))), pa.int32()), pa.array(key[~none].reshape(-1).view(np.int64)))
+                key_rows = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(per_text))), pa.int32()), pa.array(key.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, n), pa.array(node, mask=none), key_rows, pa.array(sets, pa.binary())], names=["doc_id", "node", "bands", "shingles"])
 
     return run

@@ -108,3 +108,14 @@ def test_empty_table_and_repeated_rows(spark):
     rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (3, None), (4, None), (None, "q r s")]
     kept = keep_one(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "5 as band")).collect()
     assert sorted((-1 if r.doc_id is None else r.doc_id) for r in kept) == [-1, 1, 3, 4]
+
+
+def test_repeated_lines_keep_nobody_from_similar_texts(spark):
+    rng = random.Random(8)
+    rows = []
+    for g in range(4):
+        text = [f"g{g}w{i}" for i in range(204)]
+        line = rng.sample(text, 5)
+        rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join(text) + ("\n" + " ".join(line)) * 200), (len(rows) + 2, "\n".join([" ".join(line)] * 150 + [" ".join(text)]))]
+    assert len(brute(rows)) == 4
+    assert classes(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
