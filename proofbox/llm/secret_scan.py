@@ -6,8 +6,9 @@ characters with letters and digits that starts within ``REACH`` characters after
 sensitive word is a candidate; its marginal size is what zstandard needs for it when primed
 with the identifier dictionary and the text around it (``AROUND`` characters on each side,
 without the candidate). Names, paths and repeated identifiers are copied from the dictionary
-and cost little; a candidate that still costs ``NOVELTY`` of its length is incompressible
-there and is reported, unless a base span covers it already.
+and cost little; a candidate that still costs ``NOVELTY`` of its length, or what its own
+alphabet needs (a long key of few characters is entropy-coded), is incompressible there and
+is reported, unless a base span covers it already.
 
 Every text is scanned whole, by itself: no shuffle. Nulls count as empty and give no spans.
 Rows that repeat an id are scanned each. An empty table gives no rows. ``scan`` returns its
@@ -17,6 +18,7 @@ own columns only; ``redact`` keeps those of its input.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 import numpy as np
@@ -52,6 +54,8 @@ IDENTIFIERS = (
     "variable version virtual void volume warning website window workspace 0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 )
 MIN_CANDIDATE, REACH, AROUND, NOVELTY = 16, 48, 256, 0.6
+#: Bytes that zstandard takes besides, as for a run of one character.
+FIXED = 10
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_CANDIDATE},}}")
 #: One of these is in every lower-cased text that ASSIGN or SENSITIVE matches.
 HINTS = ("pass", "secret", "token", "api", "key", "credential", "bearer", "authorization", "signature")
@@ -76,6 +80,11 @@ def marginal_bytes(candidate: str, around: str) -> int:
     return len(pack.compress(candidate.encode())) - len(pack.compress(b""))
 
 
+def novelty_bar(candidate: str) -> float:
+    """The marginal bytes from which ``candidate`` is incompressible."""
+    return min(NOVELTY * len(candidate), len(candidate) * math.log2(len(set(candidate))) / 8 + FIXED)
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     low = text.lower()
     if not any(h in low for h in HINTS):
@@ -92,7 +101,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
             if any(s <= start and end <= e for s, _, e in base):
                 continue
             around = text[max(0, start - AROUND) : start] + text[end : end + AROUND]
-            if marginal_bytes(value, around) >= NOVELTY * len(value):
+            if marginal_bytes(value, around) >= novelty_bar(value):
                 found.append((start, 3, end))
     return found
 

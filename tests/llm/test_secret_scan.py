@@ -54,3 +54,11 @@ def test_scan_and_redact(spark):
 
 def test_empty_table(spark):
     assert scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_keys_of_few_characters_are_novel():
+    rng = random.Random(6)
+    for n in (192, 256, 512):
+        for _ in range(10):
+            assert (18, 3, 18 + n) in spans("the access key is " + "".join(rng.choices("0123456789ABCDEF", k=n)))
+    assert spans("the access key is 0X" + "ZQ" * 20) == spans("the token is " + "Z1" * 40) == []
