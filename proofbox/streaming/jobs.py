@@ -9,6 +9,7 @@ returns the landed table as a batch DataFrame. Each job has a batch twin that is
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -30,11 +31,19 @@ from proofbox.sources.tables import table_path
 # ------------------------------------------------------------------ sources
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
-    """A driver table, one file or a folder of part files, read as a file stream (schema taken from the files)."""
+    """A driver table, one file or a folder of part files, read as a file stream (schema taken from the files).
+
+    A file source watches folders: a table that is one file is read as its parent folder, with a
+    filter that only this file's name passes.
+    """
     path = table_path(sf_dir, name)
     r = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop_path).isDirectory():
+        r = r.option("pathGlobFilter", re.sub(r"([\\*?\[\]{}])", r"\\\1", hadoop_path.getName()))
+        path = hadoop_path.getParent().toString()
     return r.parquet(path)
 
 
