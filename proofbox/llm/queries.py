@@ -1,10 +1,11 @@
-"""Registered queries of this subpackage: op1 to op10, and the pipeline."""
+"""Registered queries of this subpackage: op1 to op13."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from proofbox.llm import decontaminate, license_scan, lm_score, near_dup, packing, quality, repeats, secret_scan, token_file, top_k
+from proofbox.llm import decontaminate, hard_negatives, license_scan, lm_score, near_dup, neighbours, packing, quality, repeats, resample, secret_scan, token_file, top_k
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +52,20 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", label))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_lm_score": op1,
     "op2_top_k": op2,
@@ -62,9 +77,14 @@ QUERIES = {
     "op8_token_file": op8,
     "op9_best_fit_packing": op9,
     "op10_license_scan": op10,
+    "op11_hard_negatives": op11,
+    "op12_target_resampling": op12,
+    "op13_nearest_neighbours": op13,
 }
 ORACLE: dict[str, str] = {
     "op2_top_k": top_k.SQL,
     "op4_decontamination": decontaminate.SQL,
     "op10_license_scan": license_scan.SQL,
+    "op11_hard_negatives": hard_negatives.SQL,
+    "op12_target_resampling": resample.SQL,
 }
