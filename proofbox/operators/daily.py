@@ -116,40 +116,22 @@ def drop_null_keys(df: DataFrame, keys: Sequence[str] = ("date", "product")) ->
     return df.dropna(subset=list(keys))
 
 
-def first_valid(col: str, ordinal: str | None):
-    """First non-null value of ``col`` in input order.
-
-    ``min_by`` over the ordinal, with the ordinal nulled where the value is
-    null, is order-independent and partial-aggregatable (unlike ``first``).
-    """
-    if ordinal is None:
-        return F.first(col, ignorenulls=True).alias(col)
-    return F.min_by(F.col(col), F.when(F.col(col).isNotNull(), F.col(ordinal))).alias(col)
+TEMPS = ("temp_avg", "temp_max", "temp_min")
 
 
-def daily_table(ledger: DataFrame, ordinal: str | None = "line_ord") -> DataFrame:
-    """Per (date, product) sums of the sign-split quantities, counts and flags.
+def line_sums(ledger: DataFrame, ordinal: str | None = "line_ord") -> DataFrame:
+    """Sums per (date, product, weather) of the lines with a date and a product, with the first
+    ordinal of the weather and of each temperature (D2).
 
-    ``ordinal`` names a column giving input order for the first-valid weather
-    and temperature (D2); without one, any valid value is taken. Null keys are
-    dropped before the aggregation (same result, less shuffle).
-
-    Plan shape: the ledger-sized aggregation groups by (date, product,
-    weather), so every aggregation buffer is fixed-width and Spark runs it as
-    a map-side partial + final HASH aggregate (a string such as weather in a
-    buffer would force a sort-based aggregate). A second, daily-sized
-    aggregation folds the few weather groups of each (date, product) together.
+    Grouping by weather keeps every aggregation buffer fixed-width, so Spark runs a map-side partial + final HASH
+    aggregate (a string such as weather in a buffer would force a sort-based one). The rows are partial sums: those of
+    several inputs may be put together and folded.
     """
     df = ensure_columns(ledger)
-    if ordinal is not None and ordinal not in df.columns:
-        ordinal = None
-    df = split_sign(drop_null_keys(df))
-    if ordinal is None:
-        df = df.withColumn("__ord", F.lit(0).cast("long"))
-        ordinal = "__ord"
-    o = F.col(ordinal)
-    temps = ("temp_avg", "temp_max", "temp_min")
-    lvl1 = df.groupBy("date", "product", "weather").agg(
+    if ordinal is None or ordinal not in df.columns:
+        df, ordinal = df.withColumn("__ord", F.lit(0).cast("long")), "__ord"
+    df, o = split_sign(drop_null_keys(df)), F.col(ordinal)
+    return df.groupBy("date", "product", "weather").agg(
         F.count("qty").alias("n"),
         F.sum("is_positive").alias("npos"),
         F.sum("is_negative").alias("nneg"),
@@ -158,14 +140,26 @@ def daily_table(ledger: DataFrame, ordinal: str | None = "line_ord") -> DataFram
         F.sum("positive_sales").alias("gross"),
         F.sum("negative_sales").alias("negs"),
         F.min(F.when(F.col("weather").isNotNull(), o)).alias("w_ord"),
-        *[F.min(F.when(F.col(t).isNotNull(), o)).alias(f"{t}__ord") for t in temps],
-        *[F.min_by(F.col(t), F.when(F.col(t).isNotNull(), o)).alias(t) for t in temps],
+        *[F.min(F.when(F.col(t).isNotNull(), o)).alias(f"{t}__ord") for t in TEMPS],
+        *[F.min_by(F.col(t), F.when(F.col(t).isNotNull(), o)).alias(t) for t in TEMPS],
     )
-    gross_t = dict(lvl1.dtypes)["gross"]
-    # the folded (daily-sized) rows are hash-partitioned by product: the second
-    # aggregation needs no exchange of its own, and the output already has the
-    # distribution every per-product window over the daily table requires
-    agg = lvl1.repartition("product").groupBy("date", "product").agg(
+
+
+def merge_sums(sums: DataFrame) -> DataFrame:
+    """Partial sums of several inputs as one row per (date, product, weather)."""
+    types = dict(sums.dtypes)
+    merged = sums.groupBy("date", "product", "weather").agg(
+        *[F.sum(c).cast(types[c]).alias(c) for c in ("n", "npos", "nneg", "sold", "neg", "gross", "negs")],
+        *[F.min(c).alias(c) for c in ("w_ord", *(f"{t}__ord" for t in TEMPS))],
+        *[F.min_by(t, f"{t}__ord").alias(t) for t in TEMPS],
+    )
+    return merged.select(sums.columns)
+
+
+def fold_days(sums: DataFrame) -> DataFrame:
+    """The daily table from partial sums: a second, daily-sized aggregation folds the weather groups of each (date, product)."""
+    gross_t = dict(sums.dtypes)["gross"]
+    agg = sums.groupBy("date", "product").agg(
         F.sum("n").cast("int").alias("source_row_count"),
         F.sum("npos").cast("int").alias("positive_row_count"),
         (F.sum("npos") > 0).cast("int").alias("has_positive_row"),
@@ -176,11 +170,27 @@ def daily_table(ledger: DataFrame, ordinal: str | None = "line_ord") -> DataFram
         F.sum("gross").cast(gross_t).alias("gross_sales"),
         F.sum("negs").cast(gross_t).alias("raw_waste_value"),
         F.min_by("weather", "w_ord").alias("weather"),
-        *[F.min_by(t, f"{t}__ord").alias(t) for t in temps],
+        *[F.min_by(t, f"{t}__ord").alias(t) for t in TEMPS],
     )
     return derive_daily(agg)
 
 
+def daily_table(ledger: DataFrame, ordinal: str | None = "line_ord", by_product: bool = True) -> DataFrame:
+    """Per (date, product) sums of the sign-split quantities, counts and flags.
+
+    ``ordinal`` names a column giving input order for the first-valid weather
+    and temperature (D2); without one, any valid value is taken. Null keys are
+    dropped before the aggregation (same result, less shuffle).
+
+    Two hash aggregates: the ledger-sized one per (date, product, weather), and the daily-sized fold. With
+    ``by_product`` the folded rows are hash-partitioned by product in between: the fold then needs no exchange of its own, and
+    the output has the distribution that per-product windows need. A consumer without such windows
+    leaves it out, so that a hot product does not meet in one task.
+    """
+    sums = line_sums(ledger, ordinal)
+    return fold_days(sums.repartition("product") if by_product else sums)
+
+
 def derive_daily(agg: DataFrame) -> DataFrame:
     """B9 + B10 on the aggregated rows, projected to the 19-column contract."""
     waste = F.abs("raw_waste_qty")

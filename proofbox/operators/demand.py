@@ -3,20 +3,16 @@ what-if scoring (B3, B4, B7, B8, C5, C6, D3-D7, I2-I4, A8, A9).
 
 Every statistic is a ``groupBy(product)`` aggregate that Spark computes with
 map-side partial aggregation, so a product holding a third of the ledger
-costs one partial row per task, never a task full of raw rows. The only
-Python step is the 9x9 solve in D7, which runs on ONE row of sufficient
-statistics per product (``mapInPandas``, no extra shuffle).
+costs one partial row per task, never a task full of raw rows. The least-squares
+fit (D7) is a closed form over sums per (product, weekday).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from proofbox.functions.exprs import WEEKDAYS, parse_date, product_key, rain_flag, round_half_up_int0
 
@@ -133,113 +129,99 @@ def waste_stats(df: DataFrame, min_rows: int = 2) -> DataFrame:
 
 # ------------------------------------------------------------------ demand fit
 
-def design_columns(df: DataFrame) -> DataFrame:
-    """Regressors of the legacy model: 7 weekday dummies, rain flag (case-sensitive), temp."""
-    wd = F.weekday("date")
-    return df.select(
-        "product",
-        "qty",
-        *[(wd == i).cast("double").alias(k) for i, k in enumerate(DAY_KEYS)],
-        rain_flag(F.coalesce(F.col("weather").cast("string"), F.lit("nan"))).cast("double").alias("is_rain"),
-        F.col("temp").cast("double").alias("temp"),
-    )
+#: Share of a sum of squares below which its within-weekday part counts as zero.
+RANK_SHARE = 1e-9
 
 
-def sufficient_stats(x: DataFrame) -> DataFrame:
-    """ONE partial aggregate per product over the design rows: row count and
-    waste totals over every row, and over rows with qty > 0 the regression's
-    n, sum x, sum x x^T (upper triangle), sum y, sum x y and null temperatures."""
-    k = len(REGRESSORS)
-    q = F.col("qty")
+def weekday_sums(df: DataFrame) -> DataFrame:
+    """Per (product, weekday): row and waste totals over every row, and over rows with qty > 0
+    the count, sums and products of qty, rain (0/1) and temp. Fixed-width sums, so one partial row per key and task."""
+    q, temp = F.col("qty"), F.col("temp").cast("double")
+    rain = rain_flag(F.coalesce(F.col("weather").cast("string"), F.lit("nan"))).cast("double")
     pos = q > 0
 
-    def psum(c: Column) -> Column:
-        return F.sum(F.when(pos, c))
+    def total(c: Column, where: Column = pos) -> Column:
+        return F.coalesce(F.sum(F.when(where, c)), F.lit(0.0))
 
-    aggs = [
-        F.count(F.lit(1)).alias("rows"),
-        F.sum(F.when(pos, q).otherwise(F.lit(0.0))).alias("total_sold"),
-        F.sum(F.when(q < 0, -q).otherwise(F.lit(0.0))).alias("total_waste"),
-        F.count_if(pos).alias("n"),
-        psum(q).alias("sy"),
-        F.count_if(pos & F.col("temp").isNull()).alias("n_null_temp"),
-    ]
-    aggs += [psum(F.col(r)).alias(f"s_{i}") for i, r in enumerate(REGRESSORS)]
-    aggs += [psum(F.col(REGRESSORS[i]) * q).alias(f"sy_{i}") for i in range(k)]
-    aggs += [psum(F.col(REGRESSORS[i]) * F.col(REGRESSORS[j])).alias(f"ss_{i}_{j}") for i in range(k) for j in range(i, k)]
-    return x.groupBy("product").agg(*aggs)
-
-
-FIT_SCHEMA = T.StructType(
-    [
-        T.StructField("product", T.StringType()),
-        T.StructField("n_fit_rows", T.LongType()),
-        T.StructField("base_bias", T.DoubleType()),
-        T.StructField("weights", T.MapType(T.StringType(), T.DoubleType())),
-        T.StructField("fit_status", T.StringType()),
-        T.StructField("waste_risk", T.DoubleType()),
-        T.StructField("avg_made", T.DoubleType()),
-    ]
-)
-
-
-def _round(v: float, dp: int) -> float:
-    # half-even on the shortest decimal form, as bround_dec does JVM-side
-    from decimal import ROUND_HALF_EVEN, Decimal
-
-    return float(Decimal(repr(float(v))).quantize(Decimal(1).scaleb(-dp), rounding=ROUND_HALF_EVEN))
-
-
-def solve_stats(stats: pd.DataFrame) -> pd.DataFrame:
-    """Minimum-norm least squares with intercept from one row of sums per product,
-    plus the waste statistics (D6) from the same row."""
-    k = len(REGRESSORS)
-    out = []
-    for _, r in stats.iterrows():
-        n = int(r["n"])
-        rows = int(r["rows"])
-        waste_risk = _round(float(r["total_waste"]) / rows, 1)
-        avg_made = _round((float(r["total_sold"]) + float(r["total_waste"])) / rows, 1)
-        tail = (waste_risk, avg_made)
-        if n <= 2:
-            out.append((r["product"], n, 0.0, {}, "too_few_rows", *tail))
-            continue
-        if int(r["n_null_temp"]) > 0:
-            out.append((r["product"], n, float(r["sy"]) / n, {}, "fit_failed", *tail))
-            continue
-        s = np.array([r[f"s_{i}"] for i in range(k)], dtype=float)
-        sxy = np.array([r[f"sy_{i}"] for i in range(k)], dtype=float)
-        g = np.empty((k, k))
-        for i in range(k):
-            for j in range(i, k):
-                g[i, j] = g[j, i] = r[f"ss_{i}_{j}"]
-        xbar, ybar = s / n, float(r["sy"]) / n
-        cxx = g - n * np.outer(xbar, xbar)
-        cxy = sxy - n * xbar * ybar
-        coef = np.linalg.pinv(cxx, rcond=1e-10, hermitian=True) @ cxy
-        intercept = ybar - float(xbar @ coef)
-        weights = {REGRESSORS[i]: _round(coef[i], 2) for i in range(k)}
-        out.append((r["product"], n, _round(intercept, 2), weights, "ok", *tail))
-    return pd.DataFrame(out, columns=FIT_SCHEMA.fieldNames())
+    return df.groupBy("product", F.weekday("date").alias("wd")).agg(
+        F.count(F.lit(1)).alias("rows"), total(q).alias("sold"), total(-q, q < 0).alias("waste"),
+        F.count_if(pos).alias("n"), F.count_if(pos & temp.isNull()).alias("n_null"),
+        total(q).alias("sy"), total(rain).alias("sr"), total(temp).alias("st"), total(rain * temp).alias("srt"), total(temp * temp).alias("stt"),
+        total(rain * q).alias("sry"), total(temp * q).alias("sty"),
+    )
 
 
 def fit_demand(df: DataFrame, min_rows: int = 2) -> DataFrame:
-    """D7 (+ D6): per product, least squares of qty on the regressors over rows
-    with qty > 0, and the waste statistics, from ONE aggregate pass.
+    """D7 (+ D6): per product, least squares of qty on weekday dummies, rain and temperature over rows
+    with qty > 0 (minimum norm of the centred problem, as ``lstsq`` gives it), and the waste statistics.
+
+    The closed form of the within-group estimator: centred inside each weekday, only rain and temperature are
+    left, a 2 x 2 system of within-weekday sums; the weekday effects are the weekdays' mean residuals,
+    centred over the weekdays seen (unseen ones get 0). Where rain or temperature does not vary inside the weekdays, or one
+    follows from the other there, the system has rank 1 or 0, and the remaining freedom goes to the smallest
+    squared norm of all coefficients: along one direction (rank 1), or a ridge of weight 1 over the weekday means (rank 0).
 
     Products with fewer than ``min_rows`` ledger rows are skipped; <= 2 positive
     rows -> base 0 and no weights; a null temperature makes the fit fail ->
     base = mean qty, no weights (the legacy behaviour). Coefficients 2 dp.
-    The Python step sees one row per product (``mapInPandas`` over the
-    aggregate's output, no extra shuffle).
+    Two hash aggregates, (product, weekday), then product over at most 7 rows each; no Python.
     """
-    stats = sufficient_stats(design_columns(df.dropna(subset=["date"]))).filter(F.col("rows") >= min_rows)
-
-    def run(it):
-        for pdf in it:
-            yield solve_stats(pdf.fillna({c: 0.0 for c in pdf.columns if c != "product"}))
-
-    return stats.mapInPandas(run, FIT_SCHEMA)
+    d = weekday_sums(df.dropna(subset=["date"]))
+    c, seen = F.col, F.col("n") > 0
+
+    def over(x: Column) -> Column:
+        return F.coalesce(F.sum(F.when(seen, x)), F.lit(0.0))
+
+    d = d.withColumns({m: F.when(seen, c(f"s{m[1]}") / c("n")) for m in ("my", "mr", "mt")})
+    within = {"r_r": ("sr", "mr", "mr"), "r_t": ("srt", "mr", "mt"), "t_t": ("stt", "mt", "mt"), "r_y": ("sry", "mr", "my"), "t_y": ("sty", "mt", "my")}
+    products = {"rr": ("mr", "mr"), "rt": ("mr", "mt"), "tt": ("mt", "mt"), "ry": ("mr", "my"), "ty": ("mt", "my")}
+    g = d.groupBy("product").agg(
+        F.sum("rows").alias("rows"), F.sum("sold").alias("sold"), F.sum("waste").alias("waste"), F.sum("n").alias("n"), F.sum("n_null").alias("n_null"),
+        *[F.sum(f"s{v}").alias(f"s{v}") for v in "yrt"], F.sum("stt").alias("stt"), F.count_if(seen).alias("k"),
+        *[over(c(total) - c("n") * c(x) * c(y)).alias(name) for name, (total, x, y) in within.items()],
+        *[over(c(m)).alias(m) for m in ("my", "mr", "mt")], *[over(c(x) * c(y)).alias(name) for name, (x, y) in products.items()],
+        F.map_from_entries(F.collect_list(F.when(seen, F.struct("wd", F.struct("n", "my", "mr", "mt"))))).alias("days"),
+    ).filter(c("rows") >= min_rows)
+    # Moments of the weekday means about their own means.
+    g = g.withColumns({name: c(name) - c(x) * c(y) / F.greatest(c("k"), F.lit(1)) for name, (x, y) in products.items()})
+    r_ok, t_ok = c("r_r") > RANK_SHARE * c("sr"), c("t_t") > RANK_SHARE * c("stt")
+    g = g.withColumns({"a": F.when(r_ok, c("r_r")).otherwise(0.0), "b": F.when(r_ok & t_ok, c("r_t")).otherwise(0.0), "e": F.when(t_ok, c("t_t")).otherwise(0.0)})
+    det, trace = c("a") * c("e") - c("b") * c("b"), c("a") + c("e")
+    full = det > RANK_SHARE * c("a") * c("e")
+    ridge = (1 + c("rr")) * (1 + c("tt")) - c("rt") * c("rt")
+    # Rank 1: a solution, and the direction (u, v) that stays free.
+    g = g.withColumns({
+        "rank": F.when(full, 2).when(trace > 0, 1).otherwise(0),
+        "b1": F.when(full, (c("e") * c("r_y") - c("b") * c("t_y")) / det).when(trace > 0, (c("a") * c("r_y") + c("b") * c("t_y")) / (trace * trace))
+        .otherwise(((1 + c("tt")) * c("ry") - c("rt") * c("ty")) / ridge),
+        "b2": F.when(full, (c("a") * c("t_y") - c("b") * c("r_y")) / det).when(trace > 0, (c("b") * c("r_y") + c("e") * c("t_y")) / (trace * trace))
+        .otherwise(((1 + c("rr")) * c("ty") - c("rt") * c("ry")) / ridge),
+        "u": F.when(c("a") > 0, -c("b")).otherwise(F.lit(1.0)), "v": F.when(c("a") > 0, c("a")).otherwise(F.lit(0.0)),
+    })
+    along = c("u") * c("b1") + c("v") * c("b2") - c("u") * (c("ry") - c("b1") * c("rr") - c("b2") * c("rt")) - c("v") * (c("ty") - c("b1") * c("rt") - c("b2") * c("tt"))
+    length = c("u") * c("u") + c("v") * c("v") + c("u") * c("u") * c("rr") + 2 * c("u") * c("v") * c("rt") + c("v") * c("v") * c("tt")
+    g = g.withColumn("move", F.when(c("rank") == 1, along / length).otherwise(0.0))
+    g = g.withColumns({"b1": c("b1") - c("move") * c("u"), "b2": c("b2") - c("move") * c("v")})
+    g = g.withColumns({m: c(m) / F.greatest(c("k"), F.lit(1)) for m in ("my", "mr", "mt")})
+
+    def effect(i: int) -> Column:
+        day = F.try_element_at(c("days"), F.lit(i))
+        return F.when(day.isNotNull(), (day["my"] - c("my")) - c("b1") * (day["mr"] - c("mr")) - c("b2") * (day["mt"] - c("mt"))).otherwise(0.0)
+
+    g = g.withColumns({f"e{i}": effect(i) for i in range(7)})
+    share = [F.coalesce(F.try_element_at(c("days"), F.lit(i))["n"], F.lit(0)) / c("n") for i in range(7)]
+    base = c("sy") / c("n") - c("b1") * c("sr") / c("n") - c("b2") * c("st") / c("n")
+    for i in range(7):
+        base = base - share[i] * c(f"e{i}")
+    weights = F.map_from_arrays(F.array(*[F.lit(k) for k in REGRESSORS]), F.array(*[bround_dec(c(x), 2) for x in [*(f"e{i}" for i in range(7)), "b1", "b2"]]))
+    few, failed = c("n") <= 2, c("n_null") > 0
+    return g.select(
+        "product", c("n").alias("n_fit_rows"),
+        F.when(few, F.lit(0.0)).when(failed, c("sy") / c("n")).otherwise(bround_dec(base, 2)).alias("base_bias"),
+        F.when(few | failed, F.create_map().cast("map<string,double>")).otherwise(weights).alias("weights"),
+        F.when(few, "too_few_rows").when(failed, "fit_failed").otherwise("ok").alias("fit_status"),
+        bround_dec(c("waste") / c("rows"), 1).alias("waste_risk"), bround_dec((c("sold") + c("waste")) / c("rows"), 1).alias("avg_made"),
+    )
 
 
 def coefficients(fit: DataFrame, waste: DataFrame | None = None) -> DataFrame:

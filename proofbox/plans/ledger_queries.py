@@ -27,7 +27,7 @@ def daily_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_daily_table(spark, sf_dir):
-    return round_doubles(daily(spark, sf_dir))
+    return round_doubles(dl.daily_table(fx.ledger(spark, sf_dir), by_product=False))
 
 
 def q_daily_from_raw(spark, sf_dir):
@@ -268,7 +268,7 @@ def features_sql(columns: list[str] | None = None, extra_ctes=(), rounded: bool
     return with_ctes(ctes, f"select {sel} from f3")
 
 
-def _daily_sql(ctes) -> str:
+def daily_sql(ctes) -> str:
     return with_ctes(list(ctes) + [DAILY_CTE], f"select {_select_rounded(dl.DAILY_COLUMNS)} from daily")
 
 
@@ -302,12 +302,12 @@ WEEKDAY_SQL = ", ".join(
 )
 
 ORACLE = {
-    "daily_table": _daily_sql(LEDGER_CTES),
+    "daily_table": daily_sql(LEDGER_CTES),
     "daily_from_raw": _raw_daily_sql(),
     "daily_from_csv": _raw_daily_sql(),
-    "daily_written": _daily_sql(LEDGER_CTES),
-    "daily_ordered": _daily_sql(LEDGER_CTES),
-    "panel_union": _daily_sql(LEDGER_CTES),
+    "daily_written": daily_sql(LEDGER_CTES),
+    "daily_ordered": daily_sql(LEDGER_CTES),
+    "panel_union": daily_sql(LEDGER_CTES),
     "features": features_sql(),
     "feature_lags": _subset(_names(_lag_sql())),
     "feature_rolling_mean": _subset(_names(_rm_sql())),

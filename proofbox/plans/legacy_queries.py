@@ -2,9 +2,8 @@
 
 The scoring oracle needs SQL-computable coefficients, so ``standin_coefficients``
 derives them by plain aggregation (mean, weekday and rain differences, the
-simple temperature slope). The least-squares fit (D7) has no SQL form and is
-registered without an oracle; it is checked against the normal equations in
-the tests.
+simple temperature slope). The least-squares fit (D7) has its own SQL, the same
+closed form; the tests hold it against ``numpy.linalg.lstsq``.
 """
 
 from __future__ import annotations
@@ -155,12 +154,12 @@ def q_score_scenarios(spark, sf_dir):
 
 
 def q_demand_fit(spark, sf_dir):
-    """D7 + D6 (rows-only): least-squares coefficients and waste statistics per product."""
+    """D7 + D6: least-squares coefficients and waste statistics per product."""
     return round_doubles(_flat_coeffs(dm.coefficients(dm.fit_demand(legacy_typed(spark, sf_dir)))))
 
 
 def q_demand_scores(spark, sf_dir):
-    """D7 -> I4 (rows-only): fitted coefficients scored on every observed day."""
+    """D7 -> I4: fitted coefficients scored on every observed day."""
     coeffs = dm.coefficients(dm.fit_demand(legacy_typed(spark, sf_dir)))
     return round_doubles(dm.score_scenarios(None, coeffs, _scenarios(spark, sf_dir)).select(*SCORE_COLS))
 
@@ -251,27 +250,87 @@ def _r(cols):
 
 COEF_COLS = ["base_bias"] + [f"w_{k}" for k in dm.REGRESSORS] + ["waste_risk", "avg_made"]
 
-SCORE_SQL = with_ctes(
-    list(LEDGER_CTES) + [DAILY_CTE, LEG] + COEF_CTES + [
+
+def _fit_ctes() -> list[tuple[str, str]]:
+    """D7 in SQL: within-weekday sums, the 2 x 2 system and its rank 1 and 0 forms."""
+    rain = "case when coalesce(weather, 'nan') like '%Rain%' or coalesce(weather, 'nan') like '%Snow%' then 1.0 else 0.0 end"
+    sums = {"sy": "qty", "sr": "rain", "st": "temp", "srt": "rain * temp", "stt": "temp * temp", "sry": "rain * qty", "sty": "temp * qty"}
+    within = {"r_r": "sr - n * mr * mr", "r_t": "srt - n * mr * mt", "t_t": "stt - n * mt * mt", "r_y": "sry - n * mr * my", "t_y": "sty - n * mt * my"}
+    moments = {"rr": ("mr", "mr"), "rt": ("mr", "mt"), "tt": ("mt", "mt"), "ry": ("mr", "my"), "ty": ("mt", "my")}
+    eps = "1e-9"
+    days = ", ".join(f"max(case when wd = {i} then {m} end) as {m}{i}" for i in range(7) for m in ("n", "my", "mr", "mt"))
+    effects = ", ".join(f"case when n{i} > 0 then (my{i} - my) - b1 * (mr{i} - mr) - b2 * (mt{i} - mt) else 0.0 end as e{i}" for i in range(7))
+    base = "sy / n - b1 * sr / n - b2 * st / n" + "".join(f" - coalesce(n{i}, 0) / n * e{i}" for i in range(7))
+    few = "n <= 2"
+    cols = [(f"w_day_{d}", f"e{i}") for i, d in enumerate(WEEKDAYS)] + [("w_is_rain", "b1"), ("w_temp", "b2")]
+    return [
+        ("fx", f"select product, cast(isodow(date) - 1 as integer) as wd, qty, temp, {rain} as rain from leg where date is not null"),
         (
-            "sc",
-            """select d.product, d.date, dayname(d.date) as day_name, d.weather, d.temp_avg as temp,
-  c.product is not null as has_model, c.*
-from daily d left join coef c on replace(d.product, ' ', '') = replace(c.product, ' ', '')""",
+            "f1",
+            "select product, wd, count(*) as rows_, coalesce(sum(qty) filter (where qty > 0), 0.0) as sold, coalesce(sum(-qty) filter (where qty < 0), 0.0) as waste, "
+            "count(*) filter (where qty > 0) as n, count(*) filter (where qty > 0 and temp is null) as n_null, "
+            + ", ".join(f"coalesce(sum({e}) filter (where qty > 0), 0.0) as {k}" for k, e in sums.items()) + " from fx group by product, wd",
+        ),
+        ("f2", "select *, " + ", ".join(f"case when n > 0 then s{m} / n end as m{m}" for m in "yrt") + " from f1"),
+        (
+            "f3",
+            "select product, sum(rows_) as rows_, sum(sold) as sold, sum(waste) as waste, sum(n) as n, sum(n_null) as n_null, sum(sy) as sy, sum(sr) as sr, sum(st) as st, sum(stt) as stt, "
+            "count(*) filter (where n > 0) as k, " + ", ".join(f"coalesce(sum({e}) filter (where n > 0), 0.0) as {k}" for k, e in within.items()) + ", "
+            + ", ".join(f"coalesce(sum({m}) filter (where n > 0), 0.0) as {m}" for m in ("my", "mr", "mt")) + ", "
+            + ", ".join(f"coalesce(sum({x} * {y}) filter (where n > 0), 0.0) as p{k}" for k, (x, y) in moments.items()) + f", {days} from f2 group by product having sum(rows_) >= 2",
+        ),
+        (
+            "f4",
+            "select *, " + ", ".join(f"p{k} - {x} * {y} / greatest(k, 1) as {k}" for k, (x, y) in moments.items())
+            + f", case when r_r > {eps} * sr then r_r else 0.0 end as a, case when r_r > {eps} * sr and t_t > {eps} * stt then r_t else 0.0 end as b, case when t_t > {eps} * stt then t_t else 0.0 end as e from f3",
         ),
         (
-            "eff",
-            """select product, date, day_name, weather, temp, has_model, base_bias, waste_risk, avg_made,
+            "f5",
+            f"""select *, case when a * e - b * b > {eps} * a * e then 2 when a + e > 0 then 1 else 0 end as rank,
+  case when a * e - b * b > {eps} * a * e then (e * r_y - b * t_y) / (a * e - b * b) when a + e > 0 then (a * r_y + b * t_y) / ((a + e) * (a + e))
+    else ((1 + tt) * ry - rt * ty) / ((1 + rr) * (1 + tt) - rt * rt) end as c1,
+  case when a * e - b * b > {eps} * a * e then (a * t_y - b * r_y) / (a * e - b * b) when a + e > 0 then (b * r_y + e * t_y) / ((a + e) * (a + e))
+    else ((1 + rr) * ty - rt * ry) / ((1 + rr) * (1 + tt) - rt * rt) end as c2,
+  case when a > 0 then -b else 1.0 end as u, case when a > 0 then a else 0.0 end as v from f4""",
+        ),
+        (
+            "f6",
+            """select * exclude (my, mr, mt), my / greatest(k, 1) as my, mr / greatest(k, 1) as mr, mt / greatest(k, 1) as mt,
+  case when rank = 1 then (u * c1 + v * c2 - u * (ry - c1 * rr - c2 * rt) - v * (ty - c1 * rt - c2 * tt)) / (u * u + v * v + u * u * rr + 2 * u * v * rt + v * v * tt) else 0.0 end as move from f5""",
+        ),
+        ("f7", "select *, c1 - move * u as b1, c2 - move * v as b2 from f6"),
+        ("f8", f"select *, {effects} from f7"),
+        (
+            "coef",
+            f"select product, case when {few} then 0.0 when n_null > 0 then sy / n else {_bround(base, 2)} end as base_bias, "
+            + ", ".join(f"case when {few} or n_null > 0 then 0.0 else {_bround(e, 2)} end as {k}" for k, e in cols)
+            + f", {_bround('waste / rows_', 1)} as waste_risk, {_bround('(sold + waste) / rows_', 1)} as avg_made from f8",
+        ),
+    ]
+
+
+def _score_sql(coef_ctes: list[tuple[str, str]]) -> str:
+    return with_ctes(
+        list(LEDGER_CTES) + [DAILY_CTE, LEG] + coef_ctes + [
+            (
+                "sc",
+                """select d.product, d.date, dayname(d.date) as day_name, d.weather, d.temp_avg as temp,
+  c.product is not null as has_model, c.*
+from daily d left join coef c on replace(d.product, ' ', '') = replace(c.product, ' ', '')""",
+            ),
+            (
+                "eff",
+                """select product, date, day_name, weather, temp, has_model, base_bias, waste_risk, avg_made,
   case dayname(date) when 'Monday' then w_day_Monday when 'Tuesday' then w_day_Tuesday
     when 'Wednesday' then w_day_Wednesday when 'Thursday' then w_day_Thursday when 'Friday' then w_day_Friday
     when 'Saturday' then w_day_Saturday else w_day_Sunday end as de,
   case when lower(weather) like '%rain%' or lower(weather) like '%snow%' then w_is_rain else 0.0 end as re,
   temp * w_temp as te
 from sc""",
-        ),
-        (
-            "scored",
-            """select product, date, day_name, temp,
+            ),
+            (
+                "scored",
+                """select product, date, day_name, temp,
   case when has_model then base_bias else 0.0 end as base_score,
   case when has_model then de else 0.0 end as day_effect,
   case when has_model then re else 0.0 end as rain_effect,
@@ -280,22 +339,23 @@ from sc""",
   case when has_model then cast(greatest(0, floor(base_bias + de + re + te + 0.5)) as integer) else 0 end as recommended,
   coalesce(waste_risk, 0.0) as waste_risk, coalesce(avg_made, 0.0) as avg_made, has_model
 from eff""",
-        ),
-        (
-            "st",
-            """select *, case when not has_model then 'No Data'
+            ),
+            (
+                "st",
+                """select *, case when not has_model then 'No Data'
   when temp > 25 and temp_effect >= 1.0 then 'Heat Spike'
   when rain_effect <= -1.0 then 'Rain Drop'
   when day_effect >= 1.0 then day_name || ' Boost'
   when day_effect <= -1.0 then day_name || ' Drop' else 'Stable' end as status from scored""",
-        ),
-    ],
-    f"""select product, date, {_r(['base_score', 'day_effect', 'rain_effect', 'temp_effect', 'predicted'])}, recommended, status,
+            ),
+        ],
+        f"""select product, date, {_r(['base_score', 'day_effect', 'rain_effect', 'temp_effect', 'predicted'])}, recommended, status,
   case when status like '%Boost%' or status like '%Spike%' then 'green'
        when status like '%Drop%' or status like '%Rain%' then 'red' else 'gray' end as color,
   {_r(['waste_risk', 'avg_made'])}
 from st""",
-)
+    )
+
 
 ORACLE = {
     "seasonality": _season_sql(LEG, LEDGER_CTES),
@@ -321,5 +381,7 @@ ORACLE = {
         "order by line_ord, raw_date, product nulls first limit 5",
     ),
     "coefficients_json": with_ctes(list(LEDGER_CTES) + [LEG] + COEF_CTES, f"select product, {_r(COEF_COLS)} from coef"),
-    "score_scenarios": SCORE_SQL,
+    "score_scenarios": _score_sql(COEF_CTES),
+    "demand_fit": with_ctes(list(LEDGER_CTES) + [LEG] + _fit_ctes(), f"select product, {_r(COEF_COLS)} from coef"),
+    "demand_scores": _score_sql(_fit_ctes()),
 }

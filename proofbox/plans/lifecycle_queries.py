@@ -71,29 +71,17 @@ from walk""",
 ]
 
 
-def _with_recursive(ctes, body: str) -> str:
-    return with_ctes(ctes, body).replace("with ", "with recursive ", 1)
-
-
-ORACLE = {
-    "order_lifecycle": _with_recursive(LIFE_RECURSIVE, "select * from life"),
-    "status_after_actions": _with_recursive(
-        LIFE_RECURSIVE,
-        """select status, count(*) as n_orders from (
-  select key, arg_max(status_after, rn) as status from walk group by key) group by status""",
-    ),
-    "point_admission": _with_recursive(
-        [
-            ACTIONS_CTE,
-            (
-                "mv",
-                """select key, ts, seq, kind, amount, row_number() over (partition by key order by ts, seq) as rn from (
+ADMIT_RECURSIVE = [
+    ACTIONS_CTE,
+    (
+        "mv",
+        """select key, ts, seq, kind, amount, row_number() over (partition by key order by ts, seq) as rn from (
   select key, ts, seq, case action when 'credit' then 'deposit' when 'create' then 'withdraw' when 'cancel' then 'revert' end as kind,
     cast(floor(amount) as bigint) as amount from actions) where kind is not null""",
-            ),
-            (
-                "adm(key, rn, seq, kind, amount, accepted, balance_after)",
-                """select key, rn, seq, kind, amount,
+    ),
+    (
+        "adm(key, rn, seq, kind, amount, accepted, balance_after)",
+        """select key, rn, seq, kind, amount,
   case when kind = 'withdraw' then amount <= 0 else true end,
   case when kind = 'deposit' then amount when kind = 'withdraw' then (case when amount <= 0 then -amount else 0 end)
        else greatest(0, -amount) end
@@ -105,9 +93,25 @@ select n.key, n.rn, n.seq, n.kind, n.amount,
        when n.kind = 'withdraw' then (case when a.balance_after >= n.amount then a.balance_after - n.amount else a.balance_after end)
        else greatest(0, a.balance_after - n.amount) end
 from adm a join mv n on n.key = a.key and n.rn = a.rn + 1""",
-            ),
-        ],
+    ),
+    (
+        "admitted",
         """select key, seq, kind, amount, accepted, cast(balance_after as bigint) as balance_after,
   case when not accepted then 'insufficient_balance' end as reason from adm""",
     ),
+]
+
+
+def with_recursive(ctes, body: str) -> str:
+    return with_ctes(ctes, body).replace("with ", "with recursive ", 1)
+
+
+ORACLE = {
+    "order_lifecycle": with_recursive(LIFE_RECURSIVE, "select * from life"),
+    "status_after_actions": with_recursive(
+        LIFE_RECURSIVE,
+        """select status, count(*) as n_orders from (
+  select key, arg_max(status_after, rn) as status from walk group by key) group by status""",
+    ),
+    "point_admission": with_recursive(ADMIT_RECURSIVE, "select * from admitted"),
 }

@@ -116,6 +116,11 @@ from events""",
 )
 
 
+def landing_sql(part: str, ordinal: str) -> str:
+    """The landing (0 to 3) a row arrives with (see ``fixtures._landing``)."""
+    return f"cast(greatest(0, least(3, {part} + case when {ordinal} % 13 = 0 then 2 when {ordinal} % 11 = 0 then 1 else 0 end)) as integer)"
+
+
 def with_ctes(ctes: Sequence[tuple[str, str]], body: str) -> str:
     seen: dict[str, str] = {}
     for name, text in ctes:

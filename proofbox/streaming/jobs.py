@@ -11,21 +11,23 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from proofbox.operators import daily as dl
 from proofbox.operators import decide as dc
-from proofbox.operators import lifecycle as lc
 from proofbox.operators.serving import next_day_state
 from proofbox.session import scratch_path
 from proofbox.sources import fixtures as fx
 from proofbox.sources.tables import table_path
+from proofbox.streaming import event_time as et
+
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 # ------------------------------------------------------------------ sources
@@ -75,7 +77,13 @@ def run_available(stream: DataFrame, name: str, mode: str = "append", keys: Sequ
         batch.write.mode("overwrite").parquet(f"{out}/__batch={batch_id}")
 
     spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{out}/__batch=-1")
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", ckpt).trigger(availableNow=True).foreachBatch(land).start()
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", ckpt).trigger(availableNow=True).foreachBatch(land)
+    provider = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)  # timers and list state need it; a query keeps what it was started with
+    try:
+        q = writer.start()
+    finally:
+        spark.conf.unset(STATE_STORE) if provider is None else spark.conf.set(STATE_STORE, provider)
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
@@ -94,10 +102,9 @@ def stream_daily(ledger: DataFrame, delay: str = "3 days") -> DataFrame:
 
     Event time is the ledger date. Lines within ``delay`` of the newest day
     seen are always counted; once the watermark passes a day its state is
-    evicted (state stays bounded), and lines for it arriving later are not
-    guaranteed to count (Spark's watermark guarantee is one-directional).
-    ``delay`` must cover the disorder of the input: a ledger in no date order
-    needs one as long as its span. Run in update mode (every changed day is re-emitted) or append mode
+    evicted (state stays bounded), and lines for it arriving later are
+    dropped by the engine: ``event_time.run_daily`` is the form that keeps them, in a side table.
+    Lines of one micro-batch are never late to each other. Run in update mode (every changed day is re-emitted) or append mode
     (each day emitted once, when the watermark has closed it).
     """
     # the 1-day tumbling window IS the ledger day: grouping by the day's timestamp (the
@@ -120,73 +127,16 @@ def stream_daily(ledger: DataFrame, delay: str = "3 days") -> DataFrame:
     return dl.derive_daily(agg.withColumn("date", F.col("ts").cast("date")).drop("ts"))
 
 
-# ------------------------------------------------------------------ J2 / J3: keyed state
-
-LIFE_OUT = T.StructType(
-    [
-        T.StructField("key", T.LongType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("seq", T.LongType()),
-        T.StructField("action", T.StringType()), T.StructField("status_before", T.StringType()),
-        T.StructField("status_after", T.StringType()), T.StructField("accepted", T.BooleanType()),
-        T.StructField("note", T.StringType()),
-    ]
-)
-LIFE_STATE = T.StructType([T.StructField("status", T.StringType())])
-
-
-def _life_step(status: str, action: str) -> tuple[str, bool, str | None]:
-    none = lc.NONE
-    if action == "create":
-        return lc.PENDING, True, None
-    if status == none:
-        return status, False, "order_not_found"
-    if action == "confirm":
-        return (lc.PROCESSING, True, None) if status == lc.PENDING else (status, False, "only_pending_can_be_confirmed")
-    if action == "complete":
-        return lc.COMPLETED, True, ("already_completed" if status == lc.COMPLETED else None)
-    if action == "cancel":
-        return (status, False, "already_cancelled") if status == lc.CANCELLED else (lc.CANCELLED, True, "restock")
-    return status, False, "unknown_action"
-
-
-def _life_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    status = state.get[0] if state.exists else lc.NONE
-    rows = pd.concat(list(pdfs)).sort_values(["ts", "seq"])  # this key's actions of ONE micro-batch
-    out = []
-    for r in rows.itertuples(index=False):
-        after, ok, note = _life_step(status, r.action)
-        out.append((int(key[0]), r.ts, int(r.seq), r.action, status, after, ok, note))
-        status = after
-    state.update((status,))
-    yield pd.DataFrame(out, columns=LIFE_OUT.fieldNames())
-
-
-def stream_order_lifecycle(actions: DataFrame) -> DataFrame:
-    """Order state machine with the status kept in the state store, keyed by order.
-
-    Within a micro-batch a key's actions are applied in (ts, seq) order; across
-    micro-batches in arrival order. Memory per key is one status string.
-    """
-    a = actions.filter(F.col("action").isin(*lc.LIFECYCLE_ACTIONS)).select(F.col("key").cast("long"), "ts", F.col("seq").cast("long"), "action")
-    return a.groupBy("key").applyInPandasWithState(
-        _life_fn, LIFE_OUT, LIFE_STATE, "append", GroupStateTimeout.NoTimeout
-    )
-
-
-ADMIT_STATE = T.StructType([T.StructField("balance", T.LongType())])
-
+# ------------------------------------------------------------------ J2 / J3: event time
 
-def _admit_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    carried = int(state.get[0]) if state.exists else 0
-    rows = pd.concat(list(pdfs)).sort_values(["ts", "seq"])  # this key's moves of ONE micro-batch
-    out, _, balance = lc.fold_moves(rows.assign(opening=carried), object(), 0)
-    state.update((int(balance),))
-    yield out
+def stream_order_lifecycle(actions: DataFrame, delay: str = "2 days", retain_ms: int | None = None) -> DataFrame:
+    """Order state machine in event time (``event_time.order_lifecycle``): run in update mode, keys (key, seq)."""
+    return et.order_lifecycle(actions, delay, retain_ms)
 
 
-def stream_admission(moves: DataFrame) -> DataFrame:
-    """Sequential admission with the running balance in the state store."""
-    m = moves.select(F.col("key").cast("long"), "ts", F.col("seq").cast("long"), "kind", F.col("amount").cast("long"))
-    return m.groupBy("key").applyInPandasWithState(_admit_fn, lc.ADMIT_SCHEMA, ADMIT_STATE, "append", GroupStateTimeout.NoTimeout)
+def stream_admission(moves: DataFrame, delay: str = "2 days") -> DataFrame:
+    """Sequential admission in event time (``event_time.admission``): run in update mode, keys (key, seq)."""
+    return et.admission(moves, delay)
 
 
 # ------------------------------------------------------------------ J4: live counts

@@ -192,3 +192,34 @@ def test_seasonality_nested_form(spark):
     assert nested.product == "Bun" and nested.base_avg == 11.0
     assert nested.factors["Monday"] == round(17 / 11, 2) and nested.factors["Tuesday"] == round(10 / 11, 2)
     assert len(nested.factors) == 7
+
+
+def _lstsq(rows):
+    """Centred minimum-norm least squares of qty on weekday dummies, rain and temperature."""
+    x = np.array([[float(d.weekday() == i) for i in range(7)] + [float("Rain" in w or "Snow" in w), t] for d, _, _, w, t in rows])
+    y = np.array([r[2] for r in rows])
+    coef = np.linalg.lstsq(x - x.mean(0), y - y.mean(), rcond=1e-9)[0]
+    return y.mean() - x.mean(0) @ coef, coef
+
+
+def test_demand_fit_closed_form_at_every_rank(spark):
+    """Rank 2, 1 and 0 of the rain/temperature system, few weekdays, one weekday: always the minimum-norm solution."""
+    rnd = np.random.default_rng(9)
+    day = lambda i: dt.date(2024, 1, 1) + dt.timedelta(days=int(i))
+    qty = lambda: float(rnd.integers(1, 60))
+    rows = [(day(rnd.integers(0, 200)), "full", qty(), rnd.choice(["Rainy", "Sunny"]), float(rnd.integers(-5, 30))) for _ in range(90)]
+    rows += [(day(rnd.integers(0, 200)), "dry", qty(), "Sunny", float(rnd.integers(-5, 30))) for _ in range(60)]
+    rows += [(day(rnd.integers(0, 200)), "flat", qty(), rnd.choice(["Rainy", "Sunny"]), 11.5) for _ in range(60)]
+    rows += [(d, "tied", qty(), w, 4.0 if w == "Snow" else 9.0) for d, w in ((day(i), rnd.choice(["Snow", "Sunny"])) for i in range(50))]
+    rows += [(d, "by_day", qty(), "Rainy" if d.weekday() < 3 else "Sunny", float(d.weekday() * d.weekday())) for d in (day(i) for i in range(60))]
+    rows += [(d, "rain_by_day", qty(), "Rainy" if d.weekday() < 3 else "Sunny", float(rnd.integers(0, 20))) for d in (day(i) for i in range(60))]
+    rows += [(day(7 * i + i % 2), "two_days", qty(), rnd.choice(["Rainy", "Sunny"]), float(rnd.integers(0, 20))) for i in range(40)]
+    rows += [(day(7 * i), "one_day", qty(), "Sunny", 3.0) for i in range(5)]
+    rows += [(day(7 * i), "one_day_warm", qty(), "Sunny", float(i)) for i in range(5)]
+    df = spark.createDataFrame([(d, p, q, str(w), t) for d, p, q, w, t in rows] + [(day(1), "full", -3.0, "Sunny", 1.0)], "date date, product string, qty double, weather string, temp double").repartition(6)
+    out = {r["product"]: r for r in dm.fit_demand(df).collect()}
+    for name in {r[1] for r in rows}:
+        base, coef = _lstsq([r for r in rows if r[1] == name])
+        assert out[name].fit_status == "ok" and abs(out[name].base_bias - base) <= 0.0051, name
+        for k, c in zip(dm.REGRESSORS, coef):
+            assert abs(out[name].weights[k] - c) <= 0.0051, (name, k)

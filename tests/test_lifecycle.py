@@ -3,8 +3,11 @@
 import datetime as dt
 import random
 
+from pyspark.sql import functions as F
+
 from proofbox.operators import lifecycle as lc
-from proofbox.streaming.jobs import _life_step
+from proofbox.operators import transfer as tf
+from proofbox.streaming.event_time import life_step as _life_step
 
 
 def _actions(n_keys=6, n=400, seed=11):
@@ -89,3 +92,65 @@ def test_admission_with_opening_balances(spark):
     got = {r.seq: (r.accepted, r.balance_after, r.reason) for r in lc.admit(moves, opening).collect()}
     assert got == {1: (True, 20, None), 2: (False, 20, "insufficient_balance"), 3: (True, 0, None),
                    4: (False, 0, "insufficient_balance")}
+
+
+def test_transfer_functions_equal_replay():
+    rnd = random.Random(1)
+    for _ in range(200):
+        n = rnd.randrange(0, 120)
+        kinds = [rnd.choice(["deposit", "withdraw", "revert", "other"]) for _ in range(n)]
+        amounts = [rnd.randint(-3, 40) for _ in range(n)]
+        f = tf.of_moves(kinds, amounts)
+        cut = rnd.randrange(0, n + 1)
+        joined = tf.then(tf.of_moves(kinds[:cut], amounts[:cut]), tf.of_moves(kinds[cut:], amounts[cut:]))
+        for opening in [*range(-60, 400, 7), 10**9]:
+            closing = tf.replay(kinds, amounts, opening)[3]
+            assert f(opening) == closing == joined(opening)
+
+
+def _moves(n, seed, hot):
+    rnd = random.Random(seed)
+    start = dt.datetime(2024, 1, 1)
+    rows = []
+    for i in range(n):
+        key = 3 if rnd.random() < hot else rnd.randrange(40)
+        rows.append((key, start + dt.timedelta(minutes=rnd.randrange(9000)), i, rnd.choice(["deposit", "withdraw", "withdraw", "revert", "gift"]), rnd.randint(0, 60)))
+    return rows
+
+
+def _admit_in_order(rows, opening):
+    balance, want = dict(opening), {}
+    for key, _, seq, kind, amount in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        (ok,), (after,), (reason,), balance[key] = tf.replay([kind], [amount], balance.get(key, 0))
+        want[seq] = (ok, after, reason)
+    return want
+
+
+def test_admission_of_a_hot_key_over_many_runs(spark):
+    rows = _moves(4000, 3, 0.5)
+    rows += [(None, dt.datetime(2024, 1, 1), 9000, "deposit", 5)]
+    df = spark.createDataFrame(rows, "key long, ts timestamp_ntz, seq long, kind string, amount long").repartition(5)
+    opening = {k: 17 * k for k in range(0, 40, 3)}
+    given = spark.createDataFrame([*opening.items(), (None, 3)], "key long, opening long")
+    want = _admit_in_order(rows[:-1], opening)
+    for partitions, run_rows in ((8, 16), (3, 512), (1, 7), (40, 100_000)):
+        got = {r.seq: (r.accepted, r.balance_after, r.reason) for r in lc.admit(df, given, partitions, run_rows).collect()}
+        assert got == want, (partitions, run_rows)
+
+
+def test_admission_of_one_key_and_of_none(spark):
+    rows = [(1, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i), i, "withdraw" if i % 3 else "deposit", 10) for i in range(300)]
+    df = spark.createDataFrame(rows, "key long, ts timestamp_ntz, seq long, kind string, amount long")
+    for partitions, run_rows in ((4, 10), (1, 300), (1, 299), (2, 1)):
+        got = {r.seq: (r.accepted, r.balance_after, r.reason) for r in lc.admit(df, None, partitions, run_rows).collect()}
+        assert got == _admit_in_order(rows, {}), (partitions, run_rows)
+    assert lc.admit(df.where("key > 5")).collect() == []
+
+
+def test_a_hot_key_is_spread_over_tasks(spark):
+    """Half of the moves are of one key; no task replays half of them."""
+    rows = _moves(4000, 8, 0.5)
+    df = spark.createDataFrame(rows, "key long, ts timestamp_ntz, seq long, kind string, amount long")
+    ordered = df.repartitionByRange(8, "key", "ts", "seq").select("key", F.spark_partition_id().alias("part"))
+    hot = [r["count"] for r in ordered.where("key = 3").groupBy("part").count().collect()]
+    assert len(hot) >= 4 and max(hot) < sum(hot) / 2
