@@ -9,6 +9,7 @@ text (or one document, if it is longer).
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import tempfile
 import uuid
@@ -38,19 +39,51 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_scopes: list[list[str]] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared scratch folder and read it back.
 
     Cuts lineage so that lost executors cost at most the running stage. The folder is
-    removed when the driver ends.
+    removed at the end of the ``scratch`` scope around it, or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables stored inside are removed at the end, but for those passed to the yielded function, which go to the scope outside.
+
+    What leaves the scope must depend on kept tables only.
+    """
+    mine, kept = [], []
+    _scopes.append(mine)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df._scratch_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _scopes.pop()
+        for path in set(mine) - set(kept):
+            hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+        if _scopes:
+            _scopes[-1] += kept
+        else:  # the driver's handles of dropped frames go now, and with them their shuffle files on the executors
+            spark._jvm.System.gc()
 
 
 def text_bytes(docs: DataFrame, text_col: str) -> tuple[int, int]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofbox.llm.common import stored
+from proofbox.llm.common import scratch, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,6 +15,11 @@ def components(links: DataFrame) -> DataFrame:
     the rounds grow with the logarithm of a component's width. Labels are stored each round;
     only two sums reach the driver.
     """
+    with scratch(links.sparkSession) as keep:
+        return keep(_spread(links))
+
+
+def _spread(links: DataFrame) -> DataFrame:
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b")
     both = stored(both.distinct(), "links")
     labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node")

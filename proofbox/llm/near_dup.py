@@ -15,11 +15,9 @@
 
 A bucket does not emit all its pairs. First each member is compared with the bucket's
 smallest member, and links make components. In buckets that still hold several components,
-members are compared with a member drawn at random. What is still unsettled goes through an
-exact set-similarity join: shingles ordered by their frequency among these texts, prefix,
-length and positional filters, and only pairs from different components. There a text whose
-own changes alone rule out the threshold meets nobody, so a large group of loosely similar
-texts costs in proportion to its size. A pair at the threshold shares no bucket with
+members are compared with a member drawn at random. What is still unsettled is linked exactly
+by its differences from a consensus (``consensus_join``), at a cost that grows with the
+texts and not with the square of a group. A pair at the threshold shares no bucket with
 probability (1 - 0.8^5)^32 = 3e-6, by the signatures of weight 1; a similar pair in one
 component needs no link of its own.
 
@@ -36,8 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofbox.llm.common import LOWER, U64, WORD, as_bytes, chunks, mix, slice_hashes, stored, tidy, words_of
+from proofbox.llm.common import LOWER, U64, WORD, as_bytes, chunks, mix, scratch, slice_hashes, stored, tidy, words_of
 from proofbox.llm.components import components
+from proofbox.llm.consensus_join import distinct_groups, settle
 
 _STEP = U64(0xD6E8FEB86659FD93)
 
@@ -128,7 +127,7 @@ def _sign(size: int, bands: int, rows: int):
                 small = (value >> U64(32)).astype("<u4")
                 sets = [np.unique(small[i:j]).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
                 key_rows = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(per_text))), pa.int32()), pa.array(key.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, n), pa.array(node, mask=none), key_rows, pa.array(sets, pa.binary())], names=["doc_id", "node", "bands", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, n), pa.array(node, mask=none), key_rows, pa.array(sets, pa.binary()), batch.column(2).slice(a, n)], names=["doc_id", "node", "bands", "shingles", "h"])
 
     return run
 
@@ -151,77 +150,104 @@ def _similar(threshold: float):
     return run
 
 
-def _tokens(batches):
-    for batch in batches:
-        sets = [np.frombuffer(x.as_buffer(), "<u4") for x in batch.column("shingles")]
-        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint32)
-        for a in range(0, len(flat), 1 << 16):
-            part = pa.array(row[a : a + (1 << 16)])
-            yield pa.RecordBatch.from_arrays([batch.column("node").take(part), batch.column("label").take(part), pa.array(flat[a : a + (1 << 16)].astype(np.int64))], names=["node", "label", "token"])
-
-
-def _prefix_pairs(rest: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): pairs of ``rest`` (node, label, shingles) from different components that no filter rules out."""
-    tokens = stored(rest.mapInArrow(tidy(_tokens), "node long, label long, token long"), "near-tokens")
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-    size = rest.select("node", F.expr("octet_length(shingles) div 4").alias("n"))
-    # Rarest first; shingles of one text alone stand before all others and match nothing.
-    by_node = tokens.join(shared, "token").groupBy("node", "label").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("list")).join(size, "node")
-    alone = F.col("n") - F.size("list")
-    prefix = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1 - alone).cast("int")
-    rows = by_node.where(prefix > 0).select("node", "label", "n", alone.alias("alone"), F.posexplode(F.slice("list", F.lit(1), prefix)).alias("pos", "item")).select("node", "label", (F.col("n") - F.col("alone") - F.col("pos")).alias("behind"), "n", F.col("item.token").alias("token"))
-    rows = stored(rows, "near-prefixes")
-    x, y = (rows.select("token", F.col("node").alias(k), F.col("label").alias(f"of_{k}"), F.col("n").alias(f"n_{k}"), F.col("behind").alias(f"behind_{k}")) for k in ("a", "b"))
-    need = (F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold)) - 1e-6
-    possible = (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold - 1e-6) & (F.least("behind_a", "behind_b") >= need)
-    met = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & possible)
-    return met.select("a", "b")
+def _classified(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshold: float, bands: int, rows: int) -> DataFrame:
+    """near_duplicates with ``label``, which tells classes apart (null for texts without words), and ``h``, a hash of the row's text."""
+    id_type = docs.schema[id_col].dataType.simpleString()
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(text.alias("text"), F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h"))
+    signed = texts.mapInArrow(tidy(_sign(shingle, bands, rows)), f"doc_id {id_type}, node long, bands array<long>, shingles binary, h long")
+    signed = stored(signed.withColumn("row", F.monotonically_increasing_id()), "near-signed")
+    with scratch(docs.sparkSession) as keep:
+        labels = _labels(signed, threshold)
+        # Copies are counted before they meet: one row per text.
+        copies = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+        copies = stored(copies.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least", "copies"), "near-texts")
+        n_texts, n_rows = copies.agg(F.count(F.lit(1)), F.coalesce(F.sum("copies"), F.lit(0))).first()
+        classes = copies.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("weight"))
+        of_text = join_unique(copies.select("node", "label", "copies"), classes, "label", n_texts).withColumnRenamed("copies", "weight")
+        of_text = keep(stored(of_text, "near-classes"))
+    out = ["doc_id", "class_id", "class_size", "label", "h"]
+    classified = join_unique(signed.where("node is not null").select("doc_id", "node", "h"), of_text, "node", n_rows).select(out)
+    alone = signed.where("node is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(None).cast("long").alias("label"), "h")
+    return classified.unionByName(alone)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 5) -> DataFrame:
     """One row per document: doc_id, class_id (the smallest id of its class), class_size (rows of the class)."""
-    id_type = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("doc_id"))
-    signed = stored(texts.mapInArrow(tidy(_sign(shingle, bands, rows)), f"doc_id {id_type}, node long, bands array<long>, shingles binary"), "near-signed")
+    return _classified(docs, id_col, text_col, shingle, threshold, bands, rows).drop("label", "h")
+
+
+_HOT_SHARE = 200
+
+
+def join_unique(rows: DataFrame, by_key: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined to the one row of their key in ``by_key``; ``weight`` says how many of the ``total`` rows that is.
+
+    Keys of more than one in 200 rows, fewer than 200 of them, are broadcast; the others meet in the shuffle.
+    """
+    hot = by_key.where(F.col("weight") * _HOT_SHARE > total).drop("weight")
+    often = rows.join(F.broadcast(hot), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(by_key.where(F.col("weight") * _HOT_SHARE <= total).drop("weight"), key)
+    return often.unionByName(rest)
+
+
+def _labels(signed: DataFrame, threshold: float) -> DataFrame:
+    """(node, label) of every text that has a similar one; the label is shared by its class."""
     members = signed.where("node is not null").select("node", F.explode("bands").alias("band"))
     # Buckets of two nodes or more, with their members (a node once, however many copies).
     shared = members.groupBy("band").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead != last").select("band", "lead")
     buckets = stored(members.join(shared, "band").groupBy("band", "lead", "node").agg(F.lit(1).alias("one")).drop("one"), "near-buckets")
-    in_buckets = buckets.select("node").distinct()
-    sets = stored(signed.join(in_buckets, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "near-sets")
+    # One row of each text in a bucket brings its shingles; nodes and rows move before any set does.
+    chosen = signed.select("node", "row").join(buckets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
+    chosen = stored(chosen, "near-chosen")  # so that its size is known, and the shingles of all rows stay where they are if it is small
+    sets = stored(signed.select("row", "shingles").join(chosen, "row").select("node", "shingles"), "near-sets")
+    links = None
+
+    def link(new: DataFrame) -> DataFrame:
+        """The labels after the links ``new`` too."""
+        nonlocal links
+        new = stored(new, "near-links")
+        links = new if links is None else links.unionByName(new)
+        return components(links)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        ordered = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
         with_b = ordered.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
         with_both = with_b.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
         return with_both.mapInArrow(tidy(_similar(threshold)), "a long, b long")
 
     def unsettled(labels: DataFrame) -> DataFrame:
         """Members of buckets that hold several components."""
-        labelled = buckets.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+        labelled = buckets.join(labels, "node", "left").select("band", "lead", "node", F.coalesce("label", "node").alias("label"))
         open_ = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("node", F.xxhash64("band", "node")).alias("drawn")).where("low != high")
         return stored(labelled.join(open_.select("band", "drawn"), "band"), "near-open")
 
-    links = stored(verified(buckets.where("lead != node").select(F.col("lead").alias("a"), F.col("node").alias("b"))), "near-links")
-    labels = components(links)
-    open_ = unsettled(labels)
-    links = links.unionByName(stored(verified(open_.where("drawn != node").select(F.col("drawn").alias("a"), F.col("node").alias("b"))), "near-links"))
-    labels = components(links)
-    rest = unsettled(labels).select("node", "label").distinct()
-    pairs = _prefix_pairs(stored(rest.join(sets, "node"), "near-rest"), threshold)
-    links = links.unionByName(stored(verified(pairs), "near-links"))
-    labels = components(links)
-    labelled = signed.select("doc_id", "node").join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
-    classes = labelled.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    alone = labelled.where("label is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    return labelled.join(classes, "label").select("doc_id", "class_id", "class_size").unionByName(alone)
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each class, the one with the smallest id; all columns stay."""
-    classes = stored(near_duplicates(docs, id_col, text_col, **options), "near-classes")
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    out = docs.join(kept, docs[id_col].eqNullSafe(kept["__kept"]), "left_semi")
-    repeated = classes.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return out.dropDuplicates([id_col, text_col]) if repeated else out
+    labels = link(verified(buckets.where("lead != node").select(F.col("lead").alias("a"), F.col("node").alias("b"))))
+    labels = link(verified(unsettled(labels).where("drawn != node").select(F.col("drawn").alias("a"), F.col("node").alias("b"))))
+    # Buckets with the same smallest member are one group: whoever shares a bucket shares a group.
+    open_ = unsettled(labels).select(F.col("lead").alias("g"), "node", "label").distinct()
+    groups = open_.join(distinct_groups(open_, ["g"]), "g").select("g", "node").join(sets, "node")
+    groups = groups.select("g", "node", F.expr("cast(octet_length(shingles) div 4 as long)").alias("n"), F.col("shingles").alias("x"))
+    return settle(stored(groups, "near-rest"), labels, threshold, link)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 5) -> DataFrame:
+    """``docs`` with one row of each class: of the rows with the smallest id the first text in byte order; all columns stay.
+
+    The row is chosen, not its id: rows that share an id with a kept one, or have none, go with their own
+    class. A class without any id keeps a row too. Null, empty and wordless texts all stay.
+    Rows are told apart by id and text; of rows with both the same, which are copies, one stays, whichever.
+    """
+    with scratch(docs.sparkSession) as keep:
+        classified = _classified(docs, id_col, text_col, shingle, threshold, bands, rows).where("label is not null")
+        keys = stored(classified.groupBy("label", "doc_id", "h").agg(F.count(F.lit(1)).alias("n")), "near-keys")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("first")
+        chosen = keys.groupBy("label").agg(first, F.count(F.lit(1)).alias("keys")).select("label", "keys", F.col("first.doc_id").alias("first_id"), F.col("first.h").alias("first_h"))
+        # Rows that go, and chosen ones of which there are several.
+        told = keys.join(chosen.where("keys > 1"), "label", "left")
+        stays = F.col("keys").isNull() | (F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h")))
+        gone = keep(stored(told.where(~stays).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")), "near-gone"))
+        several = keep(stored(told.where(stays & (F.col("n") > 1)).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")), "near-several"))
+    same = docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("__h"))
+    single = docs.join(gone.unionByName(several), same, "left_anti")
+    return single.unionByName(docs.join(several, same, "left_semi").dropDuplicates([id_col, text_col]))
