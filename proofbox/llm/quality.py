@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofbox.llm.common import GRAPH, U64, _stream, as_bytes, chunks, crc_mod, mix, slice_hashes, tidy, words_of
+from proofbox.llm.common import GRAPH, U64, _stream, as_bytes, chunks, crc_mod, mix, scratch, slice_hashes, stored, tidy, words_of
 
 MIN_N, MAX_N, PART = 3, 4, 1 << 18
 REPEAT = U64(0x9FB21C651E98DF25)
@@ -153,12 +153,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     drawn = docs.select(F.col(id_col).alias("id")).distinct().join(y, "id").withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(max_train)
     x = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sample = x.join(F.broadcast(drawn), "id").groupBy("id", "label", "h").agg(F.min("text").alias("text"))  # at most ``max_train`` ids are broadcast
-    rows = sample.select("text", "label", "h").mapInArrow(tidy(_bags(buckets)), "label int, h long, ids binary, share binary").toPandas().sort_values("h")
-    label = rows["label"].to_numpy(np.int64)
+    # The bags come to the driver a partition at a time, each row's bytes once.
+    with scratch(docs.sparkSession):
+        bags = stored(sample.select("text", "label", "h").mapInArrow(tidy(_bags(buckets)), "label int, h long, ids binary, share binary"), "quality-bags")
+        rows = sorted(((r["h"], r["label"], np.frombuffer(r["ids"], np.int32), np.frombuffer(r["share"], np.float32)) for r in bags.toLocalIterator()), key=lambda r: r[0])
+    label = np.array([r[1] for r in rows], np.int64)
     if len(set(label.tolist())) < 2:
         return np.zeros(buckets), 0.0, float(label.mean()) if len(label) else 0.5
-    ids = [np.frombuffer(b, np.int32) for b in rows["ids"]]
-    share = [np.frombuffer(b, np.float32) for b in rows["share"]]
+    ids, share = [r[2] for r in rows], [r[3] for r in rows]
     return *fit(ids, share, label, buckets, **fit_options), None
 
 

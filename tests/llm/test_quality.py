@@ -1,10 +1,14 @@
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from proofbox.llm import quality
+from proofbox.llm import common, quality
 from proofbox.llm.common import as_bytes
 from proofbox.llm.quality import classify, features
 
@@ -54,3 +58,87 @@ def test_fit_reads_every_feature_of_a_long_text(spark, monkeypatch):
     assert all(abs(s.sum() - 1) < 1e-3 for s in seen["share"])
     unseen = np.setdiff1d(np.arange(1 << 16), list(set().union(*every)))
     assert len(unseen) and not logits[unseen].any()
+
+
+M = (1 << 64) - 1
+
+
+def plain_mix(x):
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & M
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & M
+    return x ^ (x >> 31)
+
+
+def plain_features(text, buckets):
+    """The features of one text, word by word and byte by byte."""
+    values, grams = common.BYTE_VALUE.tolist(), [g.tolist() for g in quality._GRAM]
+    words = [w for w in re.split(rb"[\x20\x09-\x0D]+", (text or "").encode()) if w]
+    hashes = [plain_mix(sum(values[b] * pow(common._BASE, i, 1 << 64) for i, b in enumerate(w)) & M) for w in words]
+    found = list(hashes)
+    for a, b in zip(hashes, hashes[1:]):
+        found.append(int(quality.REPEAT) if a == b else plain_mix(a * 0xD6E8FEB86659FD93 + b & M))
+    for w in words:
+        marked = b"\x02" + w + b"\x03"
+        for n in (3, 4):
+            for i in range(len(marked) - n + 1):
+                found.append(plain_mix(sum(grams[j][marked[i + j]] for j in range(n)) + n & M))
+    return Counter((h >> 20) % buckets for h in found)
+
+
+def plain_fit(bags, label, buckets, dim, epochs, min_steps, rate, batch, seed):
+    """The training of ``quality.fit``, text by text and component by component."""
+    rng = np.random.default_rng(seed)
+    table = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).tolist()
+    layer = rng.uniform(-0.5, 0.5, (dim, 2)).tolist()
+    bias = [math.log(label.count(c) / len(label)) for c in (0, 1)]
+    past_table, past_layer = [1e-10] * buckets, [[1e-6] * 2 for _ in range(dim)]
+    for _ in range(max(epochs, -(-min_steps * batch // len(bags)))):
+        order = rng.permutation(len(bags)).tolist()
+        for lo in range(0, len(order), batch):
+            rows = order[lo : lo + batch]
+            slope, layer_slope, error_sum = {}, [[0.0] * 2 for _ in range(dim)], [0.0, 0.0]
+            for r in rows:
+                total = sum(bags[r].values())
+                mean = [sum(n / total * table[f][d] for f, n in bags[r].items()) for d in range(dim)]
+                z = [sum(mean[d] * layer[d][c] for d in range(dim)) + bias[c] for c in (0, 1)]
+                p = [math.exp(x - max(z)) for x in z]
+                error = [(p[c] / sum(p) - (label[r] == c)) / len(rows) for c in (0, 1)]
+                for d in range(dim):
+                    back = sum(error[c] * layer[d][c] for c in (0, 1))
+                    for c in (0, 1):
+                        layer_slope[d][c] += mean[d] * error[c]
+                    for f, n in bags[r].items():
+                        slope.setdefault(f, [0.0] * dim)[d] += n / total * back
+                error_sum = [error_sum[c] + error[c] for c in (0, 1)]
+            for f, s in slope.items():
+                past_table[f] += sum(x * x for x in s) / dim
+                table[f] = [t - rate * x / math.sqrt(past_table[f]) for t, x in zip(table[f], s)]
+            for d in range(dim):
+                for c in (0, 1):
+                    past_layer[d][c] += layer_slope[d][c] ** 2
+                    layer[d][c] -= rate * layer_slope[d][c] / math.sqrt(past_layer[d][c])
+            bias = [bias[c] - 0.25 * rate * error_sum[c] for c in (0, 1)]
+    return table, layer, bias
+
+
+def test_scores_equal_a_plain_training_and_scoring(spark):
+    rng = random.Random(12)
+    bag = ["Éclair", "the", "the", "x", "日本語", "BUY!!", "long" * 9, "a b", "7"]
+    rows = [(i, " ".join(rng.choices(bag, k=rng.randint(0, 9))) + rng.choice(["", "\n", "\t!"])) for i in range(40)] + [(40, None), (41, "")]
+    quality_of = {i: int("BUY" in (t or "")) for i, t in rows if i % 3}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame(list(quality_of.items()), "doc_id long, quality int")
+    options = {"dim": 3, "epochs": 2, "min_steps": 6, "rate": 0.3, "batch": 5, "seed": 7}
+    buckets = 1 << 12
+    got = {r.doc_id: r.score for r in classify(docs, labels, buckets=buckets, **options).collect()}
+    order = [r.doc_id for r in docs.select("doc_id").orderBy(F.xxhash64("doc_id")).collect()]
+    text = dict(rows)
+    learnt = [i for i in order if i in quality_of and zlib.crc32(str(i).encode()) % 5]
+    bags = [plain_features(text[i], buckets) for i in learnt]
+    met = set().union(*bags)
+    table, layer, bias = plain_fit(bags, [quality_of[i] for i in learnt], buckets, **options)
+    for i, t in rows:
+        own = plain_features(t, buckets)
+        mean = [sum(n * table[f][d] for f, n in own.items() if f in met) / max(1, sum(own.values())) for d in range(options["dim"])]
+        z = [sum(mean[d] * layer[d][c] for d in range(options["dim"])) + bias[c] for c in (0, 1)]
+        assert abs(got[i] - 1 / (1 + math.exp(z[0] - z[1]))) < 2e-3, (i, t)
