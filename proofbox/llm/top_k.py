@@ -14,7 +14,7 @@ query's k-th best are dropped stage by stage. Survivors are scored in integers,
 result is exact. Candidates of one query block and one vector block are one row.
 
 Vectors that are null or hold null or non-finite components, and rows with a null id, take
-no part. Of rows with the same id one stands for all: the smallest as an array. Shorter
+no part. Rows are told apart by a key of their own, so rows that repeat an id are queries and candidates each. Shorter
 vectors count as padded with zeros. Scores are exact while every sum of products fits 63
 bits (|components| up to 2^28 at 64 of them); larger ones raise. Ties go to the smaller id.
 An empty table gives no rows. Other columns are ignored.
@@ -67,9 +67,10 @@ def _blocks(dim: int, rotation: np.ndarray, rows: int):
         held = []
 
         def block(table):
-            ids, v = table.column("vec_id").to_numpy(), _matrix(table.column("v").combine_chunks(), dim)
+            ids, keys = (table.column(c).to_numpy().astype(np.int64) for c in ("vec_id", "key"))
+            v = _matrix(table.column("v").combine_chunks(), dim)
             length = np.sqrt((v.astype(np.float64) ** 2).sum(axis=1))
-            return pa.RecordBatch.from_arrays([pa.array([ids.astype(np.int64).tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary()), pa.array([float(length.max())])], names=["ids", "vectors", "longest"])
+            return pa.RecordBatch.from_arrays([*[pa.array([x.tobytes()], pa.binary()) for x in (keys, ids, v)], pa.array([float(length.max())])], names=["keys", "ids", "vectors", "longest"])
 
         for batch in batches:
             held.append(batch)
@@ -86,8 +87,8 @@ def _blocks(dim: int, rotation: np.ndarray, rows: int):
 class Prepared:
     """A block's vectors with their rotated coordinates and the lengths behind each stage."""
 
-    def __init__(self, ids: bytes, vectors: bytes, dim: int, rotation: np.ndarray):
-        self.ids = np.frombuffer(ids, np.int64)
+    def __init__(self, keys: bytes, ids: bytes, vectors: bytes, dim: int, rotation: np.ndarray):
+        self.keys, self.ids = np.frombuffer(keys, np.int64), np.frombuffer(ids, np.int64)
         self.vectors = np.frombuffer(vectors, np.int64).reshape(len(self.ids), dim)
         self.rotated = self.vectors.astype(np.float64) @ rotation
         square = self.rotated**2
@@ -96,14 +97,14 @@ class Prepared:
 
 
 def search(queries: Prepared, base: Prepared, beat: np.ndarray, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(query row, ids, scores) of the ``k`` best of ``base`` for each query, leaving out what cannot reach ``beat``."""
+    """(query row, rows of ``base``, scores) of the ``k`` best for each query, leaving out what cannot reach ``beat``."""
     dim, out = base.vectors.shape[1], []
     stages = stages_of(dim)
     first = queries.rotated[:, : stages[0]] @ base.rotated[:, : stages[0]].T
     for i in range(len(queries.ids)):
         slack = _SLACK * (1 + queries.length[i] * base.length.max(initial=0))
         bound = first[i] + queries.tail[0][i] * base.tail[0]
-        live = np.flatnonzero((bound + slack >= beat[i]) & (base.ids != queries.ids[i]))
+        live = np.flatnonzero((bound + slack >= beat[i]) & (base.keys != queries.keys[i]))
         partial = first[i][live]
         for stage, (lo, hi) in enumerate(zip(stages[:-1], stages[1:], strict=True), start=1):
             if len(live) <= k:
@@ -115,13 +116,17 @@ def search(queries: Prepared, base: Prepared, beat: np.ndarray, k: int) -> list[
             keep = partial + rest + slack >= floor
             live, partial = live[keep], partial[keep]
         score = base.vectors[live] @ queries.vectors[i]
-        best = np.lexsort((base.ids[live], -score))[:k]
+        best = np.lexsort((base.keys[live], base.ids[live], -score))[:k]
         best = best[score[best] >= beat[i]]
         if len(best):
-            out.append((i, base.ids[live][best], score[best]))
+            out.append((i, live[best], score[best]))
     return out
 
 
+def _prepared(batch, i: int, prefix: str, dim: int, rotation: np.ndarray) -> Prepared:
+    return Prepared(*[batch.column(prefix + c)[i].as_py() for c in ("keys", "ids", "vectors")], dim, rotation)
+
+
 def _scores(dim: int, rotation: np.ndarray, k: int):
     def run(batches):
         held_key, held = None, None
@@ -130,28 +135,28 @@ def _scores(dim: int, rotation: np.ndarray, k: int):
             for i in range(batch.num_rows):
                 key = batch.column("block")[i].as_py()
                 if key != held_key:
-                    held_key, held = key, Prepared(batch.column("ids")[i].as_py(), batch.column("vectors")[i].as_py(), dim, rotation)
-                q = Prepared(batch.column("q_ids")[i].as_py(), batch.column("q_vectors")[i].as_py(), dim, rotation)
+                    held_key, held = key, _prepared(batch, i, "", dim, rotation)
+                q = _prepared(batch, i, "q_", dim, rotation)
                 beat = np.frombuffer(batch.column("beat")[i].as_py(), np.int64)
-                for row, ids, score in search(q, held, beat, k):
-                    rows += [(int(q.ids[row]), int(v), int(s)) for v, s in zip(ids, score, strict=True)]
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
+                for row, at, score in search(q, held, beat, k):
+                    rows += [(int(q.keys[row]), int(q.ids[row]), int(held.keys[b]), int(held.ids[b]), int(s)) for b, s in zip(at, score, strict=True)]
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["key", "query_id", "other", "vec_id", "score"])
 
     return run
 
 
-def _first_scores(dim: int, rotation: np.ndarray, k: int, ids: bytes, vectors: bytes, known):
+def _first_scores(dim: int, rotation: np.ndarray, k: int, longest_block: tuple[bytes, bytes, bytes], known):
     """Each query block with the k-th best score of each query among the longest vectors, and the blocks it may need."""
     lowest = np.iinfo(np.int64).min
 
     def run(batches):
-        base = Prepared(ids, vectors, dim, rotation)
+        base = Prepared(*longest_block, dim, rotation)
         block, longest = known.value
         for batch in batches:
             beats, need = [], []
             for i in range(batch.num_rows):
-                q = Prepared(batch.column("ids")[i].as_py(), batch.column("vectors")[i].as_py(), dim, rotation)
+                q = _prepared(batch, i, "", dim, rotation)
                 beat = np.full(len(q.ids), lowest, np.int64)
                 for row, _, score in search(q, base, beat, k):
                     if len(score) == k:
@@ -160,7 +165,7 @@ def _first_scores(dim: int, rotation: np.ndarray, k: int, ids: bytes, vectors: b
                 with np.errstate(divide="ignore"):
                     reach = np.where(beat <= 0, 0.0, beat / np.where(q.length > 0, q.length, np.inf))
                 need.append(block[longest >= reach.min() * (1 - _SLACK)].tolist())
-            yield pa.RecordBatch.from_arrays([batch.column("ids"), batch.column("vectors"), pa.array(beats, pa.binary()), pa.array(need, pa.list_(pa.int64()))], names=["q_ids", "q_vectors", "beat", "need"])
+            yield pa.RecordBatch.from_arrays([batch.column("keys"), batch.column("ids"), batch.column("vectors"), pa.array(beats, pa.binary()), pa.array(need, pa.list_(pa.int64()))], names=["q_keys", "q_ids", "q_vectors", "beat", "need"])
 
     return run
 
@@ -171,8 +176,8 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     whole = F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * scale))
     usable = F.forall(F.col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     rows = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & usable).select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("v"))
-    rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
-    rows = stored(rows.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))), "topk-rows")
+    norm2 = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    rows = stored(rows.withColumn("norm2", norm2).withColumn("key", F.monotonically_increasing_id()), "topk-rows")
     dim, n, largest = rows.agg(F.coalesce(F.max(F.size("v")), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.max("norm2"), F.lit(0.0))).first()
     if largest >= 2.0**62:
         raise ValueError("vectors are too long for exact 64-bit scores")
@@ -182,9 +187,9 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     moments = [np.array(r["m"]).reshape(dim, dim) for r in rows.select("v").mapInArrow(_moments(dim), "m array<double>").select("m").toLocalIterator()] if dim else []
     rotation = np.linalg.eigh(sum(moments))[1][:, ::-1].copy() if moments else np.zeros((0, 0))
     parts = max(1, -(-n // (8 * block_rows)))
-    made = "ids binary, vectors binary, longest double"
+    made = "keys binary, ids binary, vectors binary, longest double"
     blocks = stored(
-        rows.repartitionByRange(parts, F.desc("norm2"), "vec_id").sortWithinPartitions(F.desc("norm2"), "vec_id").select("vec_id", "v").mapInArrow(_blocks(dim, rotation, block_rows), made).withColumn("block", F.monotonically_increasing_id()),
+        rows.repartitionByRange(parts, F.desc("norm2"), "key").sortWithinPartitions(F.desc("norm2"), "key").select("key", "vec_id", "v").mapInArrow(_blocks(dim, rotation, block_rows), made).withColumn("block", F.monotonically_increasing_id()),
         "topk-blocks",
     )
     # 16 bytes for each ``block_rows`` vectors, and one block: the longest vectors.
@@ -192,29 +197,29 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     known = spark.sparkContext.broadcast((np.array([b for _, b in index], np.int64), np.array([x for x, _ in index])))
     longest = blocks.where(F.col("block") == index[0][1]).first()
     wanted = rows.where(F.col("vec_id") % query_every == 0)
-    asked = wanted.repartition(max(1, -(-n // (query_every * query_rows))), "vec_id").sortWithinPartitions(F.desc("norm2"), "vec_id").select("vec_id", "v").mapInArrow(_blocks(dim, rotation, query_rows), made)
-    asked = asked.mapInArrow(_first_scores(dim, rotation, k, bytes(longest["ids"]), bytes(longest["vectors"]), known), "q_ids binary, q_vectors binary, beat binary, need array<long>")
-    sent = asked.select(F.explode("need").alias("block"), "q_ids", "q_vectors", "beat")
-    met = sent.join(blocks.select("block", "ids", "vectors"), "block").sortWithinPartitions("block")
-    best = met.mapInArrow(_scores(dim, rotation, k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    asked = wanted.repartition(max(1, -(-n // (query_every * query_rows))), "key").sortWithinPartitions(F.desc("norm2"), "key").select("key", "vec_id", "v").mapInArrow(_blocks(dim, rotation, query_rows), made)
+    asked = asked.mapInArrow(_first_scores(dim, rotation, k, tuple(bytes(longest[c]) for c in ("keys", "ids", "vectors")), known), "q_keys binary, q_ids binary, q_vectors binary, beat binary, need array<long>")
+    sent = asked.select(F.explode("need").alias("block"), "q_keys", "q_ids", "q_vectors", "beat")
+    met = sent.join(blocks.select("block", "keys", "ids", "vectors"), "block").sortWithinPartitions("block")
+    best = met.mapInArrow(_scores(dim, rotation, k), "key long, query_id long, other long, vec_id long, score long")
+    order = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id", "other")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 SQL = """
 with v as (
-  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  select row_number() over () as key, vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
   from embeddings
   where vec_id is not null and embedding is not null
     and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
 ),
 s as (
-  select q.vec_id as query_id, c.vec_id as vec_id,
+  select q.key, q.vec_id as query_id, c.vec_id as vec_id, c.key as other,
          cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
-  from v q join v c on q.vec_id <> c.vec_id
+  from v q join v c on q.key <> c.key
   where q.vec_id % 50 = 0
 )
 select query_id, cast(rank as integer) as rank, vec_id, score
-from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+from (select *, row_number() over (partition by key order by score desc, vec_id, other) as rank from s)
 where rank <= 5
 """

@@ -4,15 +4,11 @@ from proofbox.llm.top_k import top_k
 
 
 def brute(rows, k, every):
-    v = {}
-    for i, x in rows:
-        if i is not None and x is not None and all(c is not None and np.isfinite(c) for c in x):
-            w = tuple(int(np.floor(256 * c)) for c in x)
-            v[i] = min(v.get(i, w), w)
+    live = [(i, [int(np.floor(256 * c)) for c in x]) for i, x in rows if i is not None and x is not None and all(c is not None and np.isfinite(c) for c in x)]
     out = []
-    for q in v:
+    for a, (q, v) in enumerate(live):
         if q % every == 0:
-            best = sorted((-sum(a * b for a, b in zip(v[q], v[c])), c) for c in v if c != q)[:k]
+            best = sorted((-sum(x * y for x, y in zip(v, w)), c) for b, (c, w) in enumerate(live) if b != a)[:k]
             out += [(q, r, c, -s) for r, (s, c) in enumerate(best, 1)]
     return sorted(out)
 
@@ -35,4 +31,7 @@ def test_few_rows_and_negative_scores(spark):
     rows = [(0, [1.0, 0.0]), (50, [-1.0, 0.0]), (3, [-2.0, 0.5])]
     assert run(spark, rows) == brute(rows, 5, 50)
     assert run(spark, [(0, [1.0])]) == []
+    repeated = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [3.0, 0.0]), (2, [0.5, 0.0]), (0, [4.0, 0.0]), (50, [1.0, 1.0]), (50, [1.0, 1.0])]
+    assert run(spark, repeated, block_rows=2, query_rows=1) == brute(repeated, 5, 50)
+    assert run(spark, repeated)[0] == (0, 1, 0, 262144)
     assert run(spark, []) == []
