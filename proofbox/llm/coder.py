@@ -9,32 +9,32 @@ numpy runs one step of all blocks of a frame at once (a block is a lane). For ea
   orders name the same id, by the pair of confidences; order 1 gets its adaptive share of
   what is left.
 * order 0: what remains is coded by its high byte, with counts that adapt in the block
-  (renewed at doubling distances, then every ``RENEW`` ids). Its low byte is close to uniform
-  and goes as it is.
+  (renewed at doubling distances, then every ``RENEW`` ids), then by the two halves of its low byte, each with counts
+  that adapt with every id: the first half under the high byte, the second under both.
 
 The mixed probabilities drive a range coder with a 48-bit window and 16-bit output; an id
-narrows the interval by its order and then, for order 0, by its high byte, and is followed
-by at most two words. Carries are added to the word before and settled at the end. All state
-is in integers (the one division has exact operands and a quotient far from rounding), so
+narrows the interval by its order and then, for order 0, by its high byte; words go out; order 0 then narrows it
+twice by the halves of the low byte. Carries are added to the word before and settled at the end. All state
+is in integers (the one division in floating point has exact operands and a quotient far from rounding), so
 the decoder repeats the encoder's steps exactly. Most ids of natural text take order 0, so
-both sides work out its interval for all lanes.
+both sides work out its high byte for all lanes.
 
-Coded block: number of 16-bit words (unsigned 32 bits, little-endian), the words, the low bytes.
+Coded block: the words, 16 bits each, little-endian.
 """
 
 from __future__ import annotations
 
-import struct
-
 import numpy as np
 
-BLOCK, RENEW = 1024, 256
+BLOCK, RENEW = 8192, 256
 ONE = 1 << 16
-_SLOTS, _CELLS = 512, 80
+_SLOTS, _CELLS = 4096, 80
 _TOP, _LOW = 1 << 32, (1 << 32) - 1
 _LEAST, _MOST = 64, ONE - 2048
 _SHIFT0, _ONE0 = 13, 1 << 13  # order 0 shares of 2**13
 _GOAL = np.array([_LEAST, _MOST], np.int32)
+_ADD, _FULL = 24, 2048  # what a half byte adds to its count; counts above this sum are halved
+_HALF = np.arange(16)
 
 
 class Model:
@@ -47,6 +47,7 @@ class Model:
         self.hit = np.full(lanes * _CELLS, ONE // 3, np.int32)
         self.row, self.edge = self.lane * 256, self.lane * 257
         self.high, self.cum = np.ones(lanes * 256, np.int32), np.zeros(lanes * 257, np.int32)
+        self.half1, self.half2 = np.ones((lanes * 256, 16), np.uint16), np.ones((lanes * 4096, 16), np.uint16)
         self.last, self.previous = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.step = 0
 
@@ -57,7 +58,7 @@ class Model:
             high, cum = self.high[: n * 256].reshape(n, 256), self.cum[: n * 257].reshape(n, 257)
             np.cumsum(1 + high * (_ONE0 - 256) // high.sum(axis=1, keepdims=True, dtype=np.int32), axis=1, out=cum[:, 1:])
             cum[:, 256] = _ONE0
-        self.at1 = self.slot0 + (self.last * 40503 >> 5 & _SLOTS - 1)
+        self.at1 = self.slot0 + (self.last * 40503 >> 3 & _SLOTS - 1)
         self.at2 = self.slot0 + ((self.previous * 50021 + self.last) * 2654435761 >> 14 & _SLOTS - 1)
         self.e1, self.e2 = self.table1.take(self.at1), self.table2.take(self.at2)
         self.p1, self.p2 = (self.e1 >> 3) - 1, (self.e2 >> 3) - 1
@@ -83,6 +84,20 @@ class Model:
         self.previous, self.last = self.last, ids
         self.step += 1
 
+    def halves(self, table: np.ndarray, context: np.ndarray):
+        """(cumulative counts with a 0 in front, rows) of half bytes under ``context``."""
+        rows = table[context]
+        cum = np.zeros((len(context), 17), np.int32)
+        np.cumsum(rows, axis=1, out=cum[:, 1:])
+        return cum, rows
+
+    def saw(self, table: np.ndarray, context: np.ndarray, rows: np.ndarray, cum: np.ndarray, half: np.ndarray) -> None:
+        rows[np.arange(len(half)), half] += _ADD
+        full = cum[:, 16] > _FULL
+        if full.any():
+            rows[full] = rows[full] + 1 >> 1
+        table[context] = rows
+
     def keep(self, n: int) -> None:
         """Go on with the first ``n`` lanes (blocks are sorted by length, longest first)."""
         for name in ("lane", "slot0", "cell0", "row", "edge", "last", "previous"):
@@ -100,16 +115,27 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
         return []
     order, size = _by_length([len(b) for b in blocks])
     lanes, steps = len(blocks), int(size[0])
-    ids, escaped = np.zeros((steps, lanes), np.uint16), np.zeros((steps, lanes), bool)
+    ids = np.zeros((steps, lanes), np.uint16)
     for j, i in enumerate(order):
         ids[: size[j], j] = blocks[i]
-    span = 2 * steps + 8
+    span = 3 * steps + 8
     out = np.zeros(lanes * span, np.int32)
     start = np.arange(lanes) * span + 1
     at = start.copy()  # where the lane's next word goes; the word before the first stays 0
     low, width = np.zeros(lanes, np.int64), np.full(lanes, 1 << 47, np.int64)
     model = Model(lanes)
     alive = -1
+
+    def send(full: np.ndarray) -> None:
+        """Words of the lanes whose interval has become narrow."""
+        full = full[width.take(full) < _TOP]
+        while len(full):
+            here, value, wide = at.take(full), low.take(full), width.take(full) << 16
+            out[here - 1] += value >> 48  # a carry
+            out[here] = value >> 32 & 0xFFFF
+            low[full], width[full], at[full] = (value & _LOW) << 16, wide, here + 1
+            full = full[wide < _TOP]
+
     for t in range(steps):
         if alive < 0 or size[alive - 1] <= t:
             alive = int(np.searchsorted(-size, -t, side="left"))
@@ -125,16 +151,21 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
         cell = model.edge + (now >> 8)
         unit, share = wide >> _SHIFT0, model.cum.take(cell)
         low[:alive] += begin + unit * (share * other)
-        wide = np.where(other, unit * (model.cum.take(cell + 1) - share), wide)
-        width[:alive] = wide
-        full = np.flatnonzero(wide < _TOP)
-        while len(full):
-            here, value, wide = at.take(full), low.take(full), width.take(full) << 16
-            out[here - 1] += value >> 48  # a carry
-            out[here] = value >> 32 & 0xFFFF
-            low[full], width[full], at[full] = (value & _LOW) << 16, wide, here + 1
-            full = full[wide < _TOP]
-        escaped[t, :alive] = other
+        width[:alive] = np.where(other, unit * (model.cum.take(cell + 1) - share), wide)
+        send(model.lane)
+        rest = np.flatnonzero(other)
+        if len(rest):
+            code = now.take(rest)
+            context = rest * 256 + (code >> 8)
+            for table, half in ((model.half1, code >> 4 & 15), (model.half2, code & 15)):
+                cum, rows = model.halves(table, context)
+                row = np.arange(len(rest))
+                share, unit = cum[row, half], width.take(rest) // cum[:, 16]
+                low[rest] += unit * share
+                width[rest] = unit * (cum[row, half + 1] - share)
+                model.saw(table, context, rows, cum, half)
+                context = context * 16 + half
+            send(rest)
         model.update(now)
     # One more word names a point of the last interval (zeros follow it); then carries settle.
     point = low + _LOW >> 32
@@ -146,8 +177,7 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
         out[:, k] &= 0xFFFF
     coded: list[bytes] = [b""] * lanes
     for j, i in enumerate(order):
-        literal = (ids[: size[j], j][escaped[: size[j], j]] & 255).astype(np.uint8)
-        coded[i] = struct.pack("<I", done[j]) + out[j, : done[j]].astype("<u2").tobytes() + literal.tobytes()
+        coded[i] = out[j, : done[j]].astype("<u2").tobytes()
     return coded
 
 
@@ -157,21 +187,24 @@ def decode(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
         return []
     order, size = _by_length(lengths)
     lanes, steps = len(coded), int(size[0])
-    n_words = [struct.unpack_from("<I", c)[0] for c in coded]
-    span = max(n_words) + 4
+    span = max(len(c) // 2 for c in coded) + 4
     words = np.zeros((lanes, span), np.uint16)
-    depth = max(len(c) - 4 - 2 * n for c, n in zip(coded, n_words, strict=True)) + 1
-    literal = np.zeros((lanes, depth), np.uint8)
     for j, i in enumerate(order):
-        words[j, : n_words[i]] = np.frombuffer(coded[i], "<u2", n_words[i], 4)
-        own = np.frombuffer(coded[i], np.uint8, offset=4 + 2 * n_words[i])
-        literal[j, : len(own)] = own
+        words[j, : len(coded[i]) // 2] = np.frombuffer(coded[i], "<u2")
     gap, width = words[:, :3].astype(np.int64) @ np.array([1 << 32, 1 << 16, 1]), np.full(lanes, 1 << 47, np.int64)
-    read, taken = np.arange(lanes) * span + 3, np.arange(lanes) * depth
-    words, literal = words.reshape(-1), literal.reshape(-1)
+    read = np.arange(lanes) * span + 3
+    words = words.reshape(-1)
     ids = np.zeros((steps, lanes), np.uint16)
     model = Model(lanes)
     alive = -1
+
+    def fetch(full: np.ndarray) -> None:
+        full = full[width.take(full) < _TOP]
+        while len(full):
+            spot, wide = read.take(full), width.take(full) << 16
+            gap[full], width[full], read[full] = gap.take(full) << 16 | words.take(spot, mode="clip"), wide, spot + 1
+            full = full[wide < _TOP]
+
     for t in range(steps):
         if alive < 0 or size[alive - 1] <= t:
             alive = int(np.searchsorted(-size, -t, side="left"))
@@ -183,7 +216,8 @@ def decode(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
         here = here - np.where(other, edge, edge2 * ~first)
         wide = np.where(other, unit * (ONE - hits), np.where(first, edge2, edge - edge2))
         now = np.where(first, p2, p1).astype(np.int64)
-        if other.any():
+        rest = np.flatnonzero(other)
+        if len(rest):
             unit = wide >> _SHIFT0
             point = np.minimum((here / unit).astype(np.int32), _ONE0 - 1)
             cell, cum = model.edge, model.cum
@@ -192,14 +226,23 @@ def decode(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
             share = cum.take(cell)
             here = here - unit * (share * other)
             wide = np.where(other, unit * (cum.take(cell + 1) - share), wide)
-            now = np.where(other, cell - model.edge << 8 | literal.take(taken[:alive]), now)
-            taken[:alive] += other
+            code = (cell - model.edge).take(rest)
         gap[:alive], width[:alive] = here, wide
-        full = np.flatnonzero(wide < _TOP)
-        while len(full):
-            spot, wide = read.take(full), width.take(full) << 16
-            gap[full], width[full], read[full] = gap.take(full) << 16 | words.take(spot, mode="clip"), wide, spot + 1
-            full = full[wide < _TOP]
+        fetch(model.lane)
+        if len(rest):
+            context = rest * 256 + code
+            for table in (model.half1, model.half2):
+                cum, rows = model.halves(table, context)
+                row = np.arange(len(rest))
+                unit = width.take(rest) // cum[:, 16]
+                half = np.minimum((cum[:, 1:] <= (gap.take(rest) // unit)[:, None]).sum(axis=1), 15)
+                share = cum[row, half]
+                gap[rest] -= unit * share
+                width[rest] = unit * (cum[row, half + 1] - share)
+                model.saw(table, context, rows, cum, half)
+                context = context * 16 + half
+            now[rest] = context - rest * 65536
+            fetch(rest)
         ids[t, :alive] = now
         model.update(now)
     plain: list[np.ndarray] = [np.zeros(0, np.uint32)] * lanes

@@ -37,7 +37,9 @@ MAGIC = b"PBT1"
 
 
 def pack_frame(ids: np.ndarray, sizes: np.ndarray) -> bytes:
-    """The payload of documents with ``sizes`` ids each, back to back in ``ids``."""
+    """The payload of documents with ``sizes`` ids each, back to back in ``ids``; ids over 65,535 raise ValueError."""
+    if len(ids) and int(ids.max()) > 0xFFFF:
+        raise ValueError("the coder takes ids up to 65535")
     blocks = [ids[i : i + coder.BLOCK] for i in range(0, len(ids), coder.BLOCK)]
     coded = coder.encode(blocks)
     head = np.asarray(sizes, "<u4").tobytes()

@@ -36,6 +36,20 @@ def test_damage_is_seen():
         unpack_frame(bytes(payload))
 
 
+def test_ids_beyond_the_coder_raise():
+    with pytest.raises(ValueError):
+        pack_frame(np.array([1, 65536], np.uint32), np.array([2]))
+
+
+def test_blocks_are_coded_alone():
+    """A block's bytes are the same beside any others."""
+    rng = np.random.default_rng(5)
+    blocks = [rng.zipf(1.3, n).clip(max=50_000) for n in (coder.BLOCK, 700, 5000, 1)]
+    together = coder.encode(blocks)
+    assert all(coder.encode([b]) == [c] for b, c in zip(blocks, together, strict=True))
+    assert coder.decode(together[1:2], [700])[0].tolist() == blocks[1].tolist()
+
+
 PARTS = [" ", "  ", "\n", "\t", "\xa0", "\x85", "　", "a", "B", "é", "'s", "'ll", "12", "½", "٣", "!", "字", "🙂", "‍", "the", " the", "<|endoftext|>", "\x1c", "\x00", "ß", "\r\n", "Ž", ".", "<|"]
 
 
