@@ -14,7 +14,8 @@ the terms that the search starts from:
 they stand near the rarest one, in any order.
 
 Test terms and windows are broadcast when they are at most ``BROADCAST_ROWS`` rows (counted
-first), else joined by a shuffle. Windows that several items share are searched once. A
+first). Beyond that they are joined by a shuffle: words are counted by task before any moves, an occurrence moves
+as its term and place alone, and a text moves once, to the places found in it. Windows that several items share are searched once. A
 document is known by its id and a hash of id and text, so rows that repeat both are one
 entry of the index and each gets the result. Null or empty text has no words; an item
 without words has no window; an item with a null id marks words but is not listed. Empty
@@ -27,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofbox.llm.common import stored
+from proofbox.llm.common import scratch, stored
 from proofbox.llm.words import duck_words, folded, key, words
 
 SIZE, RAREST, BROADCAST_ROWS = 10, 2, 50_000
@@ -35,7 +36,11 @@ SIZE, RAREST, BROADCAST_ROWS = 10, 2, 50_000
 
 def _small(df: DataFrame) -> DataFrame:
     """``df``, marked for broadcast if its counted rows allow it."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if _fits(df) else df
+
+
+def _fits(df: DataFrame) -> bool:
+    return df.count() <= BROADCAST_ROWS
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -54,14 +59,24 @@ def windows(benchmark: DataFrame, item_col: str, text_col: str, size: int) -> Da
 def frequencies(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, n): how often each of ``terms`` stands in the texts."""
     tokens = texts.select(F.explode(words(F.col("text"))).alias("w")).select(key(F.col("w")).alias("term"))
-    counted = tokens.join(_small(terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    if _fits(terms):
+        counted = tokens.join(F.broadcast(terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    else:
+        counted = tokens.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     return terms.join(counted, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def postings(texts: DataFrame, terms: DataFrame, around: int) -> DataFrame:
     """(term, doc_id, h, pos, near, at): occurrences of ``terms``, with the ``around`` words on each side; the term is near[at]."""
-    tokens = texts.select("doc_id", "h", words(F.col("text")).alias("ws")).select("doc_id", "h", "ws", F.posexplode("ws").alias("pos", "w"))
-    found = tokens.withColumn("term", key(F.col("w"))).join(_small(terms), "term")
+    if _fits(terms):
+        tokens = texts.select("doc_id", "h", words(F.col("text")).alias("ws")).select("doc_id", "h", "ws", F.posexplode("ws").alias("pos", "w"))
+        found = tokens.withColumn("term", key(F.col("w"))).join(F.broadcast(terms), "term")
+    else:
+        tokens = texts.select("doc_id", "h", F.posexplode(words(F.col("text"))).alias("pos", "w")).select("doc_id", "h", "pos", key(F.col("w")).alias("term"))
+        places = tokens.join(terms, "term").groupBy("doc_id", "h").agg(F.collect_set(F.struct("pos", "term")).alias("places"))  # of one text
+        own = places.select(F.col("doc_id").alias("of"), F.col("h").alias("of_h"), "places")
+        whole = texts.join(own, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("of_h")))
+        found = whole.select("doc_id", "h", words(F.col("text")).alias("ws"), F.explode("places").alias("place")).select("doc_id", "h", "ws", "place.pos", "place.term")
     first = F.greatest(F.col("pos") - around, F.lit(0))
     return found.select("term", "doc_id", "h", "pos", F.slice("ws", first + 1, F.lit(2 * around + 1)).alias("near"), (F.col("pos") - first).alias("at"))
 
@@ -132,9 +147,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without documents in which a window of the benchmark occurs."""
-    dirty = contamination(docs, benchmark, id_col, text_col, **options).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct()
+    with scratch(docs.sparkSession) as keep:
+        dirty = contamination(docs, benchmark, id_col, text_col, **options).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct()
+        dirty = keep(stored(dirty, "decontaminate-dirty"))
     h = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
-    return docs.join(stored(dirty, "decontaminate-dirty"), (h == F.col("__h")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
+    return docs.join(dirty, (h == F.col("__h")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
 
 
 SQL = f"""

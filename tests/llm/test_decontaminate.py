@@ -3,6 +3,9 @@ import random
 import re
 from collections import Counter
 
+import pytest
+
+from proofbox.llm import decontaminate
 from proofbox.llm.decontaminate import contamination, drop_contaminated, proximity
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -28,7 +31,9 @@ def brute(docs, items):
     return Counter(out)
 
 
-def test_matches_brute_force(spark):
+@pytest.mark.parametrize("broadcast_rows", [decontaminate.BROADCAST_ROWS, 0])
+def test_matches_brute_force(spark, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", broadcast_rows)
     rng = random.Random(2)
     vocabulary = ["The", "the", "of", "É", "é", "kø", "12"] + [f"w{i}" for i in range(25)]
     text = lambda n: rng.choice([" ", ", ", "\n"]).join(rng.choices(vocabulary, k=n))
