@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofbox.operators.features import feature_columns, series_window
+from proofbox.session import ensure_checkpoint_dir
 
 # Sequence-model history and target-day context columns.
 HISTORY_COLUMNS = ["sold_qty", "waste_qty", "made_qty", "temp_avg", "dow_sin", "dow_cos", "month_sin", "month_cos"]
@@ -108,18 +109,20 @@ def apply_scaler(df: DataFrame, stats: DataFrame, cols: Sequence[str], suffix: s
     return df.withColumns(out)
 
 
-def fit_index(df: DataFrame, col: str) -> DataFrame:
+def fit_index(df: DataFrame, col: str, partitions: int | None = None) -> DataFrame:
     """Value -> 1..n in sorted order (0 is reserved for unknown).
 
-    The distinct values are range-partitioned and sorted by Spark, then
-    numbered with ``zipWithIndex`` (per-partition counts + offsets), so no
-    single task ever ranks the whole catalogue.
+    The distinct values are range-partitioned and sorted; a value's number is its place in its partition plus
+    the number of values in the partitions before, a table of one row per partition. Lazy, and no
+    task ranks the whole catalogue. (Both reads share one exchange, so they see the same ranges.)
     """
-    d = df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col)
-    from pyspark.sql.types import IntegerType, StructField, StructType
-
-    schema = StructType(list(d.schema.fields) + [StructField(f"{col}_idx", IntegerType(), False)])
-    return d.rdd.zipWithIndex().map(lambda t: (*t[0], t[1] + 1)).toDF(schema)
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.select(col).where(F.col(col).isNotNull()).distinct().repartitionByRange(n, col).sortWithinPartitions(col)
+    row = F.monotonically_increasing_id()
+    placed = ranged.select(col, F.shiftright(row, 33).cast("int").alias("__part"), row.bitwiseAND(F.lit((1 << 33) - 1)).alias("__place"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    return placed.join(F.broadcast(offsets), "__part").select(col, (F.col("__before") + F.col("__place") + 1).cast("int").alias(f"{col}_idx"))
 
 
 def apply_index(df: DataFrame, index: DataFrame, col: str) -> DataFrame:
@@ -203,9 +206,9 @@ def no_fit(fn: Callable[[DataFrame | None, DataFrame], DataFrame]) -> Callable[[
     return fn
 
 
-def backtest(panel: DataFrame, target: str, primary: Callable[[DataFrame, DataFrame], DataFrame],
-             challenger: Callable[[DataFrame, DataFrame], DataFrame], n_splits: int = 3, window_days: int = 14,
-             newest_first: bool = True) -> DataFrame:
+def backtest_predictions(panel: DataFrame, target: str, primary: Callable[[DataFrame, DataFrame], DataFrame],
+                         challenger: Callable[[DataFrame, DataFrame], DataFrame], n_splits: int = 3, window_days: int = 14,
+                         newest_first: bool = True) -> DataFrame:
     """Rolling-origin backtest of two forecasters and their average.
 
     A fitting forecaster gets (train rows, validation rows) per fold, with
@@ -213,8 +216,8 @@ def backtest(panel: DataFrame, target: str, primary: Callable[[DataFrame, DataFr
     pred); the loop runs over the n folds only (each fit is Spark/MLlib jobs)
     and predictions are aligned with the truth on keys (C7). A ``no_fit``
     forecaster adds ``pred`` to the validation rows in one pass. Predictions
-    are clamped at 0, averaged into a provisional ensemble and scored per
-    fold: MAE and WAPE for the three (D8).
+    are clamped at 0 and averaged into a provisional ensemble. One row per validation row that both answer:
+    its columns, ``__y``, xgb_pred, lstm_pred, ensemble_pred.
     """
     val_rows = assign_folds(panel, n_splits, window_days, newest_first)
     keys = ["fold", "product", "date"]
@@ -235,7 +238,17 @@ def backtest(panel: DataFrame, target: str, primary: Callable[[DataFrame, DataFr
             frame = fn(None, frame).withColumnRenamed("pred", name)
         pred = F.col(name).cast("double")
         frame = frame.withColumn(name, F.when(pred.isNotNull(), F.greatest(pred, F.lit(0.0))))
-    frame = frame.withColumn("ensemble_pred", (F.col("xgb_pred") + F.col("lstm_pred")) / 2.0)
+    return frame.withColumn("ensemble_pred", (F.col("xgb_pred") + F.col("lstm_pred")) / 2.0)
+
+
+def backtest(panel: DataFrame, target: str, primary: Callable[[DataFrame, DataFrame], DataFrame],
+             challenger: Callable[[DataFrame, DataFrame], DataFrame], n_splits: int = 3, window_days: int = 14,
+             newest_first: bool = True) -> DataFrame:
+    """I7 scored: MAE and WAPE per fold for both forecasters and their average."""
+    return backtest_scores(backtest_predictions(panel, target, primary, challenger, n_splits, window_days, newest_first), target)
+
+
+def backtest_scores(frame: DataFrame, target: str) -> DataFrame:
     return frame.groupBy("fold").agg(
         F.min("val_start").alias("val_start"),
         F.max("val_end").alias("val_end"),
@@ -260,27 +273,46 @@ def model_frame(df: DataFrame, target: str, sentinel: float = MISSING) -> tuple[
 
 
 def fit_primary(train: DataFrame, target: str, max_iter: int = 500, step: float = 0.05, depth: int = 6,
-                subsample: float = 0.8, feature_fraction: str = "0.8", validation: DataFrame | None = None, seed: int = 42):
-    """Boosted trees over all products at once (MLlib GBTRegressor in a Pipeline)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import StringIndexer, VectorAssembler
+                subsample: float = 0.8, feature_fraction: str = "0.8", validation: DataFrame | None = None, tol: float = 0.01, seed: int = 42):
+    """Boosted trees over all products at once, as one fitted Pipeline.
+
+    Product and weather enter as the target's mean over their training rows (``TargetEncoder``, shrunk to the overall mean
+    for rare values; a value never seen gets the overall mean), so the number of products has
+    no say in the trees' bins. With ``validation`` rows the trees stop once a round gains less than ``tol`` of their error there; the encoders never see
+    those rows.
+    """
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.feature import SQLTransformer, StringIndexer, TargetEncoder, VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
+    ensure_checkpoint_dir(train.sparkSession)  # long boosting cuts its lineage there
     tr, nums, cats = model_frame(train, target)
+    tr = tr.withColumn(target, F.col(target).cast("double"))
+    idx, enc, mean = ([f"{c}__{kind}" for c in cats] for kind in ("idx", "enc", "mean"))
+    stages = []
+    if cats:
+        stages = [
+            StringIndexer(inputCols=cats, outputCols=idx, handleInvalid="keep"),
+            TargetEncoder(inputCols=idx, outputCols=enc, labelCol=target, targetType="continuous", handleInvalid="keep", smoothing=10.0),
+            # as plain numbers: the encoded column still carries the index's category attributes
+            SQLTransformer(statement="select *, " + ", ".join(f"{e} + 0D as {m}" for e, m in zip(enc, mean)) + " from __THIS__"),
+        ]
+    prepared = Pipeline(stages=[*stages, VectorAssembler(inputCols=[*nums, *mean], outputCol="features", handleInvalid="keep")]).fit(tr)
+    rows = prepared.transform(tr).select("features", target, F.lit(False).alias("is_val"))
+    gbt = GBTRegressor(featuresCol="features", labelCol=target, maxIter=max_iter, stepSize=step, maxDepth=depth, subsamplingRate=subsample,
+                       featureSubsetStrategy=feature_fraction, maxBins=64, validationTol=tol, seed=seed)
     if validation is not None:
         va, _, _ = model_frame(validation, target)
-        tr = tr.withColumn("is_val", F.lit(False)).unionByName(va.withColumn("is_val", F.lit(True)), allowMissingColumns=True)
-    idx = [StringIndexer(inputCol=c, outputCol=f"{c}__idx", handleInvalid="keep") for c in cats]
-    n_levels = max([tr.select(c).distinct().count() for c in cats] + [0])
-    asm = VectorAssembler(inputCols=nums + [f"{c}__idx" for c in cats], outputCol="features", handleInvalid="keep")
-    gbt = GBTRegressor(
-        featuresCol="features", labelCol=target, maxIter=max_iter, stepSize=step, maxDepth=depth,
-        subsamplingRate=subsample, featureSubsetStrategy=feature_fraction, maxBins=max(32, n_levels + 2), seed=seed,
-    )
-    if validation is not None:
+        va = prepared.transform(va.withColumn(target, F.col(target).cast("double")))
+        rows = rows.unionByName(va.select("features", target, F.lit(True).alias("is_val")))
         gbt.setValidationIndicatorCol("is_val")
-    model = Pipeline(stages=[*idx, asm, gbt]).fit(tr.withColumn(target, F.col(target).cast("double")))
-    return model
+    return PipelineModel([*prepared.stages, gbt.fit(rows)])
+
+
+def fit_primary_stopping(train: DataFrame, target: str, stop_days: int = DEFAULT_HOLDOUT_DAYS, **options):
+    """``fit_primary`` on all but the last ``stop_days`` days of the training rows, which decide when to stop."""
+    fit_rows, stop_rows = temporal_split(train, default_split_date(train, stop_days))
+    return fit_primary(fit_rows, target, validation=stop_rows, **options)
 
 
 def predict_primary(model, df: DataFrame, target: str) -> DataFrame:
@@ -288,25 +320,48 @@ def predict_primary(model, df: DataFrame, target: str) -> DataFrame:
     return model.transform(fr).select("product", "date", F.greatest(F.col("prediction"), F.lit(0.0)).alias("pred"))
 
 
-def fit_challenger(samples: DataFrame, reg: float = 0.1):
-    """Linear model on the flattened history + context + ids (MLlib LinearRegression)."""
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.regression import LinearRegression
+def _scaled_sql(samples: DataFrame, seq_len: int) -> tuple[str, list[str]]:
+    """The challenger's columns as SQL, with the training rows' statistics in it, and their names.
 
-    x = challenger_features(samples)
-    return LinearRegression(featuresCol="features", labelCol="target", regParam=reg, elasticNetParam=0.0).fit(x)
+    Every value of the history and the context is scaled by its variable's mean and population deviation (D14) over the
+    training samples (their newest history row, and their context); a null becomes the mean, and the share of nulls of a variable is a column of its own.
+    """
+    last = f"get(history, {seq_len - 1})"
+    source = {f"h_{c}": f"{last}.{c}" for c in HISTORY_COLUMNS} | {f"c_{c}": f"context.{c}" for c in CONTEXT_COLUMNS}
+    stats = fit_scaler(samples.select(*[F.expr(e).cast("double").alias(k) for k, e in source.items()]), list(source)).first()
 
+    def scaled(value: str, k: str) -> str:
+        mean = stats[f"{k}__mean"] or 0.0
+        return f"coalesce((cast({value} as double) - {mean!r}D) / {stats[f'{k}__std']!r}D, 0D)"
 
-def challenger_features(samples: DataFrame) -> DataFrame:
-    from pyspark.ml.functions import array_to_vector
+    cols = {f"h{i}_{c}": scaled(f"get(history, {i}).{c}", f"h_{c}") for i in range(seq_len) for c in HISTORY_COLUMNS}
+    cols |= {f"c_{c}": scaled(f"context.{c}", f"c_{c}") for c in CONTEXT_COLUMNS}
+    cols |= {f"null_h_{c}": f"aggregate(history, 0D, (n, r) -> n + if(r.{c} is null, 1D, 0D)) / {seq_len}D" for c in HISTORY_COLUMNS}
+    cols |= {f"null_c_{c}": f"if(context.{c} is null, 1D, 0D)" for c in CONTEXT_COLUMNS}
+    ids = "coalesce(product, '<unknown>') as id_product, coalesce(weather, '<unknown>') as id_weather"
+    return "select *, " + ids + ", " + ", ".join(f"{e} as {k}" for k, e in cols.items()) + " from __THIS__", list(cols)
+
+
+def fit_challenger(samples: DataFrame, reg: float = 0.1, seq_len: int = 14, id_width: int = 256):
+    """Linear model on the scaled history and context and the hashed product and weather, as one fitted Pipeline.
+
+    Scaling and imputation come from ``samples`` alone; ids are hashed to ``id_width`` places, so a product never seen needs no index.
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import FeatureHasher, SQLTransformer, VectorAssembler
+    from pyspark.ml.regression import LinearRegression
 
-    ctx = [F.col(f"context.{c}") for c in CONTEXT_COLUMNS]
-    flat = F.concat(flatten_history(samples), F.array(*ctx))
-    return samples.select("product", "date", "target", array_to_vector(flat).alias("features"))
+    statement, cols = _scaled_sql(samples, seq_len)
+    return Pipeline(stages=[
+        SQLTransformer(statement=statement),
+        FeatureHasher(inputCols=["id_product", "id_weather"], outputCol="ids", numFeatures=id_width),
+        VectorAssembler(inputCols=[*cols, "ids"], outputCol="features"),
+        LinearRegression(featuresCol="features", labelCol="target", regParam=reg, elasticNetParam=0.0),
+    ]).fit(samples)
 
 
 def predict_challenger(model, samples: DataFrame) -> DataFrame:
-    return model.transform(challenger_features(samples)).select(
+    return model.transform(samples).select(
         "product", "date", F.greatest(F.col("prediction"), F.lit(0.0)).alias("pred")
     )
 
@@ -322,10 +377,10 @@ def load_pipeline(path: str):
     return PipelineModel.load(path)
 
 
-def read_features(spark, path: str, fmt: str = "parquet") -> DataFrame:
-    """A5: re-read a stored feature table, re-typing the date key."""
-    r = spark.read.format(fmt)
+def read_features(spark, path: str, fmt: str = "parquet", schema=None) -> DataFrame:
+    """A5: re-read a stored feature table, re-typing the date key. A CSV file has no types: give ``schema``, or its columns are text."""
+    r = spark.read.format(fmt) if schema is None else spark.read.format(fmt).schema(schema)
     if fmt == "csv":
-        r = r.option("header", True).option("inferSchema", True)
+        r = r.option("header", True)
     df = r.load(path)
     return df.withColumn("date", F.col("date").cast("date")).withColumn("product", F.col("product").cast("string"))

@@ -128,11 +128,11 @@ ADMIT_SCHEMA = T.StructType(
 )
 
 
-_LISTS = "seq array<long>, kind array<string>, amount array<long>"
+_LISTS = "seq array<long>, kind array<string>, amount array<long>, earn array<long>"
 RUN_SCHEMA = f"key long, part int, run int, edge boolean, {_LISTS}, start array<long>, slope array<boolean>, offset array<long>"
 _RUN_TYPES = pa.schema(
     [("key", pa.int64()), ("part", pa.int32()), ("run", pa.int32()), ("edge", pa.bool_()), ("seq", pa.list_(pa.int64())), ("kind", pa.list_(pa.string())),
-     ("amount", pa.list_(pa.int64())), ("start", pa.list_(pa.int64())), ("slope", pa.list_(pa.bool_())), ("offset", pa.list_(pa.int64()))]
+     ("amount", pa.list_(pa.int64())), ("earn", pa.list_(pa.int64())), ("start", pa.list_(pa.int64())), ("slope", pa.list_(pa.bool_())), ("offset", pa.list_(pa.int64()))]
 )
 
 
@@ -159,12 +159,12 @@ def _pack(run_rows: int):
             def listed(name):
                 return pa.ListArray.from_arrays(at, flat(name))
 
-            f = tf.of_moves(table.column("kind").to_pylist(), table.column("amount").to_pylist()) if edge else None
+            f = tf.of_moves(*[table.column(c).to_pylist() for c in ("kind", "amount", "earn")]) if edge else None
             fn = [[x.tolist()] if edge else [[]] * k for x in ((f.start, f.slope, f.offset) if edge else (None,) * 3)]
             starts = pa.array(offsets[:-1], pa.int64())
-            cols = [flat("key").take(starts), flat("part").take(starts), pa.array(range(n, n + k), pa.int32()), pa.array([edge] * k), listed("seq"), listed("kind"), listed("amount")]
+            cols = [flat("key").take(starts), flat("part").take(starts), pa.array(range(n, n + k), pa.int32()), pa.array([edge] * k), listed("seq"), listed("kind"), listed("amount"), listed("earn")]
             n += k
-            return pa.RecordBatch.from_arrays([*cols, *[pa.array(x, t.type) for x, t in zip(fn, list(_RUN_TYPES)[7:])]], schema=_RUN_TYPES)
+            return pa.RecordBatch.from_arrays([*cols, *[pa.array(x, t.type) for x, t in zip(fn, list(_RUN_TYPES)[8:])]], schema=_RUN_TYPES)
 
         for batch in batches:
             table = pa.Table.from_batches([batch])
@@ -224,8 +224,8 @@ def _replay(batches):
         for lo in range(0, batch.num_rows, 1024):
             part = batch.slice(lo, 1024)
             accepted, after, reasons = [], [], []
-            for kinds, amounts, opening in zip(*[part.column(c).to_pylist() for c in ("kind", "amount", "opening")]):
-                a, b, r, _ = tf.replay(kinds, amounts, opening)
+            for kinds, amounts, earns, opening in zip(*[part.column(c).to_pylist() for c in ("kind", "amount", "earn", "opening")]):
+                a, b, r, _ = tf.replay(kinds, amounts, opening, earns)
                 accepted += a
                 after += b
                 reasons += r
@@ -239,7 +239,7 @@ def admit(moves: DataFrame, opening: DataFrame | None = None, partitions: int |
     """Sequential admission per key over moves (key, ts, seq, kind, amount), in the order (ts, seq).
 
     kind: 'deposit' (always accepted), 'withdraw' (accepted only if the balance
-    covers it), 'revert' (subtracts, floored at 0); any other kind changes nothing. ``opening`` (key, opening)
+    covers it), 'payment' (a withdrawal that brings ``earn``, a column of the moves, if it is accepted), 'revert' (subtracts, floored at 0); any other kind changes nothing. ``opening`` (key, opening)
     gives starting balances (default 0). Line-level: each move is admitted on
     its own (an all-or-nothing multi-line order would couple keys). Moves with a null key are left out, a null amount counts as 0.
 
@@ -250,12 +250,14 @@ def admit(moves: DataFrame, opening: DataFrame | None = None, partitions: int |
     in runs of 512 without reverts, four in all with them), and every run is
     then replayed from its known opening, all in parallel. The runs are checkpointed: both later steps must see the same cut.
     """
+    zero = F.lit(0).cast("long")
+    earn = F.coalesce(F.col("earn").cast("long"), zero) if "earn" in moves.columns else zero
     m = moves.where(F.col("key").isNotNull()).select(
-        F.col("key").cast("long").alias("key"), "ts", F.col("seq").cast("long").alias("seq"), "kind", F.coalesce(F.col("amount").cast("long"), F.lit(0).cast("long")).alias("amount")
+        F.col("key").cast("long").alias("key"), "ts", F.col("seq").cast("long").alias("seq"), "kind", F.coalesce(F.col("amount").cast("long"), zero).alias("amount"), earn.alias("earn")
     )
     n = partitions or int(moves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = m.repartitionByRange(n, "key", "ts", "seq").sortWithinPartitions("key", "ts", "seq")
-    runs = ordered.select("key", "seq", "kind", "amount", F.spark_partition_id().alias("part")).mapInArrow(_pack(run_rows), RUN_SCHEMA)
+    runs = ordered.select("key", "seq", "kind", "amount", "earn", F.spark_partition_id().alias("part")).mapInArrow(_pack(run_rows), RUN_SCHEMA)
     runs = checkpointed(runs)
     if opening is None:
         runs = runs.withColumn("opening", F.lit(0).cast("long"))
@@ -264,7 +266,7 @@ def admit(moves: DataFrame, opening: DataFrame | None = None, partitions: int |
         runs = runs.join(given, "key", "left").withColumn("opening", F.coalesce("opening", F.lit(0).cast("long")))
     edges = runs.where("edge")
     looked = edges.select("key", "part", "run", "opening", "start", "slope", "offset").repartition("key").sortWithinPartitions("key", "part", "run").mapInArrow(_look, "part int, run int, balance long")
-    moves_of = ["key", "seq", "kind", "amount"]
+    moves_of = ["key", "seq", "kind", "amount", "earn"]
     inside = runs.where(~F.col("edge")).select(*moves_of, "opening")
     across = edges.join(looked, ["part", "run"]).select(*moves_of, F.col("balance").alias("opening"))
     return inside.unionByName(across).mapInArrow(_replay, ADMIT_SCHEMA)

@@ -22,6 +22,7 @@ DRINK_KEYWORDS = ["라떼", "아메리카노"]
 RATE_COMPLETION = "0.03"
 RATE_COUNTER = "0.03"
 RATE_MANUAL = "0.05"
+# Limits of the request forms.
 PHONE_PATTERN = r"^[0-9]{10,11}$"
 MAX_AMOUNT = 500000
 MAX_MEMO = 500
@@ -121,41 +122,44 @@ def status_counts(orders: DataFrame) -> DataFrame:
 
 
 def point_moves(orders: DataFrame) -> DataFrame:
-    """Signed point movements per order: -used when ordered, +earned when completed."""
-    used = orders.select("customer_id", "order_id", "order_date", (-F.col("points_used")).alias("delta"), F.lit("use").alias("kind"))
-    earned = orders.filter(F.col("points_earned") != 0).select(
-        "customer_id", "order_id", "order_date", F.col("points_earned").alias("delta"), F.lit("earn").alias("kind")
-    )
-    return used.unionByName(earned)
+    """Point movements per order, one row: points used when ordered, earned when completed (null: none)."""
+    return orders.select("customer_id", "order_id", "order_date", F.col("points_used").alias("used"), F.when(F.col("points_earned") != 0, F.col("points_earned")).alias("earned"))
 
 
 def points_balance(moves: DataFrame, customers: DataFrame) -> DataFrame:
-    """D12 (no floor): opening points + signed movements, per customer (partial aggregation)."""
-    g = moves.groupBy("customer_id").agg(
-        F.sum(F.when(F.col("delta") < 0, -F.col("delta")).otherwise(F.lit(0))).alias("points_used"),
-        F.sum(F.when(F.col("delta") > 0, F.col("delta")).otherwise(F.lit(0))).alias("points_earned"),
-        F.sum("delta").alias("net_moves"),
-    )
+    """D12 (no floor): opening points + movements, per customer (partial aggregation; the orders are read once)."""
+    g = moves.groupBy("customer_id").agg(F.sum("used").alias("points_used"), F.sum("earned").alias("points_earned"))
     c = customers.select("customer_id", F.col("points").alias("opening_points"))
-    j = g.join(c, "customer_id", "full")
-    return j.select(
-        "customer_id",
-        F.coalesce("opening_points", F.lit(0)).alias("opening_points"),
-        F.coalesce("points_used", F.lit(0)).cast("long").alias("points_used"),
-        F.coalesce("points_earned", F.lit(0)).cast("long").alias("points_earned"),
-        (F.coalesce("opening_points", F.lit(0)) + F.coalesce("net_moves", F.lit(0))).cast("long").alias("balance"),
+    used, earned = F.coalesce("points_used", F.lit(0)).cast("long"), F.coalesce("points_earned", F.lit(0)).cast("long")
+    return g.join(c, "customer_id", "full").select(
+        "customer_id", F.coalesce("opening_points", F.lit(0)).alias("opening_points"), used.alias("points_used"), earned.alias("points_earned"),
+        (F.coalesce("opening_points", F.lit(0)) - used + earned).cast("long").alias("balance"),
     )
 
 
-def stock_moves(items: DataFrame, orders: DataFrame) -> DataFrame:
-    """Stock deltas: -quantity when ordered; +quantity again when the order was cancelled."""
-    o = orders.select("order_id", "order_date", "status")
-    lines = items.join(o, "order_id", "inner")
-    out = lines.select("product_id", F.col("order_date").alias("ts"), (-F.col("quantity")).alias("delta"))
-    back = lines.filter(F.col("status") == "CANCELLED").select(
-        "product_id", F.col("order_date").alias("ts"), F.col("quantity").alias("delta")
+def channel_moves(requests: DataFrame) -> DataFrame:
+    """D12, all channels: point moves (key, ts, seq, channel, kind, amount, earn) for ``lifecycle.admit``.
+
+    ``requests``: customer_id, ts, request_id, channel, amount, points_used, points_earned. Channels:
+    'order' withdraws the points used; 'complete' credits 3% of the order's total; 'counter' pays with points and earns 3% of
+    what is left to pay (never below 0), only if the balance covers the points; 'quick' is the same without the floor on what is left; 'manual' credits
+    5% of the amount; 'revert' takes back what was earned, down to 0. Points are truncated toward zero.
+    """
+    ch, used = F.col("channel"), F.col("points_used").cast("decimal(18,2)")
+    kind = F.when(ch == "order", "withdraw").when(ch.isin("complete", "manual"), "deposit").when(ch.isin("counter", "quick"), "payment").when(ch == "revert", "revert")
+    amount = (
+        F.when(ch == "complete", points_for("amount", RATE_COMPLETION)).when(ch == "manual", points_for("amount", RATE_MANUAL)).when(ch == "revert", F.col("points_earned"))
+        .otherwise(F.col("points_used"))
     )
-    return out.unionByName(back)
+    earn = F.when(ch == "counter", points_for(net_paid("amount", used), RATE_COUNTER)).when(ch == "quick", points_for(net_paid("amount", used, False), RATE_COUNTER)).otherwise(F.lit(0))
+    return requests.select(F.col("customer_id").alias("key"), "ts", F.col("request_id").alias("seq"), "channel", kind.alias("kind"), amount.cast("long").alias("amount"), earn.cast("long").alias("earn"))
+
+
+def stock_moves(items: DataFrame, orders: DataFrame) -> DataFrame:
+    """Stock deltas, one row per line: -quantity when ordered; none in the end when the order was cancelled (the lines are read and joined once)."""
+    lines = items.join(orders.select("order_id", "order_date", "status"), "order_id", "inner")
+    delta = F.when(F.col("status") == "CANCELLED", F.lit(0)).otherwise(-F.col("quantity"))
+    return lines.select("product_id", F.col("order_date").alias("ts"), delta.alias("delta"))
 
 
 def stock_position(products: DataFrame, moves: DataFrame, sets: DataFrame | None = None) -> DataFrame:
@@ -232,23 +236,47 @@ def with_badges(products: DataFrame) -> DataFrame:
     return products.withColumn("stock_badge", stock_badge("stock"))
 
 
+def blank(col: str) -> Column:
+    return F.col(col).isNull() | (F.trim(col) == "")
+
+
+def amount_rules(col: str) -> dict[str, Column]:
+    return {"amount_missing": F.col(col).isNull(), "amount_not_positive": F.col(col) <= 0, "amount_above_limit": F.col(col) > MAX_AMOUNT}
+
+
+def rule_set(kind: str) -> dict[str, Column]:
+    """A form's rules as data, code -> condition under which a record breaks the rule."""
+    if kind == "order":
+        return {
+            "phone_format": F.col("phone").isNull() | ~F.col("phone").rlike(PHONE_PATTERN),
+            "memo_too_long": F.coalesce(F.length("memo"), F.lit(0)) > MAX_MEMO,
+            "no_items": F.coalesce(F.col("n_items"), F.lit(0)) < 1,
+            "quantity_below_1": F.col("min_qty") < 1,
+            "negative_points": F.col("points_used") < 0,
+            "amount_out_of_range": (F.col("total_amount") <= 0) | (F.col("total_amount") > MAX_AMOUNT),
+        }
+    if kind == "payment":
+        return {"phone_missing": blank("phone"), **amount_rules("amount"), "method_missing": F.col("method").isNull(), "negative_points": F.col("points_used") < 0}
+    if kind == "points":
+        return {"phone_missing": blank("phone"), **amount_rules("amount")}
+    if kind == "stock":
+        return {"product_missing": F.col("product_id").isNull(), "negative_quantity": F.col("quantity") < 0}
+    raise ValueError(f"unknown rule set {kind!r}")
+
+
+def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """``df`` with ``codes``: the rules each record breaks, in the rule set's order (an unknown condition breaks nothing)."""
+    found = F.array(*[F.when(broken, F.lit(code)) for code, broken in rules.items()])
+    return df.withColumn("codes", F.filter(found, lambda x: x.isNotNull()))
+
+
 def order_rule_violations(orders: DataFrame, items: DataFrame) -> DataFrame:
     """One row per (order, broken rule). Items are counted with a partial aggregate."""
-    per_order = items.groupBy("order_id").agg(
-        F.count(F.lit(1)).alias("n_items"), F.min("quantity").alias("min_qty")
-    )
+    per_order = items.groupBy("order_id").agg(F.count(F.lit(1)).alias("n_items"), F.min("quantity").alias("min_qty"))
     o = orders.join(per_order, "order_id", "left")
-    memo = F.col("memo") if "memo" in orders.columns else F.lit(None).cast("string")
-    checks = F.array(
-        F.when(F.col("phone").isNull() | ~F.col("phone").rlike(PHONE_PATTERN), F.lit("phone_format")),
-        F.when(F.coalesce(F.length(memo), F.lit(0)) > MAX_MEMO, F.lit("memo_too_long")),
-        F.when(F.coalesce(F.col("n_items"), F.lit(0)) < 1, F.lit("no_items")),
-        F.when(F.col("min_qty") < 1, F.lit("quantity_below_1")),
-        F.when(F.col("points_used") < 0, F.lit("negative_points")),
-        F.when((F.col("total_amount") <= 0) | (F.col("total_amount") > MAX_AMOUNT), F.lit("amount_out_of_range")),
-    )
-    broken = o.select("order_id", F.filter(checks, lambda x: x.isNotNull()).alias("rules"))
-    return broken.select("order_id", F.explode("rules").alias("rule"))
+    if "memo" not in o.columns:
+        o = o.withColumn("memo", F.lit(None).cast("string"))
+    return violations(o, rule_set("order")).select("order_id", F.explode("codes").alias("rule"))
 
 
 def payment_points(orders: DataFrame) -> DataFrame:

@@ -6,10 +6,10 @@ appended after the product's last observed day BEFORE the target date. Rather
 than copying history per request, every history row h carries the "next-day
 state" (the same window features with frames shifted by one row, so they end
 at h instead of before it), and each request picks up the state of the last
-history row before its date with an as-of lookup: history and requests are
-unioned and ``last(state, ignorenulls)`` runs over one window per product.
-No request ever touches more than that one state row; the window per product
-is bounded by the number of observed days.
+history row before its date with an as-of lookup (``asof_days``): over the distinct
+(product, date) pairs asked for, inside months, with the last day of the earlier months carried in; the requests
+themselves only meet the result in equi-joins, so no window holds the requests of a product.
+Fitted pipelines answer in the same frame: ``PipelineModel.transform`` adds a prediction column, in batch and in a stream.
 """
 
 from __future__ import annotations
@@ -24,6 +24,10 @@ from proofbox.operators import decide as dc
 from proofbox.operators.features import (
     LAGS, QTY, ROLL_WINDOWS, SAME_DOW_WEEKS, calendar_columns, mean_present, pop_std_present, series_window,
 )
+from proofbox.operators.forecast import HISTORY_COLUMNS
+
+
+CALENDAR = ("dow_sin", "dow_cos", "month_sin", "month_cos", "day_of_week", "month", "day_of_month", "week_of_year", "is_weekend")
 
 
 def _lag_or_self(col: Column | str, n: int, w) -> Column:
@@ -45,6 +49,8 @@ def next_day_state(daily: DataFrame) -> DataFrame:
             fields.append(F.avg(f"{q}_qty").over(w.rowsBetween(-(n - 1), 0)).alias(f"{q}_rolling_mean_{n}"))
     for q in QTY:
         fields.append(F.stddev_samp(f"{q}_qty").over(w.rowsBetween(-6, 0)).alias(f"{q}_rolling_std_7"))
+    # the newest rows themselves, for sequence models
+    fields.append(F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in HISTORY_COLUMNS])).over(w.rowsBetween(-13, 0)).alias("recent"))
     dow_lags = [_lag_or_self(f"{q}_qty", 7 * k - 1, w).alias(f"__{q}_d{k}") for q in QTY for k in range(1, 9)]
     fields += [
         st.alias("sell_through_rate_lag_1"), wr.alias("waste_rate_lag_1"),
@@ -57,7 +63,8 @@ def next_day_state(daily: DataFrame) -> DataFrame:
         F.avg("temp_avg").over(w.rowsBetween(-6, 0)).alias("temp_prev_mean_7"),
     ]
     # stage 1: every window output as a named column (one Window operator)
-    stage1 = daily.select("product", "date", *fields, *dow_lags)
+    dated = daily.drop(*[c for c in CALENDAR if c in daily.columns]).select("*", *calendar_columns("date"))
+    stage1 = dated.select("product", "date", *fields, *dow_lags)
     # stage 2: same-weekday statistics as a projection over the named lags
     stats = []
     for k in SAME_DOW_WEEKS:
@@ -70,21 +77,46 @@ def next_day_state(daily: DataFrame) -> DataFrame:
     return stage2.select("product", "date", F.struct(*[c for c in stage2.columns if c not in ("product", "date")]).alias("state"))
 
 
-def request_features(requests: DataFrame, daily: DataFrame) -> DataFrame:
-    """Valid requests with their as-of features; ``has_history`` False when no
-    history row precedes the target date. Invalid dates are excluded here
-    (see ``rejected_requests``)."""
-    req = requests.filter(valid_iso_date("target_date")).select(
+def asof_days(keys: DataFrame, hist: DataFrame, bucket: str = "month") -> DataFrame:
+    """(product, date, asof): for each distinct (product, date) of ``keys`` the last date of ``hist`` before it, if any.
+
+    Inside a (product, month) a window over dates, history and asked ones, none of them twice; over a product's months
+    a window with one row each carries the last history date on.
+    """
+    marks = hist.select("product", "date").distinct().withColumn("h", F.lit(True))
+    asked = keys.select("product", "date").distinct().withColumn("h", F.lit(False))
+    u = marks.unionByName(asked).withColumn("bucket", F.trunc("date", bucket))
+    is_h = F.when(F.col("h"), F.col("date"))
+    # a history row of the asked date itself does not count: asked dates sort first
+    inside = Window.partitionBy("product", "bucket").orderBy("date", "h").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("product").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = u.groupBy("product", "bucket").agg(F.max(is_h).alias("last")).withColumn("carried", F.max("last").over(earlier)).drop("last")
+    found = u.withColumn("in_bucket", F.max(is_h).over(inside)).where(~F.col("h"))
+    return found.join(carried, ["product", "bucket"]).select("product", "date", F.coalesce("in_bucket", "carried").alias("asof"))
+
+
+def state_days(state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The stream's side of the as-of lookup, so that a stream of requests only meets it in equi-joins.
+
+    (product, date, prev): the state that holds on each calendar day from a product's second day to its last; and
+    (product, last, latest): its last state, which holds on all days after ``last``.
+    """
+    w = Window.partitionBy("product").orderBy("date")
+    spans = state.withColumn("next", F.lead("date").over(w))
+    inside = spans.where(F.col("next").isNotNull()).select("product", F.explode(F.sequence(F.date_add("date", 1), "next")).alias("date"), F.col("state").alias("prev"))
+    return inside, spans.where(F.col("next").isNull()).select("product", F.col("date").alias("last"), F.col("state").alias("latest"))
+
+
+def valid_requests(requests: DataFrame) -> DataFrame:
+    """Requests with a valid date, typed."""
+    return requests.filter(valid_iso_date("target_date")).select(
         "request_id", "product", F.to_date("target_date", "yyyy-MM-dd").alias("date"),
         "forecast_weather", F.col("forecast_temp").cast("double").alias("forecast_temp"),
     )
-    hist = next_day_state(daily).select("product", "date", F.lit(1).alias("__h"), "state")
-    reqs = req.select("product", "date", F.lit(0).alias("__h"), F.lit(None).cast(hist.schema["state"].dataType).alias("state"),
-                      "request_id", "forecast_weather", "forecast_temp")
-    u = hist.unionByName(reqs, allowMissingColumns=True)
-    # requests sort before history rows of the same date: only strictly earlier days count
-    w = Window.partitionBy("product").orderBy("date", "__h").rowsBetween(Window.unboundedPreceding, -1)
-    asof = u.select("*", F.last("state", ignorenulls=True).over(w).alias("prev")).filter(F.col("__h") == 0)
+
+
+def features_of(asof: DataFrame) -> DataFrame:
+    """Feature columns of requests with their as-of state ``prev`` (null: no history)."""
     t = F.col("forecast_temp")
     diff = t - F.col("prev.temp_prev")
     return asof.select(
@@ -99,6 +131,17 @@ def request_features(requests: DataFrame, daily: DataFrame) -> DataFrame:
     ).withColumnRenamed("temp_prev", "temp_avg_lag_1").drop("temp_prev_mean_7")
 
 
+def request_features(requests: DataFrame, daily: DataFrame) -> DataFrame:
+    """Valid requests with their as-of features; ``has_history`` False when no
+    history row precedes the target date. Invalid dates are excluded here
+    (see ``rejected_requests``)."""
+    req = valid_requests(requests)
+    state = next_day_state(daily)
+    days = asof_days(req, daily)
+    states = days.join(state.select("product", F.col("date").alias("asof"), F.col("state").alias("prev")), ["product", "asof"]).select("product", "date", "prev")
+    return features_of(req.join(states, ["product", "date"], "left"))
+
+
 def rejected_requests(requests: DataFrame) -> DataFrame:
     """B19 side output: requests whose target date is not a valid yyyy-MM-dd date."""
     return requests.filter(~valid_iso_date("target_date")).select(
@@ -110,30 +153,45 @@ def rejected_requests(requests: DataFrame) -> DataFrame:
 Predictor = Callable[[DataFrame], "Column | DataFrame"]
 
 
-def model_predictor(model, target: str) -> Predictor:
-    """Wrap a fitted primary pipeline (I5) as a request predictor.
+def model_predictor(model) -> Predictor:
+    """Wrap a fitted primary pipeline (I5) as a request predictor: the frame with a column ``pred``.
 
     The request's own weather and temperature stand in for the day's; every
     other column the pipeline was trained on comes from the as-of features,
     and anything the request cannot know (e.g. the day's min/max temperature)
-    is missing, encoded exactly as in training. Returns (request_id, pred).
+    is missing, encoded exactly as in training. No join: it also runs in a stream.
     """
     from pyspark.ml.feature import StringIndexerModel, VectorAssembler
 
     from proofbox.operators.forecast import MISSING
 
     asm = next(st for st in model.stages if isinstance(st, VectorAssembler))
-    cats = [st.getInputCol() for st in model.stages if isinstance(st, StringIndexerModel)]
-    nums = [c for c in asm.getInputCols() if not c.endswith("__idx")]
+    cats = [c for st in model.stages if isinstance(st, StringIndexerModel) for c in st.getInputCols()]
+    nums = [c for c in asm.getInputCols() if not c.endswith("__mean")]
 
     def predict(f: DataFrame) -> DataFrame:
-        g = f.withColumns({"weather": F.col("forecast_weather"), "temp_avg": F.col("forecast_temp")})
+        g = f.withColumn("__row", F.struct(*f.columns)).withColumns({"weather": F.col("forecast_weather"), "temp_avg": F.col("forecast_temp")})
         num_cols = [
             F.coalesce((F.col(c) if c in g.columns else F.lit(None)).cast("double"), F.lit(MISSING)).alias(c) for c in nums
         ]
         cat_cols = [F.coalesce(F.col(c).cast("string"), F.lit("<unknown>")).alias(c) for c in cats]
-        fr = g.select("request_id", *num_cols, *cat_cols)
-        return model.transform(fr).select("request_id", F.greatest(F.col("prediction"), F.lit(0.0)).alias("pred"))
+        return model.transform(g.select("__row", *num_cols, *cat_cols)).select("__row.*", F.greatest(F.col("prediction"), F.lit(0.0)).alias("pred"))
+
+    return predict
+
+
+def challenger_predictor(model, seq_len: int = 14) -> Predictor:
+    """Wrap a fitted challenger pipeline (I6): its sequence is the product's last ``seq_len`` days before the request; fewer days give no prediction."""
+    from proofbox.operators.forecast import CONTEXT_COLUMNS
+
+    def predict(f: DataFrame) -> DataFrame:
+        context = F.struct(*[(F.col("forecast_temp") if c == "temp_avg" else F.col(c)).cast("double").alias(c) for c in CONTEXT_COLUMNS])
+        rows = f.select(
+            F.struct(*f.columns).alias("__row"), "product", F.col("forecast_weather").alias("weather"), F.coalesce("recent", F.array().cast(f.schema["recent"].dataType)).alias("history"),
+            context.alias("context"),
+        )
+        known = F.size("history") == seq_len
+        return model.transform(rows).select("__row.*", F.when(known, F.greatest(F.col("prediction"), F.lit(0.0))).alias("pred"))
 
     return predict
 
@@ -143,24 +201,21 @@ def forecast(requests: DataFrame, daily: DataFrame, sold_primary: Predictor, sol
     """Request table -> both targets -> ensemble -> recommendation -> texts.
 
     A predictor maps the request-feature frame either to a Column (a stand-in
-    read from the features) or to a DataFrame (request_id, pred), e.g. a
-    fitted pipeline's output (``model_predictor``), which is joined back on
-    the request id. Requests without prior history get null predictions and
+    read from the features) or to that frame with a column ``pred``, e.g. a
+    fitted pipeline's output (``model_predictor``). Requests without prior history get null predictions and
     the fixed failure texts (confidence 'Failed').
     """
-    f = request_features(requests, daily)
+    return answer(request_features(requests, daily), sold_primary, sold_challenger, waste_primary, waste_challenger)
+
+
+def answer(f: DataFrame, sold_primary: Predictor, sold_challenger: Predictor, waste_primary: Predictor, waste_challenger: Predictor) -> DataFrame:
+    """Forecasts, decisions and texts for request features, in batch or in a stream."""
     has = F.col("has_history")
     keep = ["request_id", "product", "date", "forecast_weather", "forecast_temp", "has_history"]
-    preds = f.select(*keep, *[c for c in f.columns if c not in keep])
-    cols = {}
     for name, fn in (("sp", sold_primary), ("sc", sold_challenger), ("wp", waste_primary), ("wc", waste_challenger)):
         out = fn(f)
-        if isinstance(out, DataFrame):
-            preds = preds.join(out.select("request_id", F.col("pred").alias(name)), "request_id", "left")
-            cols[name] = F.col(name)
-        else:
-            cols[name] = out
-    preds = preds.select(*keep, *[F.when(has, c).alias(k) for k, c in cols.items()])
+        f = out.withColumnRenamed("pred", name) if isinstance(out, DataFrame) else f.withColumn(name, out)
+    preds = f.select(*keep, *[F.when(has, F.col(k)).alias(k) for k in ("sp", "sc", "wp", "wc")])
     d = dc.decide(preds, "sp", "sc", "wp", "wc", keep=tuple(keep))
     d = d.withColumnRenamed("date", "target_date")
     return d.select(

@@ -1,6 +1,7 @@
 """Balance transfer functions: what a run of ordered moves does to any opening balance.
 
 A deposit shifts every balance; a withdrawal shifts the balances that cover it and leaves the others; a
+payment is a withdrawal that, where it is covered, earns too; a
 revert shifts the balances that cover it and sets the others to 0. So a run of moves is a
 piecewise function of the opening balance: on each interval between sorted breakpoints the closing
 balance is the opening balance plus an offset, or a constant (after a floor). A move only splits
@@ -18,7 +19,7 @@ LOWEST = -(1 << 62)
 HIGHEST = 1 << 62
 _LEAF = 32
 # Kinds of moves.
-DEPOSIT, WITHDRAW, REVERT = "deposit", "withdraw", "revert"
+DEPOSIT, WITHDRAW, PAYMENT, REVERT = "deposit", "withdraw", "payment", "revert"
 
 
 @dataclass
@@ -47,11 +48,11 @@ def _merged(start: np.ndarray, slope: np.ndarray, offset: np.ndarray) -> Transfe
     return Transfer(start[new], slope[new], offset[new])
 
 
-def after_move(f: Transfer, kind: str, amount: int) -> Transfer:
-    """``f`` followed by one move."""
+def after_move(f: Transfer, kind: str, amount: int, earn: int = 0) -> Transfer:
+    """``f`` followed by one move; ``earn`` is what a covered payment brings."""
     if kind == DEPOSIT:
         return Transfer(f.start, f.slope, f.offset + amount)
-    if kind not in (WITHDRAW, REVERT):
+    if kind not in (WITHDRAW, PAYMENT, REVERT):
         return f
     end = np.append(f.start[1:], HIGHEST)
     # The least opening balance of each interval that covers the amount.
@@ -63,8 +64,8 @@ def after_move(f: Transfer, kind: str, amount: int) -> Transfer:
     start = np.where(upper, covers[at], f.start[at])
     paid = start >= covers[at]
     slope, offset = f.slope[at], f.offset[at]
-    if kind == WITHDRAW:
-        return _merged(start, slope, np.where(paid, offset - amount, offset))
+    if kind != REVERT:
+        return _merged(start, slope, np.where(paid, offset - amount + (earn if kind == PAYMENT else 0), offset))
     return _merged(start, slope & paid, np.where(paid, offset - amount, 0))
 
 
@@ -85,29 +86,29 @@ def then(f: Transfer, g: Transfer) -> Transfer:
     return _merged(start, slope, offset)
 
 
-def of_moves(kinds: list[str], amounts: list[int]) -> Transfer:
+def of_moves(kinds: list[str], amounts: list[int], earns: list[int] | None = None) -> Transfer:
     """The function of a run of moves: short runs move by move, then joined pair by pair."""
-    parts = []
-    for lo in range(0, len(kinds), _LEAF):
+    parts, moves = [], list(zip(kinds, amounts, earns or [0] * len(kinds)))
+    for lo in range(0, len(moves), _LEAF):
         f = identity()
-        for kind, amount in zip(kinds[lo : lo + _LEAF], amounts[lo : lo + _LEAF]):
-            f = after_move(f, kind, amount)
+        for move in moves[lo : lo + _LEAF]:
+            f = after_move(f, *move)
         parts.append(f)
     while len(parts) > 1:
         parts = [then(parts[i], parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
     return parts[0] if parts else identity()
 
 
-def replay(kinds: list[str], amounts: list[int], balance: int) -> tuple[list[bool], list[int], list[str | None], int]:
+def replay(kinds: list[str], amounts: list[int], balance: int, earns: list[int] | None = None) -> tuple[list[bool], list[int], list[str | None], int]:
     """Apply moves in order: accepted, balance after and reason of each, and the closing balance."""
     accepted, after, reasons = [], [], []
-    for kind, amount in zip(kinds, amounts):
+    for kind, amount, earn in zip(kinds, amounts, earns or [0] * len(kinds)):
         ok, reason = True, None
         if kind == DEPOSIT:
             balance += amount
-        elif kind == WITHDRAW:
+        elif kind in (WITHDRAW, PAYMENT):
             if balance >= amount:
-                balance -= amount
+                balance += (earn if kind == PAYMENT else 0) - amount
             else:
                 ok, reason = False, "insufficient_balance"
         elif kind == REVERT:

@@ -198,20 +198,21 @@ ORACLE = {
 
 
 def q_forecast_requests(spark, sf_dir):
-    """I10 with the stand-in forecasters, for requests on the 7 days after the panel."""
+    """I10 with the stand-in forecasters: requests after, inside and before the panel, and of a product it does not know."""
     from proofbox.plans.ledger_queries import daily_once
+    from proofbox.streaming.jobs import STAND_INS
 
     d = daily_once(spark, sf_dir)
-    req = fx.forecast_requests(d)
-    out = sv.forecast(
-        req, d,
-        lambda f: F.col("sold_rolling_mean_7"), lambda f: F.col("sold_same_dow_mean_4"),
-        lambda f: F.col("waste_rolling_mean_7"), lambda f: F.col("waste_same_dow_mean_4"),
-    )
-    return round_doubles(out.drop("prompt_text"))
+    return round_doubles(sv.forecast(fx.forecast_requests(d), d, *STAND_INS).drop("prompt_text"))
+
+
+def q_rejected_requests(spark, sf_dir):
+    """The requests that are not answered, with the reason."""
+    return sv.rejected_requests(fx.forecast_requests(daily(spark, sf_dir)))
 
 
 QUERIES["forecast_requests"] = q_forecast_requests
+QUERIES["rejected_requests"] = q_rejected_requests
 
 _H = "partition by product order by date"
 _REQ_CTES = [
@@ -231,15 +232,25 @@ _REQ_CTES = [
         )
         + "\nfrom daily",
     ),
+    (
+        "req_raw",
+        """select product as of_product, tag, d, (d - date '1995-01-01') as dayno,
+  case when tag = 'unknown' then product || ' (gone)' else product end as product,
+  case when tag = 'format' then strftime(d, '%Y/%m/%d') when tag = 'no_day' then '2001-02-30' else strftime(d, '%Y-%m-%d') end as target_date
+from (
+  select product, strftime(d, '%Y-%m-%d') as tag, d
+  from (select distinct product from daily), (select cast((select max(date) from daily) + cast(k as integer) as date) as d from range(1, 8) r(k))
+  union all select product, 'inside', cast(min(date) + 10 as date) from daily group by product
+  union all select product, 'before', cast(min(date) - 1 as date) from daily group by product
+  union all select product, unnest(['unknown', 'format', 'no_day']), cast((select max(date) from daily) + 1 as date) from (select distinct product from daily)
+)""",
+    ),
     (
         "req",
-        """select product || ':' || strftime(d, '%Y-%m-%d') as request_id, product, d as date,
+        """select of_product || ':' || tag as request_id, product, d as date,
   case when t < 0 then 'Snow' when dayno % 10 < 3 then 'Rainy' when dayno % 10 < 6 then 'Cloudy' else 'Sunny' end as weather,
   t as temp_avg
-from (select product, d, dayno, cast(((dayno * 7) % 41) - 8 + 0.5 * (dayno % 3) as double) as t
-      from (select product, d, (d - date '1995-01-01') as dayno
-            from (select distinct product from daily),
-                 (select cast((select max(date) from daily) + cast(k as integer) as date) as d from range(1, 8) r(k))))""",
+from (select *, cast(((dayno * 7) % 41) - 8 + 0.5 * (dayno % 3) as double) as t from req_raw) where tag not in ('format', 'no_day')""",
     ),
     (
         "req_state",
@@ -266,7 +277,7 @@ def _forecast_requests_sql() -> str:
             "rec",
             """select request_id, product, date, weather, temp_avg, sold_final as predicted_sold_qty, final_prediction as predicted_waste_qty,
   greatest(coalesce(sold_final, 0.0) + coalesce(final_prediction, 0.0), 0.0) as recommended_made_qty,
-  (sold_anom or anomaly_flag) as anomaly_flag, sold_strategy, selected_strategy as waste_strategy from ew""",
+  (sold_anom or anomaly_flag) as anomaly_flag, sold_strategy, selected_strategy as waste_strategy, has_history from ew""",
         ),
     ]
     sel = EXPLAIN_SELECT.split(" as prompt_text")[0]
@@ -275,7 +286,14 @@ def _forecast_requests_sql() -> str:
                       "round(temp_avg, 6) as forecast_temp, round(predicted_sold_qty, 6) as predicted_sold_qty, "
                       "round(predicted_waste_qty, 6) as predicted_waste_qty, round(recommended_made_qty, 6) as recommended_made_qty, "
                       "anomaly_flag, sold_strategy, waste_strategy,")
-    return with_ctes(ctes, sel + "\nfrom rec")
+    failed = ", ".join(f"case when has_history then {k} else '{text}' end as {k}" for k, text in dc.FAILED_TEXTS.items())
+    answered = sel.replace("select request_id,", "select request_id, has_history,") + "\nfrom rec"
+    return with_ctes(ctes, f"select * exclude (has_history, {', '.join(dc.FAILED_TEXTS)}), {failed} from ({answered})")
 
 
 ORACLE["forecast_requests"] = _forecast_requests_sql()
+ORACLE["rejected_requests"] = with_ctes(
+    list(LEDGER_CTES) + [DAILY_CTE, next(c for c in _REQ_CTES if c[0] == "req_raw")],
+    """select of_product || ':' || tag as request_id, product, target_date, 'Invalid target_date format: ' || target_date as error_message
+from req_raw where tag in ('format', 'no_day')""",
+)

@@ -2,20 +2,26 @@
 
 The SQL-checked backtest uses the same stand-in forecasts as the ensemble
 queries (previous-7-row mean as primary, same-weekday mean of 4 lags as
-challenger); the model backtest fits MLlib models through the same
-``backtest`` operator and is registered without an oracle.
+challenger); the fitted models go through the same operators, and SQL checks
+what holds of any forecaster's answers (windows, rows, truth, no negative value).
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proofbox.operators import forecast as fc
+from proofbox.operators import serving as sv
+from proofbox.plans import decide_queries
 from proofbox.plans.common import round_doubles
 from proofbox.plans.ledger_queries import daily, daily_once, features, features_sql
 from proofbox.plans.sql_fixtures import DAILY_CTE, LEDGER_CTES, with_ctes
-from proofbox.session import checkpointed
+from proofbox.session import checkpointed, scratch_path
+from proofbox.sources import fixtures as fx
+from proofbox.streaming import jobs as sj
 
 N_SPLITS, WINDOW = 3, 14
 
@@ -116,22 +122,103 @@ def q_backtest_report(spark, d):
     return round_doubles(fc.backtest_report(backtest_standins(spark, d)))
 
 
-def q_backtest_models(spark, d):
-    """I5 + I6 + I7 (rows-only): boosted trees and the sequence-based linear model per fold."""
-    # the panel is read by every fit; cut its lineage once in the shared checkpoint folder
-    # (it is the daily-sized feature table: dates x products, independent of ledger volume)
-    f = checkpointed(features(spark, d))
-    samples = fc.sequence_samples(f, "sold_qty", 14)
+MODEL_SPLITS, MODEL_WINDOW = 2, 7
+TARGETS = ("sold_qty", "waste_qty")
+
+
+def _fitted_forecasters(panel: DataFrame, target: str):
+    """Boosted trees with their own stop and the sequence model, as forecasters of the fold loop."""
+    samples = checkpointed(fc.sequence_samples(panel, target, 14))
 
     def primary(train, val):
-        return fc.predict_primary(fc.fit_primary(train, "sold_qty", max_iter=10), val, "sold_qty")
+        return fc.predict_primary(fc.fit_primary_stopping(train, target), val, target)
 
     def challenger(train, val):
         tr = samples.join(train.select("product", "date"), ["product", "date"], "left_semi")
         va = samples.join(val.select("product", "date"), ["product", "date"], "left_semi")
         return fc.predict_challenger(fc.fit_challenger(tr), va)
 
-    return round_doubles(fc.backtest(f, "sold_qty", primary, challenger, n_splits=2, window_days=7))
+    return primary, challenger
+
+
+def backtest_models(panel: DataFrame, target: str) -> DataFrame:
+    """I5 + I6 + I7: predictions of both fitted models for every validation row of every fold."""
+    return fc.backtest_predictions(panel, target, *_fitted_forecasters(panel, target), n_splits=MODEL_SPLITS, window_days=MODEL_WINDOW)
+
+
+def q_backtest_models(spark, d):
+    """The fitted backtest of both targets: per fold its window, rows and truth, and what holds of any forecaster's
+    answers (a prediction for every row, none below 0, the ensemble their mean, finite scores)."""
+    # the panel is read by every fit; cut its lineage once in the shared checkpoint folder
+    # (it is the daily-sized feature table: dates x products, independent of ledger volume)
+    f = checkpointed(features(spark, d))
+    out = None
+    for target in TARGETS:
+        p = checkpointed(backtest_models(f, target))
+        facts = p.groupBy("fold").agg(
+            F.min("val_start").alias("val_start"), F.max("val_end").alias("val_end"), F.count(F.lit(1)).alias("n_rows"), F.sum("__y").alias("truth"),
+            F.count_if((F.col("xgb_pred") < 0) | (F.col("lstm_pred") < 0)).alias("n_negative"),
+            F.count_if(F.abs(F.col("ensemble_pred") - (F.col("xgb_pred") + F.col("lstm_pred")) / 2) < 1e-9).alias("n_ensemble"),
+        )
+        scores = fc.backtest_scores(p, target)
+        finite = [F.col(f"{m}_{k}").isNotNull() & (F.col(f"{m}_{k}") >= 0) & (F.col(f"{m}_{k}") < float("inf")) for m in fc.MODELS for k in ("mae", "wape")]
+        scored = scores.select("fold", F.forall(F.array(*finite), lambda x: x).alias("scored"))
+        one = facts.join(scored, "fold").select(F.lit(target).alias("target"), "*")
+        out = one if out is None else out.unionByName(one)
+    return round_doubles(out)
+
+
+def _fitted(spark, panel: DataFrame) -> dict[str, str]:
+    """Both models of both targets, fitted on the training side of the temporal split and saved; their paths."""
+    train, _ = fc.temporal_split(panel)
+    paths = {}
+    for target in TARGETS:
+        samples = fc.sequence_samples(panel, target, 14).join(train.select("product", "date"), ["product", "date"], "left_semi")
+        for kind, model in (("primary", fc.fit_primary_stopping(train, target)), ("challenger", fc.fit_challenger(samples))):
+            paths[f"{target}:{kind}"] = path = scratch_path(spark, f"models/{target}-{kind}-{uuid.uuid4().hex[:12]}")
+            fc.save_model(model, path)
+            paths[f"{target}:{kind}:live"] = model
+    return paths
+
+
+def q_model_reload(spark, d):
+    """Fitted pipelines saved, reloaded and held against the live ones on the validation side: rows and equal predictions."""
+    f = checkpointed(features(spark, d))
+    _, val = fc.temporal_split(f)
+    models = _fitted(spark, f)
+    out = None
+    for target in TARGETS:
+        samples = fc.sequence_samples(f, target, 14).join(val.select("product", "date"), ["product", "date"], "left_semi")
+        for kind, rows, predict in (("primary", val, lambda m, x, t=target: fc.predict_primary(m, x, t)), ("challenger", samples, fc.predict_challenger)):
+            live, again = (predict(m, rows) for m in (models[f"{target}:{kind}:live"], fc.load_pipeline(models[f"{target}:{kind}"])))
+            both = live.join(again.withColumnRenamed("pred", "again"), ["product", "date"])
+            one = both.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("pred") == F.col("again")).alias("n_equal"), F.count_if(F.col("again") < 0).alias("n_negative"))
+            one = one.select(F.lit(target).alias("target"), F.lit(kind).alias("model"), "*")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def q_forecast_fitted(spark, d):
+    """I10 + J5 with fitted pipelines, reloaded: every request, by batch and by stream; what SQL can tell of the answers.
+
+    Per request: whether it was answered, whether its quantities are none below 0 and the made quantity their sum, and whether
+    the stream's answer is the batch's.
+    """
+    f = checkpointed(features(spark, d))
+    dd = daily_once(spark, d)
+    models = _fitted(spark, f)
+    load = {k: fc.load_pipeline(p) for k, p in models.items() if not k.endswith(":live")}
+    predictors = [wrap(load[f"{t}:{kind}"]) for t in TARGETS for kind, wrap in (("primary", sv.model_predictor), ("challenger", sv.challenger_predictor))]
+    batch = sv.forecast(fx.forecast_requests(dd), dd, *predictors)
+    stream = sj.run_available(sj.stream_forecast(sj.landed_stream(fx.forecast_requests(dd), "requests"), dd, predictors), "forecast-fitted")
+    qty = ["predicted_sold_qty", "predicted_waste_qty", "recommended_made_qty"]
+    same = stream.select("request_id", *[F.col(c).alias(f"s_{c}") for c in qty], F.col("confidence_label").alias("s_label"))
+    equal = F.col("confidence_label") == F.col("s_label")
+    for c in qty:
+        equal = equal & (F.abs(F.col(c) - F.col(f"s_{c}")) < 1e-9)
+    fits = (F.least(*qty) >= 0) & (F.abs(F.col(qty[2]) - F.col(qty[0]) - F.col(qty[1])) < 1e-9)
+    joined = batch.join(same, "request_id", "left")
+    return joined.select("request_id", "product", "target_date", (F.col("confidence_label") != "Failed").alias("answered"), fits.alias("fits"), F.coalesce(equal, F.lit(False)).alias("stream_equal"))
 
 
 QUERIES = {
@@ -147,6 +234,8 @@ QUERIES = {
     "backtest_standins": q_backtest_standins,
     "backtest_report": q_backtest_report,
     "backtest_models": q_backtest_models,
+    "model_reload": q_model_reload,
+    "forecast_fitted": q_forecast_fitted,
 }
 
 # ------------------------------------------------------------------ oracle side
@@ -264,3 +353,25 @@ from s join fd on s.date = fd.date where s.n = 14""",
 from rep""",
     ),
 }
+
+_MODEL_FOLDS = f"""select date, cast(floor((rn - 1) / {MODEL_WINDOW}) as integer) as fold from (
+  select date, row_number() over (order by date desc) as rn from (select distinct date from daily))
+where rn <= {MODEL_SPLITS * MODEL_WINDOW}"""
+ORACLE["backtest_models"] = with_ctes(
+    BASE + [("mf", _MODEL_FOLDS)],
+    " union all ".join(
+        f"""select '{t}' as target, fold, min(date) as val_start, max(date) as val_end, count(*) as n_rows, round(sum({t}), 6) as truth,
+  cast(0 as bigint) as n_negative, count(*) as n_ensemble, true as scored from (
+    select d.date, d.product, {t}, fold, (select min(date) from mf m where m.fold = mf.fold) as s, (select max(date) from mf m where m.fold = mf.fold) as e
+    from daily d join mf using (date)) group by fold""" for t in TARGETS
+    ).replace("min(date) as val_start, max(date) as val_end", "min(s) as val_start, max(e) as val_end"),
+)
+ORACLE["model_reload"] = with_ctes(
+    BASE + [("v", "select count(*) as n from daily where date >= (select max(date) from daily) - 21")],
+    "select target, model, n as n_rows, n as n_equal, cast(0 as bigint) as n_negative from v, (select unnest(['sold_qty', 'waste_qty']) as target), (select unnest(['primary', 'challenger']) as model)",
+)
+ORACLE["forecast_fitted"] = with_ctes(
+    BASE + [c for c in decide_queries._REQ_CTES if c[0] in ("req_raw", "req")],
+    """select request_id, product, date as target_date, exists (select 1 from daily d where d.product = req.product and d.date < req.date) as answered,
+  true as fits, true as stream_equal from req""",
+)

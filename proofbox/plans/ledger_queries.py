@@ -8,7 +8,7 @@ from proofbox.functions.exprs import weekday_dummies, weekday_name
 from proofbox.operators import daily as dl
 from proofbox.operators import features as ft
 from proofbox.plans.common import round_doubles, sql_round_list
-from proofbox.plans.sql_fixtures import DAILY_CTE, LEDGER_CTES, RAW_LEDGER_CTES, with_ctes
+from proofbox.plans.sql_fixtures import DAILY_CTE, LEDGER_CTES, RAW_LEDGER_CTES, landing_sql, with_ctes
 from proofbox.sources import fixtures as fx
 
 # ------------------------------------------------------------------ Spark side
@@ -50,6 +50,24 @@ def q_daily_from_csv(spark, sf_dir):
     return round_doubles(dl.daily_table(dl.clean_ledger(raw)))
 
 
+def q_daily_input_order(spark, sf_dir):
+    """A1 + D2 over many CSV files: the first valid weather and temperatures of a day are those of the line that
+    comes first by file and place in the file."""
+    import uuid
+
+    from proofbox.session import scratch_path
+    from proofbox.sources.ledger_io import read_ledger, write_ledger_csv
+
+    base = scratch_path(spark, f"csv-landings-{uuid.uuid4().hex[:12]}")
+    lines = fx.varied_export(spark, sf_dir)
+    keys = [f"`{c}`" for c in fx.EXPORT_ORDER]
+    for i in range(fx.LANDINGS):
+        part = lines.where(f"landing = {i}").drop("landing")
+        write_ledger_csv(part.repartitionByRange(3, *keys).sortWithinPartitions(*keys), f"{base}/{i}")
+    raw = read_ledger(spark, [f"{base}/{i}" for i in range(fx.LANDINGS)], ordinal="line_ord")
+    return round_doubles(dl.daily_table(dl.clean_ledger(raw), by_product=False))
+
+
 def q_daily_written(spark, sf_dir):
     """A4 + A5: the daily table written as parquet partitioned by month under the shared
     checkpoint folder, then read back (partition column dropped, types restored)."""
@@ -132,6 +150,7 @@ QUERIES = {
     "daily_table": q_daily_table,
     "daily_from_raw": q_daily_from_raw,
     "daily_from_csv": q_daily_from_csv,
+    "daily_input_order": q_daily_input_order,
     "daily_written": q_daily_written,
     "daily_ordered": q_daily_ordered,
     "panel_union": q_panel_union,
@@ -305,6 +324,21 @@ ORACLE = {
     "daily_table": daily_sql(LEDGER_CTES),
     "daily_from_raw": _raw_daily_sql(),
     "daily_from_csv": _raw_daily_sql(),
+    "daily_input_order": daily_sql(
+        [
+            *LEDGER_CTES[:-1], ("whole", LEDGER_CTES[-1][1]),
+            (
+                "exported",
+                f"""select {landing_sql("cast((year(date) - 1995) // 2 as integer)", "line_ord")} as landing, date, product, qty, sales, line_ord as line,
+  case when line_ord % 3 <> 0 then weather || ' ' || (line_ord % 5) end as weather, case when line_ord % 4 <> 0 then temp_avg + line_ord % 7 end as temp_avg,
+  case when line_ord % 5 <> 0 then temp_max + line_ord % 3 end as temp_max, case when line_ord % 2 <> 0 then temp_min end as temp_min from whole""",
+            ),
+            (
+                "ledger",
+                "select *, row_number() over (order by landing, strftime(date, '%Y-%m-%d'), product, line, cast(qty as varchar), cast(sales as varchar)) as line_ord from exported",
+            ),
+        ]
+    ),
     "daily_written": daily_sql(LEDGER_CTES),
     "daily_ordered": daily_sql(LEDGER_CTES),
     "panel_union": daily_sql(LEDGER_CTES),

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from proofbox.functions.exprs import is_open, phone_digits, valid_iso_date
 from proofbox.operators import daily as dl
+from proofbox.operators import lifecycle as lc
 from proofbox.operators import retail as rt
+from proofbox.plans import lifecycle_queries
 from proofbox.plans.sql_fixtures import ACTIONS_CTE, RAW_LEDGER_CTES, SHOP_CTES, with_ctes
 from proofbox.sources import fixtures as fx
 from proofbox.sources.tables import read_table
@@ -96,7 +98,30 @@ def q_stock_badges(spark, d):
 
 
 def q_rule_violations(spark, d):
-    return rt.order_rule_violations(_o(spark, d), _i(spark, d))
+    return rt.order_rule_violations(*fx.order_forms(spark, d))
+
+
+def q_form_violations(spark, d):
+    """Payment, manual points and stock forms against their rule sets, the broken rules of each as one text."""
+    pay, stock = fx.payment_forms(spark, d), fx.stock_forms(spark, d)
+    out = None
+    for kind, forms in (("payment", pay), ("points", pay), ("stock", stock)):
+        one = rt.violations(forms, rt.rule_set(kind)).select(F.lit(kind).alias("form"), "form_id", F.array_join("codes", ",").alias("codes"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def q_point_channels(spark, d):
+    """D12 + J3: every point channel, admitted in order from the customers' points."""
+    moves = rt.channel_moves(fx.point_requests(spark, d))
+    opening = _c(spark, d).select(F.col("customer_id").alias("key"), F.col("points").alias("opening"))
+    out = lc.admit(moves, opening)
+    return out.join(moves.select("seq", "channel", "earn"), "seq").select("key", "seq", "channel", "amount", "earn", "accepted", "balance_after", "reason")
+
+
+def q_stock_after_takes(spark, d):
+    """D13 with stock-takes: the last count of a product, and what was ordered after it."""
+    return rt.stock_position(_p(spark, d), rt.stock_moves(_i(spark, d), _o(spark, d)), fx.stock_takes(spark, d))
 
 
 def q_payment_points(spark, d):
@@ -137,6 +162,9 @@ QUERIES = {
     "menu_availability": q_menu_availability,
     "stock_badges": q_stock_badges,
     "rule_violations": q_rule_violations,
+    "form_violations": q_form_violations,
+    "point_channels": q_point_channels,
+    "stock_after_takes": q_stock_after_takes,
     "payment_points": q_payment_points,
     "phone_digits": q_phone_digits,
     "valid_iso_dates": q_valid_iso_dates,
@@ -240,17 +268,98 @@ from shop_items i join shop_orders o on i.order_id = o.order_id join shop_produc
         "select product_id, stock, case when stock <= 0 then 'SOLD_OUT' when stock <= 5 then 'LOW' else 'OK' end as stock_badge from shop_products",
     ),
     "rule_violations": with_ctes(
-        S,
+        S + [
+            (
+                "oforms",
+                """select order_id, case when order_id % 17 = 0 then substr(phone, 1, 7) when order_id % 19 = 0 then null else phone end as phone,
+  case when order_id % 23 = 0 then repeat('m', 501) when order_id % 5 = 0 then 'no onions' end as memo,
+  case when order_id % 29 = 0 then -5 else points_used end as points_used,
+  case when order_id % 31 = 0 then 0 when order_id % 37 = 0 then 500001 else total_amount end as total_amount from shop_orders""",
+            ),
+            ("iforms", "select order_id, case when order_id % 43 = 0 then 0 else quantity end as quantity from shop_items where order_id % 41 <> 0"),
+        ],
         """select order_id, rule from (
   select o.order_id, unnest([
     case when o.phone is null or not regexp_matches(o.phone, '^[0-9]{10,11}$') then 'phone_format' end,
+    case when length(coalesce(o.memo, '')) > 500 then 'memo_too_long' end,
     case when coalesce(g.n, 0) < 1 then 'no_items' end,
     case when g.mq < 1 then 'quantity_below_1' end,
     case when o.points_used < 0 then 'negative_points' end,
     case when o.total_amount <= 0 or o.total_amount > 500000 then 'amount_out_of_range' end]) as rule
-  from shop_orders o left join (select order_id, count(*) as n, min(quantity) as mq from shop_items group by order_id) g
+  from oforms o left join (select order_id, count(*) as n, min(quantity) as mq from iforms group by order_id) g
     on o.order_id = g.order_id) where rule is not null""",
     ),
+    "form_violations": with_ctes(
+        S + [
+            (
+                "pay",
+                """select order_id as form_id, case when order_id % 17 = 0 then ' ' when order_id % 19 = 0 then null else phone end as phone,
+  case when order_id % 23 = 0 then null when order_id % 31 = 0 then -1 when order_id % 37 = 0 then 500001 else total_amount end as amount,
+  case when order_id % 41 = 0 then null when order_id % 2 = 0 then 'CASH' else 'CARD' end as method,
+  case when order_id % 29 = 0 then -5 else points_used end as points_used from shop_orders""",
+            ),
+            (
+                "stockf",
+                """select product_id as form_id, case when product_id % 17 <> 0 then product_id end as product_id,
+  case when product_id % 19 = 0 then -1 else product_id * 7 % 60 end as quantity from shop_products""",
+            ),
+        ],
+        """select 'payment' as form, form_id, concat_ws(',', case when phone is null or trim(phone) = '' then 'phone_missing' end, case when amount is null then 'amount_missing' end,
+  case when amount <= 0 then 'amount_not_positive' end, case when amount > 500000 then 'amount_above_limit' end, case when method is null then 'method_missing' end,
+  case when points_used < 0 then 'negative_points' end) as codes from pay
+union all select 'points', form_id, concat_ws(',', case when phone is null or trim(phone) = '' then 'phone_missing' end, case when amount is null then 'amount_missing' end,
+  case when amount <= 0 then 'amount_not_positive' end, case when amount > 500000 then 'amount_above_limit' end) from pay
+union all select 'stock', form_id, concat_ws(',', case when product_id is null then 'product_missing' end, case when quantity < 0 then 'negative_quantity' end) from stockf""",
+    ),
+    "point_channels": lifecycle_queries.with_recursive(
+        [
+            *S,
+            (
+                "steps",
+                """select customer_id as key, order_date as ts, order_id, total_amount as amount,
+  case when order_id % 7 = 0 then points_used * 400 else points_used end as used, cast(floor(total_amount * 0.03) as integer) as earned,
+  unnest(case order_id % 5 when 0 then ['order', 'complete'] when 1 then ['order', 'complete', 'revert'] when 2 then ['counter'] when 3 then ['quick'] else ['manual'] end) as channel
+  from shop_orders""",
+            ),
+            (
+                "pm",
+                """select key, ts, order_id * 4 + case channel when 'complete' then 1 when 'revert' then 2 else 0 end as seq, channel,
+  cast(case channel when 'complete' then trunc(amount * 0.03) when 'manual' then trunc(amount * 0.05) when 'revert' then earned else used end as bigint) as amount,
+  cast(case channel when 'counter' then trunc(greatest(amount - used, 0) * 0.03) when 'quick' then trunc((amount - used) * 0.03) else 0 end as bigint) as earn
+from steps""",
+            ),
+            ("pn", "select *, row_number() over (partition by key order by ts, seq) as rn from pm"),
+            (
+                "pw(key, rn, seq, channel, amount, earn, bef, aft)",
+                """select key, cast(0 as bigint), cast(null as bigint), cast(null as varchar), cast(0 as bigint), cast(0 as bigint), cast(0 as bigint), cast(coalesce(c.points, 0) as bigint)
+from (select distinct key from pn) k left join shop_customers c on c.customer_id = k.key
+union all
+select n.key, n.rn, n.seq, n.channel, n.amount, n.earn, w.aft,
+  case when n.channel in ('complete', 'manual') then w.aft + n.amount when n.channel = 'revert' then greatest(0, w.aft - n.amount)
+       when w.aft >= n.amount then w.aft - n.amount + n.earn else w.aft end
+from pw w join pn n on n.key = w.key and n.rn = w.rn + 1""",
+            ),
+        ],
+        """select key, seq, channel, amount, earn, channel not in ('order', 'counter', 'quick') or bef >= amount as accepted, aft as balance_after,
+  case when channel in ('order', 'counter', 'quick') and bef < amount then 'insufficient_balance' end as reason from pw where rn > 0""",
+    ),
+    "stock_after_takes": with_ctes(
+        S + [
+            (
+                "takes",
+                """select product_id, cast((select max(cast(o_orderdate as date)) from orders) - cast(product_id % 40 as integer) as timestamp) as ts, product_id * 7 % 60 as set_qty
+from shop_products where product_id % 4 <> 1""",
+            ),
+            (
+                "ordered",
+                """select i.product_id, sum(case when o.status = 'CANCELLED' then 0 else i.quantity end) as q
+from shop_items i join shop_orders o on i.order_id = o.order_id left join takes t on t.product_id = i.product_id
+where t.ts is null or o.order_date > t.ts group by i.product_id""",
+            ),
+            ("pos", "select p.product_id, coalesce(t.set_qty, p.stock) - coalesce(a.q, 0) as stock from shop_products p left join takes t using (product_id) left join ordered a using (product_id)"),
+        ],
+        "select product_id, cast(stock as bigint) as stock, case when stock <= 0 then 'SOLD_OUT' when stock <= 5 then 'LOW' else 'OK' end as badge from pos",
+    ),
     "payment_points": with_ctes(
         S,
         """select order_id, cast(floor(total_amount * 0.03) as integer) as completion_points,

@@ -75,7 +75,7 @@ group by date, product""",
 SHOP_CTES = [
     (
         "shop_products",
-        """select p_partkey as product_id, p_name as name, cast(p_retailprice as decimal(18,2)) as price,
+        """select p_partkey as product_id, p_name || case when p_partkey % 11 = 0 then ' 라떼' when p_partkey % 13 = 0 then ' 아메리카노' else '' end as name, cast(p_retailprice as decimal(18,2)) as price,
   cast(p_size * 4 as integer) as stock,
   case when p_partkey % 4 = 0 then 'HARD' when p_partkey % 4 = 1 then 'SOFT'
        when p_partkey % 4 = 2 then 'ALL' end as category

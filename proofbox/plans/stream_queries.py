@@ -98,15 +98,19 @@ def q_stream_stock_position(spark, d):
     return products.join(deltas, "product_id", "left").select("product_id", pos.alias("stock"), stock_badge(pos).alias("badge"))
 
 
+def _request_stream(daily):
+    return sj.landed_stream(fx.forecast_requests(daily), "requests")
+
+
 def q_stream_forecast(spark, d):
+    """J5 with the stand-in forecasters: answered and failed requests."""
     daily = ledger_queries.daily_once(spark, d)
-    req_static = fx.forecast_requests(daily)
-    # requests arrive as a stream: landed once as files, then read back as a file stream
-    path = f"{sj.scratch_path(spark, 'requests')}-{uuid.uuid4().hex[:12]}"
-    req_static.write.parquet(path)
-    req_stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    out = sj.run_available(sj.stream_forecast(req_stream, daily), "forecast")
-    return round_doubles(out.drop("prompt_text"))
+    return round_doubles(sj.run_available(sj.stream_forecast(_request_stream(daily), daily), "forecast").drop("prompt_text"))
+
+
+def q_stream_rejected(spark, d):
+    """J5's rejected requests."""
+    return sj.run_available(sj.stream_rejected(_request_stream(ledger_queries.daily(spark, d))), "rejected")
 
 
 QUERIES = {
@@ -120,6 +124,7 @@ QUERIES = {
     "stream_status_counts": q_stream_status_counts,
     "stream_stock_position": q_stream_stock_position,
     "stream_forecast": q_stream_forecast,
+    "stream_rejected": q_stream_rejected,
 }
 
 
@@ -183,4 +188,5 @@ ORACLE = LANDED_ORACLE | {
     "stream_status_counts": shop_queries.ORACLE["status_counts"],
     "stream_stock_position": shop_queries.ORACLE["stock_position"],
     "stream_forecast": decide_queries.ORACLE["forecast_requests"],
+    "stream_rejected": decide_queries.ORACLE["rejected_requests"],
 }

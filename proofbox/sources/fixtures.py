@@ -70,18 +70,25 @@ def weather_of(d: Column, temp: Column) -> Column:
 
 
 def forecast_requests(daily: DataFrame, horizon: int = 7) -> DataFrame:
-    """Requests: every product x the ``horizon`` days after the panel's last day,
-    with that day's weather and temperature from the fixture's rule."""
-    last = daily.select(F.max("date")).scalar()
-    p = daily.select("product").distinct()
-    r = p.select("product", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("k"))
-    d = F.date_add(last, F.col("k"))
-    t = temperature_of(d)
+    """Requests per product, with the day's weather and temperature from the fixture's rule.
+
+    The ``horizon`` days after the panel's last day; the tenth day after the product's first one ('inside': answered
+    from what came before); the day before its first one and a product that does not exist ('before', 'unknown': no
+    history); a date in another format and one that does not exist ('format', 'no_day': rejected).
+    """
+    p = daily.groupBy("product").agg(F.min("date").alias("first")).withColumn("last", daily.select(F.max("date")).scalar())
+    ahead = F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda k: F.struct(F.date_format(F.date_add("last", k), "yyyy-MM-dd").alias("tag"), F.date_add("last", k).alias("d")))
+    next_day = F.date_add("last", 1)
+    other = [("inside", F.date_add("first", 10)), ("before", F.date_sub("first", 1)), ("unknown", next_day), ("format", next_day), ("no_day", next_day)]
+    tags = F.concat(ahead, F.array(*[F.struct(F.lit(tag).alias("tag"), d.alias("d")) for tag, d in other]))
+    r = p.select("product", F.explode(tags).alias("x")).select("product", "x.tag", "x.d")
+    t = temperature_of(F.col("d"))
+    text = F.when(F.col("tag") == "format", F.date_format("d", "yyyy/MM/dd")).when(F.col("tag") == "no_day", "2001-02-30").otherwise(F.date_format("d", "yyyy-MM-dd"))
     return r.select(
-        F.concat_ws(":", "product", F.date_format(d, "yyyy-MM-dd")).alias("request_id"),
-        "product",
-        F.date_format(d, "yyyy-MM-dd").alias("target_date"),
-        weather_of(d, t).alias("forecast_weather"),
+        F.concat_ws(":", "product", "tag").alias("request_id"),
+        F.when(F.col("tag") == "unknown", F.concat("product", F.lit(" (gone)"))).otherwise(F.col("product")).alias("product"),
+        text.alias("target_date"),
+        weather_of(F.col("d"), t).alias("forecast_weather"),
         t.alias("forecast_temp"),
     )
 
@@ -117,6 +124,28 @@ def raw_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def varied_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole ledger as an export whose weather and temperature differ from line to line of a day, some missing, with the landing
+    (0 to 3) of the file each line stands in. Inside a landing lines stand in the order of all their columns."""
+    lg = ledger_landings(spark, sf_dir)
+    k = F.col("line_ord")
+    return lg.select(
+        "landing",
+        F.date_format("date", "yyyy-MM-dd").alias("No."),
+        F.col("product").alias("상품명"),
+        F.col("qty").cast("string").alias("수량"),
+        F.col("sales").cast("string").alias("실매출"),
+        F.when(k % 3 != 0, F.concat("weather", F.lit(" "), (k % 5).cast("string"))).alias("weather"),
+        F.when(k % 4 != 0, F.col("temp_avg") + k % 7).alias("temp_avg"),
+        F.when(k % 5 != 0, F.col("temp_max") + k % 3).alias("temp_max"),
+        F.when(k % 2 != 0, F.col("temp_min")).alias("temp_min"),
+        k.alias("line"),
+    )
+
+
+EXPORT_ORDER = ["No.", "상품명", "line", "수량", "실매출"]
+
+
 # ---------------------------------------------------------------- shop side
 
 def shop_products(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +153,7 @@ def shop_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.col("p_partkey") % 4
     return p.select(
         F.col("p_partkey").alias("product_id"),
-        F.col("p_name").alias("name"),
+        F.concat("p_name", F.when(F.col("p_partkey") % 11 == 0, " 라떼").when(F.col("p_partkey") % 13 == 0, " 아메리카노").otherwise("")).alias("name"),
         F.col("p_retailprice").cast("decimal(18,2)").alias("price"),
         (F.col("p_size") * 4).cast("int").alias("stock"),
         F.when(m == 0, "HARD").when(m == 1, "SOFT").when(m == 2, "ALL").alias("category"),
@@ -184,6 +213,64 @@ def shop_items_from(lineitem: DataFrame, with_orphans: bool = False) -> DataFram
     )
 
 
+def order_forms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(orders, items) as forms are sent in: every order, some with a defect that one rule each is there for."""
+    k = F.col("order_id")
+    o = shop_orders(spark, sf_dir).select(
+        "order_id",
+        F.when(k % 17 == 0, F.substring("phone", 1, 7)).when(k % 19 == 0, F.lit(None).cast("string")).otherwise(F.col("phone")).alias("phone"),
+        F.when(k % 23 == 0, F.repeat(F.lit("m"), 501)).when(k % 5 == 0, "no onions").alias("memo"),
+        F.when(k % 29 == 0, F.lit(-5)).otherwise(F.col("points_used")).alias("points_used"),
+        F.when(k % 31 == 0, F.lit(0)).when(k % 37 == 0, F.lit(500001)).otherwise(F.col("total_amount")).cast("decimal(18,2)").alias("total_amount"),
+    )
+    i = shop_items(spark, sf_dir).where(k % 41 != 0)
+    return o, i.withColumn("quantity", F.when(k % 43 == 0, F.lit(0)).otherwise(F.col("quantity")))
+
+
+def payment_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A counter payment per order, some with a defect: form_id, phone, amount, method, points_used."""
+    k = F.col("order_id")
+    return shop_orders(spark, sf_dir).select(
+        k.alias("form_id"),
+        F.when(k % 17 == 0, " ").when(k % 19 == 0, F.lit(None).cast("string")).otherwise(F.col("phone")).alias("phone"),
+        F.when(k % 23 == 0, F.lit(None)).when(k % 31 == 0, F.lit(-1)).when(k % 37 == 0, F.lit(500001)).otherwise(F.col("total_amount")).cast("decimal(18,2)").alias("amount"),
+        F.when(k % 41 == 0, F.lit(None).cast("string")).when(k % 2 == 0, "CASH").otherwise("CARD").alias("method"),
+        F.when(k % 29 == 0, F.lit(-5)).otherwise(F.col("points_used")).alias("points_used"),
+    )
+
+
+def stock_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stock-take per product, some with a defect: form_id, product_id, quantity."""
+    k = F.col("product_id")
+    return shop_products(spark, sf_dir).select(
+        k.alias("form_id"), F.when(k % 17 != 0, k).alias("product_id"), F.when(k % 19 == 0, F.lit(-1)).otherwise((k * 7 % 60).cast("int")).alias("quantity")
+    )
+
+
+def stock_takes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Absolute stock counts of all products but every fourth, in the 40 days before the last order: product_id, ts, set_qty."""
+    last = read_table(spark, sf_dir, "orders").select(F.max("o_orderdate").cast("date")).scalar()
+    k = F.col("product_id")
+    return shop_products(spark, sf_dir).where(k % 4 != 1).select("product_id", F.date_sub(last, (k % 40).cast("int")).cast("timestamp_ntz").alias("ts"), (k * 7 % 60).cast("int").alias("set_qty"))
+
+
+def point_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What moves points, per order: by order key, an order that is completed, one that is reverted after that, a counter payment, a quick
+    payment or a manual credit. customer_id, ts, request_id, channel, amount, points_used, points_earned."""
+    o = shop_orders(spark, sf_dir)
+    k = F.col("order_id")
+    used = F.when(k % 7 == 0, F.col("points_used") * 400).otherwise(F.col("points_used"))
+    steps = (
+        F.when(k % 5 == 0, F.array(F.lit("order"), F.lit("complete"))).when(k % 5 == 1, F.array(F.lit("order"), F.lit("complete"), F.lit("revert")))
+        .when(k % 5 == 2, F.array(F.lit("counter"))).when(k % 5 == 3, F.array(F.lit("quick"))).otherwise(F.array(F.lit("manual")))
+    )
+    amount = F.col("total_amount")
+    return o.select("customer_id", "order_id", F.col("order_date").alias("ts"), amount.alias("amount"), used.alias("points_used"), F.floor(amount * F.lit(0.03)).cast("int").alias("points_earned"),
+                    F.posexplode(steps).alias("step", "channel")).select(
+        "customer_id", "ts", (k * 4 + F.col("step")).alias("request_id"), "channel", "amount", "points_used", "points_earned"
+    )
+
+
 # Action mapping for the order/stock action log (fixed values):
 # purchase -> create, click -> confirm, view -> complete, error -> cancel, signup -> credit
 ACTION_OF_EVENT = {

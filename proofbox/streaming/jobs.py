@@ -18,8 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from proofbox.operators import daily as dl
-from proofbox.operators import decide as dc
-from proofbox.operators.serving import next_day_state
+from proofbox.operators.serving import answer, features_of, next_day_state, rejected_requests, state_days, valid_requests
 from proofbox.session import scratch_path
 from proofbox.sources import fixtures as fx
 from proofbox.sources.tables import table_path
@@ -58,6 +57,13 @@ def actions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.actions_from(table_stream(spark, sf_dir, "events"))
 
 
+def landed_stream(rows: DataFrame, name: str) -> DataFrame:
+    """A batch frame landed once as files in the shared folder and read back as a stream."""
+    path = scratch_path(rows.sparkSession, f"landed/{name}-{uuid.uuid4().hex[:12]}")
+    rows.write.parquet(path)
+    return rows.sparkSession.readStream.schema(rows.schema).parquet(path)
+
+
 # ------------------------------------------------------------------ runner
 
 def run_available(stream: DataFrame, name: str, mode: str = "append", keys: Sequence[str] | None = None, path: str | None = None) -> DataFrame:
@@ -157,36 +163,27 @@ def stream_stock_deltas(items: DataFrame, orders_static: DataFrame) -> DataFrame
 
 # ------------------------------------------------------------------ J5: forecasts as requests arrive
 
-def latest_state(daily: DataFrame) -> DataFrame:
-    """Per product, the next-day state of its newest observed day (top-1 per key)."""
-    s = next_day_state(daily)
-    w = Window.partitionBy("product").orderBy(F.desc("date"))
-    return s.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") == 1).select("product", F.col("date").alias("state_date"), "state")
+def stand_in(column: str):
+    """A forecaster that reads its answer from the request's features."""
+    return lambda f: F.col(column)
+
+
+STAND_INS = tuple(stand_in(c) for c in ("sold_rolling_mean_7", "sold_same_dow_mean_4", "waste_rolling_mean_7", "waste_same_dow_mean_4"))
 
 
-def stream_forecast(requests: DataFrame, daily: DataFrame) -> DataFrame:
-    """Stream-static join of arriving requests to each product's latest state,
-    then the stand-in forecasters, the ensemble and the explanation texts.
+def stream_forecast(requests: DataFrame, daily: DataFrame, predictors=STAND_INS) -> DataFrame:
+    """Arriving requests joined to the static as-of states, answered as the batch form (I10) answers them.
 
-    Valid for requests dated after the product's last observed day (the
-    forward-looking case); requests inside the history use the batch I10.
+    ``predictors``: sold primary and challenger, waste primary and challenger; fitted pipelines
+    (``serving.model_predictor``) transform the stream itself. Requests without history come out as 'Failed';
+    requests with an invalid date are in ``stream_rejected``.
     """
-    st = latest_state(daily)
-    r = requests.select(
-        "request_id", "product", F.try_to_date("target_date", "yyyy-MM-dd").alias("date"), "forecast_weather",
-        F.col("forecast_temp").cast("double").alias("forecast_temp"),
-    ).filter(F.col("date").isNotNull())
-    j = r.join(st, "product", "left")
-    has = F.col("state").isNotNull() & (F.col("state_date") < F.col("date"))
-    pred = j.select(
-        "request_id", "product", "date", "forecast_weather", "forecast_temp", has.alias("has_history"),
-        F.when(has, F.col("state.sold_rolling_mean_7")).alias("sp"), F.when(has, F.col("state.sold_same_dow_mean_4")).alias("sc"),
-        F.when(has, F.col("state.waste_rolling_mean_7")).alias("wp"), F.when(has, F.col("state.waste_same_dow_mean_4")).alias("wc"),
-    )
-    keep = ("request_id", "product", "date", "forecast_weather", "forecast_temp", "has_history")
-    d = dc.decide(pred, "sp", "sc", "wp", "wc", keep=keep).withColumnRenamed("date", "target_date")
-    return d.select(
-        "request_id", "product", "target_date", "forecast_weather", "forecast_temp",
-        "predicted_sold_qty", "predicted_waste_qty", "recommended_made_qty", "anomaly_flag",
-        "sold_strategy", "waste_strategy", *dc.explain_columns(failed=~F.col("has_history")),
-    )
+    inside, last = state_days(next_day_state(daily))
+    r = valid_requests(requests).join(inside, ["product", "date"], "left").join(last, "product", "left")
+    prev = F.coalesce(F.col("prev"), F.when(F.col("date") > F.col("last"), F.col("latest")))
+    return answer(features_of(r.withColumn("prev", prev).drop("last", "latest")), *predictors)
+
+
+def stream_rejected(requests: DataFrame) -> DataFrame:
+    """J5's side output: requests whose date is not a valid one, with the reason."""
+    return rejected_requests(requests)

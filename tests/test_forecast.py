@@ -223,3 +223,58 @@ def test_demand_fit_closed_form_at_every_rank(spark):
         assert out[name].fit_status == "ok" and abs(out[name].base_bias - base) <= 0.0051, name
         for k, c in zip(dm.REGRESSORS, coef):
             assert abs(out[name].weights[k] - c) <= 0.0051, (name, k)
+
+
+def _sample_panel(spark, days=60, late_qty=0.0):
+    rows = []
+    start = dt.date(2023, 1, 1)
+    for p in ("A", "B"):
+        for i in range(days):
+            qty = float(10 + i % 7 + (5 if p == "B" else 0)) + (late_qty if i >= 45 else 0.0)
+            rows.append((start + dt.timedelta(days=i), p, "Sunny" if i % 3 else None, qty, 1.0, qty + 1, None if i % 5 == 0 else float(i % 9), 0.1 * (i % 7), 0.2, 0.3, 0.4))
+    return spark.createDataFrame(rows, "date date, product string, weather string, sold_qty double, waste_qty double, made_qty double, "
+                                 "temp_avg double, dow_sin double, dow_cos double, month_sin double, month_cos double")
+
+
+def test_challenger_takes_nulls_and_learns_from_training_rows_alone(spark):
+    cut = dt.date(2023, 2, 10)
+    models, preds = [], []
+    for late in (0.0, 1000.0):
+        samples = fc.sequence_samples(_sample_panel(spark, late_qty=late), "sold_qty")
+        models.append(fc.fit_challenger(samples.filter(F.col("date") < cut)))
+        preds.append({(r["product"], r.date): r.pred for r in fc.predict_challenger(models[-1], samples.filter(F.col("date") < dt.date(2023, 2, 14))).collect()})
+    # what comes after the cut has no say in the statistics, the ids or the weights
+    a, b = (m.stages[-1] for m in models)
+    assert list(a.coefficients) == list(b.coefficients) and a.intercept == b.intercept
+    assert models[0].stages[0].getStatement() == models[1].stages[0].getStatement()
+    assert preds[0] == preds[1] and all(p >= 0 and p == p for p in preds[0].values())
+    unseen = fc.sequence_samples(_sample_panel(spark), "sold_qty").limit(3).withColumn("product", F.lit("new")).withColumn("weather", F.lit("Hail"))
+    assert fc.predict_challenger(models[0], unseen).where("pred is null").count() == 0
+
+
+def test_primary_stops_by_itself_and_ignores_what_it_must_not_see(spark):
+    df = _sample_panel(spark, 80).withColumn("sold_lag_1", F.col("temp_avg"))
+    model = fc.fit_primary_stopping(df, "sold_qty", max_iter=500, depth=3)
+    trees = model.stages[-1].getNumTrees
+    assert 1 <= trees < 500
+    changed = df.withColumn("sold_qty", F.when(F.col("date") >= dt.date(2023, 3, 1), 500.0).otherwise(F.col("sold_qty")))
+    means = [[list(map(dict, st.stats)) if hasattr(st, "stats") else None for st in fc.fit_primary_stopping(x, "sold_qty", stop_days=21, max_iter=2, depth=2).stages] for x in (df, changed)]
+    assert str(means[0]) == str(means[1])  # the encoders never see the rows that decide when to stop
+
+
+def test_many_products_do_not_widen_the_trees(spark):
+    rows = [(dt.date(2024, 1, 1) + dt.timedelta(days=i % 40), f"p{i % 300}", "Sunny", float(i % 17), float(i % 5)) for i in range(1200)]
+    df = spark.createDataFrame(rows, "date date, product string, weather string, sold_qty double, sold_lag_1 double")
+    model = fc.fit_primary(df, "sold_qty", max_iter=2, depth=2)
+    assert model.stages[-1].getMaxBins() == 64
+    out = fc.predict_primary(model, df.withColumn("product", F.lit("never seen")), "sold_qty")
+    assert out.count() == 1200 and out.where("pred is null").count() == 0
+
+
+def test_index_numbers_values_in_order_over_partitions(spark):
+    values = [f"v{(i * 7919) % 1000:04d}" for i in range(1000)]
+    df = spark.createDataFrame([(v,) for v in values + values[:50]] + [(None,)], "x string").repartition(7)
+    for n in (1, 5, 40):
+        got = {r.x: r.x_idx for r in fc.fit_index(df, "x", n).collect()}
+        assert got == {v: i for i, v in enumerate(sorted(set(values)), 1)}
+    assert fc.fit_index(df.where("x is null"), "x").collect() == []

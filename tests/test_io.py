@@ -66,3 +66,32 @@ def test_coefficients_json_files(spark, tmp_path):
     whole.write_text('{"Sour dough": {"base_bias": 3.0, "weights": {}},\n "Bagel": {"base_bias": 1.5, "weights": {"is_rain": -2.0}, "waste_risk": 0.5}}')
     rows = {r.product_key: r for r in dm.read_coefficients(spark, str(whole), whole_file=True).collect()}
     assert rows["Sourdough"].waste_risk == 0.0 and rows["Sourdough"].avg_made == 0.0 and rows["Bagel"].weights == {"is_rain": -2.0}
+
+
+def test_input_order_over_files_and_blocks(spark, tmp_path):
+    """The ordinal follows the file paths, then the places in the files, also where files are read in several blocks."""
+    from proofbox.sources.ledger_io import read_ledger
+
+    want = []
+    for name, n in (("b.csv", 4000), ("a.csv", 3000), ("c.csv", 1)):
+        (tmp_path / name).write_text("No.,qty\n" + "".join(f"{name}-{i:05d},{i}\n" for i in range(n)))
+    for name, n in (("a.csv", 3000), ("b.csv", 4000), ("c.csv", 1)):
+        want += [f"{name}-{i:05d}" for i in range(n)]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in (old, "10000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            df = read_ledger(spark, str(tmp_path), ordinal="line_ord")
+            assert df.columns == ["No.", "qty", "line_ord"] and df.select("line_ord").distinct().count() == len(want)
+            assert [r[0] for r in df.orderBy("line_ord").select("`No.`").collect()] == want
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_first_valid_weather_follows_the_files(spark, tmp_path):
+    from proofbox.sources.ledger_io import read_ledger
+
+    (tmp_path / "2.csv").write_text("date,product,qty,weather,temp_avg\n2026-01-01,A,1,Snow,1.0\n")
+    (tmp_path / "1.csv").write_text("date,product,qty,weather,temp_avg\n2026-01-01,A,1,,\n2026-01-01,A,1,Rainy,\n2026-01-01,A,1,Sunny,7.0\n")
+    r = dl.daily_table(dl.clean_ledger(read_ledger(spark, str(tmp_path), ordinal="line_ord"))).first()
+    assert (r.weather, r.temp_avg, r.source_row_count) == ("Rainy", 7.0, 4)

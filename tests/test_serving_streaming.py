@@ -181,8 +181,8 @@ def test_requests_with_fitted_models(spark):
     req = spark.createDataFrame([("r1", "A", "2024-03-05", "Rainy", 4.0), ("r2", "Z", "2024-03-05", "Sunny", 1.0)],
                                 "request_id string, product string, target_date string, forecast_weather string, forecast_temp double")
     out = {r.request_id: r for r in sv.forecast(
-        req, d, sv.model_predictor(sold_model, "sold_qty"), lambda f: F.col("sold_same_dow_mean_4"),
-        sv.model_predictor(waste_model, "waste_qty"), lambda f: F.col("waste_same_dow_mean_4")).collect()}
+        req, d, sv.model_predictor(sold_model), lambda f: F.col("sold_same_dow_mean_4"),
+        sv.model_predictor(waste_model), lambda f: F.col("waste_same_dow_mean_4")).collect()}
     assert out["r1"].predicted_sold_qty > 0 and out["r1"].confidence_label != "Failed"
     assert out["r2"].confidence_label == "Failed" and out["r2"].recommended_made_qty == 0.0
 
@@ -229,6 +229,67 @@ def test_stream_counts_one_file_a_batch(spark, tmp_path, monkeypatch):
         assert _same(got, q[batch](spark, sf).select(got.columns)), stream
 
 
+def _two_products(spark, days=60):
+    """A panel with gaps, a product that starts late, and null temperatures."""
+    rows = []
+    for p, first in (("A", 0), ("B", 25)):
+        for i in range(first, days):
+            if i % 9 == 4:
+                continue
+            rows.append((dt.date(2024, 1, 1) + dt.timedelta(days=i), p, float(10 + i % 5), float(i % 3), float(10 + i % 5 + i % 3), float(10 + i % 5 - i % 3),
+                         0.0, 0.0, "Rainy" if i % 4 == 0 else "Sunny", None if i % 11 == 0 else 10.0 + i % 6, 15.0, 5.0, 1, 1, 1, 1, 2, 0, 0))
+    return spark.createDataFrame(rows, dl.DAILY_COLUMNS).withColumn("gross_sales", F.col("gross_sales").cast("decimal(18,2)"))
+
+
+def _requests(spark, days=70):
+    rows = [(f"{p}{i}", p, str(dt.date(2023, 12, 25) + dt.timedelta(days=i)), "Sunny" if i % 2 else "Rainy", 5.0 + i % 7) for p in ("A", "B", "Z") for i in range(days)]
+    rows += [("bad1", "A", "2024-02-30", "Sunny", 1.0), ("bad2", "A", "01/02/2024", "Sunny", 1.0), ("bad3", "B", None, "Sunny", 1.0), ("far", "B", "2031-05-01", "Sunny", 1.0)]
+    return spark.createDataFrame(rows, "request_id string, product string, target_date string, forecast_weather string, forecast_temp double")
+
+
+def test_asof_days_are_the_last_before(spark):
+    d = _two_products(spark)
+    req = sv.valid_requests(_requests(spark))
+    got = {(r["product"], r.date): r.asof for r in sv.asof_days(req, d).collect()}
+    known = {}
+    for r in d.select("product", "date").collect():
+        known.setdefault(r["product"], []).append(r.date)
+    keys = {(r["product"], r.date) for r in req.collect()}
+    assert set(got) == keys
+    for p, day in keys:
+        assert got[p, day] == max((x for x in known.get(p, []) if x < day), default=None), (p, day)
+
+
+def test_stream_answers_as_the_batch_does(spark, tmp_path):
+    """Requests before, inside and after the history, of unknown products and with bad dates: answered, failed, rejected."""
+    d, req = _two_products(spark), _requests(spark)
+    batch = sv.forecast(req, d, *sj.STAND_INS)
+    stream = sj.run_available(sj.stream_forecast(sj.landed_stream(req, "t-req"), d), "t-forecast")
+    assert _same(stream.select(batch.columns), batch)
+    labels = {r.confidence_label: r.n for r in batch.groupBy("confidence_label").agg(F.count("*").alias("n")).collect()}
+    assert set(labels) == {"Failed", "Moderate (Fallback Gen)"} and sum(labels.values()) == req.count() - 3
+    rejected = sj.run_available(sj.stream_rejected(sj.landed_stream(req, "t-rej")), "t-rejected")
+    assert {r.request_id for r in rejected.collect()} == {"bad1", "bad2", "bad3"} and _same(rejected, sv.rejected_requests(req))
+
+
+def test_fitted_pipelines_answer_batch_and_stream(spark):
+    from proofbox.operators import features as ft
+    from proofbox.operators import forecast as fc
+
+    d, req = _two_products(spark), _requests(spark)
+    f = ft.build_features(d).persist()
+    predictors = []
+    for target in ("sold_qty", "waste_qty"):
+        predictors += [sv.model_predictor(fc.fit_primary(f, target, max_iter=3, depth=3)), sv.challenger_predictor(fc.fit_challenger(fc.sequence_samples(f, target)))]
+    batch = sv.forecast(req, d, *predictors)
+    rows = {r.request_id: r for r in batch.collect()}
+    assert rows["Z40"].confidence_label == "Failed" and rows["A0"].confidence_label == "Failed"
+    assert rows["A69"].predicted_sold_qty > 0 and rows["A69"].sold_strategy not in ("fallback_zero", "fallback_primary_xgb")
+    assert rows["A15"].sold_strategy == "fallback_primary_xgb"  # fewer than 14 days before it: no sequence
+    stream = sj.run_available(sj.stream_forecast(sj.landed_stream(req, "t-fit"), d, predictors), "t-fitted")
+    assert _same(stream.select(batch.columns), batch)
+
+
 def test_points_truncate_toward_zero(spark):
     from proofbox.functions.exprs import points_for
 
