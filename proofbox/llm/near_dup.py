@@ -178,6 +178,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 _HOT_SHARE = 200
+#: Rows of two or three longs that may be broadcast; they are counted first. More go through the shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def join_unique(rows: DataFrame, by_key: DataFrame, key: str, total: int) -> DataFrame:
@@ -199,7 +205,7 @@ def _labels(signed: DataFrame, threshold: float) -> DataFrame:
     buckets = stored(members.join(shared, "band").groupBy("band", "lead", "node").agg(F.lit(1).alias("one")).drop("one"), "near-buckets")
     # One row of each text in a bucket brings its shingles; nodes and rows move before any set does.
     chosen = signed.select("node", "row").join(buckets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
-    chosen = stored(chosen, "near-chosen")  # so that its size is known, and the shingles of all rows stay where they are if it is small
+    chosen = _small(stored(chosen, "near-chosen"))  # the shingles of all rows stay where they are if it is small
     sets = stored(signed.select("row", "shingles").join(chosen, "row").select("node", "shingles"), "near-sets")
     links = None
 
@@ -211,7 +217,7 @@ def _labels(signed: DataFrame, threshold: float) -> DataFrame:
         return components(links)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        ordered = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
+        ordered = _small(stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs"))
         with_b = ordered.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
         with_both = with_b.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
         return with_both.mapInArrow(tidy(_similar(threshold)), "a long, b long")
@@ -249,5 +255,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
         gone = keep(stored(told.where(~stays).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")), "near-gone"))
         several = keep(stored(told.where(stays & (F.col("n") > 1)).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")), "near-several"))
     same = docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("__h"))
-    single = docs.join(gone.unionByName(several), same, "left_anti")
-    return single.unionByName(docs.join(several, same, "left_semi").dropDuplicates([id_col, text_col]))
+    single = docs.join(_small(gone.unionByName(several)), same, "left_anti")
+    return single.unionByName(docs.join(_small(several), same, "left_semi").dropDuplicates([id_col, text_col]))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofbox.llm.common import GRAPH, U64, _stream, as_bytes, chunks, crc_mod, mix, scratch, slice_hashes, stored, tidy, words_of
+from proofbox.llm.common import GRAPH, U64, _stream, as_bytes, chunks, crc_mod, give_back, mix, scratch, slice_hashes, stored, tidy, words_of
 
 MIN_N, MAX_N, PART = 3, 4, 1 << 18
 REPEAT = U64(0x9FB21C651E98DF25)
@@ -161,7 +161,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if len(set(label.tolist())) < 2:
         return np.zeros(buckets), 0.0, float(label.mean()) if len(label) else 0.5
     ids, share = [r[2] for r in rows], [r[3] for r in rows]
-    return *fit(ids, share, label, buckets, **fit_options), None
+    logits, bias = fit(ids, share, label, buckets, **fit_options)
+    del rows, ids, share
+    give_back()  # the driver goes on for long after the fit
+    return logits, bias, None
 
 
 def score_quality(docs: DataFrame, model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
