@@ -123,7 +123,7 @@ def fit(ids: list[np.ndarray], share: list[np.ndarray], label: np.ndarray, bucke
     return np.where(met, table @ (layer[:, 1] - layer[:, 0]), 0).astype(np.float64), float(bias[1] - bias[0])
 
 
-def _score(logits, bias: float, fixed: float | None, text_at: int, keep_at: list[int]):
+def _score(logits, bias: float, fixed: float | None, text_at: int, keep_at: list[int], score_col: str):
     """Columns ``keep_at`` and the score of the text in column ``text_at``, in batches of at most ``CHUNK`` bytes of text."""
 
     def run(batches):
@@ -141,7 +141,7 @@ def _score(logits, bias: float, fixed: float | None, text_at: int, keep_at: list
                         size = np.bincount(doc, minlength=b - a)
                         out[i:j] = 1 / (1 + np.exp(-np.clip(total / np.maximum(size, 1) + bias, -500, 500)))
                 cols = [batch.column(c).slice(lo, hi - lo) for c in keep_at]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(out)], names=[*names, "score"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(out)], names=[*names, score_col])
 
     return run
 
@@ -167,15 +167,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return logits, bias, None
 
 
-def score_quality(docs: DataFrame, model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns of every row (all by default) and its score, the probability of label 1."""
+def score_quality(docs: DataFrame, model, text_col: str = "text", keep: list[str] | None = None, score_col: str = "score") -> DataFrame:
+    """``keep`` columns of every row (all by default) and its score, the probability of label 1, as ``score_col``."""
     keep = docs.columns if keep is None else keep
     logits, bias, fixed = model
     shared = docs.sparkSession.sparkContext.broadcast(np.asarray(logits))  # ``buckets`` numbers
     # The text goes to the workers once, also where it is kept.
     picked = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if text_col in keep else [F.col(f"`{text_col}`")]))
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in picked.schema.fields[: len(keep)])
-    return picked.mapInArrow(tidy(_score(shared, bias, fixed, picked.columns.index(text_col), list(range(len(keep))))), f"{schema}score double")
+    return picked.mapInArrow(tidy(_score(shared, bias, fixed, picked.columns.index(text_col), list(range(len(keep))), score_col)), f"{schema}`{score_col}` double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out_mod: int = 5, threshold: float = 0.3, **options) -> DataFrame:

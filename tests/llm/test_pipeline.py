@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from proofbox.llm import secret_scan
@@ -72,3 +73,30 @@ def test_packing_stage_holds_every_document(kept):
 
 def test_run_gives_the_same_pieces(kept, spark):
     assert P.run(spark, SF).count() == kept[-1][2].count()
+
+
+def test_odd_documents_go_through_all_stages(spark, tmp_path):
+    """Repeated and null ids, null and empty texts, extra columns: every stage keeps what it should; and an empty table."""
+    folder = str(tmp_path)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    some = docs.orderBy("doc_id").limit(60)
+    odd = spark.createDataFrame([(0, None), (0, ""), (None, "a text of a row without an id, long enough to be one"), (None, None), (1, "another text under an id that is taken, with words of its own")], "doc_id long, text string")
+    for c in docs.columns:
+        if c not in odd.columns:
+            odd = odd.withColumn(c, F.lit(None).cast(docs.schema[c].dataType))
+    whole = some.unionByName(odd.select(docs.columns)).withColumn("label", F.lit("x")).withColumn("h", F.lit(3)).withColumn("score", F.lit(0.5))
+    whole.write.parquet(f"{folder}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+    now = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in P.STAGES:
+        after = stored(stage(spark, now, folder), f"odd-{name}")
+        if name != "best_fit_packing":
+            assert after.columns == now.columns and after.count() <= now.count(), name
+        if name == "minhash_near_dedup":
+            assert after.where("text is null or text = ''").count() == now.where("text is null or text = ''").count()
+        now = after
+    spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"{folder}/e/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{folder}/e/{name}.parquet")
+    assert P.run(spark, f"{folder}/e").count() == 0
