@@ -25,7 +25,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is at least THRESHOLD; learns as op5 does, from rows outside the held-out fifth."""
     model = quality.train(docs.where(crc_mod("doc_id", 5) != 0), _table(spark, sf_dir, "labels"))
-    return quality.score_quality(docs, model).where(f"score >= {THRESHOLD}").drop("score")
+    scored = quality.score_quality(docs, model, score_col="__quality")  # documents may have a column called score
+    return scored.where(f"__quality >= {THRESHOLD}").drop("__quality")
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
