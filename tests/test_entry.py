@@ -18,7 +18,10 @@ def test_every_oracle_has_a_query():
 def test_all_queries_plan(spark):
     from tests.conftest import SF_SMOKE
 
+    fitted = {"backtest_models", "model_reload", "forecast_fitted"}  # minutes of fits: tests/test_forecast.py and the oracle tool run them
     for name, fn in E.queries().items():
+        if name in fitted:
+            continue
         fn(spark, SF_SMOKE).schema  # analysis succeeds for every registered query
 
 
