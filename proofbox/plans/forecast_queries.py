@@ -198,6 +198,23 @@ def q_model_reload(spark, d):
     return out
 
 
+def answers_compared(batch: DataFrame, stream: DataFrame) -> DataFrame:
+    """Per request of ``batch``: whether it was answered, whether its quantities fit, and whether ``stream`` has the same answer.
+
+    ``batch`` is landed first, as the stream's answers are: each of its columns that the comparison reads would otherwise
+    carry the expressions of all four fitted pipelines once more, and planning them fills the driver's memory.
+    """
+    batch = checkpointed(batch)
+    qty = ["predicted_sold_qty", "predicted_waste_qty", "recommended_made_qty"]
+    same = stream.select("request_id", *[F.col(c).alias(f"s_{c}") for c in qty], F.col("confidence_label").alias("s_label"))
+    equal = F.col("confidence_label") == F.col("s_label")
+    for c in qty:
+        equal = equal & (F.abs(F.col(c) - F.col(f"s_{c}")) < 1e-9)
+    fits = (F.least(*qty) >= 0) & (F.abs(F.col(qty[2]) - F.col(qty[0]) - F.col(qty[1])) < 1e-9)
+    joined = batch.join(same, "request_id", "left")
+    return joined.select("request_id", "product", "target_date", (F.col("confidence_label") != "Failed").alias("answered"), fits.alias("fits"), F.coalesce(equal, F.lit(False)).alias("stream_equal"))
+
+
 def q_forecast_fitted(spark, d):
     """I10 + J5 with fitted pipelines, reloaded: every request, by batch and by stream; what SQL can tell of the answers.
 
@@ -205,20 +222,13 @@ def q_forecast_fitted(spark, d):
     the stream's answer is the batch's.
     """
     f = checkpointed(features(spark, d))
-    dd = daily_once(spark, d)
+    dd = checkpointed(daily_once(spark, d))  # daily-sized too; the requests, the batch's states and the stream's states come from it
     models = _fitted(spark, f)
     load = {k: fc.load_pipeline(p) for k, p in models.items() if not k.endswith(":live")}
     predictors = [wrap(load[f"{t}:{kind}"]) for t in TARGETS for kind, wrap in (("primary", sv.model_predictor), ("challenger", sv.challenger_predictor))]
     batch = sv.forecast(fx.forecast_requests(dd), dd, *predictors)
     stream = sj.run_available(sj.stream_forecast(sj.landed_stream(fx.forecast_requests(dd), "requests"), dd, predictors), "forecast-fitted")
-    qty = ["predicted_sold_qty", "predicted_waste_qty", "recommended_made_qty"]
-    same = stream.select("request_id", *[F.col(c).alias(f"s_{c}") for c in qty], F.col("confidence_label").alias("s_label"))
-    equal = F.col("confidence_label") == F.col("s_label")
-    for c in qty:
-        equal = equal & (F.abs(F.col(c) - F.col(f"s_{c}")) < 1e-9)
-    fits = (F.least(*qty) >= 0) & (F.abs(F.col(qty[2]) - F.col(qty[0]) - F.col(qty[1])) < 1e-9)
-    joined = batch.join(same, "request_id", "left")
-    return joined.select("request_id", "product", "target_date", (F.col("confidence_label") != "Failed").alias("answered"), fits.alias("fits"), F.coalesce(equal, F.lit(False)).alias("stream_equal"))
+    return answers_compared(batch, stream)
 
 
 QUERIES = {
