@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from proofbox.llm.common import GRAPH, U64, _stream, as_bytes, chunks, crc_mod, give_back, mix, scratch, slice_hashes, stored, tidy, words_of
 
-MIN_N, MAX_N, PART = 3, 4, 1 << 18
+MIN_N, MAX_N, PART, SAMPLE_ROWS = 3, 4, 1 << 18, 500
 REPEAT = U64(0x9FB21C651E98DF25)
 _GRAM = [_stream(100 + j, 256) for j in range(MAX_N)]
 
@@ -66,26 +66,45 @@ def features(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.nd
     return (np.concatenate(ids) >> U64(20)).astype(np.int64) % buckets, np.concatenate(owners)
 
 
+def _id_type(buckets: int):
+    return np.uint16 if buckets <= 1 << 16 else np.int32
+
+
+class _Shares:
+    """The shares of each text's features; worked out when asked for, so only the counts are held."""
+
+    def __init__(self, counts: list[np.ndarray]):
+        self.counts = counts
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        count = self.counts[i]
+        return (count / max(1, int(count.sum()))).astype(np.float32)
+
+
 def _bags(buckets: int):
-    """Feature ids and shares of each text, for training."""
+    """Feature ids and counts of each text, for training; two bytes each as a rule."""
 
     def run(batches):
         for batch in batches:
             data, offsets = as_bytes(batch.column(0))
-            ids_out, share_out = [], []
+            ids_out, count_out = [], []
             for a, b in chunks(offsets, PART):
                 ids, doc = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], buckets)
                 key, count = np.unique(doc * buckets + ids, return_counts=True)
                 cut = np.searchsorted(key, np.arange(b - a + 1) * buckets)
                 for i, j in zip(cut[:-1], cut[1:], strict=True):
-                    share = count[i:j] / max(1, count[i:j].sum())
-                    ids_out.append((key[i:j] % buckets).astype(np.int32).tobytes())
-                    share_out.append(share.astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(ids_out, pa.binary()), pa.array(share_out, pa.binary())], names=["label", "h", "ids", "share"])
+                    ids_out.append((key[i:j] % buckets).astype(_id_type(buckets)).tobytes())
+                    count_out.append(count[i:j].astype(np.uint16 if count[i:j].max(initial=0) < 1 << 16 else np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(ids_out, pa.binary()), pa.array(count_out, pa.binary())], names=["label", "h", "ids", "count"])
 
     return run
 
 
+def _bag(ids: bytes, count: bytes, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(ids, _id_type(buckets))
+    return ids, np.frombuffer(count, np.uint16 if len(count) == 2 * len(ids) else np.uint32)
+
+
 def fit(ids: list[np.ndarray], share: list[np.ndarray], label: np.ndarray, buckets: int, dim: int = 8, epochs: int = 4, min_steps: int = 400, rate: float = 0.4, batch: int = 32, seed: int = 7) -> tuple[np.ndarray, float]:
     """Train embeddings and the softmax layer; returns (logit of class 1 over class 0 for each bucket, bias).
 
@@ -153,14 +172,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     drawn = docs.select(F.col(id_col).alias("id")).distinct().join(y, "id").withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(max_train)
     x = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sample = x.join(F.broadcast(drawn), "id").groupBy("id", "label", "h").agg(F.min("text").alias("text"))  # at most ``max_train`` ids are broadcast
-    # The bags come to the driver a partition at a time, each row's bytes once.
+    # The bags come to the driver a partition at a time, each row's bytes once; a partition is a few hundred of ``max_train`` rows.
+    sample = sample.repartition(-(-max_train // SAMPLE_ROWS), "h")
     with scratch(docs.sparkSession):
-        bags = stored(sample.select("text", "label", "h").mapInArrow(tidy(_bags(buckets)), "label int, h long, ids binary, share binary"), "quality-bags")
-        rows = sorted(((r["h"], r["label"], np.frombuffer(r["ids"], np.int32), np.frombuffer(r["share"], np.float32)) for r in bags.toLocalIterator()), key=lambda r: r[0])
+        bags = stored(sample.select("text", "label", "h").mapInArrow(tidy(_bags(buckets)), "label int, h long, ids binary, count binary"), "quality-bags")
+        rows = sorted(((r["h"], r["label"], *_bag(r["ids"], r["count"], buckets)) for r in bags.toLocalIterator()), key=lambda r: r[0])
     label = np.array([r[1] for r in rows], np.int64)
     if len(set(label.tolist())) < 2:
         return np.zeros(buckets), 0.0, float(label.mean()) if len(label) else 0.5
-    ids, share = [r[2] for r in rows], [r[3] for r in rows]
+    ids, share = [r[2] for r in rows], _Shares([r[3] for r in rows])
     logits, bias = fit(ids, share, label, buckets, **fit_options)
     del rows, ids, share
     give_back()  # the driver goes on for long after the fit

@@ -142,3 +142,19 @@ def test_scores_equal_a_plain_training_and_scoring(spark):
         mean = [sum(n * table[f][d] for f, n in own.items() if f in met) / max(1, sum(own.values())) for d in range(options["dim"])]
         z = [sum(mean[d] * layer[d][c] for d in range(options["dim"])) + bias[c] for c in (0, 1)]
         assert abs(got[i] - 1 / (1 + math.exp(z[0] - z[1]))) < 2e-3, (i, t)
+
+
+def test_bags_hold_four_bytes_a_feature_and_give_the_shares_back():
+    """The driver holds the sample's bags: eight bytes a feature before; a count beyond 65,535 takes eight still."""
+    import pyarrow as pa
+
+    texts = ["some plain words and some more", "", "x " * 70_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([0, 1, 1], pa.int32()), pa.array([1, 2, 3])], names=["text", "label", "h"])
+    (out,) = quality._bags(1 << 16)(iter([batch]))
+    for text, ids, count, width in zip(texts, out.column("ids").to_pylist(), out.column("count").to_pylist(), (2, 2, 4), strict=True):
+        raw = text.encode()
+        data = np.frombuffer(raw, np.uint8)
+        want, n = np.unique(quality.features(data, np.array([0, len(raw)]), 1 << 16)[0], return_counts=True)
+        assert len(ids) == 2 * len(want) and len(count) == width * len(want)
+        got, counts = quality._bag(ids, count, 1 << 16)
+        assert np.array_equal(got, want) and np.array_equal(quality._Shares([counts])[0], (n / max(1, n.sum())).astype(np.float32))
