@@ -1,6 +1,6 @@
 """Adaptive context-mixing range coder for token ids, many blocks side by side.
 
-A block is up to ``BLOCK`` ids and starts from a fresh model, so blocks are independent and
+A block is up to ``BLOCK`` ids and starts from a fresh model, so blocks are coded alone and
 numpy runs one step of all blocks of a frame at once (a block is a lane). For each id:
 
 * order 2: the id that last followed the same two ids; order 1: the id that last followed
@@ -8,100 +8,133 @@ numpy runs one step of all blocks of a frame at once (a block is a lane). For ea
   first prediction is an adaptive probability chosen by its confidence or, where both
   orders name the same id, by the pair of confidences; order 1 gets its adaptive share of
   what is left.
-* order 0: what remains is coded by its high byte, with counts that adapt in the block
-  (renewed at doubling distances, then every ``RENEW`` ids), then by the two halves of its low byte, each with counts
-  that adapt with every id: the first half under the high byte, the second under both.
-
-The mixed probabilities drive a range coder with a 48-bit window and 16-bit output; an id
-narrows the interval by its order and then, for order 0, by its high byte; words go out; order 0 then narrows it
-twice by the halves of the low byte. Carries are added to the word before and settled at the end. All state
-is in integers (the one division in floating point has exact operands and a quotient far from rounding), so
-the decoder repeats the encoder's steps exactly. Most ids of natural text take order 0, so
-both sides work out its high byte for all lanes.
-
-Coded block: the words, 16 bits each, little-endian.
+* order 0: what remains goes to all ids by ``Shares``, both bytes of an id at once: whole
+  numbers of 2**20 that the caller has measured and keeps beside the blocks (equal ones without).
+
+The mixed probabilities drive a range coder with a 64-bit window and 32-bit output: an id
+narrows the interval once, to 2**2 at least, so one word at most goes out for an id. Sums that
+pass the window are carries; they are added to the word before and settled at the end. All
+state is in integers, so the decoder repeats the encoder's steps exactly. The two orders are
+the two rows of one array, so a step of both is one numpy call.
+
+Coded block: the words, 32 bits each, little-endian.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-BLOCK, RENEW = 8192, 256
+BLOCK = 8192
 ONE = 1 << 16
 _SLOTS, _CELLS = 4096, 80
-_TOP, _LOW = 1 << 32, (1 << 32) - 1
+_TOP = 1 << 32
 _LEAST, _MOST = 64, ONE - 2048
-_SHIFT0, _ONE0 = 13, 1 << 13  # order 0 shares of 2**13
-_GOAL = np.array([_LEAST, _MOST], np.int32)
-_ADD, _FULL = 24, 2048  # what a half byte adds to its count; counts above this sum are halved
-_HALF = np.arange(16)
+_GAIN = np.int32(_MOST - _LEAST)
+_SHIFT = 20  # order 0 shares of 2**20
+_IDS = 1 << 16
+_STEPS = 64  # of the encoder at a time
+#: Slots of order 2 by the id before the last and, with it, by the last; slots of order 1.
+_OLDER, _LAST2, _LAST1 = np.random.RandomState(8).randint(0, _SLOTS, (3, _IDS)).astype(np.uint16)
+
+
+class Shares:
+    """Order 0: the share of each id below 2**16, whole numbers that sum to 2**20."""
+
+    def __init__(self, share: np.ndarray):
+        share = np.asarray(share, np.uint32)
+        if len(share) != _IDS or int(share.sum(dtype=np.int64)) != 1 << _SHIFT:
+            raise ValueError("shares of 65536 ids sum to 2**20")
+        self.share = share
+        self.begin = np.cumsum(share, dtype=np.uint32) - share
+        self._id = None
+
+    @property
+    def id(self) -> np.ndarray:
+        """The id at each of the 2**20 points."""
+        if self._id is None:
+            self._id = np.repeat(np.arange(_IDS, dtype=np.uint16), self.share)
+        return self._id
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> Shares:
+        """Shares by the counts of ``ids``, one at least for each id that occurs."""
+        count = np.bincount(ids, minlength=_IDS).astype(np.int64)
+        if not len(ids):
+            return cls.even()
+        there = count > 0
+        share = there + count * ((1 << _SHIFT) - int(there.sum())) // len(ids)
+        share[np.argmax(share)] += (1 << _SHIFT) - int(share.sum())
+        return cls(share)
+
+    @classmethod
+    def even(cls) -> Shares:
+        return cls(np.full(_IDS, (1 << _SHIFT) // _IDS))
 
 
 class Model:
-    """The predictions of each lane's block."""
+    """The predictions of each lane's block; row 0 is order 2, row 1 order 1."""
 
     def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
-        self.slot0, self.cell0 = self.lane * _SLOTS, self.lane * _CELLS
-        self.table1, self.table2 = np.zeros(lanes * _SLOTS, np.int32), np.zeros(lanes * _SLOTS, np.int32)  # (id + 1) << 3 | run; 0: none
-        self.hit = np.full(lanes * _CELLS, ONE // 3, np.int32)
-        self.row, self.edge = self.lane * 256, self.lane * 257
-        self.high, self.cum = np.ones(lanes * 256, np.int32), np.zeros(lanes * 257, np.int32)
-        self.half1, self.half2 = np.ones((lanes * 256, 16), np.uint16), np.ones((lanes * 4096, 16), np.uint16)
-        self.last, self.previous = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.step = 0
-
-    def predict(self):
-        """(first id, its share, second id, its share) of 2**16; an id of -1 has no share."""
-        if self.step % RENEW == 0 or 16 <= self.step < RENEW and not self.step & self.step - 1:
-            n = len(self.lane)  # order 0: cumulative shares of the high bytes
-            high, cum = self.high[: n * 256].reshape(n, 256), self.cum[: n * 257].reshape(n, 257)
-            np.cumsum(1 + high * (_ONE0 - 256) // high.sum(axis=1, keepdims=True, dtype=np.int32), axis=1, out=cum[:, 1:])
-            cum[:, 256] = _ONE0
-        self.at1 = self.slot0 + (self.last * 40503 >> 3 & _SLOTS - 1)
-        self.at2 = self.slot0 + ((self.previous * 50021 + self.last) * 2654435761 >> 14 & _SLOTS - 1)
-        self.e1, self.e2 = self.table1.take(self.at1), self.table2.take(self.at2)
-        self.p1, self.p2 = (self.e1 >> 3) - 1, (self.e2 >> 3) - 1
-        self.r1, self.r2 = self.e1 & 7, self.e2 & 7
-        self.same = self.p1 == self.p2
-        self.cell2 = self.cell0 + np.where(self.same, self.r1 << 3 | self.r2, self.r2 + 64)
-        self.cell1 = self.cell0 + (self.r1 + 72)
-        self.q2, self.q1 = self.hit.take(self.cell2), self.hit.take(self.cell1)
-        f2 = (self.q2 * (self.p2 >= 0)).astype(np.int64)
-        f1 = (ONE - f2) * (self.q1 * ((self.p1 >= 0) & ~self.same)) >> 16
-        return self.p2, f2, self.p1, f1
-
-    def update(self, ids: np.ndarray) -> None:
-        right1, right2 = self.p1 == ids, self.p2 == ids
+        lane = np.arange(lanes)
+        self.slot0 = np.stack((lane * 2 * _SLOTS, lane * 2 * _SLOTS + _SLOTS))
+        self.cell0 = lane * _CELLS + np.array([[64], [72]])
+        self.table = np.zeros(lanes * 2 * _SLOTS, np.int32)  # id << 3 | run of hits, from 1; 0: nothing met, so id 0 is named
+        hit = np.full((lanes, _CELLS), ONE // 3, np.int32)  # by the runs of both, where they name the same id; of order 2; of order 1
+        hit[:, [*range(8), *range(8, 80, 8)]] = _LEAST
+        self.hit = hit.reshape(-1)
+        self.last = np.zeros(lanes, np.int64)
+        self.older = _OLDER.take(self.last)
+
+    def slots(self) -> np.ndarray:
+        at = np.empty(self.slot0.shape, np.uint16)
+        np.bitwise_xor(_LAST2.take(self.last, mode="clip"), self.older, out=at[0])
+        _LAST1.take(self.last, out=at[1], mode="clip")
+        return at + self.slot0
+
+    def look(self, at: np.ndarray):
+        """(ids of both predictions, whether they are the same, shares of 2**16 before they are mixed) for ``at``, the slots."""
+        self.at = at
+        entry = self.table.take(at, mode="clip")
+        self.name, self.run = entry >> 3, entry & 7
+        same = self.name[0] == self.name[1]
+        cell = self.run + self.cell0
+        cell[0] += (self.run[1] * 8 - 64) * same
+        self.cell, self.share = cell, self.hit.take(cell, mode="clip")
+        return self.name, same, self.share
+
+    def update(self, now: np.ndarray) -> np.ndarray:
+        """Learn the ids ``now``; returns which predictions were right."""
+        right = self.name == now
         # Each step goes a sixteenth of the way to its goal, so shares stay from _LEAST to _MOST.
-        self.hit[self.cell2] = self.q2 + (_GOAL.take(right2) - self.q2 >> 4)
-        self.hit[self.cell1] = self.q1 + (_GOAL.take(right1) - self.q1 >> 4)
-        fresh = (ids + 1 << 3).astype(np.int32)
-        self.table1[self.at1] = fresh + np.minimum(self.r1 + 1, 7) * right1
-        self.table2[self.at2] = fresh + np.minimum(self.r2 + 1, 7) * right2
-        seen = self.row + (ids >> 8)
-        self.high[seen] = self.high.take(seen) + 24
-        self.previous, self.last = self.last, ids
-        self.step += 1
-
-    def halves(self, table: np.ndarray, context: np.ndarray):
-        """(cumulative counts with a 0 in front, rows) of half bytes under ``context``."""
-        rows = table[context]
-        cum = np.zeros((len(context), 17), np.int32)
-        np.cumsum(rows, axis=1, out=cum[:, 1:])
-        return cum, rows
-
-    def saw(self, table: np.ndarray, context: np.ndarray, rows: np.ndarray, cum: np.ndarray, half: np.ndarray) -> None:
-        rows[np.arange(len(half)), half] += _ADD
-        full = cum[:, 16] > _FULL
-        if full.any():
-            rows[full] = rows[full] + 1 >> 1
-        table[context] = rows
+        goal = right * _GAIN
+        goal -= self.share
+        goal += _LEAST
+        goal >>= 4
+        goal += self.share
+        self.hit[self.cell] = goal
+        np.minimum(self.run, 6, out=self.run)
+        self.run *= right
+        self.run += now * 8 + 1
+        self.table[self.at] = self.run
+        return right
+
+    def go(self, now: np.ndarray) -> None:
+        self.older, self.last = _OLDER.take(self.last, mode="clip"), now
 
     def keep(self, n: int) -> None:
         """Go on with the first ``n`` lanes (blocks are sorted by length, longest first)."""
-        for name in ("lane", "slot0", "cell0", "row", "edge", "last", "previous"):
-            setattr(self, name, getattr(self, name)[:n])
+        self.slot0, self.cell0 = self.slot0[:, :n], self.cell0[:, :n]
+        self.last, self.older = self.last[:n], self.older[:n]
+
+
+def mixed(same: np.ndarray, share: np.ndarray):
+    """(share of the first prediction, of both) from the shares of each, which are in the last axis but one."""
+    first = share[..., 0, :].astype(np.uint64)
+    both = (ONE - first) * share[..., 1, :].view(np.uint32)
+    both >>= 16
+    both *= ~same
+    both += first
+    return first, both
 
 
 def _by_length(size):
@@ -109,142 +142,130 @@ def _by_length(size):
     return order, np.asarray(size)[order]
 
 
-def encode(blocks: list[np.ndarray]) -> list[bytes]:
-    """The coded bytes of each block of ids below 2**16."""
+def encode(blocks: list[np.ndarray], shares: Shares | None = None) -> list[bytes]:
+    """The coded bytes of each block of ids below 2**16, each of which has a share."""
     if not blocks:
         return []
+    shares = shares or Shares.even()
     order, size = _by_length([len(b) for b in blocks])
     lanes, steps = len(blocks), int(size[0])
     ids = np.zeros((steps, lanes), np.uint16)
     for j, i in enumerate(order):
         ids[: size[j], j] = blocks[i]
-    span = 3 * steps + 8
-    out = np.zeros(lanes * span, np.int32)
+    span = steps + 4
+    out = np.zeros(lanes * span, np.int64)
     start = np.arange(lanes) * span + 1
     at = start.copy()  # where the lane's next word goes; the word before the first stays 0
-    low, width = np.zeros(lanes, np.int64), np.full(lanes, 1 << 47, np.int64)
+    low, width = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
     model = Model(lanes)
-    alive = -1
-
-    def send(full: np.ndarray) -> None:
-        """Words of the lanes whose interval has become narrow."""
-        full = full[width.take(full) < _TOP]
-        while len(full):
-            here, value, wide = at.take(full), low.take(full), width.take(full) << 16
-            out[here - 1] += value >> 48  # a carry
-            out[here] = value >> 32 & 0xFFFF
-            low[full], width[full], at[full] = (value & _LOW) << 16, wide, here + 1
-            full = full[wide < _TOP]
-
-    for t in range(steps):
-        if alive < 0 or size[alive - 1] <= t:
-            alive = int(np.searchsorted(-size, -t, side="left"))
-            model.keep(alive)
-        now = ids[t, :alive].astype(np.int64)
-        p2, f2, p1, f1 = model.predict()
-        first = p2 == now
-        second = (p1 == now) & ~first
-        other = ~(first | second)
-        unit, hits = width[:alive] >> 16, f1 + f2
-        begin = unit * np.where(other, hits, f2 * second)
-        wide = unit * np.where(other, ONE - hits, np.where(first, f2, f1))
-        cell = model.edge + (now >> 8)
-        unit, share = wide >> _SHIFT0, model.cum.take(cell)
-        low[:alive] += begin + unit * (share * other)
-        width[:alive] = np.where(other, unit * (model.cum.take(cell + 1) - share), wide)
-        send(model.lane)
-        rest = np.flatnonzero(other)
-        if len(rest):
-            code = now.take(rest)
-            context = rest * 256 + (code >> 8)
-            for table, half in ((model.half1, code >> 4 & 15), (model.half2, code & 15)):
-                cum, rows = model.halves(table, context)
-                row = np.arange(len(rest))
-                share, unit = cum[row, half], width.take(rest) // cum[:, 16]
-                low[rest] += unit * share
-                width[rest] = unit * (cum[row, half + 1] - share)
-                model.saw(table, context, rows, cum, half)
-                context = context * 16 + half
-            send(rest)
-        model.update(now)
+    before = np.zeros((2, lanes), np.uint16)  # the two ids before the next
+    t = 0
+    while t < steps:
+        # Steps of the same lanes, a few at a time; what does not depend on the step before is worked out for all of them.
+        alive = int(np.searchsorted(-size, -t, side="left"))
+        n = min(_STEPS, int(size[alive - 1]) - t)
+        model.keep(alive)
+        now = np.concatenate((before[:, :alive], ids[t : t + n, :alive]))
+        before = now[n:]
+        slot = np.stack((_LAST2.take(now[1:-1]) ^ _OLDER.take(now[:-2]), _LAST1.take(now[1:-1])), axis=1) + model.slot0
+        now = now[2:]
+        wide = now.astype(np.int32)
+        same, share, right = np.empty((n, alive), bool), np.empty((n, 2, alive), np.int32), np.empty((n, 2, alive), bool)
+        for k in range(n):
+            _, same[k], share[k] = model.look(slot[k])
+            right[k] = model.update(wide[k])
+        first, both = mixed(same, share)
+        hit1, other = right[:, 0], ~right.any(axis=1)
+        # An id begins at ``begin`` and has ``part`` of 2**16; order 0 then begins at ``low0`` and has ``part0`` of 2**20 of that.
+        begin = np.where(other, both, first * ~hit1)
+        part = np.where(other, ONE - both, np.where(hit1, first, both - first))
+        low0, part0 = shares.begin.take(now) * other, shares.share.take(now)
+        lows, widths, ats = low[:alive], width[:alive], at[:alive]
+        for k in range(n):
+            unit = widths >> 16
+            first = unit * begin[k]
+            unit *= part[k]
+            rest = unit >> _SHIFT
+            first += rest * low0[k]
+            rest *= part0[k]
+            np.copyto(unit, rest, where=other[k])
+            lows += first
+            over = np.flatnonzero(lows < first)
+            if len(over):
+                out[ats.take(over) - 1] += 1  # a carry
+            full = np.flatnonzero(unit < _TOP)
+            here, value = ats.take(full), lows.take(full)
+            out[here] = value >> 32
+            value <<= 32
+            lows[full], unit[full], ats[full] = value, unit.take(full) << 32, here + 1
+            widths[:] = unit
+        t += n
     # One more word names a point of the last interval (zeros follow it); then carries settle.
-    point = low + _LOW >> 32
-    out[at - 1] += point >> 16
-    out[at] = point & 0xFFFF
+    point = low + (_TOP - 1)
+    out[at - 1] += point < low
+    out[at] = point >> 32
     out, done = out.reshape(lanes, span)[:, 1:], at + 1 - start
     for k in range(int(done.max()) - 1, 0, -1):
-        out[:, k - 1] += out[:, k] >> 16
-        out[:, k] &= 0xFFFF
+        out[:, k - 1] += out[:, k] >> 32
+        out[:, k] &= _TOP - 1
     coded: list[bytes] = [b""] * lanes
     for j, i in enumerate(order):
-        coded[i] = out[j, : done[j]].astype("<u2").tobytes()
+        coded[i] = out[j, : done[j]].astype("<u4").tobytes()
     return coded
 
 
-def decode(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
+def decode(coded: list[bytes], lengths: list[int], shares: Shares | None = None) -> list[np.ndarray]:
     """The ids of each block."""
     if not coded:
         return []
+    shares = shares or Shares.even()
     order, size = _by_length(lengths)
     lanes, steps = len(coded), int(size[0])
-    span = max(len(c) // 2 for c in coded) + 4
-    words = np.zeros((lanes, span), np.uint16)
+    span = max(len(c) // 4 for c in coded) + 3
+    words = np.zeros((lanes, span), np.uint32)
     for j, i in enumerate(order):
-        words[j, : len(coded[i]) // 2] = np.frombuffer(coded[i], "<u2")
-    gap, width = words[:, :3].astype(np.int64) @ np.array([1 << 32, 1 << 16, 1]), np.full(lanes, 1 << 47, np.int64)
-    read = np.arange(lanes) * span + 3
+        words[j, : len(coded[i]) // 4] = np.frombuffer(coded[i], "<u4")
+    gap, width = words[:, 0].astype(np.uint64) << 32 | words[:, 1], np.full(lanes, (1 << 64) - 1, np.uint64)
+    read = np.arange(lanes) * span + 2
     words = words.reshape(-1)
     ids = np.zeros((steps, lanes), np.uint16)
     model = Model(lanes)
     alive = -1
-
-    def fetch(full: np.ndarray) -> None:
-        full = full[width.take(full) < _TOP]
-        while len(full):
-            spot, wide = read.take(full), width.take(full) << 16
-            gap[full], width[full], read[full] = gap.take(full) << 16 | words.take(spot, mode="clip"), wide, spot + 1
-            full = full[wide < _TOP]
-
     for t in range(steps):
         if alive < 0 or size[alive - 1] <= t:
             alive = int(np.searchsorted(-size, -t, side="left"))
             model.keep(alive)
-        p2, f2, p1, f1 = model.predict()
-        unit, hits = width[:alive] >> 16, f1 + f2
-        here, edge2, edge = gap[:alive], unit * f2, unit * hits
-        first, other = here < edge2, here >= edge
-        here = here - np.where(other, edge, edge2 * ~first)
-        wide = np.where(other, unit * (ONE - hits), np.where(first, edge2, edge - edge2))
-        now = np.where(first, p2, p1).astype(np.int64)
-        rest = np.flatnonzero(other)
-        if len(rest):
-            unit = wide >> _SHIFT0
-            point = np.minimum((here / unit).astype(np.int32), _ONE0 - 1)
-            cell, cum = model.edge, model.cum
-            for bit in (128, 64, 32, 16, 8, 4, 2, 1):
-                cell = cell + bit * (cum.take(cell + bit) <= point)
-            share = cum.take(cell)
-            here = here - unit * (share * other)
-            wide = np.where(other, unit * (cum.take(cell + 1) - share), wide)
-            code = (cell - model.edge).take(rest)
-        gap[:alive], width[:alive] = here, wide
-        fetch(model.lane)
-        if len(rest):
-            context = rest * 256 + code
-            for table in (model.half1, model.half2):
-                cum, rows = model.halves(table, context)
-                row = np.arange(len(rest))
-                unit = width.take(rest) // cum[:, 16]
-                half = np.minimum((cum[:, 1:] <= (gap.take(rest) // unit)[:, None]).sum(axis=1), 15)
-                share = cum[row, half]
-                gap[rest] -= unit * share
-                width[rest] = unit * (cum[row, half + 1] - share)
-                model.saw(table, context, rows, cum, half)
-                context = context * 16 + half
-            now[rest] = context - rest * 65536
-            fetch(rest)
+            gap, width, read = gap[:alive], width[:alive], read[:alive]
+        name, same, share = model.look(model.slots())
+        first, both = mixed(same, share)
+        unit = width >> 16
+        first *= unit
+        both *= unit
+        hit1, other = gap < first, gap >= both
+        unit <<= 16
+        unit -= both
+        unit >>= _SHIFT
+        # Where order 0 does not apply the point is any number, and not used.
+        code = shares.id.take(((gap - both) // unit).view(np.int64), mode="clip")
+        now = name[1].astype(np.int64)
+        np.copyto(now, name[0], where=hit1)
+        np.copyto(now, code, where=other)
+        width = both - first
+        np.copyto(width, first, where=hit1)
+        np.copyto(width, unit * shares.share.take(code, mode="clip"), where=other)
+        first *= ~hit1
+        unit *= shares.begin.take(code, mode="clip")
+        unit += both
+        np.copyto(first, unit, where=other)
+        gap -= first
+        full = np.flatnonzero(width < _TOP)
+        spot, value = read.take(full), gap.take(full)
+        value <<= 32
+        value |= words.take(spot, mode="clip")
+        gap[full], width[full], read[full] = value, width.take(full) << 32, spot + 1
         ids[t, :alive] = now
-        model.update(now)
+        model.update(now.astype(np.int32))
+        model.go(now)
     plain: list[np.ndarray] = [np.zeros(0, np.uint32)] * lanes
     for j, i in enumerate(order):
         plain[i] = ids[: size[j], j].astype(np.uint32)

@@ -5,8 +5,9 @@ written table (``part``, ``frame`` number in the part, ``first``: ids before it
 ``payload``), written by Spark's committer, so a lost task leaves no half file. The payload,
 all numbers little-endian:
 
-    "PBT1" | n documents, n blocks: uint32 | crc32 of all that follows: uint32
+    "PBT2" | n documents, n blocks, bytes of shares: uint32 | crc32 of all that follows: uint32
     | number of ids of each document: uint32 | number of ids, coded bytes, crc32 of the ids, of each block: uint32
+    | order 0 shares of the frame's ids, zlib: uint16 steps from id to id, then the four byte planes of the uint32 shares
     | the coded blocks (``coder``), each with a fresh model
 
 Document ids are kept beside it in the row's ``doc_ids`` column, in the same order.
@@ -33,7 +34,21 @@ from proofbox.llm import coder
 from proofbox.llm.common import as_bytes, chunks, stored, text_bytes, tidy
 from proofbox.llm.tokens import Encoder, default_path
 
-MAGIC = b"PBT1"
+MAGIC = b"PBT2"
+
+
+def _pack_shares(share: np.ndarray) -> bytes:
+    there = np.flatnonzero(share)
+    planes = share[there].astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return zlib.compress(np.diff(there, prepend=0).astype("<u2").tobytes() + planes.tobytes())
+
+
+def _unpack_shares(raw: bytes) -> coder.Shares:
+    raw = zlib.decompress(raw)
+    n = len(raw) // 6
+    share = np.zeros(1 << 16, np.uint32)
+    share[np.cumsum(np.frombuffer(raw, "<u2", n), dtype=np.int64)] = np.frombuffer(raw, np.uint8, offset=2 * n).reshape(4, n).T.copy().view("<u4")[:, 0]
+    return coder.Shares(share)
 
 
 def pack_frame(ids: np.ndarray, sizes: np.ndarray) -> bytes:
@@ -41,24 +56,27 @@ def pack_frame(ids: np.ndarray, sizes: np.ndarray) -> bytes:
     if len(ids) and int(ids.max()) > 0xFFFF:
         raise ValueError("the coder takes ids up to 65535")
     blocks = [ids[i : i + coder.BLOCK] for i in range(0, len(ids), coder.BLOCK)]
-    coded = coder.encode(blocks)
+    shares = coder.Shares.of(ids)
+    coded, share = coder.encode(blocks, shares), _pack_shares(shares.share)
     head = np.asarray(sizes, "<u4").tobytes()
     index = np.array([(len(b), len(c), zlib.crc32(b.astype("<u4").tobytes())) for b, c in zip(blocks, coded, strict=True)], "<u4").tobytes()
-    body = head + index + b"".join(coded)
-    return MAGIC + struct.pack("<III", len(sizes), len(blocks), zlib.crc32(body)) + body
+    body = b"".join((head, index, share, *coded))
+    return MAGIC + struct.pack("<IIII", len(sizes), len(blocks), len(share), zlib.crc32(body)) + body
 
 
 def unpack_frame(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(ids, ids of each document) of a payload; damage raises ValueError."""
     if payload[:4] != MAGIC:
         raise ValueError("not a token frame")
-    n_docs, n_blocks, crc = struct.unpack_from("<III", payload, 4)
-    if zlib.crc32(payload[16:]) != crc:
+    n_docs, n_blocks, n_share, crc = struct.unpack_from("<IIII", payload, 4)
+    if zlib.crc32(memoryview(payload)[20:]) != crc:
         raise ValueError("frame checksum differs")
-    sizes = np.frombuffer(payload, "<u4", n_docs, 16)
-    index = np.frombuffer(payload, "<u4", 3 * n_blocks, 16 + 4 * n_docs).reshape(-1, 3)
-    at = 16 + 4 * n_docs + 12 * n_blocks + np.concatenate(([0], np.cumsum(index[:, 1].astype(np.int64))))
-    blocks = coder.decode([payload[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], index[:, 0].tolist())
+    sizes = np.frombuffer(payload, "<u4", n_docs, 20)
+    index = np.frombuffer(payload, "<u4", 3 * n_blocks, 20 + 4 * n_docs).reshape(-1, 3)
+    begin = 20 + 4 * n_docs + 12 * n_blocks
+    shares = _unpack_shares(payload[begin : begin + n_share])
+    at = begin + n_share + np.concatenate(([0], np.cumsum(index[:, 1].astype(np.int64))))
+    blocks = coder.decode([payload[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], index[:, 0].tolist(), shares)
     for block, (_, _, block_crc) in zip(blocks, index.tolist(), strict=True):
         if zlib.crc32(block.astype("<u4").tobytes()) != block_crc:
             raise ValueError("block checksum differs")

@@ -96,3 +96,23 @@ def test_bounded_piece_memory_gives_the_same_ids(monkeypatch):
             assert ids[cut[i] : cut[i + 1]].tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
         assert list(coder.number.values()) == list(range(len(coder.number))) and len(coder.start) == len(coder.number) + 1
     assert kept
+
+
+def test_a_frame_keeps_its_shares_and_costs_fewer_bytes_and_steps():
+    """Order 0 knows the frame's ids from the first one on: blocks that each learnt them anew took 9.60 bits an id here, this 8.85."""
+    rng = np.random.default_rng(9)
+    ids = (rng.permutation(50_000)[rng.zipf(1.2, 60_000) % 3000]).astype(np.uint32)
+    payload = pack_frame(ids, np.array([len(ids)]))
+    assert np.array_equal(unpack_frame(payload)[0], ids)
+    count = np.unique(ids, return_counts=True)[1] / len(ids)
+    assert 8 * len(payload) / len(ids) < 1.15 * -(count * np.log2(count)).sum()
+    assert coder.Shares.of(ids).share.sum() == 1 << 20
+
+
+def test_carries_and_rare_ids_round_trip():
+    """Ids of the smallest share after sure predictions, and intervals that end at the top of the window."""
+    blocks = [np.array(([7] * 300 + [65535]) * 20), np.full(3000, 65535), np.array([65535, 0] * 500), np.zeros(0, int)]
+    every = np.concatenate((*blocks, np.full(3_000_000, 7)))
+    shares = coder.Shares.of(every)
+    back = coder.decode(coder.encode(blocks, shares), [len(b) for b in blocks], shares)
+    assert all(np.array_equal(a, b) for a, b in zip(blocks, back, strict=True))
