@@ -11,11 +11,12 @@ numpy runs one step of all blocks of a frame at once (a block is a lane). For ea
 * order 0: what remains goes to all ids by ``Shares``, both bytes of an id at once: whole
   numbers of 2**20 that the caller has measured and keeps beside the blocks (equal ones without).
 
-The mixed probabilities drive a range coder with a 64-bit window and 32-bit output: an id
-narrows the interval once, to 2**2 at least, so one word at most goes out for an id. Sums that
-pass the window are carries; they are added to the word before and settled at the end. All
-state is in integers, so the decoder repeats the encoder's steps exactly. The two orders are
-the two rows of one array, so a step of both is one numpy call.
+The mixed probabilities drive a range coder with a 63-bit window and 32-bit output: an id
+narrows the interval once, to 2 at least, so one word at most goes out for an id. The bit
+above the window takes a sum that passes it: such a carry leaves with the word it belongs to and
+is settled at the end. All state is in integers, so the decoder repeats the encoder's
+steps exactly. The two orders are the two rows of one array, so a step of both is one numpy call.
+The encoder knows all ids, so it has what the predictions were from a sort of each block by slot.
 
 Coded block: the words, 32 bits each, little-endian.
 """
@@ -27,14 +28,22 @@ import numpy as np
 BLOCK = 8192
 ONE = 1 << 16
 _SLOTS, _CELLS = 4096, 80
-_TOP = 1 << 32
+_TOP = 1 << 31
 _LEAST, _MOST = 64, ONE - 2048
-_GAIN = np.int32(_MOST - _LEAST)
+#: By an entry xor the id met (with 0 for its run), which is the run of hits after a hit and 8 or more after a miss: the entry's next run; the goal of its share.
+_NEXT = np.array([1, 2, 3, 4, 5, 6, 7, 7, 1], np.uint32)
+_GOAL = np.array([_MOST] * 8 + [_LEAST], np.int32)
 _SHIFT = 20  # order 0 shares of 2**20
 _IDS = 1 << 16
 _STEPS = 64  # of the encoder at a time
+_LANES = 32  # of the encoder's sort at a time
+#: Numbers of the decoder's steps: numpy takes arrays faster than Python's integers.
+_RUN, _THREE, _APART, _FOUR = (np.array(x, t) for x, t in ((7, np.uint32), (3, np.uint32), (64, np.uint32), (4, np.int32)))
+_SIXTEEN, _FINER, _WORD, _LOW = (np.array(x, np.uint64) for x in (16, _SHIFT, 32, _TOP))
 #: Slots of order 2 by the id before the last and, with it, by the last; slots of order 1.
 _OLDER, _LAST2, _LAST1 = np.random.RandomState(8).randint(0, _SLOTS, (3, _IDS)).astype(np.uint16)
+#: The same side by side, four to an id, for one look.
+_ALL = np.stack((_OLDER, _LAST2, _LAST1, _LAST1), axis=1).view(np.uint64)[:, 0]
 
 
 class Shares:
@@ -47,6 +56,8 @@ class Shares:
         self.share = share
         self.begin = np.cumsum(share, dtype=np.uint32) - share
         self._id = None
+        #: (begin, share) of each id, as the range coder needs them.
+        self.both = np.stack((self.begin, share), axis=1).astype(np.uint64)
 
     @property
     def id(self) -> np.ndarray:
@@ -71,68 +82,49 @@ class Shares:
         return cls(np.full(_IDS, (1 << _SHIFT) // _IDS))
 
 
-class Model:
-    """The predictions of each lane's block; row 0 is order 2, row 1 order 1."""
+def _odds(lanes: int):
+    """(adaptive shares of all lanes, in ``_CELLS`` cells each; where those of a lane begin for either order).
 
-    def __init__(self, lanes: int):
-        lane = np.arange(lanes)
-        self.slot0 = np.stack((lane * 2 * _SLOTS, lane * 2 * _SLOTS + _SLOTS))
-        self.cell0 = lane * _CELLS + np.array([[64], [72]])
-        self.table = np.zeros(lanes * 2 * _SLOTS, np.int32)  # id << 3 | run of hits, from 1; 0: nothing met, so id 0 is named
-        hit = np.full((lanes, _CELLS), ONE // 3, np.int32)  # by the runs of both, where they name the same id; of order 2; of order 1
-        hit[:, [*range(8), *range(8, 80, 8)]] = _LEAST
-        self.hit = hit.reshape(-1)
-        self.last = np.zeros(lanes, np.int64)
-        self.older = _OLDER.take(self.last)
+    The first prediction's cell: by the runs of both where they name the same id (8 times the xor of the runs, and its run), else 64 and its run; the second's: 72 and its run.
+    """
+    odds = np.full((lanes, _CELLS), ONE // 3, np.int32)
+    odds[:, [*range(0, 64, 9), *range(0, 80, 8)]] = _LEAST  # a run of 0: nothing met
+    return odds.reshape(-1), np.arange(lanes) * _CELLS + np.array([[0], [72]])
 
-    def slots(self) -> np.ndarray:
-        at = np.empty(self.slot0.shape, np.uint16)
-        np.bitwise_xor(_LAST2.take(self.last, mode="clip"), self.older, out=at[0])
-        _LAST1.take(self.last, out=at[1], mode="clip")
-        return at + self.slot0
 
-    def look(self, at: np.ndarray):
-        """(ids of both predictions, whether they are the same, shares of 2**16 before they are mixed) for ``at``, the slots."""
-        self.at = at
-        entry = self.table.take(at, mode="clip")
-        self.name, self.run = entry >> 3, entry & 7
-        same = self.name[0] == self.name[1]
-        cell = self.run + self.cell0
-        cell[0] += (self.run[1] * 8 - 64) * same
-        self.cell, self.share = cell, self.hit.take(cell, mode="clip")
-        return self.name, same, self.share
+def _entries(slot: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """What an order's table holds for each id of some blocks (rows): the id that last came in the slot << 3 | its run of hits, 1 to 7; 0: none came."""
+    order = np.argsort(slot, axis=1, kind="stable")
+    order += np.arange(len(slot))[:, None] * slot.shape[1]
+    slots, now = slot.reshape(-1).take(order, mode="clip"), ids.reshape(-1).take(order, mode="clip")
+    again = np.zeros(slot.shape, bool)
+    np.equal(slots[:, 1:], slots[:, :-1], out=again[:, 1:])
+    hit = np.zeros(slot.shape, bool)
+    np.equal(now[:, 1:], now[:, :-1], out=hit[:, 1:])
+    hit &= again
+    entry = np.zeros(slot.shape, np.uint32)
+    entry[:, 1:] = now[:, :-1]
+    entry <<= 3
+    entry *= again
+    run = again.astype(np.uint8)
+    for k in range(1, 7):  # one more for each hit in a row before
+        again[:, k:] &= hit[:, :-k]
+        again[:, :k] = False
+        run += again
+    entry += run
+    held = np.empty(slot.size, np.uint32)
+    held[order] = entry
+    return held.reshape(slot.shape)
 
-    def update(self, now: np.ndarray) -> np.ndarray:
-        """Learn the ids ``now``; returns which predictions were right."""
-        right = self.name == now
-        # Each step goes a sixteenth of the way to its goal, so shares stay from _LEAST to _MOST.
-        goal = right * _GAIN
-        goal -= self.share
-        goal += _LEAST
-        goal >>= 4
-        goal += self.share
-        self.hit[self.cell] = goal
-        np.minimum(self.run, 6, out=self.run)
-        self.run *= right
-        self.run += now * 8 + 1
-        self.table[self.at] = self.run
-        return right
 
-    def go(self, now: np.ndarray) -> None:
-        self.older, self.last = _OLDER.take(self.last, mode="clip"), now
-
-    def keep(self, n: int) -> None:
-        """Go on with the first ``n`` lanes (blocks are sorted by length, longest first)."""
-        self.slot0, self.cell0 = self.slot0[:, :n], self.cell0[:, :n]
-        self.last, self.older = self.last[:n], self.older[:n]
-
-
-def mixed(same: np.ndarray, share: np.ndarray):
-    """(share of the first prediction, of both) from the shares of each, which are in the last axis but one."""
-    first = share[..., 0, :].astype(np.uint64)
-    both = (ONE - first) * share[..., 1, :].view(np.uint32)
+def mixed(apart: np.ndarray, share: np.ndarray):
+    """(share of the first prediction, of both) from whether they name different ids and the shares of each, which are in the last axis but one."""
+    share = share.view(np.uint32)
+    first = share[..., 0, :]
+    both = ONE - first
+    both *= share[..., 1, :]
     both >>= 16
-    both *= ~same
+    both *= apart
     both += first
     return first, both
 
@@ -149,68 +141,78 @@ def encode(blocks: list[np.ndarray], shares: Shares | None = None) -> list[bytes
     shares = shares or Shares.even()
     order, size = _by_length([len(b) for b in blocks])
     lanes, steps = len(blocks), int(size[0])
-    ids = np.zeros((steps, lanes), np.uint16)
+    ids = np.zeros((lanes, steps), np.uint16)
     for j, i in enumerate(order):
-        ids[: size[j], j] = blocks[i]
-    span = steps + 4
-    out = np.zeros(lanes * span, np.int64)
-    start = np.arange(lanes) * span + 1
-    at = start.copy()  # where the lane's next word goes; the word before the first stays 0
-    low, width = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-    model = Model(lanes)
-    before = np.zeros((2, lanes), np.uint16)  # the two ids before the next
+        ids[j, : size[j]] = blocks[i]
+    # For each step and lane: whether the predictions name different ids, are right, and their cells.
+    apart, right, cells = np.empty((steps, lanes), bool), np.empty((steps, 2, lanes), bool), np.empty((steps, 2, lanes), np.uint8)
+    for a in range(0, lanes, _LANES):
+        own = ids[a : a + _LANES]
+        last = np.zeros((len(own), steps + 2), np.uint16)
+        last[:, 2:] = own
+        entry = [_entries(slot, own) for slot in (_LAST2.take(last[:, 1:-1]) ^ _OLDER.take(last[:, :-2]), _LAST1.take(last[:, 1:-1]))]
+        differ = entry[0] ^ entry[1]
+        apart[:, a : a + _LANES] = (differ > 7).T
+        cells[:, 0, a : a + _LANES] = (np.minimum(differ << 3, 64) + (entry[0] & 7)).T
+        cells[:, 1, a : a + _LANES] = (entry[1] & 7).T
+        for j in range(2):
+            right[:, j, a : a + _LANES] = ((entry[j] >> 3) == own).T
+    ids = np.ascontiguousarray(ids.T)
+    low, width = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 63) - 1, np.uint64)
+    gone, where = [], []  # the words that went out, with the lanes they belong to
+    odds, cell0 = _odds(lanes)
     t = 0
     while t < steps:
         # Steps of the same lanes, a few at a time; what does not depend on the step before is worked out for all of them.
         alive = int(np.searchsorted(-size, -t, side="left"))
         n = min(_STEPS, int(size[alive - 1]) - t)
-        model.keep(alive)
-        now = np.concatenate((before[:, :alive], ids[t : t + n, :alive]))
-        before = now[n:]
-        slot = np.stack((_LAST2.take(now[1:-1]) ^ _OLDER.take(now[:-2]), _LAST1.take(now[1:-1])), axis=1) + model.slot0
-        now = now[2:]
-        wide = now.astype(np.int32)
-        same, share, right = np.empty((n, alive), bool), np.empty((n, 2, alive), np.int32), np.empty((n, 2, alive), bool)
-        for k in range(n):
-            _, same[k], share[k] = model.look(slot[k])
-            right[k] = model.update(wide[k])
-        first, both = mixed(same, share)
-        hit1, other = right[:, 0], ~right.any(axis=1)
+        now, met = ids[t : t + n, :alive], right[t : t + n, :, :alive]
+        cell, goal = cells[t : t + n, :, :alive] + cell0[:, :alive], np.where(met, np.int32(_MOST), np.int32(_LEAST))
+        share = np.empty((n, 2, alive), np.int32)
+        for at, before, after in zip(cell, share, goal, strict=True):
+            # Each step goes a sixteenth of the way to its goal, so shares stay from _LEAST to _MOST.
+            odds.take(at, mode="clip", out=before)
+            after -= before
+            after >>= 4
+            after += before
+            odds[at] = after
+        first, both = mixed(apart[t : t + n, :alive], share)
+        hit1, other = met[:, 0], ~(met[:, 0] | met[:, 1])
         # An id begins at ``begin`` and has ``part`` of 2**16; order 0 then begins at ``low0`` and has ``part0`` of 2**20 of that.
-        begin = np.where(other, both, first * ~hit1)
-        part = np.where(other, ONE - both, np.where(hit1, first, both - first))
-        low0, part0 = shares.begin.take(now) * other, shares.share.take(now)
-        lows, widths, ats = low[:alive], width[:alive], at[:alive]
+        begin = np.where(other, both, first * ~hit1).astype(np.uint64)
+        part = np.where(other, ONE - both, np.where(hit1, first, both - first)).astype(np.uint64)
+        own = shares.both.take(now, axis=0)
+        low0, part0 = own[..., 0] * other, np.where(other, own[..., 1], 1)
+        finer = other.astype(np.uint64) * np.uint64(_SHIFT)
+        lows, widths = low[:alive], width[:alive]
         for k in range(n):
             unit = widths >> 16
-            first = unit * begin[k]
+            lows += unit * begin[k]
             unit *= part[k]
-            rest = unit >> _SHIFT
-            first += rest * low0[k]
-            rest *= part0[k]
-            np.copyto(unit, rest, where=other[k])
-            lows += first
-            over = np.flatnonzero(lows < first)
-            if len(over):
-                out[ats.take(over) - 1] += 1  # a carry
-            full = np.flatnonzero(unit < _TOP)
-            here, value = ats.take(full), lows.take(full)
-            out[here] = value >> 32
+            unit >>= finer[k]
+            lows += unit * low0[k]
+            np.multiply(unit, part0[k], out=widths)
+            full = (widths < _TOP).nonzero()[0]
+            value = lows.take(full)
+            gone.append(value >> 31)
+            where.append(full.astype(np.uint32))
+            value &= _TOP - 1
             value <<= 32
-            lows[full], unit[full], ats[full] = value, unit.take(full) << 32, here + 1
-            widths[:] = unit
+            lows[full] = value
+            widths[full] = widths.take(full) << 32
         t += n
-    # One more word names a point of the last interval (zeros follow it); then carries settle.
-    point = low + (_TOP - 1)
-    out[at - 1] += point < low
-    out[at] = point >> 32
-    out, done = out.reshape(lanes, span)[:, 1:], at + 1 - start
-    for k in range(int(done.max()) - 1, 0, -1):
-        out[:, k - 1] += out[:, k] >> 32
-        out[:, k] &= _TOP - 1
+    # One more word names a point of the last interval (zeros follow it); then words come together by lane, and carries settle.
+    out, lane = np.concatenate((*gone, (low + (_TOP - 1)) >> 31)), np.concatenate((*where, np.arange(lanes, dtype=np.uint32)))
+    del gone, where
+    out = out[np.argsort(lane.astype(np.uint16) if lanes <= ONE else lane, kind="stable")]
+    while (carry := np.flatnonzero(out >> 32)).size:
+        out[carry] &= (1 << 32) - 1
+        out[carry - 1] += 1
+    ends = np.cumsum(np.bincount(lane, minlength=lanes)).tolist()
+    out = out.astype("<u4")
     coded: list[bytes] = [b""] * lanes
-    for j, i in enumerate(order):
-        coded[i] = out[j, : done[j]].astype("<u4").tobytes()
+    for a, b, i in zip([0, *ends], ends, order.tolist()):
+        coded[i] = out[a:b].tobytes()
     return coded
 
 
@@ -225,47 +227,76 @@ def decode(coded: list[bytes], lengths: list[int], shares: Shares | None = None)
     words = np.zeros((lanes, span), np.uint32)
     for j, i in enumerate(order):
         words[j, : len(coded[i]) // 4] = np.frombuffer(coded[i], "<u4")
-    gap, width = words[:, 0].astype(np.uint64) << 32 | words[:, 1], np.full(lanes, (1 << 64) - 1, np.uint64)
-    read = np.arange(lanes) * span + 2
+    gap, width = words[:, 0].astype(np.uint64) << 31 | words[:, 1] >> 1, np.full(lanes, (1 << 63) - 1, np.uint64)
+    words[:, :-1] = words[:, :-1] << 31 | words[:, 1:] >> 1  # what comes into the window, which is a bit short of two words
+    read = np.arange(lanes) * span + 1
     words = words.reshape(-1)
     ids = np.zeros((steps, lanes), np.uint16)
-    model = Model(lanes)
+    lane = np.arange(lanes)
+    slot0 = lane * 2 * _SLOTS + np.array([[0], [_SLOTS]])
+    table = np.zeros(2 * _SLOTS * lanes, np.uint32)  # as ``_entries``
+    odds, cell0 = _odds(lanes)
+    older, hashes = np.full(lanes, _OLDER[0]), np.full((lanes, 4), _ALL[:1].view(np.uint16))
     alive = -1
     for t in range(steps):
         if alive < 0 or size[alive - 1] <= t:
             alive = int(np.searchsorted(-size, -t, side="left"))
-            model.keep(alive)
-            gap, width, read = gap[:alive], width[:alive], read[:alive]
-        name, same, share = model.look(model.slots())
-        first, both = mixed(same, share)
-        unit = width >> 16
-        first *= unit
-        both *= unit
-        hit1, other = gap < first, gap >= both
-        unit <<= 16
-        unit -= both
-        unit >>= _SHIFT
+            gap, width, read, older, hashes = gap[:alive], width[:alive], read[:alive], older[:alive], hashes[:alive]
+            slot0, cell0, slot = slot0[:, :alive].copy(), cell0[:, :alive].copy(), np.empty((2, alive), np.uint16)
+            # Where each way begins, how wide it is and what id it gives: the first prediction, the second, order 0.
+            begin, part, name = np.zeros((3, alive), np.uint64), np.empty((3, alive), np.uint64), np.empty((3, alive), np.int64)
+            way0, way1, way2 = np.arange(3 * alive).reshape(3, alive)
+        np.bitwise_xor(hashes[:, 1], older, out=slot[0])
+        slot[1] = hashes[:, 2]
+        at = slot + slot0
+        entry = table.take(at, mode="clip")
+        differ = entry[0] ^ entry[1]
+        run = entry & _RUN
+        cell = run + cell0
+        cell[0] += np.minimum(differ << _THREE, _APART)
+        share = odds.take(cell, mode="clip")
+        begin[1], begin[2] = mixed(differ > _RUN, share)
+        unit = width >> _SIXTEEN
+        begin[1:] *= unit
+        beyond = gap >= begin[1:]
+        way = np.where(beyond[1], way2, np.where(beyond[0], way1, way0))
+        unit <<= _SIXTEEN
+        unit -= begin[2]
+        unit >>= _FINER
         # Where order 0 does not apply the point is any number, and not used.
-        code = shares.id.take(((gap - both) // unit).view(np.int64), mode="clip")
-        now = name[1].astype(np.int64)
-        np.copyto(now, name[0], where=hit1)
-        np.copyto(now, code, where=other)
-        width = both - first
-        np.copyto(width, first, where=hit1)
-        np.copyto(width, unit * shares.share.take(code, mode="clip"), where=other)
-        first *= ~hit1
-        unit *= shares.begin.take(code, mode="clip")
-        unit += both
-        np.copyto(first, unit, where=other)
-        gap -= first
-        full = np.flatnonzero(width < _TOP)
+        code = shares.id.take(((gap - begin[2]) // unit).view(np.int64), mode="clip")
+        np.right_shift(entry, _THREE, out=name[:2])
+        name[2] = code
+        code = name[2]
+        part[0] = begin[1]
+        np.subtract(begin[2], begin[1], out=part[1])
+        own = shares.both.take(code, axis=0, mode="clip")
+        np.multiply(unit, own[:, 1], out=part[2])
+        unit *= own[:, 0]
+        begin[2] += unit
+        now = name.take(way, mode="clip")
+        gap -= begin.take(way, mode="clip")
+        width = part.take(way, mode="clip")
+        full = (width < _LOW).nonzero()[0]
         spot, value = read.take(full), gap.take(full)
-        value <<= 32
+        value <<= _WORD
         value |= words.take(spot, mode="clip")
-        gap[full], width[full], read[full] = value, width.take(full) << 32, spot + 1
+        spot += 1
+        gap[full], width[full], read[full] = value, width.take(full) << _WORD, spot
         ids[t, :alive] = now
-        model.update(now.astype(np.int32))
-        model.go(now)
+        # Learn the id: the odds go as in the encoder; the entry's next run follows from whether it named the id.
+        key = now.astype(np.uint32)
+        key <<= _THREE
+        place = (entry ^ key).astype(np.int64)
+        goal = _GOAL.take(place, mode="clip")
+        goal -= share
+        goal >>= _FOUR
+        goal += share
+        odds[cell] = goal
+        entry = _NEXT.take(place, mode="clip")
+        entry += key
+        table[at] = entry
+        older, hashes = hashes[:, 0], _ALL.take(now, mode="clip").view(np.uint16).reshape(-1, 4)
     plain: list[np.ndarray] = [np.zeros(0, np.uint32)] * lanes
     for j, i in enumerate(order):
         plain[i] = ids[: size[j], j].astype(np.uint32)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofbox.llm.common import as_bytes, chunks, stored, tidy
-from proofbox.llm.tokens import Encoder, default_path
+from proofbox.llm.tokens import BATCH, Encoder, default_path
 
 # ---------------------------------------------------------------- bin completion
 
@@ -243,7 +243,7 @@ def _pieces(path: str, capacity: int, end_id: int, keep_pieces: bool):
         for batch in batches:
             texts = batch.column(0)
             _, offsets = as_bytes(texts)
-            for a, b in chunks(offsets):
+            for a, b in chunks(offsets, BATCH):
                 ids, cut = coder.encode(texts.slice(a, b - a))
                 rows, part, piece, start, length, crc = [], batch.column(2)[0].as_py(), [], [], [], []
                 for i in range(b - a):

@@ -5,7 +5,7 @@ written table (``part``, ``frame`` number in the part, ``first``: ids before it
 ``payload``), written by Spark's committer, so a lost task leaves no half file. The payload,
 all numbers little-endian:
 
-    "PBT2" | n documents, n blocks, bytes of shares: uint32 | crc32 of all that follows: uint32
+    "PBT3" | n documents, n blocks, bytes of shares: uint32 | crc32 of all that follows: uint32
     | number of ids of each document: uint32 | number of ids, coded bytes, crc32 of the ids, of each block: uint32
     | order 0 shares of the frame's ids, zlib: uint16 steps from id to id, then the four byte planes of the uint32 shares
     | the coded blocks (``coder``), each with a fresh model
@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 
 from proofbox.llm import coder
 from proofbox.llm.common import as_bytes, chunks, stored, text_bytes, tidy
-from proofbox.llm.tokens import Encoder, default_path
+from proofbox.llm.tokens import BATCH, Encoder, default_path
 
-MAGIC = b"PBT2"
+MAGIC = b"PBT3"
 
 
 def _pack_shares(share: np.ndarray) -> bytes:
@@ -101,7 +101,7 @@ def _write(path: str, end_id: int, frame_ids: int):
         for batch in batches:
             texts, part = batch.column(0), batch.column(2)[0].as_py()
             _, offsets = as_bytes(texts)
-            for a, b in chunks(offsets):
+            for a, b in chunks(offsets, BATCH):
                 ids, cut = Encoder.of(path).encode(texts.slice(a, b - a))
                 size = np.diff(cut)
                 whole = np.full(len(ids) + len(size), end_id, np.uint32)

@@ -116,3 +116,38 @@ def test_carries_and_rare_ids_round_trip():
     shares = coder.Shares.of(every)
     back = coder.decode(coder.encode(blocks, shares), [len(b) for b in blocks], shares)
     assert all(np.array_equal(a, b) for a, b in zip(blocks, back, strict=True))
+
+
+def test_the_encoder_sorts_out_what_a_table_would_hold():
+    """The entries of all steps at once are those of a table that is looked up and written step by step."""
+    rng = np.random.default_rng(11)
+    slot, ids = rng.integers(0, 40, (3, 900)).astype(np.uint16), rng.integers(0, 3, (3, 900)).astype(np.uint16)
+    want = np.zeros(slot.shape, np.uint32)
+    for i in range(3):
+        table = {}
+        for t in range(900):
+            name, run = table.get(slot[i, t], (0, 0))
+            want[i, t] = name << 3 | run
+            table[slot[i, t]] = ids[i, t], min(run, 6) + 1 if run and name == ids[i, t] else 1
+    assert np.array_equal(coder._entries(slot, ids), want)
+    assert coder._entries(slot[:, :0], ids[:, :0]).shape == (3, 0)
+
+
+def test_plain_words_go_to_the_model_and_keep_their_ids():
+    """Words of Latin letters skip the splitting, many in a call; all others go through the whole tokenizer."""
+    encoder, through = Encoder(default_path()), []
+
+    class Told:
+        model = encoder.tokenizer.model
+
+        def encode_batch_fast(self, texts, **options):
+            through.extend(texts)
+            return encoder_.encode_batch_fast(texts, **options)
+
+    encoder_, encoder.tokenizer = encoder.tokenizer, Told()
+    texts = ["the plain naïve caféteria straße", "Ωmega x1y don't tail ª² ŽiŽkov the plain", " ".join(f"w{'abcdefghij'[i % 10] * (i % 17 + 1)}" for i in range(300))]
+    ids, cut = encoder.encode(texts)
+    for i, t in enumerate(texts):
+        assert ids[cut[i] : cut[i + 1]].tolist() == encoder_.encode(t, add_special_tokens=False).ids
+    told = "".join(through)
+    assert "Ωmega" in told and "1y" in told and "plain" not in told and "café" not in told and "wbb" not in told
