@@ -32,8 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofbox.llm.common import as_bytes, chunks, stored, tidy
-from proofbox.llm.tokens import BATCH, Encoder, default_path
+from proofbox.llm.common import as_bytes, batches_of, chunks, stored, tidy
+from proofbox.llm.tokens import Encoder, default_path
+
+#: Bytes of text that a worker holds and tokenizes at a time: a quarter of the token file's, for its work arrays take about 15 bytes for each byte of text.
+SLICE = 2 << 20
 
 # ---------------------------------------------------------------- bin completion
 
@@ -243,7 +246,7 @@ def _pieces(path: str, capacity: int, end_id: int, keep_pieces: bool):
         for batch in batches:
             texts = batch.column(0)
             _, offsets = as_bytes(texts)
-            for a, b in chunks(offsets, BATCH):
+            for a, b in chunks(offsets, SLICE):
                 ids, cut = coder.encode(texts.slice(a, b - a))
                 rows, part, piece, start, length, crc = [], batch.column(2)[0].as_py(), [], [], [], []
                 for i in range(b - a):
@@ -297,7 +300,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     id_type = docs.schema[id_col].dataType.simpleString()
     base = f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long"
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("doc_id"), F.spark_partition_id().cast("long").alias("part"))
-    pieces = stored(rows.mapInArrow(tidy(_pieces(tokenizer or default_path(), capacity, end_id, keep_pieces)), f"{base}, part long, local long"), "packing-pieces")
+    with batches_of(docs.sparkSession, SLICE):
+        pieces = stored(rows.mapInArrow(tidy(_pieces(tokenizer or default_path(), capacity, end_id, keep_pieces)), f"{base}, part long, local long"), "packing-pieces")
     by_part = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     histogram = {int(r["length"]): int(r["n"]) for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     table = slots(pack_lengths(histogram, capacity))

@@ -3,11 +3,14 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from proofbox.llm import packing
+from proofbox.llm.common import batches_of
 from proofbox.llm.packing import pack, pack_lengths
-from proofbox.llm.tokens import default_path
+from proofbox.llm.tokens import Encoder, default_path
 
 
 @settings(max_examples=60, deadline=None)
@@ -99,3 +102,47 @@ def test_whole_search_is_the_exact_optimum(items):
     for x in items:
         counts[x] += 1
     assert sum(t for t, _ in pack_lengths(dict(counts), 20, effort=None)) == exact_bins(sorted(items, reverse=True), 20)
+
+
+def test_workers_hold_small_slices_of_text(spark, monkeypatch):
+    """Neither an Arrow batch nor a call of the tokenizer holds more than a slice and a document; the session's own bound stays."""
+    sizes, encode, whole = [], Encoder.encode, packing._pieces
+
+    def spied(path, *more):
+        run = whole(path, *more)
+
+        def checked(batches):
+            def small(batch):
+                assert batch.nbytes <= packing.SLICE + (64 << 10), batch.nbytes
+                return batch
+
+            return run(map(small, batches))
+
+        return checked
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.range(600).selectExpr("id as doc_id", "repeat(concat('word', id, ' '), 2000) as text").coalesce(1)
+    monkeypatch.setattr(packing, "_pieces", spied)
+    got = packing.pack(docs).groupBy("doc_id").agg({"length": "sum"}).collect()
+    assert len(got) == 600 and spark.conf.get(key) == before
+
+    monkeypatch.setattr(Encoder, "encode", lambda self, texts: (sizes.append(texts.nbytes), encode(self, texts))[1])
+    texts = pa.array([f"word{i} " * 2000 for i in range(600)])
+    batch = pa.RecordBatch.from_arrays([texts, pa.array(range(600)), pa.array([0] * 600)], names=["text", "doc_id", "part"])
+    out = pa.Table.from_batches(whole(default_path(), 2048, 0, True)([batch]))
+    assert max(sizes) <= packing.SLICE + (64 << 10) and len(set(out.column("doc_id").to_pylist())) == 600
+    assert {r["doc_id"]: r["sum(length)"] for r in got} == {r["doc_id"]: r["length_sum"] for r in out.group_by("doc_id").aggregate([("length", "sum")]).to_pylist()}
+
+
+def test_a_smaller_bound_of_the_session_stays(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, "1m")
+    try:
+        with batches_of(spark, 2 << 20):
+            assert spark.conf.get(key) == "1m"
+        with batches_of(spark, 1 << 10):
+            assert spark.conf.get(key) == "1024"
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key)
