@@ -35,3 +35,26 @@ def test_few_rows_and_negative_scores(spark):
     assert run(spark, repeated, block_rows=2, query_rows=1) == brute(repeated, 5, 50)
     assert run(spark, repeated)[0] == (0, 1, 0, 262144)
     assert run(spark, []) == []
+
+
+def test_the_driver_broadcasts_nothing(spark):
+    """Spark broadcast the sent query blocks: it took their size to be that of the query rows."""
+    rows = [(i, np.random.default_rng(i).normal(size=16).astype(np.float32).tolist()) for i in range(600)]
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "100m", "spark.sql.maxBroadcastTableSize": "20k"}
+    before = {c: spark.conf.get(c) for c in conf}
+    for c, v in conf.items():
+        spark.conf.set(c, v)
+    try:
+        assert run(spark, rows, query_every=5, block_rows=30, query_rows=10) == brute(rows, 5, 5)
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+
+
+def test_equal_and_long_vectors(spark):
+    rng = np.random.default_rng(7)
+    equal = [(int(i), [1.0, 2.0]) for i in rng.permutation(300)] + [(300 + i, [2.0, 1.0]) for i in range(90)]
+    assert run(spark, equal, query_every=30, block_rows=100, query_rows=7) == brute(equal, 5, 30)
+    for reach in (1.0, 3e4, 1e6):  # scores of 32-bit floats, of 64-bit floats and of integers
+        rows = [(i, [float(x) for x in rng.normal(size=12).astype(np.float32) * np.float32(reach)]) for i in range(200)]
+        assert run(spark, rows, query_every=10, block_rows=60, query_rows=9) == brute(rows, 5, 10)
